@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secretscan, simhash
+from . import kdshard, langid, maxent, mixing, packing, quality, secretscan, simhash, tokenfile, topk
 from .common import table
 
 BYTES_TOKENIZER, WORDS_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.positions(table(spark, sf_dir, "documents"))
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES_TOKENIZER))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents"))
 
@@ -25,21 +34,41 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshard.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS_TOKENIZER))
 
 
+def op10_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_pfair_mixing": op2_pfair_mixing,
-        "op4_secret_scan": op4_secret_scan,
-        "op5_quality_cascade": op5_quality_cascade,
-        "op7_simhash_dedup": op7_simhash_dedup,
-        "op9_best_fit_packing": op9_best_fit_packing,
+        f.__name__: f
+        for f in (
+            op1_pivot_top_k,
+            op2_pfair_mixing,
+            op3_token_file,
+            op4_secret_scan,
+            op5_quality_cascade,
+            op6_kd_sharding,
+            op7_simhash_dedup,
+            op8_cross_parsing,
+            op9_best_fit_packing,
+            op10_hashed_maxent,
+        )
     }
 
 

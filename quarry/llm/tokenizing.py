@@ -26,7 +26,7 @@ def cuttable(text: str) -> bool:
     return True
 
 
-CACHE = 400_000
+CACHE = 250_000
 LONGEST = 64
 ENDS = ".,;:!?"
 #: A token that stands alone between words, and what is written for it: many words are encoded in one call.
