@@ -33,6 +33,8 @@ from .common import Scratch
 K, SCALE, PIVOTS, RINGS, SAMPLE, BLOCK, GROUP = 5, 256, 32, 32, 4096, 2048, 4096
 #: Stands for a null id within the search: it is the smallest.
 NO_ID = -(1 << 62)
+#: Stands for the score of a query's own row.
+OWN = -(1 << 62)
 
 
 def whole(column: str) -> Column:
@@ -221,9 +223,9 @@ def search(stored: DataFrame, queries: Queries, dim: int, visits: np.ndarray) ->
                 for some in np.array_split(rows := np.flatnonzero(ask), len(rows) // 256 + 1):
                     for j, scores in zip(some, np.rint(q.x[some] @ x.T).astype(np.int64)):
                         if (mine := uid == q.uids[j]).any():
-                            scores = np.where(mine, np.iinfo(np.int64).min, scores)
+                            scores = np.where(mine, OWN, scores)
                         best.add(int(j), scores, vec)
-        rows = [(int(q.uids[j]), int(q.ids[j]), int(i), int(s)) for j, (scores, ids) in best.of.items() for s, i in zip(scores, ids) if s > np.iinfo(np.int64).min]
+        rows = [(int(q.uids[j]), int(q.ids[j]), int(i), int(s)) for j, (scores, ids) in best.of.items() for s, i in zip(scores, ids) if s != OWN]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 4)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     near = stored.where((F.col("dim") == dim) & F.col("ring").isin(rings))
