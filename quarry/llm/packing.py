@@ -2,8 +2,8 @@
 
 Only the lengths of the pieces decide the packing, and there are at most ``capacity`` lengths, so the driver packs a
 histogram. The longest length left opens a sequence; the gap is filled exactly by one length, a pair or a triple that
-sums to it, under the counts that are left, as often as they allow. What no combination fills goes to the fullest
-sequence it fits, longest first. The plan gives, for each length, runs of sequences; every piece finds its sequence from
+sums to it, under the counts that are left, as often as they allow. What no combination fills exactly is filled best:
+with the lengths that leave the least room. The plan gives, for each length, runs of sequences; every piece finds its sequence from
 its number among the pieces of its length. The plan's size depends on the capacity, not on the documents.
 
 Defined results: a null or empty text is its end id alone; equal and repeated rows are packed one by one; an empty table
@@ -41,6 +41,43 @@ class Sums:
             self.has &= ~(1 << n)
             self.mirror &= ~(1 << self.top - n)
 
+    def give(self, n: int) -> None:
+        self.counts[n] += 1
+        self.has |= 1 << n
+        self.mirror |= 1 << self.top - n
+
+    def use(self, whole: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
+        """Takes the combination as often as the counts allow."""
+        times = min(self.counts[x] // whole.count(x) for x in set(whole))
+        for x in set(whole):
+            self.take(x, times * whole.count(x))
+        return whole, times
+
+    def around(self, n: int, capacity: int, exact: bool) -> tuple[int, ...] | None:
+        """A sequence that the length n opens: filled exactly by up to three others, or else best.
+
+        Best: the longest that fits goes in while three such don't reach the end, then the one, two or three that leave
+        the least."""
+        whole, gap = [n], capacity - n
+        self.take(n, 1)
+        if exact:
+            found = self.fill(gap) if gap else ()
+            self.give(n)
+            return None if found is None else (n, *found)
+        while fits := self.has & ((1 << gap + 1) - 1):
+            longest = fits.bit_length() - 1
+            if 3 * longest < gap:
+                found: tuple[int, ...] | None = (longest,)
+            else:
+                found = next(x for g in range(gap, 0, -1) if (x := self.fill(g)))
+            for x in found:
+                self.take(x, 1)
+            whole += found
+            gap -= sum(found)
+        for x in whole:
+            self.give(x)
+        return tuple(whole)
+
     def pair(self, gap: int) -> tuple[int, int] | None:
         """Two lengths left that sum to the gap, the longer as long as can be."""
         both = self.has & (self.mirror >> self.top - gap if gap <= self.top else self.mirror << gap - self.top)
@@ -81,7 +118,11 @@ class Sums:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): that many sequences of these lengths. All pieces of the histogram, once each."""
+    """(lengths, times): that many sequences of these lengths. All pieces of the histogram, once each.
+
+    Lengths over half the capacity never share a sequence, so their gaps are filled first: exactly while combinations
+    last, then as tightly as can be. The shorter ones that are left open sequences of their own in the same way.
+    """
     counts = [0] * (capacity + 1)
     for n, c in histogram.items():
         counts[n] = c
@@ -89,48 +130,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     if counts[capacity]:
         out.append(((capacity,), counts[capacity]))
         counts[capacity] = 0
-    sums, residual = Sums(counts), {}
+    sums, half = Sums(counts), capacity // 2
+    for n in range(capacity - 1, half, -1):
+        while counts[n] and (whole := sums.around(n, capacity, exact=True)):
+            out.append(sums.use(whole))
     for n in range(capacity - 1, 0, -1):
+        while n <= half and counts[n] and (whole := sums.around(n, capacity, exact=True)):
+            out.append(sums.use(whole))
         while counts[n]:
-            sums.take(n, 1)
-            found = sums.fill(capacity - n)
-            counts[n] += 1
-            sums.has |= 1 << n
-            sums.mirror |= 1 << sums.top - n
-            if not found:
-                residual[n] = counts[n]
-                sums.take(n, counts[n])
-                break
-            whole = (n, *found)
-            times = min(counts[x] // whole.count(x) for x in whole)
-            for x in set(whole):
-                sums.take(x, times * whole.count(x))
-            out.append((whole, times))
-    return out + best_fit(residual, capacity)
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first, each into the fullest sequence it fits; equal sequences are kept as one entry with a count."""
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for n in sorted(histogram, reverse=True):
-        left = histogram[n]
-        for gap in range(n, capacity):
-            while left and open_.get(gap):
-                lengths, times = open_[gap].pop()
-                used = min(times, left)
-                if times > used:
-                    open_[gap].append((lengths, times - used))
-                open_.setdefault(gap - n, []).append(((*lengths, n), used))
-                left -= used
-            if not left:
-                break
-        if left:
-            fit = capacity // n
-            if left // fit:
-                open_.setdefault(capacity - n * fit, []).append(((n,) * fit, left // fit))
-            if left % fit:
-                open_.setdefault(capacity - n * (left % fit), []).append(((n,) * (left % fit), 1))
-    return [x for group in open_.values() for x in group]
+            out.append(sums.use(sums.around(n, capacity, exact=False)))
+    return out
 
 
 def runs(patterns: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
