@@ -35,7 +35,7 @@ from .common import Scratch, task, utf8
 
 HEAD = 1 << 17
 ROUNDS = 2
-RATE, PRIOR = 0.5, 4.0
+RATE, PRIOR = 0.4, 100.0
 CLASSES = MEMBERS = 16
 CLASS_ROWS, MEMBER_ROWS, FEATURES = 1 << 11, 1 << 13, 3
 N_CLASS = FEATURES * CLASS_ROWS * CLASSES
