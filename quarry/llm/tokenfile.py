@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, strings, task
 from .tokenizing import encoder
@@ -132,7 +131,7 @@ class Block:
         return high << self.low | unpack_bits(self.lower, self.n, self.low)
 
 
-BLOCKS = "shard long, nth long, documents long, ids long, block binary"
+BLOCKS = "shard long, before long, documents long, ids long, block binary"
 
 
 def write(docs: DataFrame, file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, block_ids: int = BLOCK_IDS, joined_space: bool = True) -> None:
@@ -142,13 +141,13 @@ def write(docs: DataFrame, file: str, path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, shard, nth = encoder(file, joined_space), task(), 0
+        e, shard, before = encoder(file, joined_space), task(), 0
         last = np.array([end], e.dtype).tobytes()
         names, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             block = encode_block(names, ids, e.dtype)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, nth, len(names), held)] + [pa.array([block], pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, before, len(names), held)] + [pa.array([block], pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for b in batches:
             for doc, got in zip(b.column(0).to_pylist(), e.encode(strings(b.column(1)))):
@@ -157,7 +156,7 @@ def write(docs: DataFrame, file: str, path: str, id_col: str = "doc_id", text_co
                 held += len(ids[-1]) // e.dtype.itemsize
                 if held >= block_ids:
                     yield flush()
-                    nth += 1
+                    before += held
                     names, ids, held = [], [], 0
         if names:
             yield flush()
@@ -174,12 +173,10 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document from the blocks at ``path``.
 
-    Only the shards' totals, a row for each writing task, are summed in one place.
+    A block's row says how many ids its shard has before it, so blocks are read where they lie. Only the shards' totals, a row for each writing task, are summed in one place.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    within = Window.partitionBy("shard").orderBy("nth")
-    heads = blocks.select("shard", "nth", "ids").withColumn("before", F.sum("ids").over(within) - F.col("ids"))
-    totals, base, at = heads.groupBy("shard").agg(F.sum("ids").alias("n")).collect(), {}, 0
+    totals, base, at = blocks.groupBy("shard").agg(F.sum("ids").alias("n")).collect(), {}, 0
     for r in sorted(totals, key=lambda r: r["shard"]):
         base[r["shard"]] = at
         at += r["n"]
@@ -196,8 +193,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(wide[a:z]) for a, z in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(block.docs, mask=block.null), pa.array(starts + before + base[shard]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = blocks.select("shard", "nth", "block").join(heads.select("shard", "nth", "before"), ["shard", "nth"])
-    return placed.select("shard", "before", "block").mapInArrow(run, DOCUMENTS)
+    return blocks.select("shard", "before", "block").mapInArrow(run, DOCUMENTS)
 
 
 def round_trip(docs: DataFrame, file: str) -> DataFrame:
