@@ -1,43 +1,45 @@
 """Whole-text encoding with the tokenizers library, with a bounded cache of encoded words.
 
-A text is cut only before single spaces between two characters that are not white space. Both pre-tokenizers used here
-begin a new token at every such place, so the ids of the cuts, one after the other, are those of the whole text. Texts
-with other white space next to a space go to the library whole.
+A text is cut where the pre-tokenizer begins a new token whatever stands around, so the ids of the cuts, one after the
+other, are those of the whole text:
+
+- where white space is dropped, at all white space;
+- where a space is kept with the word after it, before a single space, and around a single line feed, between two
+  characters that are not white space. Texts with other white space are cut at such spaces alone.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: White space that a cut may not stand next to (Unicode White_Space, and the separators FS to US).
-ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def cuttable(text: str) -> bool:
-    """No space of the text has other white space, or an end of the text, beside it."""
-    if "  " in text or text[:1].isspace() or text[-1:].isspace():
-        return False
-    for c in ASCII_SPACE if text.isascii() else ASCII_SPACE + OTHER_SPACE:
-        if c in text and (c + " " in text or " " + c in text):
-            return False
-    return True
-
-
-CACHE = 250_000
+#: White space (Unicode White_Space) and the separators FS to US, which not all libraries count as such.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+ASCII_SPACE = "\t\x0b\x0c\r" + SEPARATORS
+OTHER_SPACE = "\x85\xa0                　"
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Words in the younger of a cache's two generations; longer words are not kept.
+CACHE = 400_000
 LONGEST = 64
 ENDS = ".,;:!?"
 #: A token that stands alone between words, and what is written for it: many words are encoded in one call.
 BREAK = {True: ("\n", "\n"), False: ("|", " | ")}
 
 
+def plain(text: str) -> bool:
+    """White space is single spaces and line feeds, with other characters on both sides."""
+    if text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    return not any(c in text for c in (ASCII_SPACE if text.isascii() else ASCII_SPACE + OTHER_SPACE))
+
+
 class Encoder:
     """encode(texts) -> for each text its ids as bytes of little-endian unsigned 16-bit (or 32-bit) integers.
 
-    ``joined_space``: the pre-tokenizer keeps a space with the word after it; otherwise it drops white space.
-    The cache has two generations of ``CACHE`` words at most: words in use move to the younger one.
+    ``joined_space``: the pre-tokenizer keeps a space with the word after it; otherwise it drops white space. A key of
+    the cache is a word; one that begins with a line feed stands for the word after a line feed instead of a space.
     """
 
     def __init__(self, file: str, joined_space: bool):
@@ -46,9 +48,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.space = " " if joined_space else ""
+        self.joined = joined_space
         self.mark, self.between = BREAK[joined_space]
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.feed = np.array([self.mark_id], self.dtype).tobytes()
         self.ends = dict(zip(ENDS, self._library(list(ENDS))))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -56,37 +59,40 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """A letter run and the one mark after it are two tokens to both pre-tokenizers, so the run is encoded once for all marks."""
-        out, runs = {}, []
-        for w in words:
-            if w and w[-1] in ENDS and w[:-1].isalpha():
-                runs.append(w)
-            else:
-                out[w] = b""
-        bare = {w[:-1] for w in runs}
-        need = [w for w in bare.difference(out) if w not in self.young] + list(out)
-        out = self._encoded(need)
-        for w in runs:
-            out[w] = (out.get(w[:-1]) or self.young[w[:-1]]) + self.ends[w[-1]]
-        return out
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w and self.mark not in w]
-        out = {"": b""}
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([self.space + w for w in part])], add_special_tokens=False)[0].ids, self.dtype)
+    def _encoded(self, words: list[str], lead: str) -> dict[str, bytes]:
+        simple, out, size = [w for w in words if w and self.mark not in w], {"": self._library([lead])[0]}, self.dtype.itemsize
+        for k in range(0, len(simple), 512):
+            part = simple[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + (self.between + lead).join(part)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(ids == self.mark_id)
             if len(ends) != len(part) - 1:  # a word has a mark of its own after normalising
-                out.update(zip(part, self._library([self.space + w for w in part])))
+                out.update(zip(part, self._library([lead + w for w in part])))
                 continue
-            data, size, at = ids.tobytes(), self.dtype.itemsize, 0
-            for w, end in zip(part, [*ends.tolist(), len(ids)]):
-                out[w] = data[at * size : end * size]
-                at = end + 1
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, [*(ends * size).tolist(), len(data)]):
+                out[w] = data[at:end]
+                at = end + size
         odd = [w for w in words if self.mark in w]
-        out.update(zip(odd, self._library([self.space + w for w in odd])))
+        out.update(zip(odd, self._library([lead + w for w in odd])))
+        return out
+
+    def _words(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
+        """A run of letters and the one mark after it are two tokens, so the run is encoded once for all marks."""
+        runs = [w for w in words if w and w[-1] in ENDS and w[:-1].isalpha()]
+        bare = {w[:-1] for w in runs}
+        need = bare.union(words).difference(runs)
+        out = self._encoded([w for w in need if w not in known], lead)
+        for w in runs:
+            ids = out.get(w[:-1])
+            out[w] = (known[w[:-1]] if ids is None else ids) + self.ends[w[-1]]
+        return out
+
+    def _keys(self, keys: set[str]) -> dict[str, bytes]:
+        if not self.joined:
+            return self._words(list(keys), "", self.young)
+        after_feed = [k[1:] for k in keys if k[:1] == "\n"]
+        out = self._words([k for k in keys if k[:1] != "\n"], " ", self.young)
+        out |= {"\n" + w: self.feed + ids for w, ids in self._words(after_feed, "", {}).items()}
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -95,38 +101,33 @@ class Encoder:
             out += self._some(texts[k : k + 256])
         return out
 
+    def _parts(self, text: str) -> list[str] | None:
+        """Keys; None if the library has to see the text whole."""
+        if not self.joined:
+            return None if any(c in text for c in SEPARATORS) else text.split()
+        if plain(text):
+            return ("\n" + text.replace("\n", " \n")).split(" ")
+        first, *rest = LONE_SPACE.split(text)
+        return None if any(w[:1] == "\n" for w in rest) else ["\n" + first, *rest]
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") if cuttable(t) else None for t in texts]
-        firsts = set()
-        if self.space:
-            firsts = {p[0] for p in parts if p is not None}
-        words = set()
+        parts, keys = [self._parts(t) if t else [] for t in texts], set()
         for p in parts:
-            if p is not None:
-                words.update(p[1:] if self.space else p)
-        need = words.difference(self.young)
-        kept = need.intersection(self.old)
-        new = self._words(list(need - kept))
-        long = {w: new.pop(w) for w in [w for w in new if len(w) > LONGEST]}
-        if len(self.young) + len(need) > CACHE:
-            self.old, self.young = self.young, {}
-            kept, words_left = set(), words - long.keys() - new.keys()
-            self.young.update({w: self.old[w] for w in words_left if w in self.old})
-            lost = [w for w in words_left if w not in self.young]
-            new |= self._words(lost)
-        self.young.update({w: self.old[w] for w in kept})
-        self.young.update(new)
-        young = self.young if not long else {**{w: self.young[w] for w in words if w in self.young}, **long}
-        head = dict(zip(firsts, self._library(list(firsts)))) if self.space else {}
-        out = []
-        for t, p in zip(texts, parts):
-            if p is None:
-                out.append(self._library([t])[0])
-            elif self.space:
-                out.append(head[p[0]] + b"".join([young[w] for w in p[1:]]))
-            else:
-                out.append(b"".join([young[w] for w in p]))
-        return out
+            if p:
+                keys.update(p)
+        need = keys.difference(self.young)
+        found = {k: self.old[k] for k in need.intersection(self.old)}
+        found |= self._keys(need.difference(found))
+        long = {k: ids for k, ids in found.items() if len(k) > LONGEST}
+        for k in long:
+            del found[k]
+        if len(self.young) + len(found) > CACHE:
+            self.old, young = self.young, {k: self.young[k] for k in keys.difference(need)}
+            self.young = young
+        self.young |= found
+        have = {k: long[k] if k in long else self.young[k] for k in keys} if long else self.young
+        skip = self.dtype.itemsize if self.joined else 0
+        return [self._library([t])[0] if p is None else b"".join([have[k] for k in p])[skip:] for t, p in zip(texts, parts)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
