@@ -125,7 +125,10 @@ def statement(*keywords: str, end: str = ";", lines: bool = False) -> Finder:
 BRACE_KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "else", "do", "throw", "case", "using", "lock", "foreach", "function", "synchronized", "try", "super", "this", "assert", "elif", "with", "fn", "match", "func", "def", "typeof", "nameof", "await", "and", "or", "not", "in", "is", "unless", "until", "when", "guard", "import", "async", "yield", "del", "lambda", "print_r_"}
 
 
-def calls(extra: tuple[str, ...] = (), definitions: Finder | None = None, generics: bool = False, after_new: bool = False, keywords: frozenset[str] = frozenset(BRACE_KEYWORDS)) -> Finder:
+MODIFIERS = {"public", "private", "protected", "internal"}
+
+
+def calls(extra: tuple[str, ...] = (), definitions: Finder | None = None, generics: bool = False, after_new: bool = False, signatures: bool = False, keywords: frozenset[str] = frozenset(BRACE_KEYWORDS)) -> Finder:
     """Names right before an argument list that neither define nor are keywords; of a member its last part."""
 
     def find(s: Source) -> Iterator[Span]:
@@ -144,6 +147,8 @@ def calls(extra: tuple[str, ...] = (), definitions: Finder | None = None, generi
             hit = s.is_(n, "(") or s.is_(k + 1, *extra) or s.is_(n, "?.") and s.is_(n + 1, "(")
             if extra == ("!",) and s.is_(k + 1, "!"):
                 hit = s.is_(k + 2, "(", "[", "{")
+            if signatures and hit and s.is_(n, "(") and n in s.close and s.is_(s.close[n] + 1, ":") and (s.is_(k - 1, "{", ";", "}", ",") or "\n" in s.text[s.code[k - 1].end : t.start]):
+                continue  # a member of an interface
             if (hit or after_new and s.is_(k - 1, "new")) and span(t) not in defined:
                 yield span(t)
 
@@ -178,7 +183,7 @@ def methods(types: bool = True, bodies: tuple[str, ...] = ("{",), prototypes: bo
             if t.kind != "ident" or t.text in BRACE_KEYWORDS or not s.is_(k + 1, "(") or k + 1 not in s.close:
                 continue
             before = s.code[k - 1] if k else None
-            typed = before is not None and (before.kind == "ident" and before.text not in BRACE_KEYWORDS | {"return", "else"} or before.text in (">", "]", "*", "&", "?", "::", "~"))
+            typed = before is not None and (before.kind == "ident" and before.text not in BRACE_KEYWORDS | MODIFIERS or before.text in (">", "]", "*", "&", "?", "::", "~"))
             if before is not None and before.text in (".", "->", "=", "(", ",", "!", "&&", "||", "?.", "return", "new", "+", "=>"):
                 continue
             if types and not typed:
@@ -197,7 +202,7 @@ def constructors() -> Finder:
 
     def find(s: Source) -> Iterator[Span]:
         for k, t in enumerate(s.code):
-            if t.kind == "ident" and t.text not in BRACE_KEYWORDS and s.is_(k + 1, "(") and k + 1 in s.close and (k == 0 or s.is_(k - 1, "{", "}", ";", "public", "private", "protected", "internal")):
+            if t.kind == "ident" and t.text not in BRACE_KEYWORDS and s.is_(k + 1, "(") and k + 1 in s.close and (k == 0 or s.is_(k - 1, "{", "}", ";", ":", *MODIFIERS)):
                 n = s.close[k + 1] + 1
                 if s.is_(n, "throws", ":"):
                     while n < len(s.code) and not s.is_(n, "{", ";", "}"):
@@ -340,6 +345,20 @@ def go_funcs(s: Source) -> Iterator[Span]:
                 yield span(s.code[n])
 
 
+def go_members(s: Source) -> Iterator[Span]:
+    """Methods that interfaces ask for."""
+    for k, t in enumerate(s.code):
+        if t.text == "interface" and s.is_(k + 1, "{") and k + 1 in s.close:
+            n = k + 2
+            while n < s.close[k + 1]:
+                if s.ident(n) and s.is_(n + 1, "("):
+                    yield span(s.code[n])
+                n = s.close.get(n + 1, n) + 1
+
+
+GO_WORDS = frozenset({"type", "import", "const", "var", "struct", "interface", "map", "chan", "func", "if", "for", "switch", "return", "go", "defer", "select", "case", "range"})
+
+
 def go_imports(s: Source) -> Iterator[Span]:
     for k, t in enumerate(s.code):
         if t.text == "import" and t.kind == "ident":
@@ -379,7 +398,7 @@ def c_tags(*keywords: str) -> Finder:
 
     def find(s: Source) -> Iterator[Span]:
         for k, t in enumerate(s.code):
-            if t.kind == "ident" and t.text in keywords:
+            if t.kind == "ident" and t.text in keywords and not s.is_(k - 1, "enum"):
                 n = k + 1 + s.is_(k + 1, "class", "struct")
                 if s.ident(n) and (s.is_(n + 1, "{", ":") or s.is_(n + 1, "final")):
                     yield span(s.code[n])
@@ -469,6 +488,12 @@ def lua_functions(s: Source) -> Iterator[Span]:
             yield s.code[k + 1].start, s.code[z].end
 
 
+def lua_names(s: Source) -> Iterator[Span]:
+    """The last parts of function names."""
+    ends = {z for _, z in lua_functions(s)}
+    return (span(t) for t in s.code if t.kind == "ident" and t.end in ends)
+
+
 def let_names(s: Source) -> Iterator[Span]:
     for k, t in enumerate(s.code):
         if t.text in ("let", "and") and t.kind == "ident":
@@ -619,10 +644,11 @@ def css_imports(s: Source) -> Iterator[Span]:
 
 
 def css_values(s: Source) -> Iterator[Span]:
+    inside = {n for a, z in s.close.items() if s.is_(a, "(") for n in range(a + 1, z)}
     for k, t in enumerate(s.code):
         if t.kind == "str":
             yield span(t)
-        elif t.kind == "ident" and k and not s.is_(k + 1, "(", ":", "{"):
+        elif t.kind == "ident" and k and k not in inside and not s.is_(k + 1, "(", ":", "{"):
             n = k - 1
             while n >= 0 and not s.is_(n, ";", "{", "}", ":"):
                 n -= 1
@@ -674,9 +700,9 @@ PROFILES = (
     Profile("rs", "Rust", ("rs",), L.RUST, {"struct": after("struct"), "enum": after("enum"), "trait": after("trait"), "type": after("type"), "impl": rust_impl, "macro": filtered(after("macro_rules", skip=("!",)), r"."), "module": after("mod"), "def": after("struct", "enum", "trait", "type", "mod"), "func": after("fn"), "import": statement("use"), "call": calls(("!",), all_of(after("fn"), after("macro_rules", skip=("!",)), after("struct")), generics=False), "comment": comment, "str": string}),
     Profile("py", "Python", ("py",), L.PYTHON, {"class": _py_class, "func": _py_func, "def": all_of(_py_class, _py_func), "import": python_imports, "call": calls((), all_of(_py_class, _py_func), keywords=frozenset(BRACE_KEYWORDS - {"match", "super", "func", "fn", "this"})), "comment": comment, "str": string}),
     Profile("js", "JavaScript", ("js",), L.SCRIPT, {"class": after("class"), "func": _js_func, "def": all_of(after("class"), _js_func), "import": statement("import"), "call": calls((), _js_func, after_new=True), "comment": kinds("comment", "regex"), "str": kinds("str", "template"), "hook": hooks(), "customhook": _custom_hook}),
-    Profile("ts", "TypeScript", ("ts",), L.SCRIPT, {"class": after("class"), "interface": after("interface"), "type": after("type"), "enum": after("enum"), "def": _ts_def, "func": _js_func, "import": statement("import"), "call": calls((), _js_func, generics=True, after_new=True), "comment": comment, "str": kinds("str", "template"), "hook": hooks(), "customhook": _custom_hook}),
+    Profile("ts", "TypeScript", ("ts",), L.SCRIPT, {"class": after("class"), "interface": after("interface"), "type": after("type"), "enum": after("enum"), "def": _ts_def, "func": _js_func, "import": statement("import"), "call": calls((), _js_func, generics=True, after_new=True, signatures=True), "comment": comment, "str": kinds("str", "template"), "hook": hooks(), "customhook": _custom_hook}),
     Profile("tsx", "React", ("jsx", "tsx"), L.SCRIPT, {"component": all_of(after("class"), after("function", skip=("*",)), arrow_consts(memo=True)), "element": jsx(props=False), "hook": hooks(), "customhook": _custom_hook, "prop": jsx(props=True), "import": statement("import"), "comment": comment, "str": kinds("str", "template")}),
-    Profile("go", "Go", ("go",), L.GO, {"type": go_types(None), "struct": go_types("struct"), "interface": go_types("interface"), "func": go_funcs, "def": all_of(go_types(None), go_funcs), "import": go_imports, "call": calls((), go_funcs), "comment": comment, "str": string}),
+    Profile("go", "Go", ("go",), L.GO, {"type": go_types(None), "struct": go_types("struct"), "interface": go_types("interface"), "func": go_funcs, "def": all_of(go_types(None), go_funcs), "import": go_imports, "call": calls((), all_of(go_funcs, go_members), keywords=GO_WORDS), "comment": comment, "str": string}),
     Profile("java", "Java", ("java",), L.JAVA, {"class": after("class"), "interface": after("interface"), "enum": after("enum"), "def": _java_def, "func": _java_func, "import": statement("import"), "call": calls((), _java_func, generics=False, after_new=True), "comment": comment, "str": string}),
     Profile("c", "C", ("c",), L.C, {"func": _c_func, "struct": c_tags("struct", "union"), "enum": c_tags("enum"), "type": c_typedefs, "macro": c_macros, "def": all_of(_c_func, c_tags("struct", "union", "enum"), c_typedefs), "import": c_includes, "call": calls((), all_of(_c_func, c_macros)), "comment": comment, "str": c_strings("str")}, listed=("h",)),
     Profile("cpp", "C++", ("cpp", "cc", "cxx", "hpp", "hh", "hxx"), L.CPP, {"class": c_tags("class"), "struct": c_tags("struct"), "enum": c_tags("enum"), "func": all_of(_c_func, constructors()), "macro": c_macros, "def": all_of(c_tags("class", "struct", "enum"), _c_func, constructors()), "import": c_includes, "call": all_of(calls((), all_of(_c_func, c_macros, constructors())), qualified("::")), "comment": comment, "str": c_strings("str", "raw")}),
@@ -684,7 +710,7 @@ PROFILES = (
     Profile("php", "PHP", ("php",), L.PHP, {"class": after("class", but=("new",)), "interface": after("interface"), "trait": after("trait"), "func": _php_func, "def": all_of(after("class"), after("interface"), after("trait"), _php_func), "import": php_uses, "call": whole_calls(("->", "::", "?->"), after("function")), "comment": comment, "str": string}, listed=("phtml",)),
     Profile("rb", "Ruby", ("rb",), L.RUBY, {"class": after("class"), "module": after("module"), "type": after("module"), "func": _rb_func, "def": all_of(after("class"), after("module"), _rb_func), "import": any_of("ident"), "call": ruby_calls, "comment": comment, "str": string}),
     Profile("sh", "Bash", ("sh", "bash"), L.BASH, {"func": bash_functions, "def": bash_functions, "import": bash_commands, "call": bash_commands, "comment": comment, "str": kinds("str", "raw")}),
-    Profile("lua", "Lua", ("lua",), L.LUA, {"func": lua_functions, "def": lua_functions, "import": calls(), "call": calls(), "comment": comment, "str": string}),
+    Profile("lua", "Lua", ("lua",), L.LUA, {"func": lua_functions, "def": lua_functions, "import": calls((), lua_names), "call": calls((), lua_names), "comment": comment, "str": string}),
     Profile("scala", "Scala", ("scala",), L.SCALA, {"class": after("class"), "object": after("object"), "type": after("object"), "trait": after("trait"), "func": _scala_func, "def": all_of(after("class"), after("object"), after("trait"), _scala_func), "import": statement("import", end=";", lines=True), "call": whole_calls((".",), all_of(_scala_func, after("class"), after("object"), after("trait"))), "comment": comment}, "experimental"),
     Profile("swift", "Swift", ("swift",), L.SWIFT, {"class": after("class", "struct", "enum", "actor"), "protocol": after("protocol"), "func": _swift_func, "def": all_of(after("class", "struct", "enum", "actor"), after("protocol"), _swift_func), "import": statement("import", end=";", lines=True), "call": whole_calls((".", "?."), _swift_func), "comment": comment, "str": string}, "experimental"),
     Profile("ex", "Elixir", ("ex", "exs"), L.ELIXIR, {**dict.fromkeys(("def", "func", "call", "import", "module", "protocol"), any_of("ident", "sym")), "comment": comment, "str": string}),
