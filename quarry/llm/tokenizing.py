@@ -10,6 +10,7 @@ other, are those of the whole text:
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -20,9 +21,11 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 ASCII_SPACE = "\t\x0b\x0c\r" + SEPARATORS
 OTHER_SPACE = "\x85\xa0                　"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Words in the younger of a cache's two generations; longer words are not kept.
-CACHE = 400_000
+#: Words that a worker keeps at most before it starts anew; longer words are not kept.
+CACHE = 800_000
 LONGEST = 64
+#: Whole texts that a worker keeps, for copies; longer texts are not kept.
+COPIES, LONGEST_COPY = 3000, 8192
 ENDS = ".,;:!?"
 #: A token that stands alone between words, and what is written for it: many words are encoded in one call.
 BREAK = {True: ("\n", "\n"), False: ("|", " | ")}
@@ -53,52 +56,77 @@ class Encoder:
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.feed = np.array([self.mark_id], self.dtype).tobytes()
         self.ends = dict(zip(ENDS, self._library(list(ENDS))))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
+        self.copies: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encoded(self, words: list[str], lead: str) -> dict[str, bytes]:
-        simple, out, size = [w for w in words if w and self.mark not in w], {"": self._library([lead])[0]}, self.dtype.itemsize
+        size, mark = self.dtype.itemsize, self.mark
+        odd = [w for w in words if mark in w or not w]
+        simple = [w for w in words if mark not in w and w] if odd else words
+        out = dict(zip(odd, self._library([lead + w for w in odd])))
         for k in range(0, len(simple), 512):
             part = simple[k : k + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([lead + (self.between + lead).join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.mark_id)
+            ends = np.flatnonzero(ids == self.mark_id) * size
             if len(ends) != len(part) - 1:  # a word has a mark of its own after normalising
                 out.update(zip(part, self._library([lead + w for w in part])))
                 continue
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, [*(ends * size).tolist(), len(data)]):
-                out[w] = data[at:end]
-                at = end + size
-        odd = [w for w in words if self.mark in w]
-        out.update(zip(odd, self._library([lead + w for w in odd])))
+            data = ids.tobytes()
+            ends = [*ends.tolist(), len(data)]
+            at = [0, *(z + size for z in ends)]
+            out.update(zip(part, [data[a:z] for a, z in zip(at, ends)]))
         return out
 
     def _words(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
         """A run of letters and the one mark after it are two tokens, so the run is encoded once for all marks."""
-        runs = [w for w in words if w and w[-1] in ENDS and w[:-1].isalpha()]
-        bare = {w[:-1] for w in runs}
-        need = bare.union(words).difference(runs)
-        out = self._encoded([w for w in need if w not in known], lead)
-        for w in runs:
-            ids = out.get(w[:-1])
-            out[w] = (known[w[:-1]] if ids is None else ids) + self.ends[w[-1]]
+        need, runs, marks = set(), [], self.ends
+        for w in words:
+            mark = marks.get(w[-1:])
+            if mark is not None and (run := w[:-1]).isalpha():
+                runs.append((w, run, mark))
+                if run not in known:
+                    need.add(run)
+            else:
+                need.add(w)
+        out = self._encoded(list(need), lead)
+        for w, run, mark in runs:
+            ids = out.get(run)
+            out[w] = (known[run] if ids is None else ids) + mark
         return out
 
     def _keys(self, keys: set[str]) -> dict[str, bytes]:
         if not self.joined:
-            return self._words(list(keys), "", self.young)
+            return self._words(list(keys), "", self.cache)
         after_feed = [k[1:] for k in keys if k[:1] == "\n"]
-        out = self._words([k for k in keys if k[:1] != "\n"], " ", self.young)
-        out |= {"\n" + w: self.feed + ids for w, ids in self._words(after_feed, "", {}).items()}
+        out = self._words([k for k in keys if k[:1] != "\n"], " ", self.cache)
+        feed = self.feed
+        out |= {"\n" + w: feed + ids for w, ids in self._words(after_feed, "", {}).items()}
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Without cyclic garbage collection meanwhile: there are no cycles, but very many strings to walk over."""
         out: list[bytes] = []
-        for k in range(0, len(texts), 256):
-            out += self._some(texts[k : k + 256])
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            for k in range(0, len(texts), 256):
+                out += self._copied(texts[k : k + 256])
+        finally:
+            if collecting:
+                gc.enable()
+        return out
+
+    def _copied(self, texts: list[str]) -> list[bytes]:
+        """Looks up copies of texts seen before; the rest is encoded."""
+        if len(self.copies) > COPIES:
+            self.copies.clear()
+        new = list({t for t in texts if t not in self.copies})
+        made = dict(zip(new, self._some(new)))
+        out = [made[t] if t in made else self.copies[t] for t in texts]
+        self.copies.update((t, ids) for t, ids in made.items() if len(t) <= LONGEST_COPY)
         return out
 
     def _parts(self, text: str) -> list[str] | None:
@@ -111,23 +139,29 @@ class Encoder:
         return None if any(w[:1] == "\n" for w in rest) else ["\n" + first, *rest]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        parts, keys = [self._parts(t) if t else [] for t in texts], set()
-        for p in parts:
-            if p:
-                keys.update(p)
-        need = keys.difference(self.young)
-        found = {k: self.old[k] for k in need.intersection(self.old)}
-        found |= self._keys(need.difference(found))
-        long = {k: ids for k, ids in found.items() if len(k) > LONGEST}
-        for k in long:
-            del found[k]
-        if len(self.young) + len(found) > CACHE:
-            self.old, young = self.young, {k: self.young[k] for k in keys.difference(need)}
-            self.young = young
-        self.young |= found
-        have = {k: long[k] if k in long else self.young[k] for k in keys} if long else self.young
+        """One lookup for each word; the places of those that are not known are noted and filled afterwards."""
+        get = self.cache.get
+        parts = [self._parts(t) if t else [] for t in texts]
+        found = [None if p is None else list(map(get, p)) for p in parts]
+        holes, new = [], set()
+        for p, row in zip(parts, found):
+            if row is not None and None in row:
+                at, places = -1, []
+                for _ in range(row.count(None)):
+                    at = row.index(None, at + 1)
+                    places.append(at)
+                    new.add(p[at])
+                holes.append((p, row, places))
+        if new:
+            made = self._keys(new)
+            for p, row, places in holes:
+                for at in places:
+                    row[at] = made[p[at]]
+            if len(self.cache) + len(made) > CACHE:
+                self.cache.clear()
+            self.cache.update(made if max(map(len, made)) <= LONGEST else {k: ids for k, ids in made.items() if len(k) <= LONGEST})
         skip = self.dtype.itemsize if self.joined else 0
-        return [self._library([t])[0] if p is None else b"".join([have[k] for k in p])[skip:] for t, p in zip(texts, parts)]
+        return [self._library([t])[0] if row is None else b"".join(row)[skip:] for t, row in zip(texts, found)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
