@@ -7,6 +7,11 @@ of shared positional bytes reaches six. The members of a list differ in the two
 most 65,536 of them whatever the size of the table. Within a list each member is looked up against the members whose
 two free bytes differ in one or two bits; a list then yields the links of a spanning forest, not all its pairs.
 
+For a similarity of word shingles (``similar``: five words, 0.8) 64 bits are too few: texts that alike differ in up to a
+dozen of them, which guarantees no shared byte. There the same index is built over fingerprints of 64 positional bytes:
+postings are fixed choices of four positions, a tally of shared bytes filters, and the Jaccard similarity itself is
+verified. A list's members are compared with one of them, the fingerprint that meets most others, not with each other.
+
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any other; equal
 fingerprints are linked; a null id takes part in linking and is never a component's smallest id unless there is no
 other (then null); repeated rows each give a row.
@@ -158,11 +163,114 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = sums
 
 
-def classes(prints: DataFrame) -> DataFrame:
+#: The long fingerprint: words of a shingle, positional bytes, choices of positions, and the least tally of shared
+#: bytes: a pair of the similarity that is asked for shares 28 on average, any other pair about one.
+LONG_SHINGLE, LONG_BYTES, CHOICES, PLACES, TALLY = 2, 64, 256, 4, 12
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+_ODD = np.random.default_rng(64).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CHOSEN = np.array([np.random.default_rng(k).choice(LONG_BYTES, PLACES, replace=False) for k in range(CHOICES)])
+
+
+def mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words, of all words if there are fewer."""
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = (out ^ words[k : k + n]) * _ODD[8]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def long_fingerprint(words: np.ndarray) -> bytes:
+    """64 positional bytes by majority over all runs of two words."""
+    h, out = mixed(words, LONG_SHINGLE), []
+    for odd in _ODD[: LONG_BYTES // 8]:
+        x = h * odd
+        out.append(majority(x ^ x >> np.uint64(32)).to_bytes(8, "little"))
+    return b"".join(out)
+
+
+SKETCH = "doc_id long, fp long, long binary, shingles array<int>"
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of both lengths, and the distinct shingles of five words as 32-bit hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                prints, longs, shingles = [], [], []
+                for data in utf8(part.column(1)):
+                    prints.append(fingerprint(data))
+                    words = data.lower().split()
+                    w = np.fromiter((xxhash.xxh64_intdigest(x) for x in words), np.uint64, len(words))
+                    longs.append(long_fingerprint(w) if len(w) else bytes(LONG_BYTES))
+                    shingles.append(np.unique((mixed(w, SIMILAR_WORDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)) if len(w) else np.zeros(0, np.int32))
+                at = pa.array(np.cumsum([0, *map(len, shingles)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), signed(prints), pa.array(longs, pa.binary()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(shingles) if shingles else np.zeros(0, np.int32)))], names=[x.split()[0] for x in SKETCH.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
+
+
+def postings(distinct: DataFrame) -> DataFrame:
+    """(fp, key) for each choice of positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choice = np.arange(CHOICES, dtype=np.int64) << 32
+        for b in batches:
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
+                bytes_ = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, LONG_BYTES)
+                keys = np.ascontiguousarray(bytes_[:, CHOSEN]).view("<u4")[:, :, 0].astype(np.int64) + choice
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), CHOICES)), pa.array(keys.ravel())], names=["fp", "key"])
+
+    return distinct.select("fp", "long").mapInArrow(run, "fp long, key long")
+
+
+def similar(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links between fingerprints whose texts have at least the similarity.
+
+    No list is gathered: lists are counted, every fingerprint is given the sum of its lists' sizes, and each list keeps
+    the one with the highest sum, which the others are then compared with.
+    """
+    distinct = Scratch(sketched.groupBy("fp").agg(F.min_by("long", "doc_id").alias("long"), F.min("long").alias("other")).select("fp", F.coalesce("long", "other").alias("long")), "longs").df
+    posted = postings(distinct)
+    sizes = Scratch(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes").df
+    shared = Scratch(posted.join(sizes, "key").select("fp", "key", "n"), "shared").df
+    sums = Scratch(shared.groupBy("fp").agg(F.sum("n").alias("score")), "scores").df
+    scored = shared.select("fp", "key").join(sums, "fp")
+    hubs = Scratch(scored.groupBy("key").agg(F.max(F.struct("score", "fp")).alias("hub")).select("key", F.col("hub.fp").alias("hub")), "hubs").df
+    pairs = Scratch(shared.select("fp", "key").join(hubs, "key").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "pairs").df
+    asked = Scratch(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "asked").df
+    known = sketched.join(asked, "fp").groupBy("fp").agg(F.min_by(F.struct("long", "shingles"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("s"))
+    known = Scratch(known.select("fp", "s.long", "s.shingles"), "known").df
+    a, b = (known.select(F.col("fp").alias(x), F.col("long").alias(f"long_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "long_a", "long_b", "shingles_a", "shingles_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint8) for c in (2, 3))
+                if (x == y).sum() < TALLY:
+                    hit.append(False)
+                    continue
+                p, q = (batch.column(c)[k].values.to_numpy() for c in (4, 5))
+                n = len(np.intersect1d(p, q, assume_unique=True))
+                hit.append(n >= similarity * (len(p) + len(q) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, first) for each distinct fingerprint of ``prints`` (doc_id, fp): the smallest id, and the
-    smallest fingerprint, of its component."""
+    smallest fingerprint, of its component. ``more``: further links (a, b)."""
     distinct = Scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints").df
-    roots = Scratch(components(links(distinct.select("fp"))), "roots").df
+    found = links(distinct.select("fp"))
+    roots = Scratch(components(found if more is None else found.unionByName(more)), "roots").df
     rooted = Scratch(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("first")), "rooted").df
     named = Scratch(rooted.groupBy("first").agg(F.min("least").alias("component_id")), "named").df
     return rooted.join(named, "first").select("fp", "component_id", "first")
@@ -175,14 +283,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY) -> DataFrame:
     """One row of each component, with all its columns: the row of the smallest id.
 
+    Links are those of fingerprints at two differing bits and, with a similarity, of texts with that similarity.
+
     Rows with the id in common, or with none, are told apart by their fingerprints; only they are compared whole.
     """
     columns = docs.columns
-    prints = Scratch(fingerprints(docs, id_col, text_col), "documents").df
-    found = Scratch(classes(prints), "classes").df
+    if similarity is None:
+        prints = Scratch(fingerprints(docs, id_col, text_col), "documents").df
+        found = Scratch(classes(prints), "classes").df
+    else:
+        sketched = Scratch(sketches(docs, id_col, text_col), "sketches").df
+        prints = sketched.select("doc_id", "fp")
+        found = Scratch(classes(prints, Scratch(similar(sketched, similarity), "similar").df), "classes").df
     ids = Scratch(prints.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n")), "ids").df
     kept, fp = fresh("kept", columns), fresh("fp", columns)
     single = ids.where("n = 1 and doc_id is not null").join(found, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(kept))

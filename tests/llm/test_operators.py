@@ -374,7 +374,8 @@ def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     clash = odd.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("kept", F.lit(2))
     want = brute_components([(r["doc_id"], brute_print(r["text"])) for r in odd.collect()])
     assert rows(simhash.near_duplicates(clash)) == sorted(want, key=repr)
-    kept = simhash.keep_one(clash)
+    kept = simhash.keep_one(clash, similarity=None)
+    assert simhash.keep_one(clash).columns == clash.columns
     assert kept.columns == clash.columns
     got = brute_components([(r["doc_id"], brute_print(r["text"])) for r in kept.collect()])
     groups = {(c, p if c is None else None) for _, p, c in want}
