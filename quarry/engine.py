@@ -94,13 +94,17 @@ class Search:
         files = self._evaluated(self.prefiltered) if self.reads else self._loaded(self.prefiltered)
         if "lines" in files.columns:
             files = files.where(lowering.condition(self.ast, self.context)).withColumn("starts", line_starts(F.col("text"), self.options.drift))
-        r = lowering.lower(self.ast, self.context)
+        plan = lowering.Lowering(self.context)
+        r = plan.node(self.ast)
+        made = files
+        for step in plan.steps:
+            made = made.withColumns(step)
         hunks = r.hunks if self.options.max_semantic_matches is None else F.slice(r.hunks, 1, self.options.max_semantic_matches)
-        out = files.withColumn("ok", r.ok).where("ok").withColumn("whole", r.whole).withColumn("hunks", hunks)
+        out = made.where(r.ok).withColumn("whole", r.whole).withColumn("hunks", hunks).drop(*(name for step in plan.steps for name in step))
         skips = F.when(F.col("content_state").startswith("skipped:"), F.array(F.lit("content_unavailable"))).otherwise(F.array())
         if self.keys:
             skips = F.when(F.col("profile").isNull(), F.array_append(skips, "unsupported_language")).otherwise(skips)
-        return out.withColumn("skip_reasons", skips.cast("array<string>")).drop("ok", "lines", "starts", "captures", "supported", "profile")
+        return out.withColumn("skip_reasons", skips.cast("array<string>")).drop("lines", "starts", "captures", "supported", "profile")
 
     @property
     def paths(self) -> DataFrame:

@@ -161,36 +161,56 @@ def merged(a: Column, b: Column) -> Column:
     return F.filter(both, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(both, i - 1)))
 
 
-def lower(node: Node, c: Context) -> Result:
-    """Over files with ``lines`` and ``starts`` for content predicates, ``captures`` and ``supported`` for captures."""
-    match node:
-        case Predicate(key, _) if key in METADATA_KEYS:
-            return _verdict(metadata(node, c))
-        case Predicate(key, _) if key in CONTENT_KEYS:
-            test = line_test(node, c)
-            numbered = F.transform("lines", lambda line, i: F.struct(i.alias("row"), line.alias("line")))
-            hits = F.filter(numbered, lambda x: test(x.line))
-            hunks = F.transform(hits, lambda x: line_range(x.row, F.get("starts", x.row), x.line))
-            return Result(F.size(hunks) > 0, F.lit(False), F.lit(True), hunks)
-        case Predicate(key, _):
-            test = capture_test(node, c.semantic_match)
-            hits = F.filter("captures", lambda x: (x.key == key) & test(x.text))
-            hunks = F.transform(hits, lambda x: x.range)
-            supported = F.array_contains("supported", key)
-            return Result(supported & (F.size(hunks) > 0), F.lit(False), supported, F.when(supported, hunks).otherwise(no_hunks()))
-        case Not(child):
-            return _verdict(~lower(child, c).ok)
-        case And(left, right):
-            a, b = lower(left, c), lower(right, c)
-            ok = a.ok & b.ok
-            whole = ok & a.whole & b.whole
-            hunks = F.when(~ok, no_hunks()).when(a.whole, b.hunks).when(b.whole, a.hunks).otherwise(merged(a.hunks, b.hunks))
-            return Result(ok, whole, ok & ~whole, hunks)
-        case Or(left, right):
-            a, b = lower(left, c), lower(right, c)
-            whole = a.whole | b.whole
-            hunks = F.when(whole, no_hunks()).when(~b.ranged, a.hunks).when(~a.ranged, b.hunks).otherwise(merged(a.hunks, b.hunks))
-            return Result(a.ok | b.ok, whole, ~whole & (a.ranged | b.ranged), hunks)
+def capture_hits(p: Predicate, c: Context) -> Column:
+    test = capture_test(p, c.semantic_match)
+    hits = F.filter("captures", lambda x: (x.key == p.key) & test(x.text))
+    return F.when(F.array_contains("supported", p.key), F.transform(hits, lambda x: x.range)).otherwise(no_hunks())
+
+
+class Lowering:
+    """Results of all nodes of a tree, over files with ``lines`` and ``starts`` for content predicates, ``captures`` and
+    ``supported`` for captures. ``steps``: the columns to add, one node after the other, so that no expression nests
+    deeper than one node however deep the tree is."""
+
+    def __init__(self, context: Context):
+        self.context = context
+        self.steps: list[dict[str, Column]] = []
+
+    def _keep(self, r: Result) -> Result:
+        names = {part: f"n{len(self.steps)}_{part}" for part in ("ok", "whole", "ranged", "hunks")}
+        self.steps.append({name: getattr(r, part) for part, name in names.items()})
+        return Result(*(F.col(n) for n in names.values()))
+
+    def node(self, node: Node) -> Result:
+        match node:
+            case Predicate(key, _) if key in METADATA_KEYS:
+                return self._keep(_verdict(metadata(node, self.context)))
+            case Predicate(key, _) if key in CONTENT_KEYS:
+                test = line_test(node, self.context)
+                numbered = F.transform("lines", lambda line, i: F.struct(i.alias("row"), line.alias("line")))
+                hits = F.filter(numbered, lambda x: test(x.line))
+                hunks = F.transform(hits, lambda x: line_range(x.row, F.get("starts", x.row), x.line))
+                return self._ranges(hunks, F.lit(True))
+            case Predicate(key, _):
+                return self._ranges(capture_hits(node, self.context), F.array_contains("supported", key))
+            case Not(child):
+                return self._keep(_verdict(~self.node(child).ok))
+            case And(left, right):
+                a, b = self.node(left), self.node(right)
+                ok = a.ok & b.ok
+                whole = ok & a.whole & b.whole
+                hunks = F.when(~ok, no_hunks()).when(a.whole, b.hunks).when(b.whole, a.hunks).otherwise(merged(a.hunks, b.hunks))
+                return self._keep(Result(ok, whole, ok & ~whole, hunks))
+            case Or(left, right):
+                a, b = self.node(left), self.node(right)
+                whole = a.whole | b.whole
+                hunks = F.when(whole, no_hunks()).when(~b.ranged, a.hunks).when(~a.ranged, b.hunks).otherwise(merged(a.hunks, b.hunks))
+                return self._keep(Result(a.ok | b.ok, whole, ~whole & (a.ranged | b.ranged), hunks))
+
+    def _ranges(self, hunks: Column, ranged: Column) -> Result:
+        name = f"n{len(self.steps)}_made"
+        self.steps.append({name: hunks})
+        return self._keep(Result(F.size(name) > 0, F.lit(False), ranged, F.col(name)))
 
 
 def condition(node: Node, c: Context) -> Column:
@@ -204,7 +224,7 @@ def condition(node: Node, c: Context) -> Column:
                 return bound
             return F.exists("lines", test)
         case Predicate():
-            return lower(node, c).ok
+            return F.size(capture_hits(node, c)) > 0
         case Not(child):
             return ~condition(child, c)
         case And():

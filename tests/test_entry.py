@@ -1,0 +1,38 @@
+"""The driver's contract: every query of the engine against its SQL on the smallest tables."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from quarry import queries as engine
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for p in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return con
+
+
+def rows(df) -> list[str]:
+    df = df[sorted(df.columns)].astype(object)
+    return sorted(map(repr, df.where(df.notna(), None).itertuples(index=False, name=None)))
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(engine.queries()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", list(engine.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    got, want = engine.queries()[name](spark, DATA).toPandas(), duck.execute(engine.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
