@@ -235,17 +235,23 @@ def similar(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     No list is gathered: lists are counted, every fingerprint is given the sum of its lists' sizes, and each list keeps
     the one with the highest sum, which the others are then compared with.
     """
-    distinct = Scratch(sketched.groupBy("fp").agg(F.min_by("long", "doc_id").alias("long"), F.min("long").alias("other")).select("fp", F.coalesce("long", "other").alias("long")), "longs").df
+    used: list[Scratch] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(Scratch(df, name))
+        return used[-1].df
+
+    distinct = keep(sketched.groupBy("fp").agg(F.min_by("long", "doc_id").alias("long"), F.min("long").alias("other")).select("fp", F.coalesce("long", "other").alias("long")), "longs")
     posted = postings(distinct)
-    sizes = Scratch(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes").df
-    shared = Scratch(posted.join(sizes, "key").select("fp", "key", "n"), "shared").df
-    sums = Scratch(shared.groupBy("fp").agg(F.sum("n").alias("score")), "scores").df
+    sizes = keep(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = keep(posted.join(sizes, "key").select("fp", "key", "n"), "shared")
+    sums = keep(shared.groupBy("fp").agg(F.sum("n").alias("score")), "scores")
     scored = shared.select("fp", "key").join(sums, "fp")
-    hubs = Scratch(scored.groupBy("key").agg(F.max(F.struct("score", "fp")).alias("hub")).select("key", F.col("hub.fp").alias("hub")), "hubs").df
-    pairs = Scratch(shared.select("fp", "key").join(hubs, "key").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "pairs").df
-    asked = Scratch(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "asked").df
+    hubs = keep(scored.groupBy("key").agg(F.max(F.struct("score", "fp")).alias("hub")).select("key", F.col("hub.fp").alias("hub")), "hubs")
+    pairs = keep(shared.select("fp", "key").join(hubs, "key").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "pairs")
+    asked = keep(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "asked")
     known = sketched.join(asked, "fp").groupBy("fp").agg(F.min_by(F.struct("long", "shingles"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("s"))
-    known = Scratch(known.select("fp", "s.long", "s.shingles"), "known").df
+    known = keep(known.select("fp", "s.long", "s.shingles"), "known")
     a, b = (known.select(F.col("fp").alias(x), F.col("long").alias(f"long_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "long_a", "long_b", "shingles_a", "shingles_b")
 
@@ -262,7 +268,10 @@ def similar(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 hit.append(n >= similarity * (len(p) + len(q) - n))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    found = Scratch(both.mapInArrow(run, "a long, b long"), "similar").df
+    for x in used:
+        x.drop()
+    return found
 
 
 def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -295,9 +304,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         prints = Scratch(fingerprints(docs, id_col, text_col), "documents").df
         found = Scratch(classes(prints), "classes").df
     else:
-        sketched = Scratch(sketches(docs, id_col, text_col), "sketches").df
-        prints = sketched.select("doc_id", "fp")
-        found = Scratch(classes(prints, Scratch(similar(sketched, similarity), "similar").df), "classes").df
+        sketched = Scratch(sketches(docs, id_col, text_col), "sketches")
+        prints = Scratch(sketched.df.select("doc_id", "fp"), "documents").df
+        near = similar(sketched.df, similarity)
+        sketched.drop()
+        found = Scratch(classes(prints, near), "classes").df
     ids = Scratch(prints.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n")), "ids").df
     kept, fp = fresh("kept", columns), fresh("fp", columns)
     single = ids.where("n = 1 and doc_id is not null").join(found, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(kept))
