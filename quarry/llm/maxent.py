@@ -13,7 +13,7 @@ Training: every task adds up, over all its training tokens, how often each featu
 (expected). The sums of all tasks give the gradient, observed less expected; the driver applies it in its multiplicative
 form, w += rate * log(observed / expected), smoothed. What a round sends the driver is bounded by the number of weights.
 
-Token counts are exact over all training texts. The ``HEAD`` most frequent tokens' counts are broadcast; all other
+Token counts are exact over all training texts. The counts of the most frequent, ``HEAD`` at most, are broadcast; all other
 tokens of a text are joined with the full table of counts.
 
 Defined results: a null or empty text, or one of white space, is its end token alone; a null id is no id of a held-out
@@ -229,6 +229,24 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame]
     return weights, words
 
 
+def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+    """Tokens by falling count, as many whole bins of the counts' logarithms as hold at most ``most``.
+
+    The driver sees the bins, about a thousand at most, and then that many tokens; no task gathers or sorts the table.
+    """
+    size = F.floor(F.log2(F.col("c").cast("double")) * 32)
+    least, n = None, 0
+    for r in sorted(words.groupBy(size.alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r["bin"]):
+        n += r["n"]
+        if n > most:
+            break
+        least = r["least"]
+    if least is None:
+        return {}
+    top = words.where(F.col("c") >= least).toArrow()
+    return dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
+
+
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, frame double, words array<binary>, times array<int>"
 
 
@@ -241,9 +259,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     slot_log = np.log10(np.full(256, 0.5))
     for r in slots:
         slot_log[r["slot"]] = np.log10(r["c"] + 0.5 * (r["v"] + 1))
-    top = words.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
-    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), head, slot_log))
+    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), frequent(words, HEAD), slot_log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, head, slot_log = shared.value
