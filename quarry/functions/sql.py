@@ -34,10 +34,10 @@ def text_matches(node: Node, path: str, text: str) -> bool:
 
 
 def register(spark: SparkSession) -> None:
-    """``rql_match(path, text, query)`` and the table function ``rql_captures(language, key, text)``."""
+    """``query_match(path, text, query)`` and the table function ``query_captures(language, key, text)``."""
 
     @F.pandas_udf("boolean")
-    def rql_match(path, text, query):
+    def query_match(path, text, query):
         parsed: dict[str, Node] = {}
         out = []
         for p, t, q in zip(path, text, query):
@@ -49,11 +49,11 @@ def register(spark: SparkSession) -> None:
         return pd.Series(out, dtype="bool")
 
     @F.udtf(returnType="text string, start_byte bigint, end_byte bigint, start_row int")
-    class RqlCaptures:
+    class QueryCaptures:
         def eval(self, language: str, key: str, text: str):
             profile = find_profile(language)
             for _, t, (a, z, row, *_) in extract(profile, text or "", (key,)) if profile else ():
                 yield t, a, z, row
 
-    spark.udf.register("rql_match", rql_match)
-    spark.udtf.register("rql_captures", RqlCaptures)
+    spark.udf.register("query_match", query_match)
+    spark.udtf.register("query_captures", QueryCaptures)

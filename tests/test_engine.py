@@ -404,6 +404,6 @@ def test_sql_functions(spark):
     from quarry.functions.sql import register
 
     register(spark)
-    assert spark.sql("SELECT rql_match('a/b.py', 'def f(): pass', 'ext:py & func:f') AS m").first()["m"]
-    got = spark.sql("SELECT text, start_row FROM rql_captures('py', 'func', 'x\ndef g(): pass')").collect()
+    assert spark.sql("SELECT query_match('a/b.py', 'def f(): pass', 'ext:py & func:f') AS m").first()["m"]
+    got = spark.sql("SELECT text, start_row FROM query_captures('py', 'func', 'x\ndef g(): pass')").collect()
     assert [tuple(r) for r in got] == [("g", 1)]
