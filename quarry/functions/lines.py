@@ -11,12 +11,16 @@ RANGE = "struct<start_byte:bigint,end_byte:bigint,start_row:int,start_col:int,en
 HUNKS = f"array<{RANGE}>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: what a lambda refers to from outside would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """Split at line feeds; one carriage return before a line feed goes; no empty line after the last line feed."""
-    pieces = F.split(text, "\n", -1)
-    last = F.size(pieces) - 1
-    cut = F.transform(pieces, lambda x, i: F.when((i < last) & F.endswith(x, F.lit("\r")), F.left(x, F.length(x) - 1)).otherwise(x))
-    return F.when(F.element_at(pieces, -1) == "", F.slice(cut, 1, last)).otherwise(cut)
+    plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    inner = F.when(F.endswith(plain, F.lit("\n")), F.left(plain, F.length(plain) - 1)).otherwise(plain)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n", -1))
 
 
 def starts_of(data: bytes, drift: bool) -> np.ndarray:

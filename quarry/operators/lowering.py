@@ -11,6 +11,7 @@ A node's result is a whole-file verdict or a list of ranges ("hunks"). Three col
 from __future__ import annotations
 
 import posixpath
+import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.capture.profiles import CONTAINS_KEYS
 from quarry.functions.globs import has_glob, name_regex, path_regex, plain_name
-from quarry.functions.lines import line_range, no_hunks
+from quarry.functions.lines import bound, line_range, no_hunks
 from quarry.functions.values import checked_regex, size_value, time_value
 from quarry.plans.query import CONTENT_KEYS, KEYS, METADATA_KEYS, REACT_KEYS, SEMANTIC_KEYS, And, Node, Not, Or, Predicate, QueryError, flatten, predicates
 
@@ -104,6 +105,10 @@ def _compare(left: Column, operator: str, right: Column) -> Column:
     return left > right if operator == ">" else left < right if operator == "<" else left == right
 
 
+#: Regular expressions that can't take a line's end or look for one: no anchors, dots, negated classes or escapes.
+WITHIN_LINES = re.compile(r"(?:[A-Za-z0-9 _:;,<>=@#%&~\"'/!-]|\[[^\^\\\[\]\x00-\x1f][^\\\[\]\x00-\x1f]*\]|\\[dw]|[+*?|()]|\{[0-9,]+\})*")
+
+
 def line_test(p: Predicate, c: Context):
     if p.key == "contains":
         needle = p.value
@@ -113,7 +118,9 @@ def line_test(p: Predicate, c: Context):
 
 
 def text_bound(p: Predicate, c: Context) -> Column | None:
-    """What the whole text satisfies if one of its lines passes; None if nothing simple."""
+    """What the whole text satisfies if and only if one of its lines passes; None if nothing simple."""
+    if p.key == "matches" and WITHIN_LINES.fullmatch(p.value):
+        return (F.col("text") != "") & line_test(p, c)(F.col("text"))
     if p.key == "contains" and p.value and "\n" not in p.value and "\r" not in p.value:
         return F.contains(F.lower("text"), F.lower(F.lit(p.value)))
     return None
@@ -158,7 +165,7 @@ def _verdict(condition: Column) -> Result:
 def merged(a: Column, b: Column) -> Column:
     """Both lists by start byte alone, ties in their order; then of neighbours that are equal only the first."""
     both = F.array_sort(F.concat(a, b), lambda x, y: F.when(x.start_byte < y.start_byte, -1).when(x.start_byte > y.start_byte, 1).otherwise(0))
-    return F.filter(both, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(both, i - 1)))
+    return bound(both, lambda s: F.filter(s, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(s, i - 1))))
 
 
 def capture_hits(p: Predicate, c: Context) -> Column:

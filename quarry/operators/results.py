@@ -6,31 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.lines import line_ending, lines, normalised, truncated
+from quarry.functions.lines import bound, line_ending, lines, normalised, truncated
 
 #: Default limits.
 MAX_RESULTS, MAX_TOTAL_BYTES, MATCHES_PER_FILE, MATCH_BYTES, SNIPPET_BYTES, CONTENT_BYTES, CONTEXT = 50, 200_000, 20, 200, 2000, 20_000, 2
 ORDER = ("display_path", "resolved_path")
 
 
-def range_text(hunk: Column, text: Column) -> Column:
+def range_text(hunk: Column, raw: Column) -> Column:
     """The bytes of a range as text; null if they don't start and end with whole characters."""
-    data = F.substring(text.cast("binary"), (hunk.start_byte + 1).cast("int"), (hunk.end_byte - hunk.start_byte).cast("int")).cast("string")
-    inside = (hunk.start_byte >= 0) & (hunk.end_byte <= F.octet_length(text)) & (hunk.start_byte <= hunk.end_byte)
+    data = F.substring(raw, (hunk.start_byte + 1).cast("int"), (hunk.end_byte - hunk.start_byte).cast("int")).cast("string")
+    inside = (hunk.start_byte >= 0) & (hunk.end_byte <= F.octet_length(raw)) & (hunk.start_byte <= hunk.end_byte)
     return F.when(inside & F.is_valid_utf8(data), data)
 
 
 def public_matches(results: DataFrame) -> DataFrame:
     """Adds ``matches``: lines from 1, columns from 0, texts; ranges that can't be cut out are left out."""
-    text = F.col("text")
-    made = F.transform(
+    made = lambda raw: F.transform(
         "hunks",
         lambda h: F.struct(
             (h.start_row + 1).alias("start_line"), (h.end_row + 1).alias("end_line"), h.start_col.alias("start_column"), h.end_col.alias("end_column"),
-            h.start_byte.alias("byte_start"), h.end_byte.alias("byte_end"), range_text(h, text).alias("text"),
+            h.start_byte.alias("byte_start"), h.end_byte.alias("byte_end"), range_text(h, raw).alias("text"),
         ),
     )
-    return results.withColumn("matches", F.filter(made, lambda m: m.text.isNotNull()))
+    return results.withColumn("matches", F.filter(bound(F.col("text").cast("binary"), made), lambda m: m.text.isNotNull()))
 
 
 def matches(results: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def blocks(results: DataFrame, context: int = CONTEXT) -> DataFrame:
     A file's ranges are merged where the file is: they are part of its row, so nothing is shuffled.
     """
     total = F.size(lines(F.col("text")))
-    wide = F.array_sort(F.transform("hunks", lambda h: F.struct(F.greatest(h.start_row - context, F.lit(0)).alias("a"), F.least(h.end_row + 1 + context, total).alias("z"))))
+    wide = bound(total, lambda n: F.array_sort(F.transform("hunks", lambda h: F.struct(F.greatest(h.start_row - context, F.lit(0)).alias("a"), F.least(h.end_row + 1 + context, n).alias("z")))))
     empty = F.array().cast("array<struct<a:int,z:int>>")
 
     def add(done: Column, x: Column) -> Column:
