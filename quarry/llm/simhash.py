@@ -8,9 +8,10 @@ most 65,536 of them whatever the size of the table. Within a list each member is
 two free bytes differ in one or two bits; a list then yields the links of a spanning forest, not all its pairs.
 
 For a similarity of word shingles (``similar``: five words, 0.8) 64 bits are too few: texts that alike differ in up to a
-dozen of them, which guarantees no shared byte. There the same index is built over fingerprints of 64 positional bytes:
-postings are fixed choices of four positions, a tally of shared bytes filters, and the Jaccard similarity itself is
-verified. A list's members are compared with one of them, the fingerprint that meets most others, not with each other.
+dozen of them, which guarantees no shared byte. There the sets of shingles are joined by prefix filtering, which is exact:
+with all shingles in one order, rare ones first, two sets of the similarity have in common one of the first
+n - ceil(0.8 n) + 1 of each. Every set is posted under those, and the members of a list are compared by their own
+shingles, but for pairs that their sizes and places in the order rule out.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any other; equal
 fingerprints are linked; a null id takes part in linking and is never a component's smallest id unless there is no
@@ -20,6 +21,7 @@ other (then null); repeated rows each give a row.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, utf8
+from .common import Scratch, fresh, task, utf8
 
 BITS, SHINGLE, SEED = 2, 3, 42
 POSITIONS = tuple(itertools.combinations(range(8), 8 - BITS))
@@ -163,12 +165,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = sums
 
 
-#: The long fingerprint: words of a shingle, positional bytes, choices of positions, and the least tally of shared
-#: bytes: a pair of the similarity that is asked for shares 28 on average, any other pair about one.
-LONG_SHINGLE, LONG_BYTES, CHOICES, PLACES, TALLY = 2, 64, 256, 4, 12
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-_ODD = np.random.default_rng(64).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-CHOSEN = np.array([np.random.default_rng(k).choice(LONG_BYTES, PLACES, replace=False) for k in range(CHOICES)])
+#: The order of shingles is fitted on so many sets, and knows so many frequent shingles, each in ``FREQUENT`` sets at least.
+#: Candidates are complete in any order; in this one their lists are short.
+SAMPLE_SETS, KNOWN_SHINGLES, FREQUENT = 8192, 1 << 18, 3
+#: Rows of whole lists that are handled at once.
+LIST_ROWS = 1 << 17
+_ODD = np.uint64(int(np.random.default_rng(64).integers(0, 1 << 63, 16, dtype=np.uint64)[8]) * 2 + 1)
 
 
 def mixed(words: np.ndarray, size: int) -> np.ndarray:
@@ -177,101 +180,210 @@ def mixed(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = (out ^ words[k : k + n]) * _ODD[8]
+        out = (out ^ words[k : k + n]) * _ODD
         out ^= out >> np.uint64(29)
     return out
 
 
-def long_fingerprint(words: np.ndarray) -> bytes:
-    """64 positional bytes by majority over all runs of two words."""
-    h, out = mixed(words, LONG_SHINGLE), []
-    for odd in _ODD[: LONG_BYTES // 8]:
-        x = h * odd
-        out.append(majority(x ^ x >> np.uint64(32)).to_bytes(8, "little"))
-    return b"".join(out)
-
-
-SKETCH = "doc_id long, fp long, long binary, shingles array<int>"
+SKETCH = "row long, doc_id long, fp long, shingle_set long, shingles array<int>"
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of both lengths, and the distinct shingles of five words as 32-bit hashes in order."""
+    """Fingerprints, and the distinct shingles of five words as 32-bit hashes in order, with a 64-bit hash of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = task() << 40
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                prints, longs, shingles = [], [], []
+                prints, sets, shingles = [], [], []
                 for data in utf8(part.column(1)):
                     prints.append(fingerprint(data))
                     words = data.lower().split()
                     w = np.fromiter((xxhash.xxh64_intdigest(x) for x in words), np.uint64, len(words))
-                    longs.append(long_fingerprint(w) if len(w) else bytes(LONG_BYTES))
                     shingles.append(np.unique((mixed(w, SIMILAR_WORDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)) if len(w) else np.zeros(0, np.int32))
+                    sets.append(xxhash.xxh64_intdigest(shingles[-1].tobytes(), SEED))
                 at = pa.array(np.cumsum([0, *map(len, shingles)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), signed(prints), pa.array(longs, pa.binary()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(shingles) if shingles else np.zeros(0, np.int32)))], names=[x.split()[0] for x in SKETCH.split(", ")])
+                lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(shingles) if shingles else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column(0), signed(prints), signed(sets), lists], names=[x.split()[0] for x in SKETCH.split(", ")])
+                row += part.num_rows
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
 
-def postings(distinct: DataFrame) -> DataFrame:
-    """(fp, key) for each choice of positions."""
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, and in how many sets of a sample they are."""
+    part = min(1.0, SAMPLE_SETS / max(1, sets.count()))
+    some = sets.where(F.pmod(F.xxhash64("shingle_set"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    often = some.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    got = often.orderBy(F.desc("n"), "key").limit(KNOWN_SHINGLES).toArrow()
+    keys, n = got["key"].to_numpy().astype(np.int32), got["n"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+POSTING = "key int, shingle_set long, n int, place int"
+
+
+def postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """Each set under the first of its shingles, with its size and the shingle's place in the order."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        choice = np.arange(CHOICES, dtype=np.int64) << 32
+        known, times = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
-                bytes_ = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, LONG_BYTES)
-                keys = np.ascontiguousarray(bytes_[:, CHOSEN]).view("<u4")[:, :, 0].astype(np.int64) + choice
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), CHOICES)), pa.array(keys.ravel())], names=["fp", "key"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                lists = part.column(1)
+                flat, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
+                rank = flat.view(np.uint32).astype(np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    rank |= np.where(known[at] == flat, times[at], 0) << 32
+                keys, posted, start = [np.zeros(0, np.int64)], np.zeros(len(sizes), np.int64), 0
+                for j, n in enumerate(sizes.tolist()):
+                    if n:
+                        posted[j] = m = n - math.ceil(similarity * n - 1e-9) + 1
+                        own = rank[start : start + n]
+                        keys.append(np.sort(np.partition(own, m - 1)[:m] if m < n else own))
+                    start += n
+                place = np.arange(posted.sum()) - np.repeat(np.cumsum(posted) - posted, posted)
+                key = (np.concatenate(keys) & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(part.column(0).to_numpy(), posted)), pa.array(np.repeat(sizes, posted).astype(np.int32)), pa.array(place.astype(np.int32))], names=["key", "shingle_set", "n", "place"])
+
+    return sets.select("shingle_set", "shingles").mapInArrow(run, POSTING)
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The columns of rows in the order of the first one, cut between its values, and where its values begin and end."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None and b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if not held or b is not None and (rows < LIST_ROWS or held[0].column(0)[0] == held[-1].column(0)[-1]):
+            continue
+        columns = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+        bounds = np.r_[0, np.flatnonzero(np.diff(columns[0])) + 1, rows]
+        if b is not None:
+            last = b.slice(b.num_rows - min(b.num_rows, rows - int(bounds[-2])))
+            held, over = [last], rows - int(bounds[-2]) - last.num_rows
+            if over:  # the last list began in an earlier batch
+                held = pa.Table.from_arrays([pa.array(c[bounds[-2] :]) for c in columns], schema=b.schema).to_batches()
+            bounds, rows = bounds[:-1], sum(x.num_rows for x in held)
+        yield [c[: bounds[-1]] for c in columns], bounds
+        if b is None:
+            return
+
+
+def possible(n: np.ndarray, place: np.ndarray, n_other: np.ndarray, place_other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose first common shingle is at these places can have the similarity."""
+    return np.minimum(n - place, n_other - place_other) >= similarity / (1 + similarity) * (n + n_other) - 1e-6
+
+
+LISTED = "key int, shingle_set long, n int, place int, size int, hub long, near boolean"
+
+
+def starred(posted: DataFrame, similarity: float) -> DataFrame:
+    """The lists of two sets or more: their postings with the list's size, its hub, and whether hub and set can be similar.
+
+    The hub has the fewest shingles that are rarer: of variants of one text, that text if it is there.
+    """
 
-    return distinct.select("fp", "long").mapInArrow(run, "fp long, key long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, sets, n, place), bounds in whole_lists(batches):
+            sizes = np.diff(bounds)
+            size, first = np.repeat(sizes, sizes), np.repeat(bounds[:-1], sizes)
+            near = possible(n, place, n[first], place[first], similarity) & (first != np.arange(len(key)))
+            more = size > 1
+            columns = [key, sets, n, place, size.astype(np.int32), sets[first], near]
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in columns], names=[x.split()[0] for x in LISTED.split(", ")])
 
+    return posted.repartition("key").sortWithinPartitions("key", "place", "shingle_set").mapInArrow(run, LISTED)
 
-def similar(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links between fingerprints whose texts have at least the similarity.
 
-    No list is gathered: lists are counted, every fingerprint is given the sum of its lists' sizes, and each list keeps
-    the one with the highest sum, which the others are then compared with.
-    """
-    used: list[Scratch] = []
+def unlinked(listed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of lists (key, root, shingle_set, n, place) all pairs of different roots that can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, roots, sets, n, place), bounds in whole_lists(batches):
+            ends = bounds[1:]
+            end = np.repeat(ends, np.diff(bounds))
+            group = np.flatnonzero(np.r_[np.diff(roots) != 0, True] | np.r_[np.diff(key) != 0, True]) + 1
+            own = np.repeat(group, np.diff(np.r_[0, group]))  # a list's sets of one root stand together
+            left, right, held = [], [], 0
+            for k in np.flatnonzero(own < end).tolist():
+                j = np.arange(own[k], end[k])
+                j = j[possible(n[k], place[k], n[j], place[j], similarity)]
+                if len(j):
+                    left.append(np.full(len(j), sets[k]))
+                    right.append(sets[j])
+                    held += len(j)
+                if held > LIST_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    left, right, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    rows = listed.select("key", "root", "shingle_set", "n", "place").repartition("key").sortWithinPartitions("key", "root", "shingle_set")
+    return rows.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, used: list[Scratch]) -> DataFrame:
+    """Those of the pairs (a, b) that have the similarity by their own shingles."""
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         used.append(Scratch(df, name))
         return used[-1].df
 
-    distinct = keep(sketched.groupBy("fp").agg(F.min_by("long", "doc_id").alias("long"), F.min("long").alias("other")).select("fp", F.coalesce("long", "other").alias("long")), "longs")
-    posted = postings(distinct)
-    sizes = keep(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = keep(posted.join(sizes, "key").select("fp", "key", "n"), "shared")
-    sums = keep(shared.groupBy("fp").agg(F.sum("n").alias("score")), "scores")
-    scored = shared.select("fp", "key").join(sums, "fp")
-    hubs = keep(scored.groupBy("key").agg(F.max(F.struct("score", "fp")).alias("hub")).select("key", F.col("hub.fp").alias("hub")), "hubs")
-    pairs = keep(shared.select("fp", "key").join(hubs, "key").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "pairs")
-    asked = keep(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "asked")
-    known = sketched.join(asked, "fp").groupBy("fp").agg(F.min_by(F.struct("long", "shingles"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("s"))
-    known = keep(known.select("fp", "s.long", "s.shingles"), "known")
-    a, b = (known.select(F.col("fp").alias(x), F.col("long").alias(f"long_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "long_a", "long_b", "shingles_a", "shingles_b")
+    asked = keep(pairs.select(F.col("a").alias("shingle_set")).union(pairs.select(F.col("b").alias("shingle_set"))).distinct(), "asked")
+    known = keep(sets.join(asked, "shingle_set").select("shingle_set", "shingles"), "known")
+    a, b = (known.select(F.col("shingle_set").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
             for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint8) for c in (2, 3))
-                if (x == y).sum() < TALLY:
-                    hit.append(False)
-                    continue
-                p, q = (batch.column(c)[k].values.to_numpy() for c in (4, 5))
+                p, q = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
                 n = len(np.intersect1d(p, q, assume_unique=True))
                 hit.append(n >= similarity * (len(p) + len(q) - n))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    found = Scratch(both.mapInArrow(run, "a long, b long"), "similar").df
+    return keep(both.mapInArrow(run, "a long, b long"), "verified")
+
+
+def similar(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between fingerprints, whose components are those of all texts with at least the similarity.
+
+    Sets of shingles are compared, not fingerprints: texts with one fingerprint may differ. No list is gathered in a row.
+    First each list's members are compared with its hub. Then all pairs of a list are compared that this has not linked,
+    over whatever others, so a large group is linked at little more than a comparison a member, and no link is lost.
+    """
+    used: list[Scratch] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(Scratch(df, name))
+        return used[-1].df
+
+    named = keep(sketched.groupBy("shingle_set").agg(F.min("row").alias("least"), F.min("fp").alias("first")), "sets")
+    copies = keep(sketched.select("shingle_set", "row", "fp").join(named, "shingle_set").where("row <> least").select("row", "fp", "first"), "copies")
+    sets = sketched.join(copies.select("row"), "row", "left_anti").select("shingle_set", "shingles")
+    listed = keep(starred(postings(sets, similarity), similarity), "lists")
+    pairs = keep(listed.where("near").select(F.least("hub", "shingle_set").alias("a"), F.greatest("hub", "shingle_set").alias("b")).distinct(), "pairs")
+    found = verified(pairs, sets, similarity, used)
+    roots = keep(components(found), "roots")
+    rooted = listed.where("size > 2").join(roots, F.col("shingle_set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "shingle_set"))
+    rest = keep(unlinked(rooted, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
+    found = found.unionByName(verified(rest, sets, similarity, used))
+    a, b = (named.select(F.col("shingle_set").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    between = found.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    within = sketched.select("shingle_set", "fp").join(named, "shingle_set").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    links = Scratch(between.unionByName(within).where("a <> b").distinct(), "similar").df
     for x in used:
         x.drop()
-    return found
+    return links
 
 
 def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:

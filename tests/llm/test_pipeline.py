@@ -72,6 +72,32 @@ def test_one_large_group_of_near_copies(spark):
     assert simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).count() <= 4
 
 
+def words_of(rng: random.Random, n: int) -> list[str]:
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def kept_of(spark, docs: list[tuple]) -> set:
+    return {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_appended_and_replaced_blocks(spark):
+    """Contiguous edits just above and just below the similarity, against all pairs."""
+    rng = random.Random(5)
+    docs = []
+    for g in range(200):
+        text = words_of(rng, 300)
+        more = rng.randint(55, 85)
+        docs.append((4 * g, " ".join(text)))
+        docs.append((4 * g + 1, " ".join(text + words_of(rng, more))))
+        other, block = words_of(rng, 300), rng.randint(20, 36)
+        at = rng.randint(0, 300 - block)
+        docs.append((4 * g + 2, " ".join(other)))
+        docs.append((4 * g + 3, " ".join(other[:at] + words_of(rng, block) + other[at + block :])))
+    want = similar_components(docs)
+    assert 100 < sum(i != r for i, r in want.items()) < 400
+    assert kept_of(spark, docs) == set(want.values())
+
+
 def test_stages(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
