@@ -98,6 +98,21 @@ def test_appended_and_replaced_blocks(spark):
     assert kept_of(spark, docs) == set(want.values())
 
 
+def test_variants_of_an_absent_text(spark):
+    """No member is similar to all others: groups without their base, against all pairs."""
+    rng = random.Random(6)
+    docs = []
+    for size, changes, members in ((400, 6, 150), (100, 2, 150)):
+        base = words_of(rng, size)
+        for _ in range(members):
+            copy = list(base)
+            for k in rng.sample(range(size), changes):
+                copy[k] = words_of(rng, 1)[0]
+            docs.append((len(docs), " ".join(copy)))
+    want = similar_components(docs)
+    assert kept_of(spark, docs) == set(want.values())
+
+
 def test_stages(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
