@@ -113,6 +113,17 @@ def test_variants_of_an_absent_text(spark):
     assert kept_of(spark, docs) == set(want.values())
 
 
+def test_one_fingerprint_of_different_texts(spark):
+    """A text that is similar to one of two texts with the same fingerprint, not to the one of the smaller id."""
+    rng = random.Random(7)
+    often, tails = words_of(rng, 7) * 400, [words_of(rng, 60), words_of(rng, 60)]
+    docs = [(k, " ".join(often + t)) for k, t in enumerate(tails)] + [(2, " ".join(often[:11] + tails[1]))]
+    prints = [brute_print(t) for _, t in docs]
+    assert prints[0] == prints[1] and (prints[0] ^ prints[2]).bit_count() > 2
+    assert set(similar_components(docs).values()) == {0}
+    assert kept_of(spark, docs) == {0}
+
+
 def test_stages(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
