@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,10 @@ DOCS, DOC_CHARS, SAMPLE_CHARS, SPAN = 64, 2000, 16_000, 256
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Code points beyond this bound are taken as letters of no sample.
-POINTS = 0x3000
-#: Characters that are not among this many most frequent of the sample share one code that no automaton knows.
-ALPHABET = 250
+#: All code points.
+POINTS = 0x110000
+#: A language of more characters than this has its steps in a sorted list, not in a table of states by characters.
+WIDE = 256
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -61,8 +61,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return {lang: "\n".join(x)[:SAMPLE_CHARS] for lang, x in sorted(out.items()) if any(x)}
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Steps of the automaton of all substrings: [state, code] -> state, or -1. State 0 is the start."""
+def automaton_steps(codes: list[int]) -> list[dict[int, int]]:
+    """By state of the automaton of all substrings: code -> state. State 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -88,6 +88,12 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return step
+
+
+def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
+    """The steps as a table: [state, code] -> state, or -1."""
+    step = automaton_steps(codes)
     out = np.full((len(step), width), -1, np.int32)
     for s, by in enumerate(step):
         if by:
@@ -100,37 +106,59 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = list(samples)
-        seen: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                seen[c] = seen.get(c, 0) + 1
-        seen.pop("\n", None)
-        chars = sorted(sorted(seen), key=lambda c: -seen[c])[:ALPHABET]
+        chars = sorted({c for text in samples.values() for c in text} - {"\n", " "})
         self.code = {c: k + 1 for k, c in enumerate(chars)}
-        self.width = len(chars) + 1
-        self.gap = self.code.setdefault(" ", self.width)
-        self.width = max(self.width, self.gap + 1)
+        self.gap = self.code[" "] = len(chars) + 1
         #: By code point: a sample's character, or a gap for what is no letter; other letters have code 0, which matches nothing.
-        self.table = np.array([self.code.get(chr(p), 0) if LETTER.match(chr(p)) else self.gap for p in range(POINTS)] + [0], np.int32)
-        self.bits = max(1, (self.width - 1).bit_length())
-        self.steps, self.norm = [], []
+        self.table = np.full(POINTS, self.gap, np.int32)
+        self.table[[p for p in range(POINTS) if LETTER.match(chr(p))]] = 0
+        for c, k in self.code.items():
+            self.table[ord(c)] = k
+        self.own, self.steps, self.norm = [], [], []
         for text in samples.values():
-            raw = suffix_automaton([self.code.get(c, 0) for c in text], self.width)
-            raw[:, 0] = -1  # unknown characters and sample borders end a phrase
-            start = np.maximum(raw[0], 0)
-            # one table for both cases: the next state, and in the lowest bit whether a phrase ended before this character
-            full = np.where(raw >= 0, raw << 1, start[None, :] << 1 | 1)
-            full[0] = np.where(raw[0] >= 0, raw[0] << 1, 1)
-            padded = np.zeros((len(raw), 1 << self.bits), np.int32)
-            padded[:, : self.width] = full
-            self.steps.append(padded.ravel())
+            mine = sorted({self.code[c] for c in text if c != "\n"} | {self.gap})
+            own = np.zeros(self.gap + 1, np.int32)  # each language has an alphabet of its own
+            own[mine] = np.arange(1, len(mine) + 1)
+            self.own.append(own)
+            coded = [int(own[self.code[c]]) if c != "\n" else 0 for c in text]
+            self.steps.append(self.wide(coded, len(mine) + 1) if len(mine) >= WIDE else self.narrow(coded, len(mine) + 1))
             self.norm.append(math.log2(max(2, len(text))))
 
+    @staticmethod
+    def narrow(coded: list[int], width: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """(states, codes) -> the next states, and in the lowest bit whether a phrase ended before this character."""
+        raw = suffix_automaton(coded, width)
+        raw[:, 0] = -1  # unknown characters and sample borders end a phrase
+        bits = max(1, (width - 1).bit_length())
+        full = np.where(raw >= 0, raw << 1, np.maximum(raw[0], 0)[None, :] << 1 | 1)
+        padded = np.zeros((len(raw), 1 << bits), np.int32)
+        padded[:, :width] = full
+        flat = padded.ravel()
+        return lambda state, c: flat[(state << bits) | c]
+
+    @staticmethod
+    def wide(coded: list[int], width: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """The same by a search among the steps that there are."""
+        step = automaton_steps(coded)
+        found = sorted((s * width + c, to) for s, by in enumerate(step) for c, to in by.items() if c)
+        keys, to = (np.array(x, np.int64) for x in zip(*found))
+        start = np.ones(width, np.int32)
+        for c, first in step[0].items():
+            if c:
+                start[c] = first << 1 | 1
+
+        def follow(state: np.ndarray, c: np.ndarray) -> np.ndarray:
+            key = state.astype(np.int64) * width + c
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, to[at] << 1, start[c]).astype(np.int32)
+
+        return follow
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """[text, language] phrases of whole lower-cased texts; a run of what are no letters is one gap."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.table[np.minimum(points, POINTS)]
+        codes = self.table[points]
         gap = codes == self.gap
         kept = ~(gap & np.r_[False, gap[:-1]])
         bounds = np.cumsum([0, *map(len, texts)])
@@ -146,12 +174,12 @@ class Parser:
             o, f, n = owner[a : a + 8192], first[a : a + 8192], lengths[a : a + 8192]
             alive = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), "right")
             columns = [codes[f[:m] + k] for k, m in enumerate(alive)]
-            for j, step in enumerate(self.steps):
+            for j, (own, step) in enumerate(zip(self.own, self.steps)):
                 state = np.zeros(len(o), np.int32)
                 count = np.ones(len(o), np.int32)
                 for c in columns:
                     m = len(c)
-                    got = step[(state[:m] << self.bits) | c]
+                    got = step(state[:m], own[c])
                     count[:m] += got & 1
                     state[:m] = got >> 1
                 np.add.at(out[:, j], o, count)

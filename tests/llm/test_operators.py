@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -420,6 +421,18 @@ def test_phrases_against_plain_parsing():
                 assert abs(int(p.phrases([text])[0, j]) - count) <= 1
 
 
+def test_languages_of_any_script():
+    """Characters beyond U+3000, more of them than a table of 256 holds, and a language of few."""
+    rng = random.Random(8)
+    write = lambda first, n, size: "".join(chr(first + rng.randrange(n)) for _ in range(size))
+    ja, ko, zh = write(0x3041, 80, 4000), write(0xAC00, 600, 4000), write(0x4E00, 2000, 4000)
+    p = langid.Parser({"en": "the cat sat on the mat and the dog " * 100, "ja": ja, "ko": ko, "zh": zh})
+    texts = [ja[500:560], ko[700:760], zh[900:960], "the dog sat", ja[:30] + "、" + ja[900:930] + "。"]
+    assert p.predict(texts)[0] == ["ja", "ko", "zh", "en", "ja"]
+    whole = p.phrases([zh[900:960]])[0].tolist()
+    assert whole[3] == 1 and min(whole[:3]) >= 60
+
+
 def test_language_of_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs = {i: (t, lang) for i, t, lang, _ in documents(spark, d)}
