@@ -5,19 +5,22 @@ slot. Block i of a source of weight w is released at slot floor(i / w) and has i
 the earliest deadline among the released blocks is served. After t slots a source has got w * t blocks but for less
 than one block.
 
-Weights are whole parts of a frame, so the schedule repeats from frame to frame: the driver schedules one frame for
-each set of sources that still has blocks (a phase), and every task computes its documents' slots from it. What the
-driver holds grows with the sources and the frame, not with the documents. No document is dropped or repeated; when a
-source runs out, the others share its part in proportion, from the next frame on.
-
-Defined results: a null source is a source of its own; a null text has no bytes; a document longer than a block makes
-the blocks it covers one, so its later slots stay empty; equal rows keep their places of their own; an empty table gives
-no rows.
+Weights are exact fractions of their sum, so the schedule repeats after as many slots as their common denominator: a
+frame. When a source runs out, the others share its part in proportion, from the next slot on: a new phase. The driver
+schedules one frame, or what is left if that is less, for each phase, and every task computes its documents' slots from
+it. What the driver holds grows with sources times the frame, not with the documents. No document is dropped or
+repeated.
+
+Defined results: a null source is a source of its own; a null text has no bytes, and a document's own byte more places
+it; a document longer than a block makes the blocks it covers one, so its later slots stay empty; equal rows keep their
+places of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -30,66 +33,74 @@ from pyspark.sql import types as T
 from .common import fresh, number_rows
 
 BLOCK_BYTES = 64 * 1024
-FRAME = 1000
+#: Target weights where none are given: a source's bytes to this power, in whole parts of ``PARTS``, one at least. Small
+#: sources are then seen more often than in proportion to their size, and large ones less.
+POWER, PARTS = 0.5, 10_000
 
 
-def parts_of(weights: dict, frame: int) -> dict:
-    """Whole parts that sum to the frame, at least one each, by largest remainder."""
-    frame = max(frame, 2 * len(weights))
-    total = sum(weights.values())
-    spare = frame - len(weights)
-    exact = {s: Fraction(w) / Fraction(total) * spare for s, w in weights.items()}
-    parts = {s: 1 + int(x) for s, x in exact.items()}
-    rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    for s in rest[: frame - sum(parts.values())]:
-        parts[s] += 1
-    return parts
+def shares(weights: dict) -> dict:
+    """Whole numbers in the exact proportion of the weights, as small as can be; decimals are taken as written."""
+    exact = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * whole) for s, w in exact.items()}
+    common = math.gcd(*parts.values())
+    return {s: n // common for s, n in parts.items()}
 
 
-def schedule(parts: dict) -> dict:
-    """Of one frame: for each source the slots of its blocks, by earliest deadline first among the released."""
+def schedule(parts: dict, horizon: int | None = None) -> dict:
+    """Of one frame, or its first ``horizon`` slots: for each source the slots of its blocks, by earliest deadline first
+    among the released. Every source has one block at a time in one of two heaps: by release, then by deadline."""
     frame = sum(parts.values())
     names = sorted(parts, key=lambda s: (s is None, str(s)))
-    jobs = sorted((i * frame // parts[s], -(-(i + 1) * frame // parts[s]), n, i) for n, s in enumerate(names) for i in range(parts[s]))
-    slots: dict = {s: [0] * parts[s] for s in names}
-    ready: list[tuple[int, int, int]] = []
-    at = 0
-    for t in range(frame):
-        while at < len(jobs) and jobs[at][0] <= t:
-            release, deadline, n, i = jobs[at]
-            heapq.heappush(ready, (deadline, n, i))
-            at += 1
-        deadline, n, i = heapq.heappop(ready)  # full use: a block is always ready, and none is late
-        slots[names[n]][i] = t
+    slots: dict = {s: [] for s in names}
+    waiting, ready = [(0, n) for n in range(len(names))], []
+    heapq.heapify(waiting)
+    for t in range(frame if horizon is None else min(frame, horizon)):
+        while waiting and waiting[0][0] <= t:
+            n = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[names[n]]) + 1) * frame // parts[names[n]]), n))
+        n = heapq.heappop(ready)[1]  # full use: a block is always ready, and none is late
+        mine = slots[names[n]]
+        mine.append(t)
+        heapq.heappush(waiting, (len(mine) * frame // parts[names[n]], n))
     return slots
 
 
-def phases(blocks: dict, weights: dict, frame: int = FRAME) -> list[dict]:
-    """Each phase: source -> (first block, blocks of it in the phase, slots in a frame), with the phase's first slot."""
-    left, done, out, base = dict(blocks), dict.fromkeys(blocks, 0), [], 0
-    while left := {s: n for s, n in left.items() if n > 0}:
-        parts = parts_of({s: weights[s] for s in left}, frame)
-        frames = max(1, min(n // parts[s] for s, n in left.items()))
-        took = {s: min(n, frames * parts[s]) for s, n in left.items()}
-        out.append({"base": base, "frame": sum(parts.values()), "sources": {s: (done[s], took[s], slots) for s, slots in schedule(parts).items()}})
-        base += frames * sum(parts.values())
-        for s, n in took.items():
-            left[s] -= n
-            done[s] += n
+def phases(blocks: dict, weights: dict) -> list[dict]:
+    """Each phase: its first slot, the slots of a frame, and source -> (first block, slots in a frame).
+
+    A phase ends at the slot for which a source has no block left."""
+    left, done, out, base = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), [], 0
+    while left:
+        parts = shares({s: weights[s] for s in left})
+        frame, frames = sum(parts.values()), min(n // parts[s] for s, n in left.items())
+        slots = schedule(parts, None if frames else sum(left.values()))
+        rest = {s: n - frames * parts[s] for s, n in left.items()}
+        end = min((x[rest[s]] for s, x in slots.items() if rest[s] < len(x)), default=sum(rest.values()))
+        out.append({"base": base, "frame": frame, "sources": {s: (done[s], x) for s, x in slots.items()}})
+        base += frames * frame + end
+        for s, x in slots.items():
+            took = frames * parts[s] + bisect_left(x, end)
+            left[s] -= took
+            done[s] += took
+        left = {s: n for s, n in left.items() if n}
     return out
 
 
-def target_weights(sources: list, given: dict | None) -> dict:
-    """Equal where none are given; positive weights for named sources, the mean of these for others."""
-    if not given:
-        return dict.fromkeys(sources, 1)
-    if any(w <= 0 for w in given.values()):
-        raise ValueError("weights must be positive")
-    mean = sum(map(Fraction, given.values())) / len(given)
-    return {s: Fraction(given.get(s, mean)) for s in sources}
+def target_weights(sizes: dict, given: dict | None) -> dict:
+    """As given for named sources, the mean of these for others; by size where none are given."""
+    if given:
+        exact = {s: Fraction(str(w)) for s, w in given.items()}
+        mean = sum(exact.values()) / len(exact)
+        return {s: exact.get(s, mean) for s in sizes}
+    tempered = {s: max(n, 1) ** POWER for s, n in sizes.items()}
+    total = sum(tempered[s] for s in sorted(tempered, key=str))
+    return {s: max(1, round(PARTS * x / total)) for s, x in tempered.items()}
 
 
-def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, frame: int = FRAME, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, str, str]:
+def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, str, str]:
     """The rows with ``columns`` and two more: their slot, and their place within the source; returned with the two names."""
     columns = columns or docs.columns
     size, source = fresh("size", docs.columns), fresh("mix_source", docs.columns)
@@ -99,10 +110,10 @@ def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None
     placed = number_rows(sized, source, size, keep, start, "mix")
     totals = {r[0]: r[1] for r in placed.groupBy(source).agg(F.max(start)).collect()}
     blocks = {s: last // block_bytes + 1 for s, last in totals.items()}
-    plan = phases(blocks, target_weights(list(blocks), weights), frame)
+    plan = phases(blocks, target_weights(totals, weights))
     by: dict = {s: ([], []) for s in blocks}
     for p in plan:
-        for s, (first, _, slots) in p["sources"].items():
+        for s, (first, slots) in p["sources"].items():
             by[s][0].append(first)
             by[s][1].append((p["base"], p["frame"], np.array(slots, np.int64)))
     shared = docs.sparkSession.sparkContext.broadcast({s: (np.array(f, np.int64), x) for s, (f, x) in by.items()})

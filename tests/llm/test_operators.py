@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import math
@@ -9,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -72,33 +74,66 @@ def test_top_k_of_nothing(spark):
 # --- op2
 
 
-def check_schedule(parts: dict) -> None:
-    frame, slots = sum(parts.values()), mixing.schedule(parts)
-    assert sorted(itertools.chain(*slots.values())) == list(range(frame))
-    for s, at in slots.items():
-        for t in range(frame + 1):
-            assert abs(sum(x < t for x in at) - t * parts[s] / frame) < 1
+def brute_mix(blocks: dict, weights: dict) -> list:
+    """The source of every slot, by a plain look at all sources in each: released, then earliest deadline, then name."""
+    left, out = {s: n for s, n in blocks.items() if n}, []
+    while left:
+        total = sum(Fraction(str(weights[s])) for s in left)
+        share, done, t = {s: Fraction(str(weights[s])) / total for s in left}, dict.fromkeys(left, 0), 0
+        while True:
+            free = [s for s in left if math.floor(done[s] / share[s]) <= t]
+            s = min(free, key=lambda s: (math.ceil((done[s] + 1) / share[s]), s is None, str(s)))
+            if not left[s]:
+                break
+            for x in left:
+                assert abs(done[x] - share[x] * t) < 1
+            out.append(s)
+            left[s] -= 1
+            done[s] += 1
+            t += 1
+        left = {s: n for s, n in left.items() if n}
+    return out
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    check_schedule({"a": 500, "b": 300, "c": 199, "d": 1})
-    check_schedule({"a": 1})
-    check_schedule(mixing.parts_of({"a": 0.7, None: 0.1, "c": 0.2}, 30))
+@pytest.mark.parametrize(
+    ("blocks", "weights"),
+    [
+        ({"a": 50, "b": 30, "c": 7, "d": 1}, {"a": 5, "b": 3, "c": 1.5, "d": 0.5}),
+        ({"a": 9}, {"a": 1}),
+        ({"a": 40, None: 8, "c": 16}, {"a": 0.7, None: 0.1, "c": 0.2}),
+        ({"a": 3, "b": 500}, {"a": 0.9, "b": 0.1}),
+        ({"big": 90, "small": 2, **{f"s{k}": 3 for k in range(40)}}, {"big": 0.9, "small": 0.0001, **{f"s{k}": 0.0025 for k in range(40)}}),
+        ({"a": 1000, "b": 1000}, {"a": 1, "b": 1_000_003}),
+    ],
+)
+def test_slots_equal_a_plain_simulation(blocks, weights):
+    """Exact weights, unequal ones, tiny ones, sources that run out."""
+    got = {}
+    for p in mixing.phases(blocks, weights):
+        for s, (first, slots) in p["sources"].items():
+            got.setdefault(s, []).append((first, p["base"], p["frame"], slots))
+    at = {}
+    for s, each in got.items():
+        for k in range(blocks[s]):
+            first, base, frame, slots = [x for x in each if x[0] <= k][-1]
+            at[base + (k - first) // len(slots) * frame + slots[(k - first) % len(slots)]] = s
+    want = brute_mix(blocks, weights)
+    assert [at[t] for t in range(len(at))] == want and len(want) == sum(blocks.values())
+
+
+def test_weights():
+    assert mixing.shares({"a": 0.5, "b": 0.25, "c": Fraction(1, 4)}) == {"a": 2, "b": 1, "c": 1}
+    assert mixing.target_weights({"a": 100, "b": 400, None: 0}, None) == {"a": 3226, "b": 6452, None: 323}
+    assert mixing.target_weights({"a": 9, "x": 1}, {"a": 3, "b": 1}) == {"a": 3, "x": 2}
 
 
 def test_mixing_keeps_all_and_follows_the_weights(spark):
     text = "x" * 99
     df = spark.createDataFrame([(i, text, "a" if i % 3 else "b") for i in range(1200)], "doc_id long, text string, source string")
-    got = sorted(mixing.positions(df, weights={"a": 3, "b": 1}, block_bytes=1000, frame=40).collect(), key=lambda r: (r["slot"], r["place"]))
+    got = sorted(mixing.positions(df, weights={"a": 3, "b": 1}, block_bytes=1000).collect(), key=lambda r: (r["slot"], r["place"]))
     assert sorted(r["doc_id"] for r in got) == list(range(1200))
-    # source b has 400 rows in 40 blocks; a has 80: it is due three of four slots until it runs out
-    by_slot = defaultdict(set)
-    for r in got:
-        by_slot[r["slot"]].add(r["source"])
-    assert all(len(x) == 1 for x in by_slot.values())
-    for t in range(1, 100):
-        assert abs(sum(by_slot.get(k) == {"a"} for k in range(t)) - 0.75 * t) < 1
-    assert sum(by_slot[k] == {"b"} for k in by_slot) == 40
+    want = brute_mix({"a": 80, "b": 40}, {"a": 3, "b": 1})
+    assert all(r["source"] == want[r["slot"]] for r in got) and {r["slot"] for r in got} == set(range(120))
 
 
 def test_mixing_brute_force_places(spark, small):
@@ -113,14 +148,13 @@ def test_mixing_brute_force_places(spark, small):
         for place, n, _ in sorted(each):
             assert place == at
             at += n
-    blocks = {s: max(p for p, _, _ in x) // mixing.BLOCK_BYTES + 1 for s, x in by.items()}
-    plan = mixing.phases(blocks, dict.fromkeys(blocks, 1))
-    want = {}
-    for p in plan:
-        for s, (first, n, slots) in p["sources"].items():
-            want |= {(s, first + k): p["base"] + k // len(slots) * p["frame"] + slots[k % len(slots)] for k in range(n)}
-    assert all(slot == want[s, place // mixing.BLOCK_BYTES] for s, x in by.items() for place, _, slot in x)
-    assert len(set(want.values())) == len(want)
+    last = {s: max(p for p, _, _ in x) for s, x in by.items()}
+    weights = mixing.target_weights(last, None)
+    assert len(set(weights.values())) > 1
+    slots = defaultdict(list)
+    for t, s in enumerate(brute_mix({s: p // mixing.BLOCK_BYTES + 1 for s, p in last.items()}, weights)):
+        slots[s].append(t)
+    assert all(slot == slots[s][place // mixing.BLOCK_BYTES] for s, x in by.items() for place, _, slot in x)
 
 
 def test_mixing_of_odd_rows(spark, odd, nothing):
@@ -224,6 +258,54 @@ def test_secret_spans():
     assert secretscan.masked("a token=abcdefghijkl0123456789abcdef b", "#") == "a # b"
 
 
+def in_lines(data: bytes) -> str:
+    packed = base64.b64encode(data).decode()
+    return "\n".join(packed[k : k + 64] for k in range(0, len(packed), 64))
+
+
+def pem(label: str, inside: str) -> str:
+    return f"-----BEGIN {label}-----\n{inside}\n-----END {label}-----"
+
+
+def url64(data: bytes) -> str:
+    return base64.urlsafe_b64encode(data).decode().rstrip("=")
+
+
+RANDOM = random.Random(9).randbytes(400)
+DER = b"\x30\x82\x01\x40" + RANDOM[:320]
+HEADS = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+JWT_HEAD, JWT_CLAIMS = url64(b'{"alg":"HS256","typ":"JWT"}'), url64(b'{"sub":"1234567890"}')
+
+
+@pytest.mark.parametrize(
+    ("kind", "good", "bad"),
+    [
+        ("pem", pem("RSA PRIVATE KEY", in_lines(DER)), pem("RSA PRIVATE KEY", in_lines(DER[:-1]))),
+        ("pem", pem("PRIVATE KEY", in_lines(DER).replace("\n", "\r\n")), pem("PRIVATE KEY", in_lines(RANDOM[:99]))),
+        ("pem", pem("OPENSSH PRIVATE KEY", in_lines(b"openssh-key-v1\0" + RANDOM)), pem("OPENSSH PRIVATE KEY", in_lines(RANDOM))),
+        ("pem", pem("RSA PRIVATE KEY", HEADS + in_lines(RANDOM[:160])), pem("RSA PRIVATE KEY", HEADS + in_lines(RANDOM[:161]))),
+        ("pem", pem("EC PRIVATE KEY", in_lines(DER)), pem("EC PRIVATE KEY", "no base64! " * 9)),
+        ("pem", pem("PGP PRIVATE KEY BLOCK", "Version: 1\n\n" + in_lines(b"123456789" * 8) + "\n=" + base64.b64encode(secretscan.crc24(b"123456789" * 8).to_bytes(3, "big")).decode()), pem("PGP PRIVATE KEY BLOCK", "\n" + in_lines(b"123456789" * 8) + "\n=AAAA")),
+        ("jwt", f"{JWT_HEAD}.{JWT_CLAIMS}.{url64(RANDOM[:32])}", f"{JWT_HEAD}.{JWT_CLAIMS}.{url64(RANDOM[:31])}"),
+        ("jwt", f"{url64(b'{"alg":"RS256"}')}.{JWT_CLAIMS}.{url64(RANDOM[:256])}", f"{url64(b'{"typ":"RS256"}')}.{JWT_CLAIMS}.{url64(RANDOM[:256])}"),
+    ],
+)
+def test_added_kinds(kind, good, bad):
+    ours = lambda text: [(a, b) for a, b, k in secretscan.find(text) if secretscan.KINDS[k] == kind]
+    assert ours(f"é {good} z") == [(2, 2 + len(good))] and ours(f"é {bad} z") == []
+
+
+def test_checksums():
+    assert secretscan.crc24(b"123456789") == 0x21CF02
+    body = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
+    n, tail = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        n, r = divmod(n, 62)
+        tail = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[r] + tail
+    assert secretscan.joined(secretscan.find(f"npm_{body}{tail}")) == "npm:0:40"
+    assert secretscan.find(f"npm_{body[::-1]}{tail}") == []
+
+
 def test_redaction_of_odd_rows(spark, odd, nothing):
     clash = odd.withColumn("spans", F.lit(1))
     got = {r["doc_id"]: r for r in secretscan.redact(clash).where("doc_id is not null").collect()}
