@@ -17,19 +17,18 @@ from pyspark.sql.window import Window
 _own: dict[str, str] = {}
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch stands in memory on both sides.
+#: Rows of a batch that are worked on at once: texts are long, and what is made of them stands beside them.
 BATCH_ROWS = 2000
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit, which is made for narrow rows; a lower one stays."""
-    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
-        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``BATCH_ROWS`` at most. Spark bounds a batch's bytes itself."""
+    for b in batches:
+        for k in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(k, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,7 +60,6 @@ class Scratch:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        bound_batches(self.spark)
         self.path = f"{scratch_dir(self.spark)}/quarry-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -144,10 +142,8 @@ def number_rows(df: DataFrame, key: str, weight: str | None, columns: list[str],
 def pass_through(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """All columns in and out, whatever they are called; ``change`` filters or replaces within a batch."""
 
-    bound_batches(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield change(b)
 
     return df.mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import strings
+from .common import small, strings
 
 DOCS, DOC_CHARS, SAMPLE_CHARS, SPAN = 64, 2000, 16_000, 256
 UNKNOWN = "und"
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         if key not in _parsers:
             _parsers.clear()
             _parsers[key] = Parser(shared.value)
-        for b in batches:
+        for b in small(batches):
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 lang, score = _parsers[key].predict(strings(part.column(2)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, task, utf8
+from .common import Scratch, small, task, utf8
 
 HEAD = 1 << 17
 ROUNDS = 2
@@ -161,7 +161,7 @@ def sums_of(docs: DataFrame, weights: np.ndarray | None) -> Scratch:
         def counted() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["word", "weight", "n"])
 
-        for b in batches:
+        for b in small(batches):
             for group, h, sizes in steps(utf8(b.column(0))):
                 some = True
                 observed(h, *contexts(h, sizes), model, chance, sums)
@@ -264,7 +264,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, head, slot_log = shared.value
         model, get, row = Weights(flat), head.get, task() << 40
-        for b in batches:
+        for b in small(batches):
             done = 0
             for group, h, sizes in steps(utf8(b.column(2))):
                 n = len(group)

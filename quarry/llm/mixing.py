@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, number_rows
+from .common import fresh, number_rows, small
 
 BLOCK_BYTES = 64 * 1024
 #: Target weights where none are given: a source's bytes to this power, in whole parts of ``PARTS``, one at least. Small
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        for b in batches:
+        for b in small(batches):
             names = b.schema.names
             codes = b.column(names.index(source)).dictionary_encode()
             values = [*codes.dictionary.to_pylist(), None]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, strings, task
+from .common import materialise, small, strings, task
 from .tokenizing import encoder
 
 CAPACITY, END = 2048, 0
@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, lane, seen = encoder(file, joined_space), task(), [0] * (capacity + 1)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), e.encode(strings(b.column(1)))):
                 ids = np.append(np.frombuffer(ids, e.dtype), np.array(END, e.dtype)).astype("<u4")
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
         p = shared.value
         wide = 1 << 50
         keys = p["length"] * wide + p["first"]
-        for b in batches:
+        for b in small(batches):
             doc, piece, start, length, crc, number = b.columns
             n, k = length.to_numpy(), number.to_numpy()
             at = np.searchsorted(keys, n * wide + k, "right") - 1

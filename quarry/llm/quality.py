@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pass_through, utf8
+from .common import pass_through, small, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -98,7 +98,7 @@ def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, hits = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0)
-        for b in batches:
+        for b in small(batches):
             for data in utf8(b.column(0)):
                 for r in rules:
                     f = Features(data)
@@ -129,7 +129,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cascade = [by[x] for x in names if not by[x].base]
-        for b in batches:
+        for b in small(batches):
             rows = []
             for data in utf8(b.column(1)):
                 f = Features(data)

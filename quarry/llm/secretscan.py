@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pass_through, strings
+from .common import pass_through, small, strings
 
 #: The base kinds' patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -184,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row for every document, however often its id occurs: counts of the base kinds, a digest of the base spans, all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [find(t) for t in strings(b.column(1))]
             base = [[x for x in f if x[2] < 3] for f in found]
             counts = [pa.array([sum(x[2] == k for x in f) for f in base], pa.int64()) for k in range(3)]

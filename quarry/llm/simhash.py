@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, task, utf8
+from .common import Scratch, fresh, small, task, utf8
 
 BITS, SHINGLE, SEED = 2, 3, 42
 POSITIONS = tuple(itertools.combinations(range(8), 8 - BITS))
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), signed([fingerprint(x, size) for x in utf8(b.column(1))])], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -125,7 +125,7 @@ def links(distinct: DataFrame) -> DataFrame:
     lists = posted.groupBy("choice", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("choice", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             a, z = [], []
             choice, members = b.column(0).to_pylist(), b.column(1)
             values, offsets = members.flatten().to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(members).to_numpy())]
@@ -193,7 +193,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = task() << 40
-        for b in batches:
+        for b in small(batches):
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 prints, sets, shingles = [], [], []
@@ -231,7 +231,7 @@ def postings(sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
-        for b in batches:
+        for b in small(batches):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 lists = part.column(1)
@@ -431,7 +431,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     again = docs.join(several, docs[id_col].cast("long").eqNullSafe(F.col(kept)), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, signed([fingerprint(x) for x in utf8(b.column(b.schema.get_field_index(text_col)))])], names=[*b.schema.names, fp])
 
     again = again.mapInArrow(run, again.select("*", F.lit(0).cast("long").alias(fp)).schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, strings, task
+from .common import Scratch, small, strings, task
 from .tokenizing import encoder
 
 MAGIC, END = b"EFID", 2
@@ -149,7 +149,7 @@ def write(docs: DataFrame, file: str, path: str, id_col: str = "doc_id", text_co
             block = encode_block(names, ids, e.dtype)
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, before, len(names), held)] + [pa.array([block], pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        for b in batches:
+        for b in small(batches):
             for doc, got in zip(b.column(0).to_pylist(), e.encode(strings(b.column(1)))):
                 names.append(doc)
                 ids.append(got + last)
@@ -184,7 +184,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
-        for b in batches:
+        for b in small(batches):
             for shard, before, data in zip(*(c.to_pylist() for c in b.columns)):
                 block = Block(data)
                 ends = block.ends()

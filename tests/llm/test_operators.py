@@ -56,7 +56,7 @@ def test_top_k(spark, small):
     assert rows(Q["op1_pivot_top_k"](spark, small)) == sorted(brute_top_k(vectors, 5), key=repr)
 
 
-def test_top_k_prunes_and_ties(spark, monkeypatch):
+def test_top_k_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 3)) * 10
@@ -67,6 +67,36 @@ def test_top_k_prunes_and_ties(spark, monkeypatch):
     assert rows(topk.top_k(df, F.col("vec_id") % 50 == 0)) == sorted(brute_top_k(as_float, 5), key=repr)
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 2^53, and beyond a long: exact, then the end of the range."""
+    rng = np.random.default_rng(2)
+    made = [(i, [float(x) for x in rng.integers(-(1 << 22), 1 << 22, 4) * 10.0 ** int(rng.integers(0, 9))]) for i in range(150)]
+    made += [(200, [1e300, -1e300, 0.0, 1.0]), (250, [1.7e308, 0.0, 0.0, 0.0]), (300, [1.3e7, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) if abs(x) < 1e306 else math.copysign(1.7976931348623157e308, x) for x in v]) for i, v in made]
+    exact = [(i, [int(x) for x in v]) for i, v in whole]
+    want = []
+    for q, x in exact:
+        if q % 50 == 0:
+            found = sorted((-max(topk.LOWEST, min(topk.HIGHEST, sum(a * b for a, b in zip(x, y)))), i) for i, y in exact if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:5])]
+    assert rows(topk.top_k(df, F.col("vec_id") % 50 == 0)) == sorted(want, key=repr)
+
+
+def test_top_k_scores_few_pairs_of_clusters(spark, monkeypatch):
+    """Vectors far from the origin, in clusters: the bounds leave out most pairs. Those of no structure are scored all."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(24, 16))
+    for spread, share in ((0.05, 0.3), (None, 1.0)):
+        x = centres[np.arange(1500) % 24] + rng.normal(size=(1500, 16)) * spread if spread else rng.normal(size=(1500, 16))
+        made = [(i, [float(c) for c in v]) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None] + 0.3)]
+        told: dict = {}
+        got = topk.top_k(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, told=told)
+        assert rows(got) == sorted(brute_top_k(made, 5), key=repr)
+        assert told["queries"] == 30 and told["vectors"] == 1500 and told["pairs"] <= share * 30 * 1500
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect() == []
 
