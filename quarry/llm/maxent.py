@@ -1,23 +1,28 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A token's 32-bit hash gives its slot, 4 bits of class and 4 bits of member. With the two tokens before it as context,
+    log P(token) = log P(class | features) + log P(token | class, features)
 
-    log P(token) = log P(class | features) + log P(member | class, features) + log P(token | slot)
+Features are the word before (bigram), the word two before (skip) and both (trigram). The ``HEAD`` most frequent tokens
+of the training texts are outcomes of their own and fall into classes of about equal square-root frequency; all others
+are the last class, within which each has its add-half share of the counts, and one share stands for unknown tokens.
+So P is a distribution over the training vocabulary and one unknown token.
 
-where the features are the word before (bigram), the word two before (skip) and both (trigram), hashed to rows of 16
-weights, and the last part is the add-half unigram share within the slot. Each part is a distribution, so P is one over
-the training vocabulary with one unknown token for each slot.
+The first softmax has a weight for each bigram or skip row and class, and for each trigram that was seen with the class;
+the second one for each bigram and trigram that was seen with the token. A weight that isn't there is zero, so a
+normaliser is a sum over shares, corrected by the few outcomes that the context has weights for.
 
-Training: every task adds up, over all its training tokens, how often each feature row occurs with each outcome
-(observed) and, in later rounds, how often under the model, drawn from the model's own distribution token by token
-(expected). The sums of all tasks give the gradient, observed less expected; the driver applies it in its multiplicative
-form, w += rate * log(observed / expected), smoothed. What a round sends the driver is bounded by the number of weights.
+Tokens are shuffled once, to blocks by the word before; all that a bigram or a trigram row of weights depends on is then
+in one block, and the rows grow with the training texts. A fit takes ``STEPS`` gradient steps on the likelihood of a
+block's tokens, less a Gaussian prior, each step scaled by its weight's curvature. Weights of the skip feature are shared
+by all blocks: each round sums their gradient over the next share of the blocks, the driver takes the step, and rounds go
+on until a step has not raised the likelihood of a sixteenth of the training documents, which is kept out of the rounds.
+The last fit, of all blocks, takes these in. Words in over ``HEAVY`` tokens have their rows divided by a hash of the word before them, and pairs of words
+that may be in over ``HEAVY_PAIR`` tokens by document, so that no block holds more than its share.
 
-Token counts are exact over all training texts. The counts of the most frequent, ``HEAD`` at most, are broadcast; all other
-tokens of a text are joined with the full table of counts.
+Token counts are exact over all training texts; those of the head are broadcast, all others are joined.
 
 Defined results: a null or empty text, or one of white space, is its end token alone; a null id is no id of a held-out
-document; equal rows are scored each; without any training token every count is zero.
+document; equal rows are scored each; without any training token every count is zero and all tokens are unknown.
 """
 
 from __future__ import annotations
@@ -33,18 +38,22 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, task, utf8
 
-HEAD = 1 << 17
-ROUNDS = 2
-RATE, PRIOR = 0.4, 100.0
-CLASSES = MEMBERS = 16
-CLASS_ROWS, MEMBER_ROWS, FEATURES = 1 << 11, 1 << 13, 3
-N_CLASS = FEATURES * CLASS_ROWS * CLASSES
-N_MEMBER = FEATURES * MEMBER_ROWS * MEMBERS
-#: Then the two tables of outcomes alone: classes, and members by class.
-N_ALL = N_CLASS + N_MEMBER + CLASSES + CLASSES * MEMBERS
-END, START = b"", 0x2545F491
+HEAD, CLASSES, SKIP_ROWS = 1 << 17, 16, 1 << 10
+BLOCK_TOKENS, HEAVY, HEAVY_PAIR = 1 << 19, 1 << 17, 1 << 21
+#: Rounds at most, what a round has to gain (share of the likelihood), steps of a block in a round, and the part of a
+#: step that is taken, as several features of a token move at once.
+ROUNDS, GAIN, STEPS, RATE = 4, 1e-3, 4, 0.7
+#: Inverse variances of the priors.
+SKIP_PRIOR, CLASS_PRIORS, MEMBER_PRIORS = 20.0, (2.0, 1.0), (0.5, 0.25)
+KEPT_OUT = 16
+END = b""
+#: Ids: ranks of the head, a mark for the text's start, hashes of all others above.
+START, TAIL = np.uint32(0x7FFFFFFF), 0x80000000
 #: Tokens handled at once, and distinct tokens a task holds before it hands them on.
-STEP, HELD = 1 << 16, 400_000
+STEP, HELD = 1 << 18, 400_000
+WIDE = np.int64(1 << 18)
+#: Contexts handled at once where all classes of them are.
+PART = 1 << 11
 
 
 def held_out(id_col: str) -> Column:
@@ -56,177 +65,54 @@ def tokens_of(data: bytes) -> list[bytes]:
     return [*data.lower().split(), END]
 
 
-def contexts(h: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the token before and of the one before that, within each text."""
-    one, two = np.empty_like(h), np.empty_like(h)
-    one[1:], two[2:] = h[:-1], h[:-2]
-    first = np.cumsum([0, *sizes[:-1]])
-    one[first] = two[first] = START
-    second = first[np.array(sizes) > 1] + 1
-    two[second] = START
-    return one, two
-
-
-def rows_of(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-    u = np.uint32
-    mixed = [one * u(0x9E3779B1), two * u(0x85EBCA6B) ^ u(0x68E31DA4), (one * u(0xC2B2AE35) ^ two * u(0x27D4EB2F)) * u(0x165667B1)]
-    return [m ^ m >> u(15) for m in mixed]
-
-
-def class_rows(mixed: list[np.ndarray]) -> list[np.ndarray]:
-    return [(m >> np.uint32(21)).astype(np.int64) + k * CLASS_ROWS for k, m in enumerate(mixed)]
-
-
-def member_rows(mixed: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
-    """Each class has rows of its own, so a row's class is known from its number."""
-    at = cls.astype(np.int64) * (MEMBER_ROWS // CLASSES)
-    return [(m * np.uint32(0x2C1B3C6D) >> np.uint32(23)).astype(np.int64) + at + k * MEMBER_ROWS for k, m in enumerate(mixed)]
-
-
-class Weights:
-    def __init__(self, flat: np.ndarray):
-        flat = flat.astype(np.float32)
-        self.cls = flat[:N_CLASS].reshape(-1, CLASSES)
-        self.member = flat[N_CLASS : N_CLASS + N_MEMBER].reshape(-1, MEMBERS)
-        self.cls0 = flat[N_CLASS + N_MEMBER :][:CLASSES]
-        self.member0 = flat[N_CLASS + N_MEMBER + CLASSES :].reshape(CLASSES, MEMBERS)
-
-    def class_mass(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = self.cls0 + self.cls[rows[0]]
-        for r in rows[1:]:
-            out += self.cls[r]
-        return np.exp(out, out=out)
-
-    def member_mass(self, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        out = self.member0[cls]
-        for r in rows:
-            out += self.member[r]
-        return np.exp(out, out=out)
-
-    def slot_log10(self, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        cls, member = (h & 255) >> 4, h & 15
-        mixed, at = rows_of(one, two), np.arange(len(h))
-        a = self.class_mass(class_rows(mixed))
-        b = self.member_mass(member_rows(mixed, cls), cls)
-        return np.log10(a[at, cls].astype(np.float64) / a.sum(axis=1) * (b[at, member] / b.sum(axis=1)))
-
-
-def drawn(mass: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    heap = np.cumsum(mass, axis=1)
-    return np.minimum((heap <= (chance * heap[:, -1])[:, None]).sum(axis=1), mass.shape[1] - 1)
-
-
-def observed(h: np.ndarray, one: np.ndarray, two: np.ndarray, weights: Weights | None, chance: np.random.Generator, sums: np.ndarray) -> None:
-    """Adds each feature row's outcomes to ``sums``: those of the text, or if there are weights those that the model draws."""
-    cls, member = ((h & 255) >> 4).astype(np.int64), (h & 15).astype(np.int64)
-    mixed = rows_of(one, two)
-    rows = class_rows(mixed)
-    inner = member_rows(mixed, cls)
-    seen = cls
-    if weights:
-        seen = drawn(weights.class_mass(rows), chance.random(len(h), np.float32))
-        member = drawn(weights.member_mass(inner, cls), chance.random(len(h), np.float32))
-    for r in rows:
-        sums[:N_CLASS] += np.bincount(r * CLASSES + seen, minlength=N_CLASS)
-    for r in inner:
-        sums[N_CLASS : N_CLASS + N_MEMBER] += np.bincount(r * MEMBERS + member, minlength=N_MEMBER)
-    sums[N_CLASS + N_MEMBER :][:CLASSES] += np.bincount(seen, minlength=CLASSES)
-    sums[N_CLASS + N_MEMBER + CLASSES :] += np.bincount(cls * MEMBERS + member, minlength=CLASSES * MEMBERS)
-
-
-def steps(texts: list[bytes]) -> Iterator[tuple[list[list[bytes]], np.ndarray, list[int]]]:
-    """Texts in groups of about ``STEP`` tokens: their tokens, all hashes, and the numbers of tokens."""
+def steps(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
+    """The tokens of texts in groups of about ``STEP`` tokens."""
     group, n = [], 0
     for k, data in enumerate(texts):
         group.append(tokens_of(data))
         n += len(group[-1])
         if n >= STEP or k == len(texts) - 1:
-            h = np.fromiter((x for t in group for x in map(zlib.crc32, t)), np.uint32, n)
-            yield group, h, [len(t) for t in group]
+            yield group
             group, n = [], 0
 
 
-SUMS = "word binary, weight int, n long"
+def contexts(ids: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The token before and the one before that, within each text."""
+    one, two = np.empty_like(ids), np.empty_like(ids)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    first = np.cumsum([0, *sizes[:-1]])
+    one[first] = two[first] = START
+    two[first[np.array(sizes) > 1] + 1] = START
+    return one, two
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    out = np.full(len(columns[0]), 0x9E3779B97F4A7C15, np.uint64)
+    for c in columns:
+        out = (out ^ c.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
 
 
-def sums_of(docs: DataFrame, weights: np.ndarray | None) -> Scratch:
-    """Of all training texts, by task: tokens with counts (first round only), and weights with outcomes."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, c) of all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = shared.value
-        model = None if flat is None else Weights(flat)
-        chance, sums, words, some = np.random.default_rng(task()), np.zeros(N_ALL), Counter(), False
+        words: Counter = Counter()
 
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["word", "weight", "n"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for b in small(batches):
-            for group, h, sizes in steps(utf8(b.column(0))):
-                some = True
-                observed(h, *contexts(h, sizes), model, chance, sums)
-                if model is None:
-                    for t in group:
-                        words.update(t)
-                    if len(words) > HELD:
-                        yield counted()
-                        words.clear()
+            for data in utf8(b.column(0)):
+                words.update(tokens_of(data))
+            if len(words) > HELD:
+                yield out()
+                words.clear()
         if words:
-            yield counted()
-        if some:
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64))], names=["word", "weight", "n"])
-
-    return Scratch(docs.mapInArrow(run, SUMS), "sums")
+            yield out()
 
-
-def weight_sums(scratch: Scratch) -> np.ndarray:
-    got = scratch.df.where("weight is not null").groupBy("weight").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(N_ALL)
-    out[got["weight"].to_numpy()] = got["n"].to_numpy()
-    return out
-
-
-def by_outcome(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return flat[:N_CLASS].reshape(-1, CLASSES), flat[N_CLASS : N_CLASS + N_MEMBER].reshape(-1, MEMBERS)
-
-
-def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """One update; rows with few tokens hardly move."""
-    out = weights.copy()
-    for a, z in ((0, N_CLASS), (N_CLASS, N_CLASS + N_MEMBER)):
-        s, e = seen[a:z].reshape(-1, 16), expected[a:z].reshape(-1, 16)
-        share = (s.sum(axis=0) + 1) / (s.sum() + 16)
-        out[a:z] += (RATE * np.log((s + PRIOR * share) / (e + PRIOR * share))).ravel()
-    return np.clip(out, -6, 6)
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame]:
-    """The weights, and the table of counts (word, c)."""
-    first = sums_of(docs, None)
-    words = Scratch(first.df.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words").df
-    seen = weight_sums(first)
-    first.drop()
-    weights = np.zeros(N_ALL)
-    alone = seen[N_CLASS + N_MEMBER :]
-    classes, members = alone[:CLASSES] + 0.5, alone[CLASSES:].reshape(CLASSES, MEMBERS) + 0.5
-    weights[N_CLASS + N_MEMBER :][:CLASSES] = np.log(classes / classes.sum())
-    weights[N_CLASS + N_MEMBER + CLASSES :] = np.log(members / members.sum(axis=1, keepdims=True)).ravel()
-    fixed = weights[N_CLASS + N_MEMBER :].copy()
-    for k in range(rounds):
-        if k:
-            more = sums_of(docs, weights)
-            expected = weight_sums(more)
-            more.drop()
-        else:  # before any weight moves, what is expected follows from the outcomes alone
-            expected = seen.copy()
-            a, b = by_outcome(expected)
-            a[:] = a.sum(axis=1, keepdims=True) * (classes / classes.sum())
-            of_class = np.arange(len(b)) % MEMBER_ROWS // (MEMBER_ROWS // CLASSES)
-            b[:] = b.sum(axis=1, keepdims=True) * (members / members.sum(axis=1, keepdims=True))[of_class]
-        weights = moved(weights, seen, expected)
-        weights[N_CLASS + N_MEMBER :] = fixed
-    return weights, words
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
@@ -244,61 +130,363 @@ def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
     if least is None:
         return {}
     top = words.where(F.col("c") >= least).toArrow()
-    return dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, frame double, words array<binary>, times array<int>"
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """A row for every document: n_tokens, n_known, train_tokens, base_score (unigram) and score (the model's)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    weights, words = train(slim.where(~F.col("held_out")).select("text"), rounds)
-    slots = words.groupBy((F.crc32("word") % 256).alias("slot")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    total, distinct = sum(r["c"] for r in slots), sum(r["v"] for r in slots)
-    slot_log = np.log10(np.full(256, 0.5))
-    for r in slots:
-        slot_log[r["slot"]] = np.log10(r["c"] + 0.5 * (r["v"] + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), frequent(words, HEAD), slot_log))
+    return dict(sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0])))
+
+
+class Vocabulary:
+    """The head's counts and classes, and the shares that the model starts from."""
+
+    def __init__(self, counts: np.ndarray, total: int, distinct: int):
+        self.counts, self.n = counts, len(counts)
+        root = np.cumsum(np.sqrt(counts))
+        self.cls = np.minimum((root / (root[-1] if self.n else 1) * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
+        mass = np.bincount(self.cls, counts + 0.5, CLASSES).astype(np.float64)
+        mass[-1] = self.tail = total - int(counts.sum()) + 0.5 * (distinct - self.n + 1)
+        with np.errstate(divide="ignore"):  # a class without tokens
+            self.bias = np.log(mass / mass.sum())
+        self.share = (counts + 0.5) / np.maximum(mass[self.cls], 0.5)
+        #: The tail's tokens are one outcome here.
+        self.cls = np.r_[self.cls, CLASSES - 1]
+        self.share = np.r_[self.share, 1.0]
+
+
+def packed(base: int, one: np.ndarray, two: np.ndarray, code: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
+    raw = b"".join(x.astype("<u4").tobytes() for x in (one, two, code, row, times))
+    return np.array([base, len(one)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """one, two, code, row, times of all blobs, sorted by the first three."""
+    parts = []
+    for blob in blobs:
+        base, n = np.frombuffer(blob, "<i8", 2).tolist()
+        x = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), "<u4").reshape(5, n)
+        parts.append((*x[:3], x[3].astype(np.int64) + base, x[4]))
+    one, two, code, row, times = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((code >> 2, two, one))
+    return one[order], two[order], code[order], row[order], times[order]
+
+
+def cells(one: np.ndarray, two: np.ndarray, rows: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
+    """A hash of all that must be in one block together. ``texts``: how often a text starts."""
+
+    def count(ids: np.ndarray) -> np.ndarray:
+        ids = ids.astype(np.int64)
+        known = ids < len(counts)
+        return np.where(ids == int(START), texts, np.where(known, np.r_[counts, 0][np.where(known, ids, -1)], 0))
+
+    a, pair = count(one), np.minimum(count(one), count(two)) // HEAVY_PAIR
+    return hashed(one, np.where(a > HEAVY, two, 0), np.where(pair > 0, rows % (pair + 1), 0))
+
+
+class Block:
+    """The tokens of a block, fitted and scored. ``kept_out``: whether the sixteenth is left out of the fit."""
+
+    def __init__(self, blobs: list[bytes], v: Vocabulary, skip: np.ndarray, kept_out: bool):
+        self.v, self.skip = v, skip
+        one, two, code, self.row, times = unpacked(blobs)
+        self.w, flags = (code >> 2).astype(np.int64), code & 3
+        self.times = times.astype(np.float64)
+        self.out = flags == 2
+        fit = (flags == 0) | (flags == 2) & (not kept_out)
+        new_g = np.r_[True, one[1:] != one[:-1]]
+        new_h = new_g | np.r_[True, two[1:] != two[:-1]]
+        self.g, self.h = np.cumsum(new_g) - 1, np.cumsum(new_h) - 1
+        self.n_g, self.n_h = int(self.g[-1]) + 1, int(self.h[-1]) + 1
+        first = np.flatnonzero(new_h)
+        self.g_of_h, before = self.g[first], two[first]
+        self.skip_row = np.where(before < SKIP_ROWS - 1, before, hashed(before) % np.uint64(SKIP_ROWS)).astype(np.int64)
+        self.c = v.cls[self.w]
+        t = self.times * fit
+        self.n_of_h = np.bincount(self.h, t, self.n_h)
+        self.seen = np.bincount(self.c * self.n_g + self.g, t, CLASSES * self.n_g).reshape(CLASSES, self.n_g)
+        on = np.flatnonzero(t > 0)
+        self.pair_keys, first, at = np.unique(self.h[on] * CLASSES + self.c[on], return_index=True, return_inverse=True)
+        self.pair_n = np.bincount(at, t[on], len(self.pair_keys))
+        self.pair_h, self.pair_c = self.h[on][first], self.c[on][first]
+        self.pair_g, self.pair_s = self.g_of_h[self.pair_h], self.skip_row[self.pair_h]
+        self.bigram, self.trigram = np.zeros((CLASSES, self.n_g)), np.zeros(len(self.pair_keys))
+        self.of_skip = np.exp(skip)
+        self._members(t)
+
+    def class_sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """[class, bigram row] without trigrams and skips; of each pair its mass without its trigram; by context the normaliser."""
+        of_bigram = np.exp(self.v.bias[:, None] + self.bigram)
+        mass = of_bigram[self.pair_c, self.pair_g] * self.of_skip[self.pair_c, self.pair_s]
+        z = np.bincount(self.pair_h, mass * np.expm1(self.trigram), self.n_h)
+        skips = self.of_skip.astype(np.float32)
+        for a, x in self.parts(of_bigram.astype(np.float32), self.g_of_h):
+            z[a : a + PART] += np.einsum("ch,ch->h", x, skips[:, self.skip_row[a : a + PART]])
+        return of_bigram, mass, z
+
+    def parts(self, table: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The columns of the table for some contexts at a time."""
+        for a in range(0, self.n_h, PART):
+            yield a, table[:, at[a : a + PART]]
+
+    def class_gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Seen less expected, and expected, of the bigram rows and of the trigram pairs."""
+        of_bigram, mass, z = self.class_sums()
+        rate = self.n_of_h / z
+        tri = rate[self.pair_h] * mass
+        bi = np.zeros((CLASSES, self.n_g))
+        thin = rate.astype(np.float32)
+        for a, x in self.parts(self.of_skip.astype(np.float32), self.skip_row):
+            g = self.g_of_h[a : a + PART]
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            bi[:, g[first]] += np.add.reduceat(x * thin[a : a + PART], first, axis=1)
+        bi *= of_bigram
+        bi += np.bincount(self.pair_c * self.n_g + self.pair_g, tri * np.expm1(self.trigram), bi.size).reshape(bi.shape)
+        tri *= np.exp(self.trigram)
+        return self.seen - bi, bi, self.pair_n - tri, tri
+
+    def class_step(self) -> None:
+        bi, bi_mass, tri, tri_mass = self.class_gradients()
+        a, b = CLASS_PRIORS
+        self.bigram += moved(bi, self.bigram, bi_mass, a)
+        self.trigram += moved(tri, self.trigram, tri_mass, b)
+
+    def skip_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """[class, skip row]: seen less expected, and expected."""
+        of_bigram, mass, z = self.class_sums()
+        rate = self.n_of_h / z
+        at = self.pair_c * SKIP_ROWS + self.pair_s
+        expected = np.stack([np.bincount(self.skip_row, rate * of_bigram[c][self.g_of_h], SKIP_ROWS) for c in range(CLASSES)]) * self.of_skip
+        expected += np.bincount(at, rate[self.pair_h] * mass * np.expm1(self.trigram), expected.size).reshape(expected.shape)
+        return np.bincount(at, self.pair_n, expected.size).reshape(expected.shape) - expected, expected
+
+    def _members(self, t: np.ndarray) -> None:
+        """The pairs that have weights: (bigram row, token) and (trigram row, token), and the (context, class) that they are in."""
+        on = np.flatnonzero((t > 0) & (self.w < self.v.n))
+        w, h, g, t = self.w[on], self.h[on], self.g[on], t[on]
+        self.tri_keys, first, at = np.unique(h * WIDE + w, return_index=True, return_inverse=True)
+        self.tri_n = np.bincount(at, t, len(self.tri_keys))
+        w, h, g = w[first], h[first], g[first]
+        self.bi_keys, first, self.bi_of_tri = np.unique(g * WIDE + w, return_index=True, return_inverse=True)
+        self.bi_n = np.bincount(self.bi_of_tri, self.tri_n, len(self.bi_keys))
+        self.share_bi, self.share_tri = self.v.share[w[first]], self.v.share[w]
+        self.gc_of_bi = g[first] * CLASSES + self.v.cls[w[first]]
+        self.hc_keys, first, self.hc_of_tri = np.unique(h * CLASSES + self.v.cls[w], return_index=True, return_inverse=True)
+        self.hc_n = np.bincount(self.hc_of_tri, self.tri_n, len(self.hc_keys))
+        self.gc_of_hc = (g * CLASSES + self.v.cls[w])[first]
+        self.vb, self.vt = np.zeros(len(self.bi_keys)), np.zeros(len(self.tri_keys))
+
+    def normalisers(self) -> tuple[np.ndarray, np.ndarray]:
+        """By (bigram row, class); and what a (context, class) adds."""
+        row = 1 + np.bincount(self.gc_of_bi, self.share_bi * np.expm1(self.vb), self.n_g * CLASSES)
+        more = np.bincount(self.hc_of_tri, self.share_tri * np.exp(self.vb[self.bi_of_tri]) * np.expm1(self.vt), len(self.hc_keys))
+        return row, more
+
+    def member_gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Seen less expected, and expected, of the bigram pairs and of the trigram pairs."""
+        row, more = self.normalisers()
+        rate = self.hc_n / (row[self.gc_of_hc] + more)
+        mass = self.share_tri * np.exp(self.vb[self.bi_of_tri])
+        tri = rate[self.hc_of_tri] * mass * np.exp(self.vt)
+        extra = np.bincount(self.bi_of_tri, rate[self.hc_of_tri] * np.expm1(self.vt), len(self.bi_keys))
+        bi = self.share_bi * np.exp(self.vb) * (np.bincount(self.gc_of_hc, rate, self.n_g * CLASSES)[self.gc_of_bi] + extra)
+        return self.bi_n - bi, bi, self.tri_n - tri, tri
+
+    def member_step(self) -> None:
+        bi, bi_mass, tri, tri_mass = self.member_gradients()
+        a, b = MEMBER_PRIORS
+        self.vb += moved(bi, self.vb, bi_mass, a)
+        self.vt += moved(tri, self.vt, tri_mass, b)
+
+    def fit(self, members: bool = True) -> Block:
+        for _ in range(STEPS):
+            self.class_step()
+            if members and len(self.tri_keys):
+                self.member_step()
+        return self
+
+    def class_logs(self) -> np.ndarray:
+        of_bigram, _, z = self.class_sums()
+        out = np.log(of_bigram[self.c, self.g]) + np.log(self.of_skip)[self.c, self.skip_row[self.h]] - np.log(z)[self.h]
+        return out + found(self.pair_keys, self.h * CLASSES + self.c, self.trigram) if len(self.pair_keys) else out
+
+    def logs(self) -> np.ndarray:
+        """Of each token, natural; of a tail token that of its class."""
+        out = self.class_logs() + np.log(self.v.share[self.w])
+        if len(self.tri_keys):
+            head = np.flatnonzero(self.w < self.v.n)
+            w, h, g, c = self.w[head], self.h[head], self.g[head], self.c[head]
+            row, more = self.normalisers()
+            z = row[g * CLASSES + c] + found(self.hc_keys, h * CLASSES + c, more)
+            out[head] += found(self.bi_keys, g * WIDE + w, self.vb) + found(self.tri_keys, h * WIDE + w, self.vt) - np.log(z)
+        return out
+
+
+def moved(rest: np.ndarray, weight: np.ndarray, expected: np.ndarray, prior: float) -> np.ndarray:
+    """A step up the gradient, scaled by the curvature, and bounded."""
+    return np.clip(RATE * (rest - prior * weight) / (expected + prior), -1, 1)
+
+
+def found(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0.0)
+
+
+BLOCKS = "block long, row long, doc_id long, held_out boolean, n_tokens long, known long, part double, words array<binary>, times array<int>, blobs array<binary>"
+NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+
+
+def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> DataFrame:
+    """The tokens of all texts in ``n`` blocks, a row each, and beside them a row for each document."""
+    shared = slim.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(head)}, v.counts, head.get(END, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, head, slot_log = shared.value
-        model, get, row = Weights(flat), head.get, task() << 40
+        rank, counts, texts = shared.value
+        get, base = rank.get, task() << 40
+        logs = np.log10(counts + 0.5)
         for b in small(batches):
             done = 0
-            for group, h, sizes in steps(utf8(b.column(2))):
-                n = len(group)
-                owner = np.repeat(np.arange(n), sizes)
-                logs = model.slot_log10(h, *contexts(h, sizes)) - slot_log[h & 255]
-                known, part, offsets, rare, times = [], [], [0], [], []
-                for t in group:
-                    got = [get(w) for w in t]
-                    if None in got:
-                        tail = Counter([w for w, c in zip(t, got) if c is None])
-                        rare += tail
-                        times += tail.values()
-                        got = [c for c in got if c is not None]
-                    offsets.append(len(rare))
-                    known.append(len(got))
-                    part.append(float(np.log10(np.array(got, np.float64) + 0.5).sum()))
-                at = pa.array(offsets, pa.int32())
+            for group in steps(utf8(b.column(2))):
+                m, sizes = len(group), [len(t) for t in group]
+                words = [w for t in group for w in t]
+                ids = np.array([-1 if r is None else r for r in map(get, words)], np.int64)
+                rare = np.flatnonzero(ids < 0)
+                owner = np.repeat(np.arange(m), sizes)
+                w = np.where(ids < 0, len(counts), ids)
+                part = np.bincount(owner, np.r_[logs, 0.0][w], m)
+                known = np.bincount(owner, ids >= 0, m).astype(np.int64)
+                ids[rare] = [TAIL | zlib.crc32(words[k]) & 0x7FFFFFFF for k in rare.tolist()]
+                tails: list[Counter] = [Counter() for _ in range(m)]
+                for k, j in zip(rare.tolist(), owner[rare].tolist()):
+                    tails[j][words[k]] += 1
+                out, doc = b.column(1).slice(done, m), b.column(0).slice(done, m)
+                rows = base + np.arange(m)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + n)), b.column(0).slice(done, n), b.column(1).slice(done, n), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(np.bincount(owner, logs, n)),
-                        pa.ListArray.from_arrays(at, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(at, pa.array(times, pa.int32())),
+                        pa.array(rows % n), pa.array(rows), doc, out, pa.array(sizes, pa.int64()), pa.array(known), pa.array(part),
+                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())), pa.nulls(m, TYPES[-1]),
                     ],
-                    names=[x.split()[0] for x in SCORED.split(", ")],
+                    names=NAMES,
                 )
-                row += n
-                done += n
+                one, two = contexts(ids.astype(np.uint32), sizes)
+                flags = np.where(out.to_numpy(zero_copy_only=False).astype(bool), 1, np.where(hashed(rows) % np.uint64(KEPT_OUT) == 0, 2, 0))
+                at = (cells(one, two, rows[owner], counts, texts) % np.uint64(n)).astype(np.int64)
+                order = np.lexsort((owner, w, two, one, at))
+                one, two, w, owner, at = one[order], two[order], w[order], owner[order], at[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(one) != 0) | (np.diff(two) != 0) | (np.diff(w) != 0) | (np.diff(owner) != 0) | (np.diff(at) != 0)])
+                times = np.diff(np.r_[first, len(w)])
+                one, two, w, owner, at = one[first], two[first], w[first], owner[first], at[first]
+                cut = np.flatnonzero(np.r_[True, np.diff(at) != 0])
+                blobs = [packed(base, *(x[a:z] for x in (one, two, w << 2 | flags[owner], owner, times))) for a, z in zip(cut, [*cut[1:], len(at)])]
+                yield row_of(at[cut], [[x] for x in blobs])
+                done += m
+                base += m
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            blobs = b.column(NAMES.index("blobs"))
+            docs = b.filter(blobs.is_null())
+            if docs.num_rows:
+                yield docs
+            for k, x in zip(b.column(0).to_pylist(), blobs.to_pylist()):
+                if x:
+                    held.setdefault(k, []).extend(x)
+        if held:
+            yield row_of(np.array(list(held)), list(held.values()))
+
+    return slim.select("doc_id", "held_out", "text").mapInArrow(run, BLOCKS).repartition(max(1, n), "block").mapInArrow(gather, BLOCKS)
+
+
+def row_of(at: np.ndarray, blobs: list[list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.nulls(len(at), t) for t in TYPES[1:-1]), pa.array(blobs, TYPES[-1])], names=NAMES)
+
+
+def skip_round(stored: DataFrame, v: Vocabulary, skip: np.ndarray, before: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """One round over some blocks: the likelihood of the sixteenth with these weights and with those before, and the
+    weights after the step."""
+    shared = stored.sparkSession.sparkContext.broadcast((v, skip, before))
 
-    scored = Scratch(slim.mapInArrow(run, SCORED), "scored").df
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, skip, before = shared.value
+        rest, expected, likely = np.zeros(skip.shape), np.zeros(skip.shape), np.zeros(2)
+        for b in batches:
+            for blobs in b.column(0):
+                block = Block(blobs.as_py(), v, skip, kept_out=True).fit(members=False)
+                likely[0] += float((block.class_logs() * block.times)[block.out].sum())
+                r, e = block.skip_sums()
+                rest += r
+                expected += e
+                block.of_skip = np.exp(before)
+                likely[1] += float((block.class_logs() * block.times)[block.out].sum())
+        at = np.flatnonzero(expected)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, at]), pa.array(np.r_[likely, rest.ravel()[at]]), pa.array(np.r_[0.0, 0.0, expected.ravel()[at]])], names=["weight", "rest", "expected"])
+
+    got = stored.mapInArrow(run, "weight long, rest double, expected double").groupBy("weight").agg(F.sum("rest").alias("rest"), F.sum("expected").alias("expected")).toArrow()
+    at, rest, expected = (got[c].to_numpy() for c in ("weight", "rest", "expected"))
+    after, on = skip.ravel().copy(), at >= 0
+    after[at[on]] += moved(rest[on], after[at[on]], expected[on], SKIP_PRIOR) / RATE
+    return float(rest[at == -1].sum()), float(rest[at == -2].sum()), after.reshape(skip.shape)
+
+
+def skip_weights(stored: DataFrame, v: Vocabulary, n: int, rounds: int = ROUNDS, told: list | None = None) -> np.ndarray:
+    """Rounds, each over the next share of the ``n`` blocks, until the last step has not raised the likelihood."""
+    skip = before = np.zeros((CLASSES, SKIP_ROWS))
+    shares = min(rounds, n)
+    for k in range(rounds):
+        likely, earlier, after = skip_round(stored.where(F.col("block") % shares == k % shares).select("blobs"), v, skip, before)
+        if told is not None:
+            told.append((likely, earlier))
+        if k and likely <= earlier + GAIN * abs(earlier):
+            return skip if likely > earlier else before
+        before, skip = skip, after
+    return skip
+
+
+def block_logs(stored: DataFrame, v: Vocabulary, skip: np.ndarray) -> DataFrame:
+    """(row, log): the sums of each document's tokens in a task's blocks."""
+    shared = stored.sparkSession.sparkContext.broadcast((v, skip))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, skip = shared.value
+        rows, sums, n = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            at, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(inverse, np.concatenate(sums), len(at)))], names=["row", "log"])
+
+        for b in batches:
+            for blobs in b.column(0):
+                block = Block(blobs.as_py(), v, skip, kept_out=False).fit()
+                at, inverse = np.unique(block.row, return_inverse=True)
+                rows.append(at)
+                sums.append(np.bincount(inverse, block.logs() * block.times, len(at)))
+                n += len(at)
+                if n > HELD:
+                    yield out()
+                    rows, sums, n = [], [], 0
+        if n:
+            yield out()
+
+    return stored.mapInArrow(run, "row long, log double").groupBy("row").agg(F.sum("log").alias("log"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, told: list | None = None) -> DataFrame:
+    """A row for every document: n_tokens, n_known, train_tokens, base_score (unigram) and score (the model's). ``told``
+    is given the likelihoods of the rounds."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    words = Scratch(counted(slim.where(~F.col("held_out")).select("text")), "words").df
+    total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
+    head = frequent(words, HEAD)
+    v = Vocabulary(np.array(list(head.values()), np.int64), total, distinct)
+    n = max(1, -(-total // BLOCK_TOKENS))
+    both = Scratch(blocks(slim, head, v, n), "blocks").df
+    stored = both.where("blobs is not null").select("block", "blobs")
+    logs = Scratch(block_logs(stored.select("blobs"), v, skip_weights(stored, v, n, rounds, told)), "logs").df
+    scored = both.where("blobs is null").drop("block", "blobs")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum("times").alias("n"))
-    both = scored.drop("words", "times").join(Scratch(rare, "rare").df, "row", "left")
+    each = scored.drop("words", "times").join(Scratch(rare, "rare").df, "row", "left").join(logs, "row", "left")
     n_known = F.col("known") + F.coalesce("n", F.lit(0))
-    logs = F.col("part") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - n_known) * F.lit(float(np.log10(0.5)))
-    return both.select(
+    beyond = F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - n_known) * F.lit(float(np.log10(0.5)))
+    return each.select(
         "doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"), (logs + F.col("frame")).alias("score"),
+        (F.col("part") + beyond - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"),
+        (F.coalesce("log", F.lit(0.0)) / F.lit(float(np.log(10))) + beyond - (F.col("n_tokens") - F.col("known")) * F.lit(float(np.log10(v.tail)))).alias("score"),
     )

@@ -655,16 +655,112 @@ def test_language_model(spark, small, monkeypatch, head):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_each_softmax_sums_to_one():
-    w = maxent.Weights(np.random.default_rng(2).normal(size=maxent.N_ALL))
-    one, two = np.array([5], np.uint32), np.array([9], np.uint32)
-    total = sum(10 ** w.slot_log10(np.array([s], np.uint32), one, two)[0] for s in range(256))
-    assert total == pytest.approx(1, abs=1e-5)
+def small_block(seed: int = 2, tokens: int = 3000) -> maxent.Block:
+    """A block of made-up tokens: a head of 40, a tail, several words before, documents in and out of training."""
+    rng = np.random.default_rng(seed)
+    counts = np.sort(rng.integers(5, 500, 40))[::-1]
+    v = maxent.Vocabulary(counts, int(counts.sum()) + 900, 500)
+    one, two, w = (rng.integers(0, n, tokens) for n in (6, 30, 41))
+    w = np.where(rng.random(tokens) < 0.6, (one * 7 + two % 3) % 41, w)
+    flags = np.where(np.arange(tokens) // 50 % 5 == 0, 1, np.where(np.arange(tokens) // 50 % 7 == 0, 2, 0))
+    blob = maxent.packed(0, one, two, w << 2 | flags, np.arange(tokens) // 50, np.ones(tokens))
+    return maxent.Block([blob], v, rng.normal(size=(maxent.CLASSES, maxent.SKIP_ROWS)) * 0.3, kept_out=True)
+
+
+def plain_logs(b: maxent.Block, g: int, h: int) -> np.ndarray:
+    """log P of every head token and of the tail in a context, from the definition: all outcomes, one by one."""
+    v, out = b.v, []
+    tri_c = dict(zip(b.pair_keys.tolist(), b.trigram.tolist()))
+    bi, tri = dict(zip(b.bi_keys.tolist(), b.vb.tolist())), dict(zip(b.tri_keys.tolist(), b.vt.tolist()))
+    s = [v.bias[c] + b.bigram[c, g] + math.log(b.of_skip[c, b.skip_row[h]]) + tri_c.get(h * maxent.CLASSES + c, 0.0) for c in range(maxent.CLASSES)]
+    z = math.log(sum(map(math.exp, s)))
+    m = [math.log(v.share[w]) + bi.get(g * int(maxent.WIDE) + w, 0.0) + tri.get(h * int(maxent.WIDE) + w, 0.0) for w in range(v.n)]
+    for w in range(v.n):
+        inner = math.log(sum(math.exp(m[x]) for x in range(v.n) if v.cls[x] == v.cls[w]))
+        out.append(s[v.cls[w]] - z + m[w] - inner)
+    return np.array([*out, s[-1] - z])
+
+
+def test_model_is_the_softmax_of_its_weights():
+    b = small_block().fit()
+    got = b.logs()
+    for h in range(0, b.n_h, 7):
+        want = plain_logs(b, int(b.g_of_h[h]), h)
+        assert np.exp(want).sum() == pytest.approx(1)
+        at = np.flatnonzero(b.h == h)
+        assert got[at] == pytest.approx(want[b.w[at]], abs=1e-5)
+
+
+def test_gradients_are_those_of_the_likelihood():
+    b = small_block().fit()
+    flags = np.where(b.row % 5 == 0, 1, np.where(b.row % 7 == 0, 2, 0))
+    fit = b.times * (flags == 0)
+    likelihood = lambda: float((b.logs() * fit).sum())
+    class_bi, _, class_tri, _ = b.class_gradients()
+    member_bi, _, member_tri, _ = b.member_gradients()
+    skip, _ = b.skip_sums()
+    logs = np.log(b.of_skip)
+    for array, gradient, at in ((b.bigram, class_bi, (2, 3)), (b.bigram, class_bi, (maxent.CLASSES - 1, 0)), (b.trigram, class_tri, 11), (b.vb, member_bi, 5), (b.vt, member_tri, 17), (logs, skip, (1, 4))):
+        sides = []
+        for d in (1e-3, -2e-3):
+            array[at] += d
+            b.of_skip = np.exp(logs)
+            sides.append(likelihood())
+        array[at] += 1e-3
+        b.of_skip = np.exp(logs)
+        assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(gradient[at], abs=2e-2)
+
+
+def test_steps_raise_the_likelihood():
+    b, seen = small_block(), []
+    for _ in range(6):
+        a, z = maxent.CLASS_PRIORS
+        p, q = maxent.MEMBER_PRIORS
+        flags = np.where(b.row % 5 == 0, 1, np.where(b.row % 7 == 0, 2, 0))
+        seen.append(float((b.logs() * b.times)[flags == 0].sum()) - (a * (b.bigram**2).sum() + z * (b.trigram**2).sum() + p * (b.vb**2).sum() + q * (b.vt**2).sum()) / 2)
+        b.class_step()
+        b.member_step()
+    assert all(y > x for x, y in zip(seen, seen[1:]))
+
+
+def test_scores_are_the_sums_of_their_tokens(spark, monkeypatch):
+    """Over many blocks and tasks, as over all tokens in one block here, whose logs are compared with the definition."""
+    monkeypatch.setattr(maxent, "BLOCK_TOKENS", 300)
+    skip = np.random.default_rng(4).normal(size=(maxent.CLASSES, maxent.SKIP_ROWS)) * 0.2
+    monkeypatch.setattr(maxent, "skip_weights", lambda *a: skip)
+    monkeypatch.setattr(maxent, "HEAD", 45)
+    rng = random.Random(11)
+    made = [(i, " ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(40))) + (f" rare{i}" if i % 3 else "")) for i in range(200)]
+    got = {r["doc_id"]: r["score"] for r in maxent.score(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()}
+    tokens = {i: [*t.encode().split(), b""] for i, t in made}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    counts = Counter(w for i, x in tokens.items() if not held[i] for w in x)
+    bins = Counter(math.floor(math.log2(c) * 32) for c in counts.values())
+    least = [x for x in bins if sum(n for y, n in bins.items() if y >= x) <= 45]
+    head = sorted((w for w, c in counts.items() if math.floor(math.log2(c) * 32) in least), key=lambda w: (-counts[w], w))
+    v, rank = maxent.Vocabulary(np.array([counts[w] for w in head]), sum(counts.values()), len(counts)), {w: k for k, w in enumerate(head)}
+    assert 20 < len(head) < len(counts)
+    rows = []
+    for i, x in tokens.items():
+        ids = [rank[w] if w in rank else maxent.TAIL | zlib.crc32(w) & 0x7FFFFFFF for w in x]
+        rows += [(a, b, rank.get(w, v.n) << 2 | held[i], i) for a, b, w in zip([maxent.START, *ids], [maxent.START, maxent.START, *ids], x)]
+    one, two, code, row = (np.array(c, np.int64) for c in zip(*rows))
+    block = maxent.Block([maxent.packed(0, one, two, code, row, np.ones(len(row)))], v, skip, kept_out=False).fit()
+    logs = block.logs()
+    for h in range(0, block.n_h, 97):
+        at = np.flatnonzero(block.h == h)
+        assert logs[at] == pytest.approx(plain_logs(block, int(block.g_of_h[h]), h)[block.w[at]], abs=1e-5)
+    want = {i: 0.0 for i in tokens}
+    for i, x in zip(block.row.tolist(), logs.tolist()):
+        want[i] += x / math.log(10)
+    tail = sum(c for w, c in counts.items() if w not in rank) + 0.5 * (len(counts) - len(head) + 1)
+    for i, x in tokens.items():
+        want[i] += sum(math.log10((counts[w] + 0.5) / tail) for w in x if w not in rank)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-4) for i in tokens)
 
 
 def test_contexts_stop_at_the_text():
-    h = np.arange(10, 16, dtype=np.uint32)
-    one, two = maxent.contexts(h, [1, 3, 2])
+    one, two = maxent.contexts(np.arange(10, 16, dtype=np.uint32), [1, 3, 2])
     s = maxent.START
     assert one.tolist() == [s, s, 11, 12, s, 14] and two.tolist() == [s, s, s, 11, s, s]
 
