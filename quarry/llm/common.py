@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -55,13 +56,30 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Lets Spark delete the files of a write's shuffles once the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Within: shuffles go with the query that made them. The session's own setting comes back afterwards."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
-    """A written table: cuts the lineage, so that a lost executor repeats one stage at most."""
+    """A written table: cuts the lineage, so that a lost executor repeats one stage at most. It replaces the shuffles that
+    it was made by."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/quarry-{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        with cleaning(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_remove_at_exit, self.spark, self.path)
 
