@@ -27,6 +27,7 @@ document; equal rows are scored each; without any training token every count is
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -151,7 +152,9 @@ class Vocabulary:
 
 
 def packed(base: int, one: np.ndarray, two: np.ndarray, code: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
-    raw = b"".join(x.astype("<u4").tobytes() for x in (one, two, code, row, times))
+    """By planes of bytes, most of which are zeros or repeat; ``one`` is sorted, so it is kept as differences."""
+    one = np.diff(one.astype("<u4"), prepend=np.uint32(0))
+    raw = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (one, two, code, row, times))
     return np.array([base, len(one)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -160,13 +163,20 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     parts = []
     for blob in blobs:
         base, n = np.frombuffer(blob, "<i8", 2).tolist()
-        x = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), "<u4").reshape(5, n)
-        parts.append((*x[:3], x[3].astype(np.int64) + base, x[4]))
+        raw = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), np.uint8)
+        x = np.ascontiguousarray(raw.reshape(5, 4, n).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+        parts.append((np.cumsum(x[0], dtype=np.uint32), *x[1:3], x[3].astype(np.int64) + base, x[4]))
     one, two, code, row, times = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((code >> 2, two, one))
+    order = np.lexsort((two.astype(np.uint64) << np.uint64(32) | code >> 2, one))
     return one[order], two[order], code[order], row[order], times[order]
 
 
+def narrowed(two: np.ndarray) -> np.ndarray:
+    """Frequent words have skip rows and trigram rows of their own; others share 16 bits, per word before."""
+    own = SKIP_ROWS - 1
+    return np.where(two < own, two, own + (hashed(two) % np.uint64((1 << 16) - own)).astype(np.int64))
+
+
 def cells(one: np.ndarray, two: np.ndarray, rows: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
     """A hash of all that must be in one block together. ``texts``: how often a text starts."""
 
@@ -180,10 +190,11 @@ def cells(one: np.ndarray, two: np.ndarray, rows: np.ndarray, counts: np.ndarray
 
 
 class Block:
-    """The tokens of a block, fitted and scored. ``kept_out``: whether the sixteenth is left out of the fit."""
+    """The tokens of a block, fitted and scored. ``kept_out``: whether the sixteenth is left out of the fit; ``members``:
+    whether the second softmax is wanted, not the first alone."""
 
-    def __init__(self, blobs: list[bytes], v: Vocabulary, skip: np.ndarray, kept_out: bool):
-        self.v, self.skip = v, skip
+    def __init__(self, blobs: list[bytes], v: Vocabulary, skip: np.ndarray, kept_out: bool, members: bool = True):
+        self.v, self.skip, self.members = v, skip, members
         one, two, code, self.row, times = unpacked(blobs)
         self.w, flags = (code >> 2).astype(np.int64), code & 3
         self.times = times.astype(np.float64)
@@ -207,7 +218,8 @@ class Block:
         self.pair_g, self.pair_s = self.g_of_h[self.pair_h], self.skip_row[self.pair_h]
         self.bigram, self.trigram = np.zeros((CLASSES, self.n_g)), np.zeros(len(self.pair_keys))
         self.of_skip = np.exp(skip)
-        self._members(t)
+        if members:
+            self._members(t)
 
     def class_sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """[class, bigram row] without trigrams and skips; of each pair its mass without its trigram; by context the normaliser."""
@@ -293,10 +305,10 @@ class Block:
         self.vb += moved(bi, self.vb, bi_mass, a)
         self.vt += moved(tri, self.vt, tri_mass, b)
 
-    def fit(self, members: bool = True) -> Block:
+    def fit(self) -> Block:
         for _ in range(STEPS):
             self.class_step()
-            if members and len(self.tri_keys):
+            if self.members and len(self.tri_keys):
                 self.member_step()
         return self
 
@@ -345,7 +357,7 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
             for group in steps(utf8(b.column(2))):
                 m, sizes = len(group), [len(t) for t in group]
                 words = [w for t in group for w in t]
-                ids = np.array([-1 if r is None else r for r in map(get, words)], np.int64)
+                ids = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
                 rare = np.flatnonzero(ids < 0)
                 owner = np.repeat(np.arange(m), sizes)
                 w = np.where(ids < 0, len(counts), ids)
@@ -367,9 +379,11 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
                 one, two = contexts(ids.astype(np.uint32), sizes)
                 flags = np.where(out.to_numpy(zero_copy_only=False).astype(bool), 1, np.where(hashed(rows) % np.uint64(KEPT_OUT) == 0, 2, 0))
                 at = (cells(one, two, rows[owner], counts, texts) % np.uint64(n)).astype(np.int64)
-                order = np.lexsort((owner, w, two, one, at))
+                two = narrowed(two)
+                order = np.argsort(one.astype(np.int64) << 16 | two, kind="stable")
+                order = order[np.argsort(at[order].astype(np.uint16) if n <= 1 << 16 else at[order], kind="stable")]
                 one, two, w, owner, at = one[order], two[order], w[order], owner[order], at[order]
-                first = np.flatnonzero(np.r_[True, (np.diff(one) != 0) | (np.diff(two) != 0) | (np.diff(w) != 0) | (np.diff(owner) != 0) | (np.diff(at) != 0)])
+                first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])])
                 times = np.diff(np.r_[first, len(w)])
                 one, two, w, owner, at = one[first], two[first], w[first], owner[first], at[first]
                 cut = np.flatnonzero(np.r_[True, np.diff(at) != 0])
@@ -408,7 +422,7 @@ def skip_round(stored: DataFrame, v: Vocabulary, skip: np.ndarray, before: np.nd
         rest, expected, likely = np.zeros(skip.shape), np.zeros(skip.shape), np.zeros(2)
         for b in batches:
             for blobs in b.column(0):
-                block = Block(blobs.as_py(), v, skip, kept_out=True).fit(members=False)
+                block = Block(blobs.as_py(), v, skip, kept_out=True, members=False).fit()
                 likely[0] += float((block.class_logs() * block.times)[block.out].sum())
                 r, e = block.skip_sums()
                 rest += r
@@ -439,32 +453,46 @@ def skip_weights(stored: DataFrame, v: Vocabulary, n: int, rounds: int = ROUNDS,
     return skip
 
 
+#: Rows of documents whose sums travel together.
+TOGETHER = 1 << 12
+
+
 def block_logs(stored: DataFrame, v: Vocabulary, skip: np.ndarray) -> DataFrame:
-    """(row, log): the sums of each document's tokens in a task's blocks."""
+    """(row, log): the sums of each document's tokens over all blocks. Tasks send on one array for ``TOGETHER`` rows."""
     shared = stored.sparkSession.sparkContext.broadcast((v, skip))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, skip = shared.value
-        rows, sums, n = [], [], 0
+        held: dict[int, np.ndarray] = {}
 
         def out() -> pa.RecordBatch:
-            at, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(inverse, np.concatenate(sums), len(at)))], names=["row", "log"])
+            names = ["part", "logs"]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pa.compress(x.astype("<f4").tobytes(), codec="zstd", asbytes=True) for x in held.values()], pa.binary())], names=names)
 
         for b in batches:
             for blobs in b.column(0):
                 block = Block(blobs.as_py(), v, skip, kept_out=False).fit()
-                at, inverse = np.unique(block.row, return_inverse=True)
-                rows.append(at)
-                sums.append(np.bincount(inverse, block.logs() * block.times, len(at)))
-                n += len(at)
-                if n > HELD:
+                part, at = np.unique(block.row // TOGETHER, return_inverse=True)
+                sums = np.bincount(at * TOGETHER + block.row % TOGETHER, block.logs() * block.times, len(part) * TOGETHER).reshape(-1, TOGETHER)
+                for k, x in zip(part.tolist(), sums):
+                    held[k] = held[k] + x if k in held else x
+                if len(held) > HELD // TOGETHER * 4:
                     yield out()
-                    rows, sums, n = [], [], 0
-        if n:
+                    held.clear()
+        if held:
             yield out()
 
-    return stored.mapInArrow(run, "row long, log double").groupBy("row").agg(F.sum("log").alias("log"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(pa.decompress(data, 4 * TOGETHER, codec="zstd", asbytes=True), "<f4").astype(np.float64)
+                sums[k] = sums[k] + x if k in sums else x
+        for k, x in sums.items():
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(k * TOGETHER + at), pa.array(x[at])], names=["row", "log"])
+
+    return stored.mapInArrow(run, "part long, logs binary").repartition("part").mapInArrow(add, "row long, log double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, told: list | None = None) -> DataFrame:

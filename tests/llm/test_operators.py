@@ -655,6 +655,11 @@ def test_language_model(spark, small, monkeypatch, head):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def in_order(one, *columns) -> bytes:
+    order = np.argsort(one, kind="stable")
+    return maxent.packed(0, one[order], *(c[order] for c in columns), np.ones(len(one)))
+
+
 def small_block(seed: int = 2, tokens: int = 3000) -> maxent.Block:
     """A block of made-up tokens: a head of 40, a tail, several words before, documents in and out of training."""
     rng = np.random.default_rng(seed)
@@ -663,8 +668,7 @@ def small_block(seed: int = 2, tokens: int = 3000) -> maxent.Block:
     one, two, w = (rng.integers(0, n, tokens) for n in (6, 30, 41))
     w = np.where(rng.random(tokens) < 0.6, (one * 7 + two % 3) % 41, w)
     flags = np.where(np.arange(tokens) // 50 % 5 == 0, 1, np.where(np.arange(tokens) // 50 % 7 == 0, 2, 0))
-    blob = maxent.packed(0, one, two, w << 2 | flags, np.arange(tokens) // 50, np.ones(tokens))
-    return maxent.Block([blob], v, rng.normal(size=(maxent.CLASSES, maxent.SKIP_ROWS)) * 0.3, kept_out=True)
+    return maxent.Block([in_order(one, two, w << 2 | flags, np.arange(tokens) // 50)], v, rng.normal(size=(maxent.CLASSES, maxent.SKIP_ROWS)) * 0.3, kept_out=True)
 
 
 def plain_logs(b: maxent.Block, g: int, h: int) -> np.ndarray:
@@ -745,7 +749,7 @@ def test_scores_are_the_sums_of_their_tokens(spark, monkeypatch):
         ids = [rank[w] if w in rank else maxent.TAIL | zlib.crc32(w) & 0x7FFFFFFF for w in x]
         rows += [(a, b, rank.get(w, v.n) << 2 | held[i], i) for a, b, w in zip([maxent.START, *ids], [maxent.START, maxent.START, *ids], x)]
     one, two, code, row = (np.array(c, np.int64) for c in zip(*rows))
-    block = maxent.Block([maxent.packed(0, one, two, code, row, np.ones(len(row)))], v, skip, kept_out=False).fit()
+    block = maxent.Block([in_order(one, maxent.narrowed(two), code, row)], v, skip, kept_out=False).fit()
     logs = block.logs()
     for h in range(0, block.n_h, 97):
         at = np.flatnonzero(block.h == h)
@@ -756,7 +760,7 @@ def test_scores_are_the_sums_of_their_tokens(spark, monkeypatch):
     tail = sum(c for w, c in counts.items() if w not in rank) + 0.5 * (len(counts) - len(head) + 1)
     for i, x in tokens.items():
         want[i] += sum(math.log10((counts[w] + 0.5) / tail) for w in x if w not in rank)
-    assert all(got[i] == pytest.approx(want[i], abs=1e-4) for i in tokens)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-3) for i in tokens)
 
 
 def test_contexts_stop_at_the_text():
