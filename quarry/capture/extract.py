@@ -19,16 +19,19 @@ ARROW_RANGE = pa.struct([(n, pa.int64() if n.endswith("byte") else pa.int32()) f
 ARROW = pa.list_(pa.struct([("key", pa.string()), ("text", pa.string()), ("range", ARROW_RANGE)]))
 
 
-def with_captures(files: DataFrame, keys: tuple[str, ...], override: str | None = None) -> DataFrame:
-    """Adds ``profile``, ``supported`` (the keys that the file's language has) and ``captures``."""
+def with_captures(files: DataFrame, keys: tuple[str, ...], override: str | None = None, strict: bool = False) -> DataFrame:
+    """Adds ``profile``, ``supported`` (the keys that the file's language has) and ``captures``. ``strict``: a file
+    without a language ends the search."""
     schema = T.StructType([*files.schema, *T.StructType.fromDDL(f"profile string, supported array<string>, captures {CAPTURES}")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
             profiles, supported, captures = [], [], []
-            for ext, text in zip(b.column(names.index("ext")).to_pylist(), b.column(names.index("text")).to_pylist()):
+            for path, ext, text in zip(*(b.column(names.index(c)).to_pylist() for c in ("display_path", "ext", "text"))):
                 p = select(ext, text or "", override)
+                if strict and p is None:
+                    raise ValueError(f"Unsupported language for semantic predicates: {path}")
                 profiles.append(p and p.id)
                 supported.append([k for k in keys if k in supported_keys(p)] if p else [])
                 captures.append([{"key": k, "text": t, "range": dict(zip(FIELDS, r))} for k, t, r in (extract(p, text or "", keys) if p else ())])

@@ -14,7 +14,7 @@ from quarry.operators import lowering
 from quarry.operators.lowering import Context
 from quarry.plans import query as Q
 from quarry.plans.presets import Presets, effective_query
-from quarry.plans.rewrite import cost_sorted, metadata_part, unsound_metadata_part
+from quarry.plans.rewrite import cost_sorted, metadata_part, unsound_metadata_part, weakened
 from quarry.sources.files import Corpus
 from quarry.sources.policy import gated
 
@@ -37,6 +37,8 @@ class Options:
     drift: bool = False
     unsound_prefilter: bool = False
     semantic_strict: bool = False
+    #: "skip_errors": an unreadable file is a result without content; "fail_fast": it ends the search.
+    error_mode: str = "skip_errors"
     max_semantic_matches: int | None = None
     known_presets: Presets = field(default_factory=Presets)
 
@@ -68,15 +70,25 @@ class Search:
         return self.candidates.where(self._prefilter())
 
     def _loaded(self, files: DataFrame) -> DataFrame:
-        return gated(self.corpus.with_content(files))
+        return gated(self.corpus.with_content(files), self.options.error_mode == "fail_fast" or self.options.semantic_strict)
 
-    def _evaluated(self, files: DataFrame) -> DataFrame:
-        """Adds the columns that conditions read."""
+    def _read_bound(self, p: Q.Predicate):
+        """What metadata and the whole text say about a predicate; True where they say nothing."""
+        return p if p.key in Q.METADATA_KEYS or p.key in Q.CONTENT_KEYS and lowering.text_bound(p, self.context) is not None else True
+
+    def _evaluated(self, files: DataFrame, strict: bool | None = None) -> DataFrame:
+        """Adds the columns that conditions read. Texts that content predicates rule out are not tokenized."""
         override = {"generic": "sql", "postgres": "sqlpg", "mysql": "sqlmysql", "sqlite": "sqlsqlite"}.get(self.options.sql_dialect or "", self.options.language)
         out = self._loaded(files)
+        content = any(p.key in Q.CONTENT_KEYS for p in Q.predicates(self.ast))
         if self.keys:
-            out = with_captures(out, self.keys, override)
-        if any(p.key in Q.CONTENT_KEYS for p in Q.predicates(self.ast)):
+            part = weakened(self.ast, self._read_bound)
+            if content and not self.options.unsound_prefilter:
+                out = out.where(F.lit(part) if isinstance(part, bool) else lowering.condition(part, self.context))
+            out = with_captures(out.drop("low"), self.keys, override, self.options.semantic_strict if strict is None else strict)
+            if content:
+                out = out.withColumn("low", F.lower("text"))
+        if content:
             out = out.withColumn("lines", lines(F.col("text")))
         return out
 
@@ -86,25 +98,26 @@ class Search:
         files = self.prefiltered
         if self.reads:
             files = self._evaluated(files).where(lowering.condition(self.ast, self.context))
-        return files.drop("text", "content", "lines", "captures", "supported", "profile")
+        return files.drop("text", "low", "content", "content_state", "lines", "captures", "supported", "profile")
 
     @property
     def results(self) -> DataFrame:
         """Matching files with ``whole``, ``hunks``, ``text`` and ``content_state``."""
         files = self._evaluated(self.prefiltered) if self.reads else self._loaded(self.prefiltered)
+        files = files.where(lowering.condition(self.ast, self.context))
         if "lines" in files.columns:
-            files = files.where(lowering.condition(self.ast, self.context)).withColumn("starts", line_starts(F.col("text"), self.options.drift))
+            files = files.withColumn("starts", line_starts(F.col("text"), self.options.drift))
         plan = lowering.Lowering(self.context)
         r = plan.node(self.ast)
         made = files
         for step in plan.steps:
             made = made.withColumns(step)
         hunks = r.hunks if self.options.max_semantic_matches is None else F.slice(r.hunks, 1, self.options.max_semantic_matches)
-        out = made.where(r.ok).withColumn("whole", r.whole).withColumn("hunks", hunks).drop(*(name for step in plan.steps for name in step))
+        out = made.withColumn("whole", r.whole).withColumn("hunks", hunks).drop(*(name for step in plan.steps for name in step))
         skips = F.when(F.col("content_state").startswith("skipped:"), F.array(F.lit("content_unavailable"))).otherwise(F.array())
         if self.keys:
             skips = F.when(F.col("profile").isNull(), F.array_append(skips, "unsupported_language")).otherwise(skips)
-        return out.withColumn("skip_reasons", skips.cast("array<string>")).drop("lines", "starts", "captures", "supported", "profile")
+        return out.withColumn("skip_reasons", skips.cast("array<string>")).drop("low", "lines", "starts", "captures", "supported", "profile")
 
     @property
     def paths(self) -> DataFrame:
@@ -113,7 +126,7 @@ class Search:
     def strict_check(self) -> None:
         """Raises if a file that the metadata leaves has a language without captures."""
         if self.options.semantic_strict and self.keys:
-            bad = self._evaluated(self.prefiltered).where("profile is null").select("display_path").head()
+            bad = self._evaluated(self.prefiltered, strict=False).where("profile is null").select("display_path").head()
             if bad:
                 raise SearchError(f"Unsupported language for semantic predicates: {bad[0]}")
 

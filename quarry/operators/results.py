@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.lines import bound, line_ending, lines, normalised, truncated
+from quarry.functions.lines import bound, line_count, line_ending, normalised, truncated
 
 #: Default limits.
 MAX_RESULTS, MAX_TOTAL_BYTES, MATCHES_PER_FILE, MATCH_BYTES, SNIPPET_BYTES, CONTENT_BYTES, CONTEXT = 50, 200_000, 20, 200, 2000, 20_000, 2
@@ -20,6 +23,11 @@ def range_text(hunk: Column, raw: Column) -> Column:
     return F.when(inside & F.is_valid_utf8(data), data)
 
 
+def each(df: DataFrame, keep: tuple[str, ...], array: Column | str, at: str, item: str) -> DataFrame:
+    """A row for each element. Outer, so that no condition on the array's size is inferred and computes it again below."""
+    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def public_matches(results: DataFrame) -> DataFrame:
     """Adds ``matches``: lines from 1, columns from 0, texts; ranges that can't be cut out are left out."""
     made = lambda raw: F.transform(
@@ -34,7 +42,7 @@ def public_matches(results: DataFrame) -> DataFrame:
 
 def matches(results: DataFrame) -> DataFrame:
     """A row for each match, in order."""
-    return public_matches(results).select("file_id", "display_path", F.posexplode("matches").alias("ord", "m")).select("file_id", "display_path", "ord", "m.*")
+    return each(public_matches(results), ("file_id", "display_path"), "matches", "ord", "m").select("file_id", "display_path", "ord", "m.*")
 
 
 def matched_lines(hunks: Column) -> Column:
@@ -46,35 +54,53 @@ def summary(results: DataFrame) -> DataFrame:
     return results.select("file_id", "display_path", F.size("hunks").cast("long").alias("matches"), F.size(matched_lines(F.col("hunks"))).cast("long").alias("lines_matched"), "whole", "content_state")
 
 
+def islands(first: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the half-open ranges of many files, one file after the other: those that touch as one; and how many a file has."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((end, first, owner))
+    owner, first, end = owner[order], first[order].astype(np.int64), end[order].astype(np.int64)
+    wide = owner * (int(end.max(initial=0)) + 1)  # each file's ranges lie beyond those of the files before
+    reach = np.maximum.accumulate(wide + end)
+    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (wide[1:] + first[1:] > reach[:-1])][: len(owner)]
+    at = np.flatnonzero(fresh)
+    last = np.r_[at[1:], len(owner)][: len(at)] - 1
+    return first[at], reach[last] - wide[last], np.bincount(owner[at], minlength=len(sizes))
+
+
+def merged_ranges(first: pa.Array, end: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(first), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    a, z, n = islands(first.flatten().to_numpy(), end.flatten().to_numpy(), sizes)
+    pairs = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["a", "z"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pairs)
+
+
 def blocks(results: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Line ranges (first row, row past the end) of the matches with their context; ranges that touch are one.
 
-    A file's ranges are merged where the file is: they are part of its row, so nothing is shuffled.
+    A file's ranges are merged where the file is, in one pass over their row numbers: nothing is shuffled.
     """
-    total = F.size(lines(F.col("text")))
-    wide = bound(total, lambda n: F.array_sort(F.transform("hunks", lambda h: F.struct(F.greatest(h.start_row - context, F.lit(0)).alias("a"), F.least(h.end_row + 1 + context, n).alias("z")))))
-    empty = F.array().cast("array<struct<a:int,z:int>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last.a.alias("a"), F.greatest(last.z, x.z).alias("z"))))
-        return F.when((F.size(done) > 0) & (x.a <= F.try_element_at(done, F.lit(-1)).z), joined).otherwise(F.array_append(done, F.struct(x.a.alias("a"), x.z.alias("z"))))
-
-    merged = F.aggregate(wide, empty, add)
-    rows = results.select("file_id", "display_path", merged.alias("merged"))
-    return rows.select("file_id", "display_path", F.posexplode("merged").alias("block", "b")).select("file_id", "display_path", "block", F.col("b.a").alias("first_row"), F.col("b.z").alias("end_row"))
+    rows = results.select("file_id", "display_path", "hunks", line_count(F.col("text")).alias("n"))
+    first = F.transform("hunks", lambda h: F.greatest(h.start_row - context, F.lit(0)))
+    end = F.transform("hunks", lambda h: F.least(h.end_row + 1 + context, F.col("n")))
+    merge = F.arrow_udf(merged_ranges, "array<struct<a:int,z:int>>")
+    merged = rows.select("file_id", "display_path", merge(first, end).alias("merged"))
+    return each(merged, ("file_id", "display_path"), "merged", "block", "b").select("file_id", "display_path", "block", F.col("b.a").alias("first_row"), F.col("b.z").alias("end_row"))
 
 
 def snippets(results: DataFrame, context: int = CONTEXT, max_bytes: int = SNIPPET_BYTES, per_file: int | None = MATCHES_PER_FILE, normalise: bool = False) -> DataFrame:
-    """A row for each match: the lines around it."""
-    some = results.withColumn("hunks", F.slice("hunks", 1, per_file) if per_file is not None else F.col("hunks"))
-    some = some.withColumn("all_lines", F.split("text", "\n", -1)).withColumn("n_lines", F.size(lines(F.col("text"))))
-    each = some.select("file_id", "display_path", "all_lines", "n_lines", F.posexplode("hunks").alias("ord", "h"))
-    first = F.greatest(F.col("h.start_row") - context, F.lit(0))
-    last = F.least(F.col("h.end_row") + context, F.col("n_lines") - 1)
-    body = F.array_join(F.slice("all_lines", first + 1, last - first + 1), "\n")
-    body = normalised(body) if normalise else body
-    out = each.select("file_id", "display_path", "ord", (first + 1).alias("start_line"), (last + 1).alias("end_line"), (F.col("h.start_row") + 1).alias("match_start_line"), (F.col("h.end_row") + 1).alias("match_end_line"), body.alias("body"))
+    """A row for each match: the lines around it. Only they leave the file's row."""
+    some = F.slice("hunks", 1, per_file) if per_file is not None else F.col("hunks")
+
+    def around(h: Column, all_lines: Column, n: Column) -> Column:
+        first, last = F.greatest(h.start_row - context, F.lit(0)), F.least(h.end_row + context, n - 1)
+        body = F.array_join(F.slice(all_lines, first + 1, last - first + 1), "\n")
+        return F.struct(
+            (first + 1).alias("start_line"), (last + 1).alias("end_line"), (h.start_row + 1).alias("match_start_line"), (h.end_row + 1).alias("match_end_line"),
+            (normalised(body) if normalise else body).alias("body"),
+        )
+
+    made = bound(F.split("text", "\n", -1), lambda x: bound(line_count(F.col("text")), lambda n: F.transform(some, lambda h: around(h, x, n))))
+    out = each(results, ("file_id", "display_path"), made, "ord", "s").select("file_id", "display_path", "ord", "s.*")
     return out.select("*", truncated(F.col("body"), max_bytes).alias("text"), (F.octet_length("body") > max_bytes).alias("text_truncated"), line_ending(F.col("body")).alias("line_ending")).drop("body")
 
 

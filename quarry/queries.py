@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -54,8 +55,8 @@ def matching(text: str, **options) -> Query:
 
 def hunks(text: str, **options) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        each = search(spark, d, text, **options).results.select("file_id", F.explode("hunks").alias("h"))
-        return each.select("file_id", F.col("h.start_row").cast("long").alias("row"), F.col("h.start_byte").alias("start_byte"), F.col("h.end_byte").alias("end_byte"))
+        found = R.each(search(spark, d, text, **options).results, ("file_id",), "hunks", "at", "h")
+        return found.select("file_id", F.col("h.start_row").cast("long").alias("row"), F.col("h.start_byte").alias("start_byte"), F.col("h.end_byte").alias("end_byte"))
 
     return run
 
@@ -244,6 +245,68 @@ for _lang, _def in (("py", ("'K' || doc_id", "'f' || doc_id")), ("rs", ("'K' ||
     if _lang != "sql":
         add(f"code_func_{_lang}", code_captures(_lang, f"ext:{_lang} & func:."), code_sql("'f' || doc_id"))
 
+#: A source file of each language: its text, and what keys capture in it; ``@`` is the document's number. Documents of odd
+#: numbers get the text; those of even numbers get it within a comment, where nothing but the comment may be found.
+SOURCES: dict[str, tuple[str, tuple[str, str], dict[str, tuple[str, ...]]]] = {
+    "rs": ("mod m@ { }\nenum E@ { A }\ntrait T@ { fn t@(&self); }\ntype Y@ = u8;\nimpl T@ for E@ { fn t@(&self) { g@!(1); } }\nmacro_rules! w@ { () => {}; }\nuse std::u@;\nconst S: &str = r#\"x@ \" y\"#;\n", ("/* ", " /* nested */ */"), {"module:.": ("m@",), "enum:.": ("E@",), "trait:.": ("T@",), "type:.": ("Y@",), "macro:.": ("w@",), "def:.": ("m@", "E@", "T@", "Y@"), "func:.": ("t@", "t@"), "call:g": ("g@",), "import:std": ("use std::u@;",), "str:x": ("r#\"x@ \" y\"#",)}),
+    "py": ("from a import b@\nclass K@(B):\n    \"\"\"doc@\n    def no(): ...\n    \"\"\"\n    async def f@(self):\n        return self.g@('it\\'s @')\n", ("'''", "'''"), {"class:.": ("K@",), "func:.": ("f@",), "import:from": ("from a import b@",), "call:g": ("g@",), "str:it": ("'it\\'s @'",)}),
+    "js": ("import x from 'm@';\nclass K@ { go@() { return useThing@(1); } }\nfunction useOwn@() { return `a ${f@(2)}`; }\n", ("/* ", " */"), {"class:.": ("K@",), "func:.": ("go@", "useOwn@"), "hook:.": ("useThing@",), "customhook:.": ("useOwn@",), "import:m": ("import x from 'm@';",)}),
+    "ts": ("import { x } from \"m@\";\ninterface I@ { a: string }\ntype Y@ = number;\nenum E@ { A }\nclass K@ implements I@ { a = \"\"; }\nfunction f@(): void { g@(\"s@\"); }\n", ("/* ", " */"), {"interface:.": ("I@",), "type:.": ("Y@",), "enum:.": ("E@",), "class:.": ("K@",), "def:.": ("I@", "Y@", "E@", "K@"), "func:.": ("f@",), "call:g": ("g@",), "str:s": ("\"s@\"",)}),
+    "tsx": ("import R from 'r@';\nfunction Box@(p) { const [a] = useState(0); return <Panel.Row kind=\"k@\" on={a}><br /></Panel.Row>; }\nconst Arrow@ = () => <Box@ wide />;\nconst useFlag@ = () => useMemo(1);\n", ("/* ", " */"), {"component:.": ("Box@", "Arrow@", "useFlag@"), "element:.": ("Panel.Row", "br", "Box@"), "prop:.": ("kind", "on", "wide"), "hook:.": ("useState", "useMemo"), "customhook:.": ("useFlag@",), "import:r": ("import R from 'r@';",)}),
+    "go": ("package p\nimport \"m@\"\ntype S@ struct { a int }\ntype I@ interface { M() }\nfunc (s S@) F@() { g@.Call(`raw@`) }\n", ("/* ", " */"), {"struct:.": ("S@",), "interface:.": ("I@",), "type:.": ("S@", "I@"), "func:.": ("F@",), "def:.": ("S@", "I@", "F@"), "import:m": ("import \"m@\"",), "call:Call": ("Call",), "str:raw": ("`raw@`",)}),
+    "java": ("import a.B@;\ninterface I@ { }\nenum E@ { A }\nclass K@ { K@() { } int f@(int x) { return new G@(\"s@\").h@(); } }\n", ("/* ", " */"), {"interface:.": ("I@",), "enum:.": ("E@",), "class:.": ("K@",), "func:.": ("K@", "f@"), "import:a": ("import a.B@;",), "call:G": ("G@",), "call:h": ("h@",)}),
+    "c": ("#include <x@.h>\n#define M@(a) ((a) + 1)\nstruct S@ { int a; };\nenum E@ { A };\ntypedef struct S@ T@;\nint f@(void) { return g@(\"s@\"); }\n", ("/* ", " */"), {"macro:.": ("M@",), "enum:.": ("E@",), "type:.": ("T@",), "func:.": ("f@",), "import:x": ("#include <x@.h>\n",), "call:g": ("g@",), "str:s": ("\"s@\"",)}),
+    "cpp": ("#include \"x@.h\"\n#define M@ 1\nclass K@ { };\nstruct S@ { };\nenum E@ { A };\nint f@() { return n::g@(1); }\n", ("/* ", " */"), {"class:.": ("K@",), "struct:.": ("S@",), "enum:.": ("E@",), "macro:.": ("M@",), "func:.": ("f@",), "import:x": ("#include \"x@.h\"\n",)}),
+    "cs": ("using A.B@;\nnamespace N@ {\ninterface I@ { }\nstruct S@ { }\nenum E@ { A }\nclass K@ { int f@() { return g@(@\"s@\"); } }\n}\n".replace('(@\"s', '($\"s'), ("/* ", " */"), {"interface:.": ("I@",), "struct:.": ("S@",), "enum:.": ("E@",), "class:.": ("K@",), "type:.": ("N@",), "func:.": ("f@",), "import:A": ("using A.B@;",), "call:g": ("g@",)}),
+    "php": ("<?php\nuse A\\B@;\ninterface I@ { }\ntrait T@ { }\nclass K@ { public function m@() { } }\nfunction f@() { return $x->g@('s@'); }\n", ("<?php /* ", " */"), {"interface:.": ("I@",), "trait:.": ("T@",), "class:.": ("K@",), "func:.": ("f@",), "import:B": ("A\\B@",), "call:g": ("$x->g@('s@')",), "str:s": ("'s@'",)}),
+    "rb": ("module M@\n  class K@\n    def f@(a)\n      g@('s@')\n    end\n  end\nend\n", ("=begin\n", "\n=end\n"), {"module:.": ("M@",), "type:.": ("M@",), "class:.": ("K@",), "func:.": ("f@",), "def:.": ("M@", "K@", "f@"), "call:g": ("g@",), "str:s": ("'s@'",)}),
+    "sh": ("f@() { echo \"s@\"; }\n", ("# ", ""), {"func:.": ("f@",), "def:.": ("f@",), "call:echo": ("echo \"s@\"",), "str:s": ("\"s@\"",)}),
+    "lua": ("function t.f@(a) return g@([[s@]]) end\n", ("--[[ ", " ]]"), {"func:.": ("t.f@",), "def:.": ("t.f@",), "call:g": ("g@",)}),
+    "scala": ("import a.b@\nobject O@ { def f@(x: Int) = g@(x) }\ntrait T@\nclass K@\n", ("/* ", " */"), {"object:.": ("O@",), "type:.": ("O@",), "trait:.": ("T@",), "class:.": ("K@",), "func:.": ("f@",), "import:a": ("import a.b@",), "call:g": ("g@(x)",)}),
+    "swift": ("import M@\nprotocol P@ { }\nclass K@ { func f@() { g@(\"s@\") } }\n", ("/* ", " */"), {"protocol:.": ("P@",), "class:.": ("K@",), "func:.": ("f@",), "import:M": ("import M@",), "call:g": ("g@(\"s@\")",), "str:s": ("\"s@\"",)}),
+    "ex": ("defmodule M@ do\nend\n", ("# ", ""), {"module:M@": ("M@",), "protocol:defmodule": ("defmodule",)}),
+    "hs": ("module M@ where\nf@ x = g@ x -- n@\n", ("{- ", " -}"), {"module:.": ("M@",), "func:f@": ("f@",)}),
+    "ml": ("module M@ = struct let f@ x = x end\n", ("(* ", " *)"), {"module:.": ("module M@ = struct let f@ x = x end",), "def:.": ("f@",)}),
+    "zig": ("const S@ = @import(\"m\");\n", ("// ", ""), {"struct:S@": ("S@",), "import:import": ("@import",)}),
+    "css": ("@import 'm@.css';\n.c@, #d@ { color: red; }\n", ("/* ", " */"), {"type:.": ("c@",), "def:.": ("c@", "d@"), "import:m": ("@import 'm@.css';",)}),
+    "sqlpg": ("CREATE VIEW v@ AS SELECT 1;\nCREATE FUNCTION f@() RETURNS int AS 'x@';\n", ("/* ", " */"), {"def:.": ("v@", "f@"), "func:.": ("f@",), "str:x": ("'x@'",)}),
+    "sqlmysql": ("CREATE TABLE `t` (a int);\nSELECT now@() FROM t WHERE b = 'x@';\n", ("/* ", " */"), {"call:now": ("now@",), "str:x": ("'x@'",)}),
+    "sqlsqlite": ("CREATE TABLE t@ (a int);\nSELECT abs(a) FROM t@;\n", ("-- ", ""), {"def:.": ("t@",), "call:abs": ("abs",)}),
+}
+def source_files(language: str) -> Callable[[SparkSession, str], S.Corpus]:
+    text, (opening, closing), _ = SOURCES[language]
+    one_line = closing == ""
+    hidden = opening + (text.replace("\n", " ") + "\n" if one_line else text + closing)
+
+    def corpus(spark: SparkSession, sf_dir: str) -> S.Corpus:
+        df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+        body = F.when(F.col("doc_id") % 2 == 1, F.lit(text)).otherwise(F.lit(hidden))
+        body = F.regexp_replace(body, "@(?![a-z\"])", F.col("doc_id").cast("string"))
+        return S.from_table(df.withColumn("body", body), F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit("." + language)), F.col("body"), root="/code", file_id=F.col("doc_id"))
+
+    return corpus
+
+
+def source_sql(texts: tuple[str, ...]) -> str:
+    quoted = ["'" + re.sub(r"@(?![a-z\"])", "' || doc_id || '", t.replace("'", "''")) + "'" for t in texts]
+    return " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS file_id, {q} AS text FROM documents WHERE doc_id % 2 = 1" for q in quoted)
+
+
+def source_captures(language: str, key: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        condition = key if "@" not in key else key.partition(":")[0] + ":" + key.partition(":")[2].partition("@")[0] + "*"
+        mode = {} if "@" not in key else {"semantic_match": "wildcard"}
+        return R.matches(search(spark, d, f"ext:{language} & {condition}", source_files(language), **mode).results).select("file_id", "text")
+
+    return run
+
+
+for _lang, (_, _, _keys) in SOURCES.items():
+    for _key, _texts in _keys.items():
+        _name = f"src_{_lang}_{_key.partition(':')[0]}"
+        _name += "" if _name not in ALL else "_" + _key.partition(":")[2]
+        add(_name, source_captures(_lang, _key), source_sql(_texts))
+
 # --- result operators
 
 

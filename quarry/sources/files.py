@@ -8,12 +8,12 @@ import stat
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ignore import Rules
+from .policy import MAX_BYTES
 
 FILES = (
     "file_id string, root string, display_path string, resolved_path string, root_relative_path string, resolution string, name string, ext string, parent_rel string, depth int, "
@@ -167,6 +167,15 @@ def list_directory(root: str, hidden: bool = False, no_ignore: bool = False, max
     return out
 
 
+def read_small(path: str) -> tuple[bytes | None, str | None]:
+    """The content, or why it can't be read. What has grown beyond the limit since it was listed is read no further."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(MAX_BYTES + 1), None
+    except OSError as e:
+        return None, e.strerror or type(e).__name__
+
+
 def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, max_depth: int = DEFAULT_DEPTH) -> Corpus:
     """A directory that the driver lists and the executors can read; Spark's own listing leaves out names in _ and dots."""
     found = list_directory(root, hidden, no_ignore, max_depth)
@@ -178,9 +187,10 @@ def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: b
 
         def run(batches):
             for b in batches:
-                paths = b.column(b.schema.get_field_index("resolved_path")).to_pylist()
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([Path(p).read_bytes() for p in paths], pa.binary())], names=[*b.schema.names, "content"])
+                paths, sizes = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("resolved_path", "size_bytes"))
+                read = [read_small(p) if n <= MAX_BYTES else (None, None) for p, n in zip(paths, sizes)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in read], pa.binary()), pa.array([e for _, e in read], pa.string())], names=[*b.schema.names, "content", "load_error"])
 
-        return df.mapInArrow(run, df.withColumn("content", F.lit(b"")).schema)
+        return df.mapInArrow(run, df.withColumns({"content": F.lit(b""), "load_error": F.lit("")}).schema)
 
     return Corpus(files, os.path.realpath(root), load, listing)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.lines import bound
+
 #: Limits in bytes, and the texts that mark a file as secret, lower-cased.
 MAX_BYTES, PROBE_BYTES = 10 * 1024 * 1024, 8192
 SECRET_MARKS = (
@@ -18,10 +20,12 @@ SECRET_MARKS = (
     "private_key",
 )
 LOADED, LOSSY, TOO_LARGE, BINARY, SECRET = "loaded", "loaded_lossy", "skipped:too_large", "skipped:binary", "skipped:secret_like"
+#: A file that could not be read when its turn came.
+UNREADABLE = "skipped:unreadable"
 
 
-def looks_secret(text: Column) -> Column:
-    low = F.lower(text)
+def looks_secret(low: Column) -> Column:
+    """Of a lower-cased text."""
     out = F.lit(False)
     for mark in SECRET_MARKS:
         out = out | low.contains(mark)
@@ -33,21 +37,32 @@ def has_nul(content: Column) -> Column:
     return F.instr(head, "\x00") > 0
 
 
-def gated(files: DataFrame) -> DataFrame:
-    """Adds ``text``, which is empty where the content is held back, and ``content_state``. The size gate comes first."""
-    raw = F.col("text") if "text" in files.columns else F.col("content")
-    raw = F.coalesce(raw, F.lit("") if "text" in files.columns else F.lit(b""))
-    small = files.withColumn("raw_", F.when(F.col("size_bytes") <= MAX_BYTES, raw))
-    decoded = F.col("raw_").cast("string")
-    valid = F.is_valid_utf8(decoded)
-    whole = small.withColumn("whole_", F.when(valid, decoded).otherwise(F.make_valid_utf8(decoded)))
-    state = (
-        F.when(F.col("raw_").isNull(), TOO_LARGE)
-        .when(has_nul(F.col("raw_")), BINARY)
-        .when(looks_secret(F.col("whole_")), SECRET)
-        .when(~F.is_valid_utf8(F.col("raw_").cast("string")), LOSSY)
-        .otherwise(LOADED)
-    )
-    out = whole.withColumn("content_state", state)
-    text = F.when(F.col("content_state").startswith("loaded"), F.col("whole_")).otherwise("")
-    return out.withColumn("text", text).drop("raw_", "whole_", "content")
+def gated(files: DataFrame, fail_fast: bool = False) -> DataFrame:
+    """Adds ``text``, which is empty where the content is held back, ``low``, the same lower-cased, and ``content_state``.
+
+    Each is computed once: a value that a lambda takes is bound, and what is generated stays where it is, so that no
+    condition on it is pushed below and computed again. The size gate comes first.
+    """
+    textual = "text" in files.columns
+    raw = F.coalesce(F.col("text"), F.lit("")) if textual else F.coalesce(F.col("content"), F.lit(b""))
+    error = F.col("load_error") if "load_error" in files.columns else F.lit(None).cast("string")
+    if fail_fast and "load_error" in files.columns:
+        error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("Unreadable file "), "display_path", F.lit(": "), error)).cast("string"))
+    held = F.when(F.col("size_bytes") <= MAX_BYTES, raw)
+
+    def states(decoded: Column, valid: Column) -> Column:
+        whole = F.when(valid, decoded).otherwise(F.make_valid_utf8(decoded))
+        return bound(whole, lambda text: bound(F.lower(text), lambda low: state(text, low, valid)))
+
+    def state(text: Column, low: Column, valid: Column) -> Column:
+        out = F.when(error.isNotNull(), UNREADABLE).when(text.isNull(), TOO_LARGE)
+        if not textual:
+            out = out.when(has_nul(held), BINARY)
+        else:
+            out = out.when(F.instr(F.substring(text, 1, PROBE_BYTES), "\x00") > 0, BINARY)
+        out = out.when(looks_secret(low), SECRET).when(~valid, LOSSY).otherwise(LOADED)
+        return bound(out, lambda x: F.struct(F.when(x.startswith("loaded"), text).otherwise("").alias("text"), F.when(x.startswith("loaded"), low).otherwise("").alias("low"), x.alias("content_state")))
+
+    made = bound(held.cast("string"), lambda decoded: bound(F.coalesce(F.is_valid_utf8(decoded), F.lit(True)), lambda valid: states(decoded, valid)))
+    rest = [c for c in files.columns if c not in ("text", "content", "load_error")]
+    return files.select(*rest, F.inline(F.array(made)))
