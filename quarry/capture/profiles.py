@@ -122,7 +122,7 @@ def statement(*keywords: str, end: str = ";", lines: bool = False) -> Finder:
     return find
 
 
-BRACE_KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "else", "do", "throw", "case", "using", "lock", "foreach", "function", "synchronized", "try", "super", "this", "assert", "elif", "with", "fn", "match", "func", "def", "typeof", "nameof", "await", "and", "or", "not", "in", "is", "unless", "until", "when", "guard", "import", "async", "yield", "del", "lambda", "print_r_"}
+BRACE_KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "else", "do", "throw", "case", "using", "lock", "foreach", "function", "synchronized", "try", "super", "this", "assert", "elif", "with", "fn", "match", "func", "def", "typeof", "nameof", "await", "and", "or", "not", "in", "is", "unless", "until", "when", "guard", "import", "async", "yield", "del", "lambda"}
 
 
 MODIFIERS = {"public", "private", "protected", "internal"}

@@ -36,7 +36,7 @@ def _class(pattern: str, at: int, negations: str) -> tuple[str, int]:
 def name_regex(pattern: str) -> str:
     """Of base names: ``* ? [..] [!..]``, in either case of ASCII letters; ``**`` only as a whole path component."""
     if not pattern:
-        raise QueryError("Invalid glob pattern: cannot be empty.")
+        raise QueryError("A glob needs at least one character.")
     out, at = "", 0
     while at < len(pattern):
         c = pattern[at]

@@ -34,7 +34,7 @@ class TimeValue:
         try:
             return self.at if self.at is not None else now - timedelta(seconds=self.seconds)
         except OverflowError:
-            raise QueryError("Time calculation underflow") from None
+            raise QueryError("The duration reaches back before all dates") from None
 
 
 def _operator(text: str) -> tuple[str, str]:
@@ -46,7 +46,7 @@ def size_value(text: str) -> SizeValue:
     operator, rest = _operator(text)
     number, unit = re.match(r"([0-9.]*)(.*)", rest.lower(), re.S).groups()
     if unit.strip() not in SIZE_UNITS:
-        raise QueryError(f"Invalid size unit: {unit.strip()}")
+        raise QueryError(f"'{unit.strip()}' is no unit of size")
     try:
         return SizeValue(operator, int(float(number) * SIZE_UNITS[unit.strip()]))
     except ValueError:
@@ -64,9 +64,9 @@ def time_value(text: str, zone: str = "UTC") -> TimeValue:
         except ValueError:
             continue
         if at.timestamp() < 0:
-            raise QueryError("Absolute date must not be before the unix epoch")
+            raise QueryError("Dates before 1970 are not supported")
         return TimeValue(operator, at=at, day=day)
-    raise QueryError(f"Invalid date format: '{rest}'")
+    raise QueryError(f"'{rest}' is neither a date nor a duration")
 
 
 #: What a linear-time engine does not have, but Java does.

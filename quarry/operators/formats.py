@@ -49,7 +49,20 @@ def render(search, form: str = "hunks", max_results: int | None = R.MAX_RESULTS,
     """One page as text: only its rows come to the driver."""
     if form not in FORMATS:
         raise ValueError(f"Unknown format: '{form}'")
-    return "\n".join(_lines(search, form, max_results, offset, context, line_numbers, time_style))
+    return "\n".join([*_lines(search, form, max_results, offset, context, line_numbers, time_style), *(footer(search, max_results, offset) if form in FOOTED else [])])
+
+
+#: Formats for people, which end with what the page leaves out.
+FOOTED = ("hunks", "summary", "matches", "snippets")
+
+
+def footer(search, max_results: int | None, offset: int) -> list[str]:
+    """Whether there is more than the page, and how much of it was held back."""
+    out = []
+    if max_results is not None and R.page(search.matched, 1, offset + max_results, None).head(1):
+        out.append(f"-- more files match: --offset {offset + max_results}")
+    states = R.page(search.results.select(*R.ORDER, "content_state"), max_results, offset, None).groupBy("content_state").count().orderBy("content_state").collect()
+    return out + [f"-- {r['count']} files {r['content_state']}" for r in states if r["content_state"] != "loaded"]
 
 
 def _lines(search, form: str, max_results: int | None, offset: int, context: int, numbers: bool, time_style: str) -> Iterator[str]:
@@ -80,8 +93,9 @@ def _lines(search, form: str, max_results: int | None, offset: int, context: int
             yield f"@@ {r['start_line']}-{r['end_line']} @@"
             yield r["text"]
     elif form == "json":
-        for r in R.limited_matches(page).select("position", F.to_json(F.struct("display_path", "content_state", "whole", "matches", "matches_truncated")).alias("j")).orderBy("position").collect():
-            yield r["j"]
+        rows = R.limited_matches(page).select("position", "display_path", "content_state", "whole", "matches", "matches_truncated").orderBy("position").collect()
+        more = max_results is not None and bool(R.page(search.matched, 1, offset + max_results, None).head(1))
+        yield envelope([{k: v for k, v in r.asDict(recursive=True).items() if k != "position"} for r in rows], truncated=more, next_offset=offset + len(rows) if more else None)
     else:
         for r in page.withColumn("lines_", lines(F.col("text"))).orderBy("position").collect():
             yield from _file(r, form, context, numbers)
@@ -115,7 +129,7 @@ def merged_blocks(rows: list[tuple[int, int]], total: int, context: int) -> list
 
 
 def envelope(items: list[dict], **more) -> str:
-    return json.dumps({"schema_version": 1, "items": items, **more}, default=str)
+    return json.dumps({"schema_version": 1, "items": items, **more}, default=str, separators=(",", ":"), ensure_ascii=False)
 
 
 def write(results: DataFrame, path: str, form: str = "json") -> None:

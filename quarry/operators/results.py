@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +47,22 @@ def matches(results: DataFrame) -> DataFrame:
     return each(public_matches(results), ("file_id", "display_path"), "matches", "ord", "m").select("file_id", "display_path", "ord", "m.*")
 
 
+def match_facts(matches: DataFrame) -> DataFrame:
+    """Adds to matches, a row each, how many lines and bytes they have, whether more than one line, and their first line."""
+    lines = F.col("end_line") - F.col("start_line") + 1
+    return matches.withColumns({"line_count": lines, "is_multiline": lines > 1, "byte_len": F.col("byte_end") - F.col("byte_start"), "first_line": F.regexp_replace(F.substring_index("text", "\n", 1), "\r$", "")})
+
+
+#: What a path is shown as.
+PATHS = ("relative", "absolute", "root_relative")
+
+
+def shown_path(mode: str) -> Column:
+    if mode not in PATHS:
+        raise ValueError(f"Unknown path display: '{mode}'")
+    return {"relative": F.col("display_path"), "absolute": F.col("resolved_path"), "root_relative": F.coalesce("root_relative_path", "display_path")}[mode]
+
+
 def matched_lines(hunks: Column) -> Column:
     """The distinct lines, from 1, of all ranges."""
     return F.array_sort(F.array_distinct(F.flatten(F.transform(hunks, lambda h: F.sequence(h.start_row + 1, h.end_row + 1)))))
@@ -67,24 +85,25 @@ def islands(first: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return first[at], reach[last] - wide[last], np.bincount(owner[at], minlength=len(sizes))
 
 
-def merged_ranges(first: pa.Array, end: pa.Array) -> pa.Array:
-    sizes = pc.fill_null(pc.list_value_length(first), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    a, z, n = islands(first.flatten().to_numpy(), end.flatten().to_numpy(), sizes)
-    pairs = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["a", "z"])
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pairs)
-
-
 def blocks(results: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Line ranges (first row, row past the end) of the matches with their context; ranges that touch are one.
 
-    A file's ranges are merged where the file is, in one pass over their row numbers: nothing is shuffled.
+    A batch's files are merged in one pass over their row numbers alone: nothing is shuffled.
     """
     rows = results.select("file_id", "display_path", "hunks", line_count(F.col("text")).alias("n"))
     first = F.transform("hunks", lambda h: F.greatest(h.start_row - context, F.lit(0)))
     end = F.transform("hunks", lambda h: F.least(h.end_row + 1 + context, F.col("n")))
-    merge = F.arrow_udf(merged_ranges, "array<struct<a:int,z:int>>")
-    merged = rows.select("file_id", "display_path", merge(first, end).alias("merged"))
-    return each(merged, ("file_id", "display_path"), "merged", "block", "b").select("file_id", "display_path", "block", F.col("b.a").alias("first_row"), F.col("b.z").alias("end_row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            a, z, n = islands(b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy(), sizes)
+            owner = pa.array(np.repeat(np.arange(len(n)), n))
+            nth = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in (nth, a, z))], names=["file_id", "display_path", "block", "first_row", "end_row"])
+
+    wanted = "file_id string, display_path string, block int, first_row int, end_row int"
+    return rows.select("file_id", "display_path", first.alias("first"), end.alias("end")).mapInArrow(run, wanted)
 
 
 def snippets(results: DataFrame, context: int = CONTEXT, max_bytes: int = SNIPPET_BYTES, per_file: int | None = MATCHES_PER_FILE, normalise: bool = False) -> DataFrame:

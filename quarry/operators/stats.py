@@ -49,3 +49,9 @@ def dominant_extensions(files: DataFrame, top: int = 10) -> DataFrame:
 def skip_counts(listing: DataFrame) -> DataFrame:
     """Files of a directory that discovery left out, by reason."""
     return listing.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("files"))
+
+
+def tokenized(search) -> DataFrame:
+    """Files that captures were sought in, by language, and how many captures there were; null: files without a language."""
+    each = search._evaluated(search.prefiltered, strict=False)
+    return each.groupBy("profile").agg(F.count("*").alias("files"), F.sum(F.size("captures")).cast("long").alias("captures"))

@@ -10,6 +10,8 @@ from .query import QueryError, parse
 
 #: The configuration file looked for from a directory upwards, and the version it may state.
 CONFIG_NAME, SCHEMA_VERSION = ".quarry.toml", 1
+#: A user's own file, read before all others.
+GLOBAL_CONFIG = Path.home() / ".config" / "quarry" / "config.toml"
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,7 @@ class Presets:
 def load(start: str | Path, global_file: str | Path | None = None) -> Presets:
     """A global file, then the nearest file from ``start`` upwards."""
     out = Presets()
+    global_file = GLOBAL_CONFIG if global_file is None else global_file
     if global_file and Path(global_file).is_file():
         out.add_text(Path(global_file).read_text(), str(global_file))
     where = Path(start).resolve()

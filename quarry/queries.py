@@ -249,7 +249,7 @@ for _lang, _def in (("py", ("'K' || doc_id", "'f' || doc_id")), ("rs", ("'K' ||
 #: numbers get the text; those of even numbers get it within a comment, where nothing but the comment may be found.
 SOURCES: dict[str, tuple[str, tuple[str, str], dict[str, tuple[str, ...]]]] = {
     "rs": ("mod m@ { }\nenum E@ { A }\ntrait T@ { fn t@(&self); }\ntype Y@ = u8;\nimpl T@ for E@ { fn t@(&self) { g@!(1); } }\nmacro_rules! w@ { () => {}; }\nuse std::u@;\nconst S: &str = r#\"x@ \" y\"#;\n", ("/* ", " /* nested */ */"), {"module:.": ("m@",), "enum:.": ("E@",), "trait:.": ("T@",), "type:.": ("Y@",), "macro:.": ("w@",), "def:.": ("m@", "E@", "T@", "Y@"), "func:.": ("t@", "t@"), "call:g": ("g@",), "import:std": ("use std::u@;",), "str:x": ("r#\"x@ \" y\"#",)}),
-    "py": ("from a import b@\nclass K@(B):\n    \"\"\"doc@\n    def no(): ...\n    \"\"\"\n    async def f@(self):\n        return self.g@('it\\'s @')\n", ("'''", "'''"), {"class:.": ("K@",), "func:.": ("f@",), "import:from": ("from a import b@",), "call:g": ("g@",), "str:it": ("'it\\'s @'",)}),
+    "py": ("from a import b@\nclass K@(B):\n    \"\"\"doc@\n    def no(): ...\n    \"\"\"\n    async def f@(self):\n        return self.g@('it\\'s @')\n", ("'''", "'''"), {"class:.": ("K@",), "func:.": ("f@",), "import:from": ("from a import b@",), "call:g": ("g@",), "def:.": ("K@", "f@")}),
     "js": ("import x from 'm@';\nclass K@ { go@() { return useThing@(1); } }\nfunction useOwn@() { return `a ${f@(2)}`; }\n", ("/* ", " */"), {"class:.": ("K@",), "func:.": ("go@", "useOwn@"), "hook:.": ("useThing@",), "customhook:.": ("useOwn@",), "import:m": ("import x from 'm@';",)}),
     "ts": ("import { x } from \"m@\";\ninterface I@ { a: string }\ntype Y@ = number;\nenum E@ { A }\nclass K@ implements I@ { a = \"\"; }\nfunction f@(): void { g@(\"s@\"); }\n", ("/* ", " */"), {"interface:.": ("I@",), "type:.": ("Y@",), "enum:.": ("E@",), "class:.": ("K@",), "def:.": ("I@", "Y@", "E@", "K@"), "func:.": ("f@",), "call:g": ("g@",), "str:s": ("\"s@\"",)}),
     "tsx": ("import R from 'r@';\nfunction Box@(p) { const [a] = useState(0); return <Panel.Row kind=\"k@\" on={a}><br /></Panel.Row>; }\nconst Arrow@ = () => <Box@ wide />;\nconst useFlag@ = () => useMemo(1);\n", ("/* ", " */"), {"component:.": ("Box@", "Arrow@", "useFlag@"), "element:.": ("Panel.Row", "br", "Box@"), "prop:.": ("kind", "on", "wide"), "hook:.": ("useState", "useMemo"), "customhook:.": ("useFlag@",), "import:r": ("import R from 'r@';",)}),

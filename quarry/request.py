@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from quarry.capture.profiles import PROFILES, find_profile, supported_keys
 from quarry.engine import Engine, SearchError
+from quarry.execution import Cancelled, Token, within
 from quarry.operators import results as R
+from quarry.operators import stats
 from quarry.plans.query import CONTENT_KEYS, KEYS, METADATA_KEYS, REACT_KEYS, QueryError
+from quarry.sources.policy import UNREADABLE
 
 MODES = ("paths", "summary", "matches", "snippets", "full")
 
@@ -30,8 +33,9 @@ class Limits:
     max_errors: int = 10
 
 
-#: Execution profiles (fail fast, seconds in all, seconds for a file's captures, captures of a file).
-EXECUTION = {"interactive": (False, None, None, None), "batch": (True, 60.0, 5.0, None), "agent": (False, 15.0, 1.5, 25)}
+#: Execution profiles (fail fast, seconds in all, captures of a file). Captures have no budget of their own,
+#: as tokenizers are linear in the text.
+EXECUTION = {"interactive": (False, None, None), "batch": (True, 60.0, None), "agent": (False, 15.0, 25)}
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,11 @@ class Request:
     context: int = R.CONTEXT
     continuation: str | None = None
     execution: str = "interactive"
+    #: "skip_errors" or "fail_fast"; None: as the execution profile says.
+    error_mode: str | None = None
+    #: Seconds for the whole request; None: as the execution profile says.
+    budget: float | None = None
+    path_display: str = "relative"
     #: Truncated also when exactly max_results items exist, as engines say that don't look one item further.
     eager_truncation: bool = False
     limits: Limits = field(default_factory=Limits)
@@ -58,27 +67,48 @@ def token_offset(token: str) -> int:
 def items(search, request: Request):
     """The items of the request's mode, and the names that they are ordered by."""
     n = request.limits
+    shown = R.shown_path(request.path_display).alias("path")
     if request.mode == "paths":
-        return R.fingerprint(search.matched).select("file_id", "display_path", "resolved_path", "fingerprint")
+        return R.fingerprint(search.matched).select("file_id", shown, "display_path", "resolved_path", "fingerprint")
     r = search.results
     if request.mode == "summary":
-        return r.select("file_id", "display_path", "resolved_path", F.size("hunks").alias("match_count"), F.size(R.matched_lines(F.col("hunks"))).alias("total_lines_matched"), "whole", "content_state")
+        return r.select("file_id", shown, "display_path", "resolved_path", F.size("hunks").alias("match_count"), F.size(R.matched_lines(F.col("hunks"))).alias("total_lines_matched"), "whole", "content_state")
     if request.mode == "full":
-        return r.select("file_id", "display_path", "resolved_path", "content_state", R.truncated(F.col("text"), n.content_bytes).alias("content"))
+        return r.select("file_id", shown, "display_path", "resolved_path", "content_state", R.truncated(F.col("text"), n.content_bytes).alias("content"))
     per_file = n.matches_per_file if n.matches_per_file is not None else 1 << 30
     if request.mode == "matches":
-        return R.limited_matches(r, per_file, n.match_bytes).select("file_id", "display_path", "resolved_path", "content_state", "whole", "matches", "matches_truncated")
+        return R.limited_matches(r, per_file, n.match_bytes).select("file_id", shown, "display_path", "resolved_path", "content_state", "whole", "matches", "matches_truncated")
     return R.snippets(r, request.context, n.snippet_bytes, n.matches_per_file).withColumn("resolved_path", F.col("display_path"))
 
 
-def run(engine: Engine, request: Request) -> dict:
+def run(engine: Engine, request: Request, token: Token | None = None) -> dict:
     """One page as a dict. One item more than the page holds is asked for, which tells whether there is a next page."""
     if request.mode not in MODES:
         raise QueryError(f"Unknown output mode: '{request.mode}'")
     began = time.monotonic()
     offset = token_offset(request.continuation) if request.continuation else request.offset
-    cap = EXECUTION[request.execution][3]
-    search = engine.search(request.query, **({"max_semantic_matches": cap} if cap else {}), **request.options)
+    fail_fast, seconds, cap = EXECUTION[request.execution]
+    mode = request.error_mode or ("fail_fast" if fail_fast else "skip_errors")
+    if mode not in ("skip_errors", "fail_fast"):
+        raise QueryError(f"Unknown error mode: '{mode}'")
+    search = engine.search(request.query, **{"error_mode": mode, **({"max_semantic_matches": cap} if cap else {}), **request.options})
+    return within(engine.spark, seconds if request.budget is None else request.budget, lambda: _page(search, request, offset, began), token)
+
+
+def diagnostics(rows: list, most: int) -> tuple[list[dict], int]:
+    """What is to be said about a page's files: errors, then what was held back; at most so many errors, and how many more."""
+    errors, notes = [], []
+    for r in rows:
+        d = r.asDict()
+        state = d.get("content_state") or "loaded"
+        if state == UNREADABLE:
+            errors.append({"level": "error", "kind": "unreadable", "path": d["display_path"], "message": "The file could not be read."})
+        elif state != "loaded":
+            notes.append({"level": "warn", "kind": state.removeprefix("skipped:"), "path": d["display_path"], "message": f"Content is {state}."})
+    return errors[:most] + notes, max(0, len(errors) - most)
+
+
+def _page(search, request: Request, offset: int, began: float) -> dict:
     n = request.limits
     order = ("display_path", "ord") if request.mode == "snippets" else R.ORDER
     rows = R.page(items(search, request), None if n.max_results is None else n.max_results + 1, offset, n.max_total_bytes, order).orderBy("position").collect()
@@ -89,11 +119,15 @@ def run(engine: Engine, request: Request) -> dict:
         by_bytes = bool(R.page(items(search, request), 1, offset + len(rows), None, order).head(1))
     cut = "max_results" if by_count else "max_total_bytes" if by_bytes else None
     suppressed = sum(str(r.asDict().get("content_state", "")).startswith("skipped") for r in rows)
-    status = "truncated" if cut else "policy_suppressed" if rows and suppressed == len(rows) else "full"
+    told, more_errors = diagnostics(rows, n.max_errors)
+    failed = any(x["level"] == "error" for x in told)
+    status = "truncated" if cut else "partial" if failed else "policy_suppressed" if rows and suppressed == len(rows) else "full"
     following = offset + len(rows) if cut else None
     return {
         "items": [r.asDict(recursive=True) for r in rows],
         "status": status,
+        "diagnostics": told,
+        "errors_left_out": more_errors,
         "truncated": cut is not None,
         "truncation_reason": cut,
         "next_offset": following,
@@ -154,11 +188,26 @@ def classify_error(error: Exception) -> dict:
         return {"code": "query_validation", "message": str(error), "remediation": "Correct the query."}
     if isinstance(error, TimeoutError):
         return {"code": "budget_exceeded", "message": str(error), "remediation": "Narrow the query or raise the budget."}
-    if isinstance(error, KeyboardInterrupt):
+    if isinstance(error, (Cancelled, KeyboardInterrupt)):
         return {"code": "cancelled", "message": str(error), "remediation": "Run it again."}
     return {"code": "execution", "message": str(error), "remediation": "See the message." if isinstance(error, SearchError) else "See Spark's log."}
 
 
+def digest(engine: Engine, request: Request, response: dict, paths: int = 10, directories: int = 5) -> str:
+    """A response in a few lines: its status, the first paths, and the directories that most files are in."""
+    out = [f"{request.query}: {len(response['items'])} items, {response['status']}"]
+    out += [f"  {x['display_path']}" for x in response["items"][:paths]]
+    if len(response["items"]) > paths or response["truncated"]:
+        out.append(f"  more: offset {response['next_offset'] if response['truncated'] else paths}")
+    out += [f"  {r['path']}/: {r['candidate_files']} files" for r in stats.hotspots(engine.corpus.files, directories).collect()]
+    return "\n".join([*out, *(f"  {x['level']}: {x['path']}: {x['message']}" for x in response["diagnostics"])])
+
+
+def capabilities() -> dict:
+    """What the engine takes and gives."""
+    return {"modes": list(MODES), "path_display": list(R.PATHS), "execution": sorted(EXECUTION), "error_modes": ["skip_errors", "fail_fast"], "limits": {k: getattr(Limits(), k) for k in Limits.__dataclass_fields__}, "predicates": predicate_catalog(), "languages": [p.id for p in PROFILES]}
+
+
 def predicate_catalog() -> list[dict]:
     return [{"key": k, "class": "metadata" if k in METADATA_KEYS else "content" if k in CONTENT_KEYS else "react" if k in REACT_KEYS else "semantic"} for k in KEYS]
 

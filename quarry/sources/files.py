@@ -11,8 +11,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ignore import Rules
+from .ignore import GLOBAL_IGNORE, Rules
 from .policy import MAX_BYTES
 
 FILES = (
@@ -123,7 +124,7 @@ def _mode(info: os.stat_result) -> str:
 def list_directory(root: str, hidden: bool = False, no_ignore: bool = False, max_depth: int = DEFAULT_DEPTH, rules: Rules | None = None) -> list[tuple]:
     """(row of FILES, reason it is left out or None) for every regular file under the root, links not followed."""
     base = os.path.realpath(root)
-    rules = rules or Rules.of(base, no_ignore)
+    rules = rules or Rules.of(base, no_ignore, GLOBAL_IGNORE)
     out, seen, stack = [], set(), [("", 0)]
     while stack:
         where, depth = stack.pop()
@@ -136,7 +137,8 @@ def list_directory(root: str, hidden: bool = False, no_ignore: bool = False, max
         for e in entries:
             rel = posixpath.join(where, e.name)
             if e.is_dir(follow_symlinks=False):
-                stack.append((rel, depth + 1))
+                if no_ignore or not rules.closed(rel):
+                    stack.append((rel, depth + 1))
                 continue
             if not e.is_file(follow_symlinks=False):
                 continue
@@ -191,6 +193,6 @@ def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: b
                 read = [read_small(p) if n <= MAX_BYTES else (None, None) for p, n in zip(paths, sizes)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in read], pa.binary()), pa.array([e for _, e in read], pa.string())], names=[*b.schema.names, "content", "load_error"])
 
-        return df.mapInArrow(run, df.withColumns({"content": F.lit(b""), "load_error": F.lit("")}).schema)
+        return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("content", T.BinaryType()), T.StructField("load_error", T.StringType())]))
 
     return Corpus(files, os.path.realpath(root), load, listing)

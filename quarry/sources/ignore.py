@@ -8,9 +8,13 @@ from pathlib import Path
 
 #: Left out unless a root ignore file takes them back in.
 DEFAULT_IGNORES = ("node_modules/**", "target/**", "dist/**", "build/**", ".git/**", ".svn/**", ".hg/**", "**/*.pyc", "**/__pycache__/**")
+#: Directories that default rules leave out whole.
+CLOSED = ("node_modules", "target", "dist", "build", ".git", ".svn", ".hg", "__pycache__")
 #: Ignore files of every directory, the later ones weighing more.
 IGNORE_FILES = (".gitignore", ".ignore", ".quarryignore")
 OWN_FILE = IGNORE_FILES[-1]
+#: A user's own rules, which weigh least.
+GLOBAL_IGNORE = str(Path.home() / ".config" / "quarry" / "ignore")
 
 
 def rule_regex(pattern: str) -> str:
@@ -76,6 +80,11 @@ class Rules:
                         body = line.strip()[1:].strip()
                         self.back.append(re.compile(rule_regex("/" + body + "**" if body.endswith("/") else "/" + body)))
 
+    def closed(self, rel: str) -> bool:
+        """Whether nothing below a directory can be taken in, so that it need not be listed: a default rule has all of it,
+        and no rule takes anything back."""
+        return not self.back and any(r.fullmatch(rel + "/x") for r in self.defaults) and rel.split("/")[-1] in CLOSED
+
     def ignored(self, rel: str) -> bool:
         if any(r.fullmatch(rel) for r in self.defaults) and not any(r.fullmatch(rel) for r in self.back):
             return True

@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import replace
 from datetime import datetime, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from quarry.operators import formats, stats
 from quarry.operators import results as R
 from quarry.plans.explain import explain, why_file, why_no_results
 from quarry.plans.query import And, Not, Or, Predicate, QueryError, canonical
-from quarry.request import Limits, Request, Sessions, classify_error, describe, languages, predicate_catalog, run
+from quarry.request import Limits, Request, Sessions, classify_error, describe, digest, languages, predicate_catalog, run
 from quarry.sources import files as S
 from quarry.streaming import continuous
 
@@ -407,3 +408,25 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT query_match('a/b.py', 'def f(): pass', 'ext:py & func:f') AS m").first()["m"]
     got = spark.sql("SELECT text, start_row FROM query_captures('py', 'func', 'x\ndef g(): pass')").collect()
     assert [tuple(r) for r in got] == [("g", 1)]
+
+
+def test_unreadable_files(spark, tmp_path):
+    """A file that goes after it was listed: a result without content, or the end of the search."""
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("alpha\n")
+    e = Engine(spark, S.directory(spark, str(tmp_path)))
+    (tmp_path / "b.txt").unlink()
+    assert {r["name"]: r["content_state"] for r in e.search("ext:txt").results.collect()} == {"a.txt": "loaded", "b.txt": "skipped:unreadable"}
+    assert [r["name"] for r in e.search("contains:alpha").matched.collect()] == ["a.txt"]
+    got = run(e, Request("ext:txt"))
+    assert got["status"] == "partial" and [x["kind"] for x in got["diagnostics"]] == ["unreadable"]
+    assert run(e, Request("ext:txt", limits=Limits(max_errors=0)))["errors_left_out"] == 1
+    with pytest.raises(Exception, match="Unreadable file"):
+        run(e, Request("ext:txt", error_mode="fail_fast"))
+    assert "alpha" not in digest(e, Request("ext:txt"), got) and "b.txt" in digest(e, Request("ext:txt"), got)
+    assert run(e, Request("ext:txt", "paths", path_display="absolute"))["items"][0]["path"].startswith("/")
+
+
+def test_islands_of_many_files():
+    a, z, n = R.islands(np.array([0, 2, 9, 5, 0]), np.array([3, 4, 12, 6, 1]), np.array([3, 0, 1, 1]))
+    assert (a.tolist(), z.tolist(), n.tolist()) == ([0, 9, 5, 0], [4, 12, 6, 1], [2, 0, 1, 1])
