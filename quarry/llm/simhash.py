@@ -166,9 +166,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: The order of shingles is fitted on so many sets, and knows so many frequent shingles, each in ``FREQUENT`` sets at least.
-#: Candidates are complete in any order; in this one their lists are short.
-SAMPLE_SETS, KNOWN_SHINGLES, FREQUENT = 8192, 1 << 18, 3
+#: Shingles are counted in so many bins, over all sets, in parts that are summed apart. Candidates are complete in any
+#: order that all sets share; in the order of these counts their lists are short.
+BINS, PARTS = 1 << 22, 256
 #: Rows of whole lists that are handled at once.
 LIST_ROWS = 1 << 17
 _ODD = np.uint64(int(np.random.default_rng(64).integers(0, 1 << 63, 16, dtype=np.uint64)[8]) * 2 + 1)
@@ -211,15 +211,40 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
 
-def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, and in how many sets of a sample they are."""
-    part = min(1.0, SAMPLE_SETS / max(1, sets.count()))
-    some = sets.where(F.pmod(F.xxhash64("shingle_set"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    often = some.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    got = often.orderBy(F.desc("n"), "key").limit(KNOWN_SHINGLES).toArrow()
-    keys, n = got["key"].to_numpy().astype(np.int32), got["n"].to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """For each bin of shingles, how often they are in the sets: eight steps to a doubling, in a byte.
+
+    Every task counts its own sets; the parts of the bins are summed apart, and a byte of each bin reaches the driver.
+    """
+    width = BINS // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, np.uint32)
+        seen = False
+        for b in small(batches):
+            for k in range(0, b.num_rows, 256):
+                bins = b.column(0).slice(k, 256).flatten().to_numpy() & (BINS - 1)
+                seen = seen or len(bins) > 0
+                np.add.at(counts, bins, np.uint32(1))
+        if seen:
+            blobs = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in counts.reshape(PARTS, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array(blobs, pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(pa.decompress(data, 4 * width, codec="zstd", asbytes=True), np.uint32).astype(np.int64)
+                sums[part] = sums[part] + x if part in sums else x
+        if sums:
+            steps = [np.minimum(8 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(steps, pa.binary())], names=["part", "counts"])
+
+    out = np.zeros((PARTS, width), np.uint8)
+    got = sets.select("shingles").mapInArrow(run, "part long, counts binary").repartition("part").mapInArrow(add, "part long, counts binary").toArrow()
+    for part, data in zip(got["part"].to_pylist(), got["counts"].to_pylist()):
+        out[part] = np.frombuffer(data, np.uint8)
+    return out.ravel()
 
 
 POSTING = "key int, shingle_set long, n int, place int"
@@ -227,19 +252,16 @@ POSTING = "key int, shingle_set long, n int, place int"
 
 def postings(sets: DataFrame, similarity: float) -> DataFrame:
     """Each set under the first of its shingles, with its size and the shingle's place in the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = shared.value
+        counts = shared.value
         for b in small(batches):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 lists = part.column(1)
                 flat, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
-                rank = flat.view(np.uint32).astype(np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                    rank |= np.where(known[at] == flat, times[at], 0) << 32
+                rank = flat.view(np.uint32).astype(np.int64) | counts[flat & (BINS - 1)].astype(np.int64) << 32
                 keys, posted, start = [np.zeros(0, np.int64)], np.zeros(len(sizes), np.int64), 0
                 for j, n in enumerate(sizes.tolist()):
                     if n:
