@@ -175,3 +175,11 @@ def test_stages_of_odd_rows(spark, odd, nothing):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_shingles_are_counted_over_all_sets(spark):
+    sets = spark.createDataFrame([([1, 2, -5],), ([2, 3],), ([],), ([2],), (None,)], "shingles array<int>").repartition(3)
+    counts = simhash.shingle_counts(sets)
+    assert [int(counts[k & (simhash.BINS - 1)]) for k in (1, 2, 3, -5, 9)] == [8, 16, 8, 8, 0]
+    assert int((counts > 0).sum()) == 4
+    assert not simhash.shingle_counts(sets.where("false")).any()
