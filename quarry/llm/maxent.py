@@ -12,7 +12,8 @@ the second one for each bigram and trigram that was seen with the token. A weigh
 normaliser is a sum over shares, corrected by the few outcomes that the context has weights for.
 
 Tokens are shuffled once, to blocks by the word before; all that a bigram or a trigram row of weights depends on is then
-in one block, and the rows grow with the training texts. A fit takes ``STEPS`` gradient steps on the likelihood of a
+in one block, and the rows grow with the training texts. The number of blocks grows with the tokens, so tasks send on
+shelves of up to ``SHELF`` blocks and many tokens at once, and blocks are made where a shelf arrives. A fit takes ``STEPS`` gradient steps on the likelihood of a
 block's tokens, less a Gaussian prior, each step scaled by its weight's curvature. Weights of the skip feature are shared
 by all blocks: each round sums their gradient over the next share of the blocks, the driver takes the step, and rounds go
 on until a step has not raised the likelihood of a sixteenth of the training documents, which is kept out of the rounds.
@@ -53,6 +54,8 @@ START, TAIL = np.uint32(0x7FFFFFFF), 0x80000000
 #: Tokens handled at once, and distinct tokens a task holds before it hands them on.
 STEP, HELD = 1 << 18, 400_000
 WIDE = np.int64(1 << 18)
+#: Tokens that a task sorts and sends on at once, blocks of a shelf at most, and shelves there are at least, if blocks do.
+GATHER, SHELF, SHELVES = 1 << 20, 8, 64
 #: Contexts handled at once where all classes of them are.
 PART = 1 << 11
 
@@ -158,19 +161,28 @@ def packed(base: int, one: np.ndarray, two: np.ndarray, code: np.ndarray, row: n
     return np.array([base, len(one)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """one, two, code, row, times of all blobs, sorted by the first three."""
-    parts = []
-    for blob in blobs:
-        base, n = np.frombuffer(blob, "<i8", 2).tolist()
-        raw = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), np.uint8)
-        x = np.ascontiguousarray(raw.reshape(5, 4, n).transpose(0, 2, 1)).view("<u4")[:, :, 0]
-        parts.append((np.cumsum(x[0], dtype=np.uint32), *x[1:3], x[3].astype(np.int64) + base, x[4]))
-    one, two, code, row, times = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((two.astype(np.uint64) << np.uint64(32) | code >> 2, one))
+def planes(blob: bytes) -> tuple[np.ndarray, ...]:
+    """one, two, code, row, times of a blob, in its order."""
+    base, n = np.frombuffer(blob, "<i8", 2).tolist()
+    raw = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(5, 4, n).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+    return np.cumsum(x[0], dtype=np.uint32), *x[1:3], x[3].astype(np.int64) + base, x[4]
+
+
+def in_order(one: np.ndarray, two: np.ndarray, code: np.ndarray, row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted by the first two. Arrays put together from sorted ones are merged."""
+    key = one.astype(np.uint64) << np.uint64(32) | two.astype(np.uint64)
+    if (key[1:] >= key[:-1]).all():
+        return one, two, code, row, times
+    order = np.argsort(key, kind="stable")
     return one[order], two[order], code[order], row[order], times[order]
 
 
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """one, two, code, row, times of all blobs, sorted by the first two."""
+    return in_order(*(np.concatenate(c) for c in zip(*map(planes, blobs))))
+
+
 def narrowed(two: np.ndarray) -> np.ndarray:
     """Frequent words have skip rows and trigram rows of their own; others share 16 bits, per word before."""
     own = SKIP_ROWS - 1
@@ -226,28 +238,28 @@ class Block:
         of_bigram = np.exp(self.v.bias[:, None] + self.bigram)
         mass = of_bigram[self.pair_c, self.pair_g] * self.of_skip[self.pair_c, self.pair_s]
         z = np.bincount(self.pair_h, mass * np.expm1(self.trigram), self.n_h)
-        skips = self.of_skip.astype(np.float32)
-        for a, x in self.parts(of_bigram.astype(np.float32), self.g_of_h):
-            z[a : a + PART] += np.einsum("ch,ch->h", x, skips[:, self.skip_row[a : a + PART]])
+        skips = by_row(self.of_skip)
+        for a, x in self.parts(by_row(of_bigram), self.g_of_h):
+            z[a : a + PART] += np.einsum("hc,hc->h", x, skips[self.skip_row[a : a + PART]])
         return of_bigram, mass, z
 
     def parts(self, table: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The columns of the table for some contexts at a time."""
+        """The rows of the table for some contexts at a time."""
         for a in range(0, self.n_h, PART):
-            yield a, table[:, at[a : a + PART]]
+            yield a, table[at[a : a + PART]]
 
     def class_gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Seen less expected, and expected, of the bigram rows and of the trigram pairs."""
         of_bigram, mass, z = self.class_sums()
         rate = self.n_of_h / z
         tri = rate[self.pair_h] * mass
-        bi = np.zeros((CLASSES, self.n_g))
+        bi = np.zeros((self.n_g, CLASSES))
         thin = rate.astype(np.float32)
-        for a, x in self.parts(self.of_skip.astype(np.float32), self.skip_row):
+        for a, x in self.parts(by_row(self.of_skip), self.skip_row):
             g = self.g_of_h[a : a + PART]
             first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            bi[:, g[first]] += np.add.reduceat(x * thin[a : a + PART], first, axis=1)
-        bi *= of_bigram
+            bi[g[first]] += np.add.reduceat(x * thin[a : a + PART, None], first, axis=0)
+        bi = np.ascontiguousarray(bi.T) * of_bigram
         bi += np.bincount(self.pair_c * self.n_g + self.pair_g, tri * np.expm1(self.trigram), bi.size).reshape(bi.shape)
         tri *= np.exp(self.trigram)
         return self.seen - bi, bi, self.pair_n - tri, tri
@@ -329,6 +341,11 @@ class Block:
         return out
 
 
+def by_row(table: np.ndarray) -> np.ndarray:
+    """[class, row] as [row, class], so that what is read together lies together."""
+    return np.ascontiguousarray(table.T, dtype=np.float32)
+
+
 def moved(rest: np.ndarray, weight: np.ndarray, expected: np.ndarray, prior: float) -> np.ndarray:
     """A step up the gradient, scaled by the curvature, and bounded."""
     return np.clip(RATE * (rest - prior * weight) / (expected + prior), -1, 1)
@@ -339,24 +356,44 @@ def found(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray
     return np.where(keys[at] == asked, values[at], 0.0)
 
 
-BLOCKS = "block long, row long, doc_id long, held_out boolean, n_tokens long, known long, part double, words array<binary>, times array<int>, blobs array<binary>"
+BLOCKS = "block long, row long, doc_id long, held_out boolean, n_tokens long, known long, part double, words array<binary>, times array<int>, blobs array<binary>, rows binary"
 NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()]
 
 
 def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> DataFrame:
-    """The tokens of all texts in ``n`` blocks, a row each, and beside them a row for each document."""
+    """The tokens of all texts in ``n`` blocks, a row each, and beside them a row for each document. A block's tokens name
+    their documents by places in its ``rows``."""
+    wide = min(SHELF, max(1, n // SHELVES))
+    shelves = -(-n // wide)
     shared = slim.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(head)}, v.counts, head.get(END, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, counts, texts = shared.value
         get, base = rank.get, task() << 40
+        pending: list[tuple[np.ndarray, ...]] = []
+        since, tokens = base, 0
+
+        def sent() -> pa.RecordBatch:
+            """The pending tokens, by shelf, block and context; equal neighbours are one."""
+            at, one, two, code, row = (np.concatenate(c) for c in zip(*pending))
+            order = np.argsort(one.astype(np.int64) << 16 | two, kind="stable")
+            order = order[np.argsort(at[order].astype(np.uint16) if n <= 1 << 16 else at[order], kind="stable")]
+            at, one, two, code, row = at[order], one[order], two[order], code[order], row[order]
+            first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (code[1:] != code[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+            times = np.diff(np.r_[first, len(at)])
+            at, one, two, code, row = at[first], one[first], two[first], code[first], row[first]
+            shelf = at // wide
+            cut = np.flatnonzero(np.r_[True, np.diff(shelf) != 0])
+            blobs = [[np.bincount(at[a:z] % wide, minlength=wide).astype("<i8").tobytes(), packed(since, *(x[a:z] for x in (one, two, code, row, times)))] for a, z in zip(cut, [*cut[1:], len(at)])]
+            return row_of(shelf[cut], blobs)
+
         logs = np.log10(counts + 0.5)
         for b in small(batches):
             done = 0
             for group in steps(utf8(b.column(2))):
                 m, sizes = len(group), [len(t) for t in group]
-                words = [w for t in group for w in t]
+                words = list(itertools.chain.from_iterable(group))
                 ids = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
                 rare = np.flatnonzero(ids < 0)
                 owner = np.repeat(np.arange(m), sizes)
@@ -371,29 +408,27 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
                 rows = base + np.arange(m)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows % n), pa.array(rows), doc, out, pa.array(sizes, pa.int64()), pa.array(known), pa.array(part),
-                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())), pa.nulls(m, TYPES[-1]),
+                        pa.array(rows % shelves), pa.array(rows), doc, out, pa.array(sizes, pa.int64()), pa.array(known), pa.array(part),
+                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())), *(pa.nulls(m, t) for t in TYPES[-2:]),
                     ],
                     names=NAMES,
                 )
                 one, two = contexts(ids.astype(np.uint32), sizes)
                 flags = np.where(out.to_numpy(zero_copy_only=False).astype(bool), 1, np.where(hashed(rows) % np.uint64(KEPT_OUT) == 0, 2, 0))
                 at = (cells(one, two, rows[owner], counts, texts) % np.uint64(n)).astype(np.int64)
-                two = narrowed(two)
-                order = np.argsort(one.astype(np.int64) << 16 | two, kind="stable")
-                order = order[np.argsort(at[order].astype(np.uint16) if n <= 1 << 16 else at[order], kind="stable")]
-                one, two, w, owner, at = one[order], two[order], w[order], owner[order], at[order]
-                first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])])
-                times = np.diff(np.r_[first, len(w)])
-                one, two, w, owner, at = one[first], two[first], w[first], owner[first], at[first]
-                cut = np.flatnonzero(np.r_[True, np.diff(at) != 0])
-                blobs = [packed(base, *(x[a:z] for x in (one, two, w << 2 | flags[owner], owner, times))) for a, z in zip(cut, [*cut[1:], len(at)])]
-                yield row_of(at[cut], [[x] for x in blobs])
+                pending.append((at, one, narrowed(two), (w << 2 | flags[owner]).astype(np.uint32), (owner + (base - since)).astype(np.uint32)))
                 done += m
                 base += m
+                tokens += len(words)
+                if tokens >= GATHER:
+                    yield sent()
+                    pending.clear()
+                    since, tokens = base, 0
+        if pending:
+            yield sent()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[list[bytes]]] = {}
         for b in batches:
             blobs = b.column(NAMES.index("blobs"))
             docs = b.filter(blobs.is_null())
@@ -401,15 +436,37 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
                 yield docs
             for k, x in zip(b.column(0).to_pylist(), blobs.to_pylist()):
                 if x:
-                    held.setdefault(k, []).extend(x)
-        if held:
-            yield row_of(np.array(list(held)), list(held.values()))
+                    held.setdefault(k, []).append(x)
+        for k in list(held):
+            parts: list[list] = [[] for _ in range(wide)]
+            for counts, blob in held.pop(k):
+                arrays, ends = planes(blob), np.cumsum(np.frombuffer(counts, "<i8"))
+                for part, a, z in zip(parts, [0, *ends[:-1]], ends):
+                    if a < z:
+                        part.append([x[a:z] for x in arrays])
+            for j, part in enumerate(parts):
+                if part:
+                    one, two, code, row, times = in_order(*(np.concatenate(c) for c in zip(*part)))
+                    part.clear()
+                    rows, place = np.unique(row, return_inverse=True)
+                    yield row_of(np.array([k * wide + j]), [[packed(0, one, two, code, place, times)]], [packed_rows(rows)])
+
+    made = slim.select("doc_id", "held_out", "text").mapInArrow(run, BLOCKS)
+    return made.repartitionById(shelves, F.col("block").cast("int")).mapInArrow(gather, BLOCKS)
+
 
-    return slim.select("doc_id", "held_out", "text").mapInArrow(run, BLOCKS).repartition(max(1, n), "block").mapInArrow(gather, BLOCKS)
+def packed_rows(rows: np.ndarray) -> bytes:
+    """Ascending numbers, as differences."""
+    return np.int64(len(rows)).tobytes() + pa.compress(np.diff(rows, prepend=0).astype("<i8").tobytes(), codec="zstd", asbytes=True)
 
 
-def row_of(at: np.ndarray, blobs: list[list[bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.nulls(len(at), t) for t in TYPES[1:-1]), pa.array(blobs, TYPES[-1])], names=NAMES)
+def unpacked_rows(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    return np.cumsum(np.frombuffer(pa.decompress(blob[8:], 8 * n, codec="zstd", asbytes=True), "<i8"))
+
+
+def row_of(at: np.ndarray, blobs: list[list[bytes]], rows: list[bytes] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.nulls(len(at), t) for t in TYPES[1:-2]), pa.array(blobs, TYPES[-2]), pa.array(rows or [None] * len(at), TYPES[-1])], names=NAMES)
 
 
 def skip_round(stored: DataFrame, v: Vocabulary, skip: np.ndarray, before: np.ndarray) -> tuple[float, float, np.ndarray]:
@@ -453,8 +510,8 @@ def skip_weights(stored: DataFrame, v: Vocabulary, n: int, rounds: int = ROUNDS,
     return skip
 
 
-#: Rows of documents whose sums travel together.
-TOGETHER = 1 << 12
+#: Rows of documents whose sums travel together, and rows whose sums a task holds before it sends them on.
+TOGETHER, HELD_ROWS = 1 << 12, 1 << 23
 
 
 def block_logs(stored: DataFrame, v: Vocabulary, skip: np.ndarray) -> DataFrame:
@@ -470,13 +527,18 @@ def block_logs(stored: DataFrame, v: Vocabulary, skip: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pa.compress(x.astype("<f4").tobytes(), codec="zstd", asbytes=True) for x in held.values()], pa.binary())], names=names)
 
         for b in batches:
-            for blobs in b.column(0):
+            for blobs, rows in zip(b.column(0), b.column(1)):
                 block = Block(blobs.as_py(), v, skip, kept_out=False).fit()
-                part, at = np.unique(block.row // TOGETHER, return_inverse=True)
-                sums = np.bincount(at * TOGETHER + block.row % TOGETHER, block.logs() * block.times, len(part) * TOGETHER).reshape(-1, TOGETHER)
-                for k, x in zip(part.tolist(), sums):
-                    held[k] = held[k] + x if k in held else x
-                if len(held) > HELD // TOGETHER * 4:
+                rows = unpacked_rows(rows.as_py())
+                sums = np.bincount(block.row, block.logs() * block.times, len(rows))
+                part, at = rows // TOGETHER, rows % TOGETHER
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+                for a, z in zip(first, [*first[1:], len(rows)]):
+                    k = int(part[a])
+                    if k not in held:
+                        held[k] = np.zeros(TOGETHER)
+                    held[k][at[a:z]] += sums[a:z]
+                if len(held) * TOGETHER > HELD_ROWS:
                     yield out()
                     held.clear()
         if held:
@@ -505,9 +567,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     v = Vocabulary(np.array(list(head.values()), np.int64), total, distinct)
     n = max(1, -(-total // BLOCK_TOKENS))
     both = Scratch(blocks(slim, head, v, n), "blocks").df
-    stored = both.where("blobs is not null").select("block", "blobs")
-    logs = Scratch(block_logs(stored.select("blobs"), v, skip_weights(stored, v, n, rounds, told)), "logs").df
-    scored = both.where("blobs is null").drop("block", "blobs")
+    stored = both.where("blobs is not null").select("block", "blobs", "rows")
+    logs = Scratch(block_logs(stored.select("blobs", "rows"), v, skip_weights(stored, v, n, rounds, told)), "logs").df
+    scored = both.where("blobs is null").drop("block", "blobs", "rows")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum("times").alias("n"))
     each = scored.drop("words", "times").join(Scratch(rare, "rare").df, "row", "left").join(logs, "row", "left")

@@ -14,6 +14,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -763,6 +764,50 @@ def test_scores_are_the_sums_of_their_tokens(spark, monkeypatch):
     assert all(got[i] == pytest.approx(want[i], abs=1e-3) for i in tokens)
 
 
+class Kept:
+    """Stands for a table and its session; keeps the functions that it is mapped by."""
+
+    def __init__(self):
+        self.maps, self.sparkSession, self.sparkContext = [], self, self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.maps.append(run)
+        return self
+
+    def same(self, *_):
+        return self
+
+    select = repartition = repartitionById = same
+
+
+def test_many_blocks_travel_together(spark):
+    """Pieces of a task's tokens are few however small a block's share of them; no token is lost on the way."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{min(rng.randrange(1, 900), rng.randrange(1, 900))}" for _ in range(300)) for _ in range(400)]
+    counts = Counter(w for t in texts for w in t.encode().split() + [b""])
+    head = dict(counts.most_common())
+    v = maxent.Vocabulary(np.array(list(head.values())), sum(head.values()), len(head))
+    docs = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([False] * 400), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    for n, most in ((4000, 500), (100, 100)):
+        slim = Kept()
+        maxent.blocks(slim, head, v, n)
+        run, gather = slim.maps
+        got = list(run(iter([docs])))
+        assert sum(x is not None for b in got for x in b.column(maxent.NAMES.index("blobs")).to_pylist()) <= most
+        tokens = 0
+        for b in gather(iter(got)):
+            for block, blobs, rows in zip(*(b.column(maxent.NAMES.index(c)).to_pylist() for c in ("block", "blobs", "rows"))):
+                if blobs:
+                    one, two, code, row, times = maxent.unpacked(blobs)
+                    assert 0 <= block < n and len(maxent.unpacked_rows(rows)) == row.max() + 1
+                    tokens += int(times.sum())
+        assert tokens == sum(counts.values())
+
+
 def test_contexts_stop_at_the_text():
     one, two = maxent.contexts(np.arange(10, 16, dtype=np.uint32), [1, 3, 2])
     s = maxent.START
