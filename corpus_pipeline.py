@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before kept. The first two drop rows (rejected documents; all but one of each
 group of near-duplicates), the third masks secrets in the texts, the fourth puts the rows in the order of the mix, the
-last packs their tokens.
+last packs their tokens along that order.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_in_order(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

@@ -7,9 +7,12 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_pieces, brute_print, brute_quality, check_packing
 
-from quarry.llm import quality, secretscan, simhash
+from quarry.llm import mixing, packing, quality, secretscan, simhash
+from quarry.llm.common import materialise
 
 
 def similar_components(docs: list[tuple]) -> dict:
@@ -177,6 +180,32 @@ def test_stages_of_odd_rows(spark, odd, nothing):
     assert docs.collect() == []
 
 
+@pytest.mark.parametrize("written", [True, False])
+def test_packing_follows_the_mix(spark, written):
+    """Sequences stand in the order of the mixed rows; a window of that order is packed by itself."""
+    rng = random.Random(8)
+    made = [(i, " ".join(words_of(rng, rng.randint(1, 300))), "ab"[i % 7 == 0]) for i in range(600)]
+    docs = mixing.mixed_order(spark.createDataFrame(made, "doc_id long, text string, source string").repartition(5), block_bytes=1000)
+    docs = docs.repartitionByRange(4, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc())
+    docs = materialise(docs, "test") if written else docs
+    want = brute_pieces([x[:2] for x in made])
+    sizes = Counter()
+    for (doc, _, _, n, _), c in want.items():
+        sizes[doc] += n * c
+    starts, at = {}, 0
+    for doc in range(599, -1, -1):
+        starts[doc] = at
+        at += sizes[doc]
+    path = corpus_pipeline.public_tokenizers.path(corpus_pipeline.TOKENIZER)
+    got = packing.pack_in_order(docs, path, window=1 << 14).collect()
+    assert check_packing(got, want) <= at / 2048 + at / (1 << 14) + 2
+    assert all(r["sequence_id"] >> 14 == starts[r["doc_id"]] + r["start"] >> 14 for r in got)
+    first = {}
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        first[r["sequence_id"]] = min(first.get(r["sequence_id"], at), starts[r["doc_id"]] + r["start"])
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
+
+
 def test_shingles_are_counted_over_all_sets(spark):
     sets = spark.createDataFrame([([1, 2, -5],), ([2, 3],), ([],), ([2],), (None,)], "shingles array<int>").repartition(3)
     counts = simhash.shingle_counts(sets)
