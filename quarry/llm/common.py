@@ -152,7 +152,8 @@ def number_rows(df: DataFrame, key: str, weight: str | None, columns: list[str],
     t = materialise(df.select(*columns).mapInArrow(run, schema), name)
     step = F.lit(1) if weight is None else F.coalesce(F.col(weight), F.lit(0))
     sums = t.groupBy(key, lane).agg(F.sum(step).cast("long").alias("total"))
-    sums = sums.select(F.col(key).alias("k"), F.col(lane).alias("l"), (F.sum("total").over(Window.partitionBy(key).orderBy(lane)) - F.col("total")).alias("base"))
+    # Written, so that its size is known: else the wide rows are shuffled for the join before it is seen to be small.
+    sums = materialise(sums.select(F.col(key).alias("k"), F.col(lane).alias("l"), (F.sum("total").over(Window.partitionBy(key).orderBy(lane)) - F.col("total")).alias("base")), f"{name}-sums")
     joined = t.join(sums, t[key].eqNullSafe(sums["k"]) & (t[lane] == sums["l"]), "left")
     return joined.select(*[t[c] for c in columns], (t[local] + sums["base"]).alias(start))
 

@@ -206,6 +206,12 @@ def test_packing_follows_the_mix(spark, written):
     assert [first[k] for k in sorted(first)] == sorted(first.values())
 
 
+def test_mixing_shuffles_texts_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = mixing.mixed_order(docs)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in x and "Broadcast" not in x for x in plan.splitlines()) == 1
+
+
 def test_shingles_are_counted_over_all_sets(spark):
     sets = spark.createDataFrame([([1, 2, -5],), ([2, 3],), ([],), ([2],), (None,)], "shingles array<int>").repartition(3)
     counts = simhash.shingle_counts(sets)
