@@ -352,6 +352,22 @@ def unlinked(listed: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+#: Bits that mark hashes, in buckets of as many as Spark's bitmaps have.
+MARKS, BUCKET = 1 << 25, 1 << 15
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a hash, may be in ``wanted``: all that are, and few others as long as few bits are set.
+
+    Wide rows that a join would drop are dropped before they are shuffled for it; the bits are 4 MB whatever the tables.
+    """
+    place = F.col(key).bitwiseAND(F.lit(MARKS - 1))
+    bucket, bit = F.floor(place / BUCKET), place.bitwiseAND(F.lit(BUCKET - 1))
+    marks = wanted.select(bucket.alias("mark_bucket"), bit.alias("bit")).groupBy("mark_bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(marks), bucket == F.col("mark_bucket")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, used: list[Scratch]) -> DataFrame:
     """Those of the pairs (a, b) that have the similarity by their own shingles."""
 
@@ -360,7 +376,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, used: list[Sc
         return used[-1].df
 
     asked = keep(pairs.select(F.col("a").alias("shingle_set")).union(pairs.select(F.col("b").alias("shingle_set"))).distinct(), "asked")
-    known = keep(sets.join(asked, "shingle_set").select("shingle_set", "shingles"), "known")
+    known = keep(marked(sets, asked, "shingle_set").join(asked, "shingle_set").select("shingle_set", "shingles"), "known")
     a, b = (known.select(F.col("shingle_set").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
 

@@ -42,6 +42,22 @@ def similar_components(docs: list[tuple]) -> dict:
     return {i: root(i) for i in parent}
 
 
+def test_sets_that_no_pair_asks_for_are_not_shuffled(spark):
+    """Wide rows go by bits before the join: all that are wanted stay, nearly no others reach the shuffle."""
+    h = F.xxhash64("id")
+    sets = spark.range(20000).select(h.alias("shingle_set"), F.array(F.col("id").cast("int")).alias("shingles"))
+    asked = spark.range(0, 20000, 50).select(h.alias("shingle_set"))
+    got = simhash.marked(sets, asked, "shingle_set")
+    assert got.columns == sets.columns
+    kept, wanted = {r[0] for r in got.collect()}, {r[0] for r in asked.collect()}
+    assert wanted <= kept and len(kept) < len(wanted) + 20
+    assert simhash.marked(sets, asked.limit(0), "shingle_set").count() == 0
+    few = spark.createDataFrame([(x,) for x in (0, -1, 32767, 32768, -(1 << 63), (1 << 63) - 1)], "shingle_set long")
+    assert simhash.marked(few, few, "shingle_set").count() == 6
+    one = spark.createDataFrame([(-1,)], "shingle_set long")
+    assert {r[0] for r in simhash.marked(few, one, "shingle_set").collect()} == {-1, (1 << 63) - 1}
+
+
 def test_near_copies_go_and_others_stay(spark):
     """Copies with two or three changed words of 150 to 400; texts that share less than the similarity."""
     rng = random.Random(3)
