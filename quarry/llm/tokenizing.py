@@ -6,15 +6,23 @@ other, are those of the whole text:
 - where white space is dropped, at all white space;
 - where a space is kept with the word after it, before a single space, and around a single line feed, between two
   characters that are not white space. Texts with other white space are cut at such spaces alone.
+
+A word of Latin letters, with punctuation after them or none, is one token of the pre-tokenizers in ``KNOWN`` for the
+letters and one for the punctuation. Such a run of letters goes to the library's model itself, which spares the
+library's bookkeeping of offsets; every other word goes through the whole library.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 
 #: White space (Unicode White_Space) and the separators FS to US, which not all libraries count as such.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -26,16 +34,41 @@ CACHE = 800_000
 LONGEST = 64
 #: Whole texts that a worker keeps, for copies; longer texts are not kept.
 COPIES, LONGEST_COPY = 3000, 8192
-ENDS = ".,;:!?"
+#: Latin letters that every version of Unicode calls so, that normalising leaves alone and that are one letter in lower case;
+#: ASCII punctuation but the apostrophe, which may begin a token with the letters after it.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+MARKS = re.escape(r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
+SIMPLE = re.compile(f"([{LETTERS}]+)([{MARKS}]{{0,8}})")
+#: Ends of words that a worker keeps at most.
+ENDS = 10_000
+#: Texts, and about how many of their characters, whose words are looked up at once.
+GROUP, GROUP_CHARS = 1024, 1 << 22
+#: (normalizer, pre-tokenizer) of which the above holds -> whether letters are put in lower case.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_CLASSES = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_FOLDED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN = [
+    (None, _BYTES | {"use_regex": True}, False),
+    (_FOLDED, {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": _CLASSES, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]}, True),
+]
+#: A byte's character in a byte-level vocabulary; line feeds stay, to part words.
+_OTHER = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+SHOWN = "".join("\n" if b == 10 else _OTHER.get(b, chr(b)) for b in range(256))
+SPACE = SHOWN[32]
 #: A token that stands alone between words, and what is written for it: many words are encoded in one call.
 BREAK = {True: ("\n", "\n"), False: ("|", " | ")}
 
 
+def common(text: str) -> bool:
+    """White space is spaces and line feeds."""
+    return not any(c in text for c in (ASCII_SPACE if text.isascii() else ASCII_SPACE + OTHER_SPACE))
+
+
 def plain(text: str) -> bool:
     """White space is single spaces and line feeds, with other characters on both sides."""
     if text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
         return False
-    return not any(c in text for c in (ASCII_SPACE if text.isascii() else ASCII_SPACE + OTHER_SPACE))
+    return common(text)
 
 
 class Encoder:
@@ -55,10 +88,22 @@ class Encoder:
         self.mark, self.between = BREAK[joined_space]
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.feed = np.array([self.mark_id], self.dtype).tobytes()
-        self.ends = dict(zip(ENDS, self._library(list(ENDS))))
+        self.ends: dict[str, bytes] = {}
+        self.simple, self.lower = self._shape(file)
+        self.tokens = self.tokenizer.model.tokenize
         self.cache: dict[str, bytes] = {}
         self.copies: dict[str, bytes] = {}
 
+    def _shape(self, file: str) -> tuple[re.Pattern[str] | None, bool]:
+        """The words whose letters the model may be given alone, and whether in lower case."""
+        with open(file, encoding="utf-8") as f:
+            shape = json.load(f)
+        for normalizer, pre_tokenizer, lower in KNOWN:
+            if (shape["normalizer"], shape["pre_tokenizer"]) == (normalizer, pre_tokenizer):
+                if not any(re.fullmatch(f"[{LETTERS}]*[{MARKS}]*", t["content"]) for t in shape["added_tokens"]):
+                    return SIMPLE, lower
+        return None, False
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -80,21 +125,43 @@ class Encoder:
             out.update(zip(part, [data[a:z] for a, z in zip(at, ends)]))
         return out
 
+    def _runs(self, runs: list[str], lead: str) -> dict[str, bytes]:
+        """Runs of letters, by the model."""
+        if not runs:
+            return {}
+        tokens, ids, ends = self.tokens, [], []
+        first = SPACE if lead else ""
+        for shown in codecs.charmap_decode("\n".join(runs).encode(), "strict", SHOWN)[0].split("\n"):
+            ids += [t.id for t in tokens(first + shown)]
+            ends.append(len(ids))
+        data, size = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
+        return {w: data[a * size : z * size] for w, a, z in zip(runs, [0, *ends], ends)}
+
     def _words(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
-        """A run of letters and the one mark after it are two tokens, so the run is encoded once for all marks."""
-        need, runs, marks = set(), [], self.ends
+        """A run of letters and the marks after it are two tokens, so the run is encoded once for all marks."""
+        simple = self.simple
+        if simple is None:
+            return self._encoded(words, lead)
+        odd, need, runs, lower, ends = [], set(), [], self.lower, self.ends
         for w in words:
-            mark = marks.get(w[-1:])
-            if mark is not None and (run := w[:-1]).isalpha():
-                runs.append((w, run, mark))
-                if run not in known:
-                    need.add(run)
-            else:
-                need.add(w)
-        out = self._encoded(list(need), lead)
-        for w, run, mark in runs:
+            m = simple.fullmatch(w)
+            if m is None:
+                odd.append(w)
+                continue
+            run, end = m.groups()
+            if lower:
+                run = run.lower()
+            runs.append((w, run, end))
+            if run not in known:
+                need.add(run)
+        if len(ends) > ENDS:
+            ends.clear()
+        new = list({end for _, _, end in runs} - ends.keys())
+        ends.update(zip(new, self._library(new)))
+        out = self._encoded(odd, lead) | self._runs(list(need), lead)
+        for w, run, end in runs:
             ids = out.get(run)
-            out[w] = (known[run] if ids is None else ids) + mark
+            out[w] = (known[run] if ids is None else ids) + ends[end]
         return out
 
     def _keys(self, keys: set[str]) -> dict[str, bytes]:
@@ -112,8 +179,13 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            for k in range(0, len(texts), 256):
-                out += self._copied(texts[k : k + 256])
+            start = chars = 0
+            for k, t in enumerate(texts):
+                if k - start == GROUP or chars > GROUP_CHARS:
+                    out += self._copied(texts[start:k])
+                    start, chars = k, 0
+                chars += len(t)
+            out += self._copied(texts[start:])
         finally:
             if collecting:
                 gc.enable()
@@ -129,39 +201,46 @@ class Encoder:
         self.copies.update((t, ids) for t, ids in made.items() if len(t) <= LONGEST_COPY)
         return out
 
-    def _parts(self, text: str) -> list[str] | None:
-        """Keys; None if the library has to see the text whole."""
+    def _parts(self, text: str) -> str | list[str] | None:
+        """Keys, or a text that is cut into them at every space; None if the library has to see the text whole."""
         if not self.joined:
+            if common(text):
+                return text.replace("\n", " ")
             return None if any(c in text for c in SEPARATORS) else text.split()
         if plain(text):
-            return ("\n" + text.replace("\n", " \n")).split(" ")
+            return "\n" + text.replace("\n", " \n")
         first, *rest = LONE_SPACE.split(text)
         return None if any(w[:1] == "\n" for w in rest) else ["\n" + first, *rest]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        """One lookup for each word; the places of those that are not known are noted and filled afterwards."""
-        get = self.cache.get
-        parts = [self._parts(t) if t else [] for t in texts]
-        found = [None if p is None else list(map(get, p)) for p in parts]
-        holes, new = [], set()
-        for p, row in zip(parts, found):
-            if row is not None and None in row:
-                at, places = -1, []
-                for _ in range(row.count(None)):
-                    at = row.index(None, at + 1)
-                    places.append(at)
-                    new.add(p[at])
-                holes.append((p, row, places))
+        """One lookup for each distinct word; ids are put in place by the words' numbers."""
+        parts = [self._parts(t) if t else None for t in texts]
+        cut = [k for k, p in enumerate(parts) if isinstance(p, str)]
+        listed = [k for k, p in enumerate(parts) if isinstance(p, list)]
+        out = [self._library([t])[0] if t and p is None else b"" for t, p in zip(texts, parts)]
+        split = pa.compute.split_pattern(pa.array([parts[k] for k in cut], pa.large_string()), " ")
+        lists = pa.array([w for k in listed for w in parts[k]], pa.large_string())
+        words = pa.concat_arrays([split.flatten(), lists]).dictionary_encode()
+        if not len(words):
+            return out
+        ends = np.cumsum([0, *pa.compute.list_value_length(split).to_pylist(), *(len(parts[k]) for k in listed)])
+        taken = self._ids(words.dictionary.to_pylist()).take(words.indices)
+        places, data = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist(), taken.buffers()[2].to_pybytes()
+        skip = self.dtype.itemsize if self.joined else 0
+        for k, a, z in zip(cut + listed, places, places[1:]):
+            out[k] = data[a + skip : z]
+        return out
+
+    def _ids(self, keys: list[str]) -> pa.Array:
+        row: list[bytes | None] = list(map(self.cache.get, keys))
+        new = [k for k, ids in zip(keys, row) if ids is None]
         if new:
-            made = self._keys(new)
-            for p, row, places in holes:
-                for at in places:
-                    row[at] = made[p[at]]
+            made = self._keys(set(new))
+            row = [made[k] if ids is None else ids for k, ids in zip(keys, row)]
             if len(self.cache) + len(made) > CACHE:
                 self.cache.clear()
             self.cache.update(made if max(map(len, made)) <= LONGEST else {k: ids for k, ids in made.items() if len(k) <= LONGEST})
-        skip = self.dtype.itemsize if self.joined else 0
-        return [self._library([t])[0] if row is None else b"".join(row)[skip:] for t, row in zip(texts, found)]
+        return pa.array(row, pa.large_binary())
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

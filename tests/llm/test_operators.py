@@ -838,3 +838,24 @@ def test_number_rows(spark):
             for start, _, w in sorted(x, key=lambda t: (t[0], t[2])):
                 assert start == at
                 at += w
+
+
+@pytest.mark.parametrize("file, joined", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_letters_go_to_the_model_and_ids_are_those_of_whole_texts(file, joined):
+    from quarry.llm.tokenizing import Encoder
+
+    class Noting(Encoder):
+        def _encoded(self, words, lead):
+            noted.extend(words)
+            return super()._encoded(words, lead)
+
+    noted: list[str] = []
+    path = public_tokenizers.path(file)
+    e, whole = Noting(path, joined), Tokenizer.from_file(path)
+    same = lambda texts: [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    latin = ["Über Straße, naïve ŒUVRE!!\nNiño (x) çà.%%% Ǆ ǅ ſ ª µ", "straße, STRASSE.\nŒuvre naïve### niño;", "one", "one,", ""]
+    assert same(latin) and same(latin)
+    assert set(noted) <= {"(x)"}  # a mark before the letters
+    rng = random.Random(5)
+    signs = [*"aAzZéÉßİıŁ÷×ªº" "'’.,!|<>_-#%&*0٣²日Σς", "e\u0301", "\u0338", "\u0307", "\u200d", "\u0345", "'s", "'LL", "<|endoftext|>", "|", " ", " ", "\n", " \n", "\n\n", "  ", "\t", "\x1c", "\x85", "\u3000", "\r\n", "." * 9]
+    assert same(["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(5000)])
