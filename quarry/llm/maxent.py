@@ -51,42 +51,56 @@ KEPT_OUT = 16
 END = b""
 #: Ids: ranks of the head, a mark for the text's start, hashes of all others above.
 START, TAIL = np.uint32(0x7FFFFFFF), 0x80000000
-#: Tokens handled at once, and distinct tokens a task holds before it hands them on.
-STEP, HELD = 1 << 18, 400_000
+#: Bytes of texts handled at once, and distinct tokens a task holds before it hands them on.
+STEP, HELD = 1 << 21, 400_000
 WIDE = np.int64(1 << 18)
 #: Tokens that a task sorts and sends on at once, blocks of a shelf at most, and shelves there are at least, if blocks do.
 GATHER, SHELF, SHELVES = 1 << 20, 8, 64
-#: Contexts handled at once where all classes of them are.
-PART = 1 << 11
+#: Contexts handled at once where all classes of them are; bigram rows of more than ``MANY`` contexts meet all skip rows,
+#: ``ROWS`` of them at once.
+PART, MANY, ROWS = 1 << 11, 32, 1 << 8
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def tokens_of(data: bytes) -> list[bytes]:
-    """Lower-cased in A-Z; words end at space and U+0009 to U+000D; then the end token."""
-    return [*data.lower().split(), END]
-
-
-def steps(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
-    """The tokens of texts in groups of about ``STEP`` tokens."""
+def steps(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in groups of about ``STEP`` bytes."""
     group, n = [], 0
     for k, data in enumerate(texts):
-        group.append(tokens_of(data))
-        n += len(group[-1])
+        group.append(data)
+        n += len(data)
         if n >= STEP or k == len(texts) - 1:
             yield group
             group, n = [], 0
 
 
-def contexts(ids: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of the texts, and how many each has: lower-cased in A-Z; words end at space and U+0009 to U+000D; then
+    the end token. No token is an object of its own."""
+    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    edges = np.flatnonzero(np.diff(space, prepend=True))
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    sizes = np.diff(ends, prepend=0) + 1
+    word = np.ones(len(starts) + len(texts), bool)
+    word[np.cumsum(sizes) - 1] = False
+    offsets = np.zeros(len(word) + 1, np.int32)
+    offsets[1:][word] = length
+    np.cumsum(offsets, out=offsets)
+    return pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]), sizes
+
+
+def contexts(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The token before and the one before that, within each text."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
-    first = np.cumsum([0, *sizes[:-1]])
+    sizes = np.asarray(sizes)
+    first = np.cumsum(sizes) - sizes
     one[first] = two[first] = START
-    two[first[np.array(sizes) > 1] + 1] = START
+    two[first[sizes > 1] + 1] = START
     return one, two
 
 
@@ -109,7 +123,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
         for b in small(batches):
             for data in utf8(b.column(0)):
-                words.update(tokens_of(data))
+                words.update(data.lower().split())
+            words[END] += b.num_rows
             if len(words) > HELD:
                 yield out()
                 words.clear()
@@ -157,30 +172,50 @@ class Vocabulary:
 def packed(base: int, one: np.ndarray, two: np.ndarray, code: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
     """By planes of bytes, most of which are zeros or repeat; ``one`` is sorted, so it is kept as differences."""
     one = np.diff(one.astype("<u4"), prepend=np.uint32(0))
-    raw = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (one, two, code, row, times))
+    raw = b"".join((x >> np.uint32(k)).astype(np.uint8).tobytes() for x in (y.astype("<u4") for y in (one, two, code, row, times)) for k in (0, 8, 16, 24))
     return np.array([base, len(one)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def planes(blob: bytes) -> tuple[np.ndarray, ...]:
     """one, two, code, row, times of a blob, in its order."""
     base, n = np.frombuffer(blob, "<i8", 2).tolist()
-    raw = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), np.uint8)
-    x = np.ascontiguousarray(raw.reshape(5, 4, n).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+    raw = np.frombuffer(pa.decompress(blob[16:], 20 * n, codec="zstd", asbytes=True), np.uint8).reshape(5, 4, n)
+    x = raw[:, 3].astype(np.uint32)
+    for k in (2, 1, 0):
+        x <<= np.uint32(8)
+        x |= raw[:, k]
     return np.cumsum(x[0], dtype=np.uint32), *x[1:3], x[3].astype(np.int64) + base, x[4]
 
 
+def ordered(key: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers below ``most``: with their places beside them they are sorted as they are, where both fit."""
+    wide = len(key).bit_length()
+    if most << wide >= 1 << 64:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.uint64) << np.uint64(wide)
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << wide) - 1)
+    return both.view(np.int64)
+
+
 def in_order(one: np.ndarray, two: np.ndarray, code: np.ndarray, row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by the first two. Arrays put together from sorted ones are merged."""
+    """Sorted by the first three. Arrays put together from sorted ones are merged."""
+    out = one, two, code, row, times
     key = one.astype(np.uint64) << np.uint64(32) | two.astype(np.uint64)
-    if (key[1:] >= key[:-1]).all():
-        return one, two, code, row, times
-    order = np.argsort(key, kind="stable")
-    return one[order], two[order], code[order], row[order], times[order]
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        key, out = key[order], tuple(x[order] for x in out)
+    key = np.cumsum(np.diff(key, prepend=key[:1]) != 0) * (4 * WIDE) + out[2]
+    if (key[1:] < key[:-1]).any():
+        order = ordered(key, int(key.max()) + 1)
+        out = tuple(x[order] for x in out)
+    return out
 
 
 def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """one, two, code, row, times of all blobs, sorted by the first two."""
-    return in_order(*(np.concatenate(c) for c in zip(*map(planes, blobs))))
+    """one, two, code, row, times of all blobs, sorted by the first three."""
+    return in_order(*(planes(blobs[0]) if len(blobs) == 1 else (np.concatenate(c) for c in zip(*map(planes, blobs)))))
 
 
 def narrowed(two: np.ndarray) -> np.ndarray:
@@ -189,16 +224,72 @@ def narrowed(two: np.ndarray) -> np.ndarray:
     return np.where(two < own, two, own + (hashed(two) % np.uint64((1 << 16) - own)).astype(np.int64))
 
 
-def cells(one: np.ndarray, two: np.ndarray, rows: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
-    """A hash of all that must be in one block together. ``texts``: how often a text starts."""
+def cells(one: np.ndarray, two: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of all that must be in one block together. ``a``, ``b``: how often ``one`` and ``two`` are."""
+    pair, apart = np.minimum(a, b) // HEAVY_PAIR, np.zeros(len(one), np.int64)
+    heavy = np.flatnonzero(pair)
+    apart[heavy] = rows[heavy] % (pair[heavy] + 1)
+    return hashed(one, np.where(a > HEAVY, two, 0), apart)
+
+
+class Contexts:
+    """Contexts, in the order of their bigram rows, and sums over them. It costs less to multiply a bigram row with all
+    skip rows than to pick those of more than ``MANY`` contexts."""
+
+    def __init__(self, g: np.ndarray, s: np.ndarray, n_g: int):
+        self.n, self.n_g = len(g), n_g
+        per = np.bincount(g, minlength=n_g)
+        many = per > MANY
+        self.many, self.ends = np.flatnonzero(many), np.cumsum(np.r_[0, per[many]])
+        among = many[g]
+        self.dense, self.light = np.flatnonzero(among), np.flatnonzero(~among)
+        self.cell = (np.cumsum(many) - 1)[g[self.dense]] * SKIP_ROWS + s[self.dense]
+        self.g, self.s = g[self.light], s[self.light]
+
+    def tables(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some bigram rows of many contexts; these contexts, and their places among all cells of those rows."""
+        for a in range(0, len(self.many), ROWS):
+            rows = self.many[a : a + ROWS]
+            at = slice(self.ends[a], self.ends[a + len(rows)])
+            yield rows, self.dense[at], self.cell[at] - a * SKIP_ROWS
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some of the other contexts, their bigram rows and skip rows."""
+        for a in range(0, len(self.light), PART):
+            yield self.light[a : a + PART], self.g[a : a + PART], self.s[a : a + PART]
+
+    def sums(self, rows: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """Of each context, over the classes."""
+        out = np.empty(self.n)
+        for many, at, cell in self.tables():
+            out[at] = np.matmul(rows[many], skips.T).reshape(-1).take(cell)
+        for at, g, s in self.parts():
+            out[at] = np.einsum("hc,hc->h", rows.take(g, axis=0), skips.take(s, axis=0))
+        return out
 
-    def count(ids: np.ndarray) -> np.ndarray:
-        ids = ids.astype(np.int64)
-        known = ids < len(counts)
-        return np.where(ids == int(START), texts, np.where(known, np.r_[counts, 0][np.where(known, ids, -1)], 0))
+    def by_bigram(self, rate: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """[bigram row, class]"""
+        out = np.zeros((self.n_g, CLASSES))
+        for many, at, cell in self.tables():
+            rates = np.bincount(cell, rate[at], len(many) * SKIP_ROWS).astype(np.float32)
+            out[many] = np.matmul(rates.reshape(-1, SKIP_ROWS), skips)
+        for at, g, s in self.parts():
+            x = skips.take(s, axis=0)
+            x *= rate[at].astype(np.float32)[:, None]
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            out[g[first]] += np.add.reduceat(x, first, axis=0)
+        return out
 
-    a, pair = count(one), np.minimum(count(one), count(two)) // HEAVY_PAIR
-    return hashed(one, np.where(a > HEAVY, two, 0), np.where(pair > 0, rows % (pair + 1), 0))
+    def by_skip(self, rate: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """[skip row, class]"""
+        out = np.zeros((SKIP_ROWS, CLASSES))
+        for many, at, cell in self.tables():
+            rates = np.bincount(cell, rate[at], len(many) * SKIP_ROWS).astype(np.float32)
+            out += np.matmul(rates.reshape(-1, SKIP_ROWS).T, rows[many])
+        light = rate[self.light]
+        for c in range(CLASSES):
+            out[:, c] += np.bincount(self.s, light * rows[:, c].take(self.g), SKIP_ROWS)
+        return out
 
 
 class Block:
@@ -208,61 +299,60 @@ class Block:
     def __init__(self, blobs: list[bytes], v: Vocabulary, skip: np.ndarray, kept_out: bool, members: bool = True):
         self.v, self.skip, self.members = v, skip, members
         one, two, code, self.row, times = unpacked(blobs)
-        self.w, flags = (code >> 2).astype(np.int64), code & 3
-        self.times = times.astype(np.float64)
+        self.w, self.times, flags = (code >> 2).astype(np.int32), times, code & 3
         self.out = flags == 2
-        fit = (flags == 0) | (flags == 2) & (not kept_out)
+        t = (times * ((flags == 0) | (flags == 2) & (not kept_out))).astype(np.float64)
         new_g = np.r_[True, one[1:] != one[:-1]]
         new_h = new_g | np.r_[True, two[1:] != two[:-1]]
-        self.g, self.h = np.cumsum(new_g) - 1, np.cumsum(new_h) - 1
+        self.g, self.h = (np.cumsum(x, dtype=np.int32) - 1 for x in (new_g, new_h))
         self.n_g, self.n_h = int(self.g[-1]) + 1, int(self.h[-1]) + 1
         first = np.flatnonzero(new_h)
-        self.g_of_h, before = self.g[first], two[first]
+        self.g_of_h, before = self.g[first].astype(np.int64), two[first]
+        del one, two, code, flags
         self.skip_row = np.where(before < SKIP_ROWS - 1, before, hashed(before) % np.uint64(SKIP_ROWS)).astype(np.int64)
-        self.c = v.cls[self.w]
-        t = self.times * fit
+        self.c = v.cls[self.w].astype(np.int8)
         self.n_of_h = np.bincount(self.h, t, self.n_h)
-        self.seen = np.bincount(self.c * self.n_g + self.g, t, CLASSES * self.n_g).reshape(CLASSES, self.n_g)
-        on = np.flatnonzero(t > 0)
-        self.pair_keys, first, at = np.unique(self.h[on] * CLASSES + self.c[on], return_index=True, return_inverse=True)
-        self.pair_n = np.bincount(at, t[on], len(self.pair_keys))
-        self.pair_h, self.pair_c = self.h[on][first], self.c[on][first]
-        self.pair_g, self.pair_s = self.g_of_h[self.pair_h], self.skip_row[self.pair_h]
-        self.bigram, self.trigram = np.zeros((CLASSES, self.n_g)), np.zeros(len(self.pair_keys))
+        #: Contexts that the fit sees, and their places among these.
+        on = np.flatnonzero(self.n_of_h)
+        place = np.cumsum(self.n_of_h > 0) - 1
+        self.seen_contexts, self.n_of_seen = Contexts(self.g_of_h[on], self.skip_row[on], self.n_g), self.n_of_h[on]
+        self.seen = np.bincount(self.g * CLASSES + self.c, t, self.n_g * CLASSES).reshape(self.n_g, CLASSES).T
+        # Classes rise with tokens, which rise within a context.
+        first, self.pair_n, self.pair_of = runs(new_h | np.r_[True, self.c[1:] != self.c[:-1]], t)
+        self.pair_keys = self.h[first] * np.int64(CLASSES) + self.c[first]
+        self.pair_gc = self.g[first] * np.int64(CLASSES) + self.c[first]
+        self.pair_at, self.pair_sc = place[self.h[first]], self.skip_row[self.h[first]] * CLASSES + self.c[first]
+        #: [class, bigram row]; the classes of a row lie together.
+        self.bigram, self.trigram = np.zeros((self.n_g, CLASSES)).T, np.zeros(len(self.pair_keys))
         self.of_skip = np.exp(skip)
         if members:
-            self._members(t)
-
-    def class_sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """[class, bigram row] without trigrams and skips; of each pair its mass without its trigram; by context the normaliser."""
-        of_bigram = np.exp(self.v.bias[:, None] + self.bigram)
-        mass = of_bigram[self.pair_c, self.pair_g] * self.of_skip[self.pair_c, self.pair_s]
-        z = np.bincount(self.pair_h, mass * np.expm1(self.trigram), self.n_h)
-        skips = by_row(self.of_skip)
-        for a, x in self.parts(by_row(of_bigram), self.g_of_h):
-            z[a : a + PART] += np.einsum("hc,hc->h", x, skips[self.skip_row[a : a + PART]])
-        return of_bigram, mass, z
-
-    def parts(self, table: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The rows of the table for some contexts at a time."""
-        for a in range(0, self.n_h, PART):
-            yield a, table[at[a : a + PART]]
+            self._members(new_h | np.r_[True, self.w[1:] != self.w[:-1]], t)
+
+    def class_masses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """[bigram row, class] without trigrams and skips; of each pair its mass without its trigram, and what the trigram adds."""
+        of_bigram = np.exp(self.bigram.T + self.v.bias)
+        mass = of_bigram.reshape(-1).take(self.pair_gc)
+        mass *= np.ascontiguousarray(self.of_skip.T).reshape(-1).take(self.pair_sc)
+        return of_bigram, mass, mass * np.expm1(self.trigram)
+
+    def class_rates(self) -> tuple[np.ndarray, ...]:
+        """As above; by context of the fit its tokens over its normaliser."""
+        of_bigram, mass, more = self.class_masses()
+        z = np.bincount(self.pair_at, more, len(self.n_of_seen))
+        z += self.seen_contexts.sums(of_bigram.astype(np.float32), by_row(self.of_skip))
+        return of_bigram, mass, more, self.n_of_seen / z
 
     def class_gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Seen less expected, and expected, of the bigram rows and of the trigram pairs."""
-        of_bigram, mass, z = self.class_sums()
-        rate = self.n_of_h / z
-        tri = rate[self.pair_h] * mass
-        bi = np.zeros((self.n_g, CLASSES))
-        thin = rate.astype(np.float32)
-        for a, x in self.parts(by_row(self.of_skip), self.skip_row):
-            g = self.g_of_h[a : a + PART]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            bi[g[first]] += np.add.reduceat(x * thin[a : a + PART, None], first, axis=0)
-        bi = np.ascontiguousarray(bi.T) * of_bigram
-        bi += np.bincount(self.pair_c * self.n_g + self.pair_g, tri * np.expm1(self.trigram), bi.size).reshape(bi.shape)
-        tri *= np.exp(self.trigram)
-        return self.seen - bi, bi, self.pair_n - tri, tri
+        of_bigram, mass, more, rate = self.class_rates()
+        bi = self.seen_contexts.by_bigram(rate, by_row(self.of_skip))
+        bi *= of_bigram
+        of_pair = rate.take(self.pair_at)
+        more *= of_pair
+        bi += np.bincount(self.pair_gc, more, bi.size).reshape(bi.shape)
+        mass *= of_pair
+        mass += more
+        return self.seen - bi.T, bi.T, self.pair_n - mass, mass
 
     def class_step(self) -> None:
         bi, bi_mass, tri, tri_mass = self.class_gradients()
@@ -272,43 +362,60 @@ class Block:
 
     def skip_sums(self) -> tuple[np.ndarray, np.ndarray]:
         """[class, skip row]: seen less expected, and expected."""
-        of_bigram, mass, z = self.class_sums()
-        rate = self.n_of_h / z
-        at = self.pair_c * SKIP_ROWS + self.pair_s
-        expected = np.stack([np.bincount(self.skip_row, rate * of_bigram[c][self.g_of_h], SKIP_ROWS) for c in range(CLASSES)]) * self.of_skip
-        expected += np.bincount(at, rate[self.pair_h] * mass * np.expm1(self.trigram), expected.size).reshape(expected.shape)
-        return np.bincount(at, self.pair_n, expected.size).reshape(expected.shape) - expected, expected
-
-    def _members(self, t: np.ndarray) -> None:
+        of_bigram, _, more, rate = self.class_rates()
+        expected = self.seen_contexts.by_skip(rate, of_bigram.astype(np.float32)) * self.of_skip.T
+        expected += np.bincount(self.pair_sc, rate.take(self.pair_at) * more, expected.size).reshape(expected.shape)
+        return (np.bincount(self.pair_sc, self.pair_n, expected.size).reshape(expected.shape) - expected).T, expected.T
+
+    def _members(self, new: np.ndarray, t: np.ndarray) -> None:
         """The pairs that have weights: (bigram row, token) and (trigram row, token), and the (context, class) that they are in."""
-        on = np.flatnonzero((t > 0) & (self.w < self.v.n))
-        w, h, g, t = self.w[on], self.h[on], self.g[on], t[on]
-        self.tri_keys, first, at = np.unique(h * WIDE + w, return_index=True, return_inverse=True)
-        self.tri_n = np.bincount(at, t, len(self.tri_keys))
-        w, h, g = w[first], h[first], g[first]
-        self.bi_keys, first, self.bi_of_tri = np.unique(g * WIDE + w, return_index=True, return_inverse=True)
+        first, self.tri_n, self.tri_of = runs(new, t * (self.w < self.v.n))
+        w, g = self.w[first], self.g[first]
+        self.tri_keys, self.share_tri = self.h[first] * WIDE + w, self.v.share[w]
+        key = g * WIDE + w
+        order = ordered(key, self.n_g * int(WIDE))
+        key = key[order]
+        new = np.diff(key, prepend=-1) != 0
+        self.bi_of_tri = np.empty(len(key), np.int64)
+        self.bi_of_tri[order] = np.cumsum(new) - 1
+        self.bi_keys = key[new]
         self.bi_n = np.bincount(self.bi_of_tri, self.tri_n, len(self.bi_keys))
-        self.share_bi, self.share_tri = self.v.share[w[first]], self.v.share[w]
-        self.gc_of_bi = g[first] * CLASSES + self.v.cls[w[first]]
-        self.hc_keys, first, self.hc_of_tri = np.unique(h * CLASSES + self.v.cls[w], return_index=True, return_inverse=True)
-        self.hc_n = np.bincount(self.hc_of_tri, self.tri_n, len(self.hc_keys))
-        self.gc_of_hc = (g * CLASSES + self.v.cls[w])[first]
+        w = self.bi_keys % WIDE
+        self.share_bi = self.v.share[w]
+        gc = self.bi_keys // WIDE * CLASSES + self.v.cls[w]
+        new = np.diff(gc, prepend=-1) != 0
+        self.gc_keys, self.gc_of_bi = gc[new], np.cumsum(new) - 1
+        # Those of the first softmax, but for the tail's.
+        head = self.pair_keys % CLASSES < CLASSES - 1
+        number = np.r_[np.where(head, np.cumsum(head) - 1, head.sum()), head.sum()].astype(np.int32)
+        self.hc_n, self.hc_of = self.pair_n[head], number[self.pair_of]
+        self.hc_of_tri = self.hc_of[first].astype(np.int64)
+        self.gc_of_hc = np.empty(len(self.hc_n), np.int64)
+        self.gc_of_hc[self.hc_of_tri] = self.gc_of_bi[self.bi_of_tri]
         self.vb, self.vt = np.zeros(len(self.bi_keys)), np.zeros(len(self.tri_keys))
 
-    def normalisers(self) -> tuple[np.ndarray, np.ndarray]:
-        """By (bigram row, class); and what a (context, class) adds."""
-        row = 1 + np.bincount(self.gc_of_bi, self.share_bi * np.expm1(self.vb), self.n_g * CLASSES)
-        more = np.bincount(self.hc_of_tri, self.share_tri * np.exp(self.vb[self.bi_of_tri]) * np.expm1(self.vt), len(self.hc_keys))
-        return row, more
+    def member_masses(self) -> tuple[np.ndarray, ...]:
+        """By (bigram row, class) the normaliser; what a (context, class) adds; the masses of the bigram pairs, and of the
+        trigram pairs without their trigrams; what these add to one."""
+        more_bi, more_tri = np.expm1(self.vb), np.expm1(self.vt)
+        more_bi *= self.share_bi
+        row = 1 + np.bincount(self.gc_of_bi, more_bi, len(self.gc_keys))
+        more_bi += self.share_bi
+        mass = more_bi.take(self.bi_of_tri)
+        return row, np.bincount(self.hc_of_tri, mass * more_tri, len(self.hc_n)), more_bi, mass, more_tri
 
     def member_gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Seen less expected, and expected, of the bigram pairs and of the trigram pairs."""
-        row, more = self.normalisers()
-        rate = self.hc_n / (row[self.gc_of_hc] + more)
-        mass = self.share_tri * np.exp(self.vb[self.bi_of_tri])
-        tri = rate[self.hc_of_tri] * mass * np.exp(self.vt)
-        extra = np.bincount(self.bi_of_tri, rate[self.hc_of_tri] * np.expm1(self.vt), len(self.bi_keys))
-        bi = self.share_bi * np.exp(self.vb) * (np.bincount(self.gc_of_hc, rate, self.n_g * CLASSES)[self.gc_of_bi] + extra)
+        row, more, bi, tri, more_tri = self.member_masses()
+        rate = self.hc_n / (row.take(self.gc_of_hc) + more)
+        of_pair = rate.take(self.hc_of_tri)
+        tri *= of_pair
+        of_pair *= more_tri
+        extra = np.bincount(self.bi_of_tri, of_pair, len(self.bi_keys))
+        extra += np.bincount(self.gc_of_hc, rate, len(self.gc_keys)).take(self.gc_of_bi)
+        bi *= extra
+        more_tri += 1
+        tri *= more_tri
         return self.bi_n - bi, bi, self.tri_n - tri, tri
 
     def member_step(self) -> None:
@@ -324,31 +431,52 @@ class Block:
                 self.member_step()
         return self
 
-    def class_logs(self) -> np.ndarray:
-        of_bigram, _, z = self.class_sums()
-        out = np.log(of_bigram[self.c, self.g]) + np.log(self.of_skip)[self.c, self.skip_row[self.h]] - np.log(z)[self.h]
-        return out + found(self.pair_keys, self.h * CLASSES + self.c, self.trigram) if len(self.pair_keys) else out
+    def class_logs(self, at: np.ndarray | None = None) -> np.ndarray:
+        """Of all tokens, or of those at some places."""
+        h, g, c, pair = (x if at is None else x[at] for x in (self.h, self.g, self.c, self.pair_of))
+        new = np.diff(h, prepend=-1) != 0
+        of = h[new]
+        of_bigram, _, more = self.class_masses()
+        z = np.bincount(self.pair_keys // CLASSES, more, self.n_h)[of]
+        z += Contexts(self.g_of_h[of], self.skip_row[of], self.n_g).sums(of_bigram.astype(np.float32), by_row(self.of_skip))
+        out = (self.bigram.T + self.v.bias).reshape(-1).take(g * CLASSES + c) + np.log(self.of_skip)[c, self.skip_row[h]]
+        return out - np.log(z)[np.cumsum(new) - 1] + np.r_[self.trigram, 0.0].take(pair)
 
     def logs(self) -> np.ndarray:
         """Of each token, natural; of a tail token that of its class."""
-        out = self.class_logs() + np.log(self.v.share[self.w])
+        out = self.class_logs() + np.log(self.v.share)[self.w]
         if len(self.tri_keys):
-            head = np.flatnonzero(self.w < self.v.n)
-            w, h, g, c = self.w[head], self.h[head], self.g[head], self.c[head]
-            row, more = self.normalisers()
-            z = row[g * CLASSES + c] + found(self.hc_keys, h * CLASSES + c, more)
-            out[head] += found(self.bi_keys, g * WIDE + w, self.vb) + found(self.tri_keys, h * WIDE + w, self.vt) - np.log(z)
+            row, more, *_ = self.member_masses()
+            rows = np.ones(self.n_g * CLASSES)
+            rows[self.gc_keys] = row
+            out -= np.log(rows.take(self.g * CLASSES + self.c) + np.r_[more, 0.0].take(self.hc_of))
+            out += np.r_[self.vt + self.vb.take(self.bi_of_tri), 0.0].take(self.tri_of)
+            rest = np.flatnonzero(self.tri_of == len(self.tri_keys))
+            out[rest] += found(self.bi_keys, self.g[rest] * WIDE + self.w[rest], self.vb)
         return out
 
 
+def runs(new: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs that begin where ``new`` is and have some ``t``: where they begin, and their ``t``. And the run of each
+    place, their number for one that is in none."""
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(t, first)
+    on = n > 0
+    number = np.where(on, np.cumsum(on) - 1, on.sum()).astype(np.int32)
+    return first[on], n[on], np.repeat(number, np.diff(np.r_[first, len(t)]))
+
+
 def by_row(table: np.ndarray) -> np.ndarray:
     """[class, row] as [row, class], so that what is read together lies together."""
     return np.ascontiguousarray(table.T, dtype=np.float32)
 
 
 def moved(rest: np.ndarray, weight: np.ndarray, expected: np.ndarray, prior: float) -> np.ndarray:
-    """A step up the gradient, scaled by the curvature, and bounded."""
-    return np.clip(RATE * (rest - prior * weight) / (expected + prior), -1, 1)
+    """A step up the gradient, scaled by the curvature, and bounded. It takes the place of ``rest``."""
+    rest -= prior * weight
+    rest /= expected + prior
+    rest *= RATE
+    return np.clip(rest, -1, 1, out=rest)
 
 
 def found(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -377,7 +505,9 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
         def sent() -> pa.RecordBatch:
             """The pending tokens, by shelf, block and context; equal neighbours are one."""
             at, one, two, code, row = (np.concatenate(c) for c in zip(*pending))
-            order = np.argsort(one.astype(np.int64) << 16 | two, kind="stable")
+            pending.clear()
+            order = np.argsort(two, kind="stable")
+            order = order[ordered(one[order], 1 << 32)]
             order = order[np.argsort(at[order].astype(np.uint16) if n <= 1 << 16 else at[order], kind="stable")]
             at, one, two, code, row = at[order], one[order], two[order], code[order], row[order]
             first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (code[1:] != code[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
@@ -388,41 +518,45 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
             blobs = [[np.bincount(at[a:z] % wide, minlength=wide).astype("<i8").tobytes(), packed(since, *(x[a:z] for x in (one, two, code, row, times)))] for a, z in zip(cut, [*cut[1:], len(at)])]
             return row_of(shelf[cut], blobs)
 
-        logs = np.log10(counts + 0.5)
+        logs, often = np.r_[np.log10(counts + 0.5), 0.0], np.r_[counts, 0]
         for b in small(batches):
             done = 0
             for group in steps(utf8(b.column(2))):
-                m, sizes = len(group), [len(t) for t in group]
-                words = list(itertools.chain.from_iterable(group))
-                ids = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
-                rare = np.flatnonzero(ids < 0)
+                m = len(group)
+                words, sizes = tokens_of(group)
+                words = words.dictionary_encode()
+                # Looked up once for all that are equal.
+                distinct, codes = words.dictionary, words.indices.to_numpy()
+                each = distinct.to_pylist()
+                ids = np.fromiter(map(get, each, itertools.repeat(-1)), np.int64, len(each))
+                rare = ids < 0
+                w = np.where(rare, len(counts), ids)
+                ids[rare] = [TAIL | zlib.crc32(each[k]) & 0x7FFFFFFF for k in np.flatnonzero(rare).tolist()]
                 owner = np.repeat(np.arange(m), sizes)
-                w = np.where(ids < 0, len(counts), ids)
-                part = np.bincount(owner, np.r_[logs, 0.0][w], m)
-                known = np.bincount(owner, ids >= 0, m).astype(np.int64)
-                ids[rare] = [TAIL | zlib.crc32(words[k]) & 0x7FFFFFFF for k in rare.tolist()]
-                tails: list[Counter] = [Counter() for _ in range(m)]
-                for k, j in zip(rare.tolist(), owner[rare].tolist()):
-                    tails[j][words[k]] += 1
+                part = np.bincount(owner, logs[w][codes], m)
+                tail = np.flatnonzero(rare[codes])
+                known = sizes - np.bincount(owner[tail], minlength=m)
+                tails, times = np.unique(owner[tail] * len(each) + codes[tail], return_counts=True)
+                cuts = pa.array(np.searchsorted(tails, np.arange(m + 1) * len(each)), pa.int32())
                 out, doc = b.column(1).slice(done, m), b.column(0).slice(done, m)
                 rows = base + np.arange(m)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows % shelves), pa.array(rows), doc, out, pa.array(sizes, pa.int64()), pa.array(known), pa.array(part),
-                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())), *(pa.nulls(m, t) for t in TYPES[-2:]),
+                        pa.array(rows % shelves), pa.array(rows), doc, out, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(part),
+                        pa.ListArray.from_arrays(cuts, distinct.take(pa.array(tails % len(each)))), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())), *(pa.nulls(m, t) for t in TYPES[-2:]),
                     ],
                     names=NAMES,
                 )
-                one, two = contexts(ids.astype(np.uint32), sizes)
+                one, two = contexts(ids.astype(np.uint32)[codes], sizes)
+                a, c = (np.where(x == START, texts, y) for x, y in zip((one, two), contexts(often[w][codes], sizes)))
                 flags = np.where(out.to_numpy(zero_copy_only=False).astype(bool), 1, np.where(hashed(rows) % np.uint64(KEPT_OUT) == 0, 2, 0))
-                at = (cells(one, two, rows[owner], counts, texts) % np.uint64(n)).astype(np.int64)
-                pending.append((at, one, narrowed(two), (w << 2 | flags[owner]).astype(np.uint32), (owner + (base - since)).astype(np.uint32)))
+                at = (cells(one, two, rows[owner], a, c) % np.uint64(n)).astype(np.int32)
+                pending.append((at, one, narrowed(two).astype(np.uint16), ((w << 2).astype(np.uint32)[codes] | flags.astype(np.uint32)[owner]), (owner + (base - since)).astype(np.uint32)))
                 done += m
                 base += m
-                tokens += len(words)
+                tokens += len(codes)
                 if tokens >= GATHER:
                     yield sent()
-                    pending.clear()
                     since, tokens = base, 0
         if pending:
             yield sent()
@@ -446,15 +580,29 @@ def blocks(slim: DataFrame, head: dict[bytes, int], v: Vocabulary, n: int) -> Da
                         part.append([x[a:z] for x in arrays])
             for j, part in enumerate(parts):
                 if part:
-                    one, two, code, row, times = in_order(*(np.concatenate(c) for c in zip(*part)))
+                    rows = placed(part)
+                    one, two, code, place, times = in_order(*(np.concatenate(c) for c in zip(*part)))
                     part.clear()
-                    rows, place = np.unique(row, return_inverse=True)
                     yield row_of(np.array([k * wide + j]), [[packed(0, one, two, code, place, times)]], [packed_rows(rows)])
 
     made = slim.select("doc_id", "held_out", "text").mapInArrow(run, BLOCKS)
     return made.repartitionById(shelves, F.col("block").cast("int")).mapInArrow(gather, BLOCKS)
 
 
+def placed(parts: list[list[np.ndarray]]) -> np.ndarray:
+    """The rows of all parts, ascending; each part names them by their places in it. No two parts share a row."""
+    found, n = [], 0
+    for part in sorted(parts, key=lambda x: int(x[3][0])):
+        least = part[3].min()
+        at = part[3] - least
+        there = np.zeros(int(at.max()) + 1, bool)
+        there[at] = True
+        found.append(np.flatnonzero(there) + least)
+        part[3] = (np.cumsum(there) - 1 + n)[at]
+        n += len(found[-1])
+    return np.concatenate(found)
+
+
 def packed_rows(rows: np.ndarray) -> bytes:
     """Ascending numbers, as differences."""
     return np.int64(len(rows)).tobytes() + pa.compress(np.diff(rows, prepend=0).astype("<i8").tobytes(), codec="zstd", asbytes=True)
@@ -480,12 +628,13 @@ def skip_round(stored: DataFrame, v: Vocabulary, skip: np.ndarray, before: np.nd
         for b in batches:
             for blobs in b.column(0):
                 block = Block(blobs.as_py(), v, skip, kept_out=True, members=False).fit()
-                likely[0] += float((block.class_logs() * block.times)[block.out].sum())
+                out = np.flatnonzero(block.out)
+                likely[0] += float((block.class_logs(out) * block.times[out]).sum())
                 r, e = block.skip_sums()
                 rest += r
                 expected += e
                 block.of_skip = np.exp(before)
-                likely[1] += float((block.class_logs() * block.times)[block.out].sum())
+                likely[1] += float((block.class_logs(out) * block.times[out]).sum())
         at = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, at]), pa.array(np.r_[likely, rest.ravel()[at]]), pa.array(np.r_[0.0, 0.0, expected.ravel()[at]])], names=["weight", "rest", "expected"])
 

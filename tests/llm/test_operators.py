@@ -808,6 +808,73 @@ def test_many_blocks_travel_together(spark):
         assert tokens == sum(counts.values())
 
 
+def test_tokens_are_looked_up_once_a_group(spark):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *x):
+            Counting.asked += 1
+            return super().get(*x)
+
+    texts = ["The the  a\tb\x0bthe \u00c9\x00 \u00c9", None, " \n", "rare " + "the a " * 500, "b\x1cb\u00a0b rare"]
+    words = [[*lower(t or "").encode().split(), b""] for t in texts]
+    counts = Counter({b"": 5, b"the": 504, b"a": 501})
+    v = maxent.Vocabulary(np.array(list(counts.values())), 2000, 100)
+    docs = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([False] * 5), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    slim = Kept()
+    maxent.blocks(slim, dict(counts), v, 1)
+    slim.value = (Counting(slim.value[0]), *slim.value[1:])
+    got = list(slim.maps[0](iter([docs])))[0]
+    assert Counting.asked == len({w for x in words for w in x})
+    for k, x in enumerate(words):
+        r = got.slice(k, 1).to_pylist()[0]
+        assert (r["n_tokens"], r["known"]) == (len(x), sum(w in counts for w in x))
+        assert r["part"] == pytest.approx(sum(math.log10(counts[w] + 0.5) for w in x if w in counts))
+        assert dict(zip(r["words"], r["times"])) == Counter(w for w in x if w not in counts)
+
+
+@pytest.mark.parametrize("many", [0, 3, 99])
+def test_sums_over_contexts(monkeypatch, many):
+    """As multiplied out one by one, however many contexts a bigram row has; rows without any too."""
+    monkeypatch.setattr(maxent, "MANY", many)
+    monkeypatch.setattr(maxent, "ROWS", 2)
+    rng = np.random.default_rng(3)
+    g = np.sort(rng.choice([0, 0, 0, 1, 2, 4, 4, 5, 7, 8], 60))
+    s = rng.integers(0, maxent.SKIP_ROWS, 60)
+    rows, skips, rate = rng.random((10, maxent.CLASSES), np.float32), rng.random((maxent.SKIP_ROWS, maxent.CLASSES), np.float32), rng.random(60)
+    c = maxent.Contexts(g, s, 10)
+    assert c.sums(rows, skips) == pytest.approx((rows[g] * skips[s]).sum(axis=1), rel=1e-5)
+    bigrams, by_skip = np.zeros((10, maxent.CLASSES)), np.zeros((maxent.SKIP_ROWS, maxent.CLASSES))
+    np.add.at(bigrams, g, rate[:, None] * skips[s])
+    np.add.at(by_skip, s, rate[:, None] * rows[g])
+    assert c.by_bigram(rate, skips) == pytest.approx(bigrams, rel=1e-5)
+    assert c.by_skip(rate, rows) == pytest.approx(by_skip, rel=1e-5)
+    none = maxent.Contexts(g[:0], s[:0], 10)
+    assert not len(none.sums(rows, skips)) and not none.by_bigram(rate[:0], skips).any() and not none.by_skip(rate[:0], rows).any()
+
+
+def test_model_of_rows_with_many_contexts(monkeypatch):
+    monkeypatch.setattr(maxent, "MANY", 4)
+    test_model_is_the_softmax_of_its_weights()
+    test_gradients_are_those_of_the_likelihood()
+    b = small_block().fit()
+    out = np.flatnonzero(b.out)
+    assert 0 < len(out) < len(b.h) and b.class_logs(out) == pytest.approx(b.class_logs()[out])
+    assert not len(b.class_logs(out[:0]))
+
+
+def test_order_of_a_block():
+    rng = np.random.default_rng(5)
+    one, two, code, row = (rng.integers(0, n, 500) for n in (5, 4, 9, 50))
+    got = maxent.in_order(one.astype(np.uint32) + np.uint32(maxent.TAIL), two, code, row, np.ones(500))
+    assert list(zip(*(x.tolist() for x in got[:3]))) == sorted(zip((one + maxent.TAIL).tolist(), two.tolist(), code.tolist()))
+    for most in (50, 1 << 60):
+        assert maxent.ordered(row, most).tolist() == np.argsort(row, kind="stable").tolist()
+    parts = [[None, None, None, x] for x in (np.array([905, 901, 905]), np.array([7, 3, 3, 9]))]
+    assert maxent.placed(parts).tolist() == [3, 7, 9, 901, 905]
+    assert [p[3].tolist() for p in parts] == [[4, 3, 4], [1, 0, 0, 2]]
+
+
 def test_contexts_stop_at_the_text():
     one, two = maxent.contexts(np.arange(10, 16, dtype=np.uint32), [1, 3, 2])
     s = maxent.START
