@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,19 @@ def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, BATCH_ROWS)
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of a text column: a longer text is a batch of its own."""
+    for b in batches:
+        texts = b.column(b.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+            stop = max(stop, at + 1)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdshard, langid, maxent, mixing, packing, quality, secretscan, simhash, tokenfile, topk
+from . import filteraudit, kdshard, langid, maxent, mixing, packing, periodicruns, quality, secretscan, simhash, tokencount, tokenfile, topk
 from .common import table
 
-BYTES_TOKENIZER, WORDS_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTES_TOKENIZER, WORDS_TOKENIZER, PIECES_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+#: Tokens beyond which a document is over the limit of op11.
+TOKEN_LIMIT = 4096
 
 
 def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,43 @@ def op10_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES_TOKENIZER), TOKEN_LIMIT)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where some texts, told by their id's CRC-32, end in words that repeat. Without an id: as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def tailed(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        new = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(new, " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    made = F.get(F.transform(F.array(words), tailed), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicruns.find_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    # By start, then period: the first of the greatest stays.
+    best = F.aggregate("runs", F.lit(None).cast(periodicruns.RUN), lambda b, r: F.when(b.isNull() | (r.length * b.period > b.length * r.period), r).otherwise(b))
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -68,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_cross_parsing,
             op9_best_fit_packing,
             op10_hashed_maxent,
+            op11_token_counts,
+            op12_periodic_runs,
+            op13_filter_audit,
         )
     }
 
@@ -101,5 +143,26 @@ FROM base
 """
 
 
+AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+  [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+   coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), FALSE)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+letters AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT a.x AS a, b.x AS b, c.x AS c, d.x AS d, e.x AS e FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT part, good, toxic, fails, [a, b, c, d, e] AS steps, CASE WHEN fails[a] THEN 1 WHEN fails[b] THEN 2 WHEN fails[c] THEN 3 WHEN fails[d] THEN 4 WHEN fails[e] THEN 5 ELSE 6 END AS first
+  FROM f, o),
+s AS (SELECT part, good, toxic, fails, first, list_aggregate(list_transform(steps, lambda x: substr('ABCDE', CAST(x AS INTEGER), 1)), 'string_agg', '') AS filter_order,
+  CAST(unnest(range(1, 6)) AS INTEGER) AS step, unnest(steps) AS letter FROM r),
+n AS (SELECT part, filter_order, step, letter, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+  count(*) FILTER (first < step AND fails[letter]) AS redundant, count(*) FILTER (fails[letter] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+  count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_top_k": TOP_K_SQL, "op5_quality_cascade": QUALITY_SQL}
+    return {"op1_pivot_top_k": TOP_K_SQL, "op5_quality_cascade": QUALITY_SQL, "op13_filter_audit": AUDIT_SQL}
