@@ -56,8 +56,11 @@ class Search:
         self.keys = lowering.needed_captures(self.ast)
         self.reads = lowering.needs_content(self.ast)
 
+    def _metadata(self) -> Q.Node | bool:
+        return (unsound_metadata_part if self.options.unsound_prefilter else metadata_part)(self.ast)
+
     def _prefilter(self):
-        part = (unsound_metadata_part if self.options.unsound_prefilter else metadata_part)(self.ast)
+        part = self._metadata()
         return F.lit(part) if isinstance(part, bool) else lowering.condition(part, self.context)
 
     @property
@@ -67,24 +70,30 @@ class Search:
     @property
     def prefiltered(self) -> DataFrame:
         """What the metadata predicates leave, as far as they bound the whole query from above."""
-        return self.candidates.where(self._prefilter())
+        return self.corpus.narrowed(self._metadata(), self.context).where(self._prefilter()).drop(*self.corpus.internal)
 
     def _loaded(self, files: DataFrame) -> DataFrame:
         return gated(self.corpus.with_content(files), self.options.error_mode == "fail_fast" or self.options.semantic_strict)
 
     def _read_bound(self, p: Q.Predicate):
-        """What metadata and the whole text say about a predicate; True where they say nothing."""
-        return p if p.key in Q.METADATA_KEYS or p.key in Q.CONTENT_KEYS and lowering.text_bound(p, self.context) is not None else True
+        """What metadata and the whole text say about a predicate; True where they say nothing. A regular expression that
+        is tested line by line still needs its literal text."""
+        if p.key in Q.METADATA_KEYS:
+            return p
+        if p.key not in Q.CONTENT_KEYS:
+            return True
+        return p if lowering.text_bound(p, self.context) is not None else lowering.required_text(p, self.context) or True
 
     def _evaluated(self, files: DataFrame, strict: bool | None = None) -> DataFrame:
         """Adds the columns that conditions read. Texts that content predicates rule out are not tokenized."""
         override = {"generic": "sql", "postgres": "sqlpg", "mysql": "sqlmysql", "sqlite": "sqlsqlite"}.get(self.options.sql_dialect or "", self.options.language)
         out = self._loaded(files)
         content = any(p.key in Q.CONTENT_KEYS for p in Q.predicates(self.ast))
-        if self.keys:
+        by_line = any(p.key == "matches" and lowering.text_bound(p, self.context) is None for p in Q.predicates(self.ast))
+        if content and (self.keys or by_line) and not self.options.unsound_prefilter:
             part = weakened(self.ast, self._read_bound)
-            if content and not self.options.unsound_prefilter:
-                out = out.where(F.lit(part) if isinstance(part, bool) else lowering.condition(part, self.context))
+            out = out.where(F.lit(part) if isinstance(part, bool) else lowering.condition(part, self.context))
+        if self.keys:
             out = with_captures(out.drop("low"), self.keys, override, self.options.semantic_strict if strict is None else strict)
             if content:
                 out = out.withColumn("low", F.lower("text"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+from quarry.functions.patterns import bounded, java_members
 from quarry.plans.query import QueryError
 
 #: Units of sizes in bytes and of times in seconds.
@@ -76,7 +77,8 @@ FLAGS = "(?dU)"
 
 
 def without_escapes(pattern: str) -> str:
-    return re.sub(r"\\[^1-9kGZX]", "", pattern)
+    """With a plain character for each escaped one."""
+    return re.sub(r"\\[^1-9kGZX]", "x", pattern)
 
 
 def line_regex(pattern: str) -> str:
@@ -86,10 +88,22 @@ def line_regex(pattern: str) -> str:
     return FLAGS + pattern.replace("(?P<", "(?<")
 
 
-def checked_regex(spark, pattern: str) -> str:
-    java = line_regex(pattern)
+@dataclass(frozen=True)
+class Regex:
+    """``java``: as Java takes it, without repetitions that take exponential time. ``literal``: a text that every matching
+    line holds, or empty."""
+
+    java: str
+    literal: str
+
+
+def checked_regex(spark, pattern: str) -> Regex:
+    compiles = spark._jvm.java.util.regex.Pattern.compile
     try:
-        spark._jvm.java.util.regex.Pattern.compile(java)
+        compiles(line_regex(pattern))
+    except QueryError:
+        raise
     except Exception as e:
         raise QueryError(f"Invalid regular expression: '{pattern}'") from e
-    return java
+    safe, literal = bounded(pattern, java_members(spark))
+    return Regex(line_regex(pattern) if safe == pattern else FLAGS + safe.replace("(?P<", "(?<"), literal)

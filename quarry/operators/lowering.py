@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarry.capture.profiles import CONTAINS_KEYS
 from quarry.functions.globs import has_glob, name_regex, path_regex, plain_name
 from quarry.functions.lines import bound, line_range, no_hunks
-from quarry.functions.values import checked_regex, size_value, time_value
+from quarry.functions.values import Regex, checked_regex, size_value, time_value
 from quarry.plans.query import CONTENT_KEYS, KEYS, METADATA_KEYS, REACT_KEYS, SEMANTIC_KEYS, And, Node, Not, Or, Predicate, QueryError, flatten, predicates
 
 
@@ -45,7 +45,7 @@ def validate(node: Node, context: Context) -> None:
         if p.key not in KEYS:
             raise QueryError(f"Unknown predicate key: '{p.key}'")
         if p.key == "matches":
-            context.regexes[p.value] = checked_regex(context.spark, p.value)
+            _regex(p, context)
         elif p.key in METADATA_KEYS:
             metadata(p, context)
 
@@ -113,8 +113,20 @@ def line_test(p: Predicate, c: Context):
     if p.key == "contains":
         needle = p.value
         return lambda line: F.contains(F.lower(line), F.lower(F.lit(needle)))
-    regex = c.regexes.get(p.value) or checked_regex(c.spark, p.value)
-    return lambda line: F.regexp_like(line, F.lit(regex))
+    regex = _regex(p, c)
+    return lambda line: F.regexp_like(line, F.lit(regex.java))
+
+
+def _regex(p: Predicate, c: Context) -> Regex:
+    if p.value not in c.regexes:
+        c.regexes[p.value] = checked_regex(c.spark, p.value)
+    return c.regexes[p.value]
+
+
+def required_text(p: Predicate, c: Context) -> Predicate | None:
+    """A predicate on the text as a whole that holds wherever a regular expression matches; None if nothing is known."""
+    literal = _regex(p, c).literal if p.key == "matches" else ""
+    return Predicate("contains", literal) if literal.strip() else None
 
 
 def text_bound(p: Predicate, c: Context) -> Column | None:

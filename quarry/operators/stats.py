@@ -51,6 +51,16 @@ def skip_counts(listing: DataFrame) -> DataFrame:
     return listing.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("files"))
 
 
+#: Fixed value: exclusions that are told one by one.
+EXCLUSIONS = 25
+
+
+def exclusions(listing: DataFrame, most: int = EXCLUSIONS) -> DataFrame:
+    """The first files, by path, that discovery left out or couldn't read: why, where the rule stands, and the rule."""
+    told = listing.where("skip_reason IS NOT NULL").select(F.col("root_relative_path").alias("path"), F.col("skip_reason").alias("reason"), F.col("skip_source").alias("source"), F.col("skip_rule").alias("rule"))
+    return told.orderBy("path").limit(most)
+
+
 def tokenized(search) -> DataFrame:
     """Files that captures were sought in, by language, and how many captures there were; null: files without a language."""
     each = search._evaluated(search.prefiltered, strict=False)

@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+import json
 import os
-import posixpath
 import stat
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ignore import GLOBAL_IGNORE, Rules
+from quarry.plans.query import Node
+
+from .ignore import global_rules
+from .inversion import EPOCH, STEP, Layout, Paths, TreePaths, component, narrowed
 from .policy import MAX_BYTES
+from .tree import FILES, FORMAT, PUSHDOWN, Tree
 
-FILES = (
-    "file_id string, root string, display_path string, resolved_path string, root_relative_path string, resolution string, name string, ext string, parent_rel string, depth int, "
-    "size_bytes long, modified_at timestamp, modified_unix_millis long, readonly boolean, permissions string, file_type string, stable_token string, device_id long, inode long"
-)
 DEFAULT_DEPTH = 100
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """``files`` has the columns of ``FILES``, and ``content`` (binary) or ``text``, or ``load`` to add ``content``."""
+    """``files`` has the columns of ``FILES``, and ``content`` (binary) or ``text``, or ``load`` to add ``content``. What is
+    given as a function is made anew at each use."""
 
-    files: DataFrame
+    made: DataFrame | Callable[[], DataFrame]
     root: str
     load: Callable[[DataFrame], DataFrame] | None = None
     #: Of a real directory: every file found with the reason why it was left out, or null.
-    listing: DataFrame | None = None
+    found: Callable[[], DataFrame] | None = None
+    #: What conditions on paths say about the columns of ``source``, and how files are made of it.
+    layout: Layout | None = None
+    source: DataFrame | None = None
+    build: Callable[[DataFrame], DataFrame] | None = None
+    #: Columns of ``files`` that no result shows.
+    internal: tuple[str, ...] = ()
+
+    @property
+    def files(self) -> DataFrame:
+        return self.made() if callable(self.made) else self.made
+
+    @property
+    def listing(self) -> DataFrame | None:
+        return self.found() if self.found else None
+
+    def narrowed(self, node: Node | bool, context) -> DataFrame:
+        """The files that a tree of metadata predicates can hold for, or more: those that scans can tell from the rest."""
+        condition = narrowed(node, self.layout, context) if self.layout else None
+        if condition is None:
+            return self.files
+        return self.build(self.source.where(condition)) if self.build else self.files.where(condition)
 
     def with_content(self, files: DataFrame) -> DataFrame:
         return self.load(files) if self.load else files
@@ -57,8 +79,9 @@ def path_columns(path: Column, root: str) -> dict[str, Column]:
     }
 
 
-def from_table(df: DataFrame, path: Column, text: Column, modified: Column | None = None, root: str = "/corpus", file_id: Column | None = None, keep: tuple[str, ...] = ()) -> Corpus:
-    """Rows of a table as text files. The columns of a query that are not asked for are not read."""
+def from_table(df: DataFrame, path: Column, text: Column, modified: Column | None = None, root: str = "/corpus", file_id: Column | None = None, keep: tuple[str, ...] = (), layout: Layout | None = None) -> Corpus:
+    """Rows of a table as text files. The columns of a query that are not asked for are not read. ``layout``: what paths say
+    about the table's columns."""
     stamp = F.lit(None).cast("timestamp") if modified is None else modified.cast("timestamp")
     made = {
         "file_id": (path if file_id is None else file_id).cast("string"),
@@ -74,23 +97,24 @@ def from_table(df: DataFrame, path: Column, text: Column, modified: Column | Non
         "inode": F.lit(None).cast("long"),
         "text": text,
     }
-    return Corpus(df.select(*(c.alias(n) for n, c in made.items()), *keep), root)
+    build = lambda rows: rows.select(*(c.alias(n) for n, c in made.items()), *keep)
+    return Corpus(build(df), root, layout=layout, source=df, build=build)
 
 
 def synthetic_time(number: Column) -> Column:
     """A fixed time for a row without one: hours after the first of January 2024, UTC."""
-    return F.timestamp_seconds(F.lit(1704067200) + number * 3600)
+    return F.timestamp_seconds(F.lit(EPOCH) + number * STEP)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Corpus:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return from_table(df, path, F.col("text"), synthetic_time(F.col("doc_id")), "/documents", F.col("doc_id"))
+    path = F.concat_ws("/", component(F.col("lang")), component(F.col("source")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return from_table(df, path, F.col("text"), synthetic_time(F.col("doc_id")), "/documents", F.col("doc_id"), layout=Paths(("lang", "source"), "doc_id", ".txt"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> Corpus:
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return from_table(df, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"), synthetic_time(F.col("page_id")), "/web", F.col("page_id"))
+    return from_table(df, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"), synthetic_time(F.col("page_id")), "/web", F.col("page_id"), layout=Paths(("=pages",), "page_id", ".html"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -101,12 +125,13 @@ def conversations(spark: SparkSession, sf_dir: str) -> Corpus:
 
 def benchmark(spark: SparkSession, sf_dir: str) -> Corpus:
     df = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return from_table(df, F.concat(F.lit("benchmark/"), F.col("item_id").cast("string"), F.lit(".txt")), F.col("text"), synthetic_time(F.col("item_id")), "/benchmark", F.col("item_id"))
+    return from_table(df, F.concat(F.lit("benchmark/"), F.col("item_id").cast("string"), F.lit(".txt")), F.col("text"), synthetic_time(F.col("item_id")), "/benchmark", F.col("item_id"), layout=Paths(("=benchmark",), "item_id", ".txt"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> Corpus:
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return from_table(df, F.concat_ws("/", "event_type", F.concat(F.col("event_id").cast("string"), F.lit(".json"))), F.col("props"), F.col("ts"), "/events", F.col("event_id"))
+    path = F.concat_ws("/", component(F.col("event_type")), F.concat(F.col("event_id").cast("string"), F.lit(".json")))
+    return from_table(df, path, F.col("props"), F.col("ts"), "/events", F.col("event_id"), layout=Paths(("event_type",), "event_id", ".json", "ts"))
 
 
 def from_rows(spark: SparkSession, rows: list[tuple], root: str = "/made") -> Corpus:
@@ -117,82 +142,57 @@ def from_rows(spark: SparkSession, rows: list[tuple], root: str = "/made") -> Co
     return Corpus(made.withColumnRenamed("text", "content"), root)
 
 
-def _mode(info: os.stat_result) -> str:
-    return stat.filemode(info.st_mode)
-
-
-def list_directory(root: str, hidden: bool = False, no_ignore: bool = False, max_depth: int = DEFAULT_DEPTH, rules: Rules | None = None) -> list[tuple]:
-    """(row of FILES, reason it is left out or None) for every regular file under the root, links not followed."""
-    base = os.path.realpath(root)
-    rules = rules or Rules.of(base, no_ignore, GLOBAL_IGNORE)
-    out, seen, stack = [], set(), [("", 0)]
-    while stack:
-        where, depth = stack.pop()
-        try:
-            entries = sorted(os.scandir(posixpath.join(base, where)), key=lambda e: e.name)
-        except OSError:
-            out.append(((where,), "unreadable"))
-            continue
-        rules.enter(where)
-        for e in entries:
-            rel = posixpath.join(where, e.name)
-            if e.is_dir(follow_symlinks=False):
-                if no_ignore or not rules.closed(rel):
-                    stack.append((rel, depth + 1))
-                continue
-            if not e.is_file(follow_symlinks=False):
-                continue
-            real = os.path.realpath(e.path)
-            if real in seen:
-                continue
-            seen.add(real)
-            info = e.stat(follow_symlinks=False)
-            reason = None
-            if depth + 1 > max_depth:
-                reason = "max_depth"
-            elif not hidden and any(p.startswith(".") and p not in (".", "..") for p in rel.split("/")):
-                reason = "hidden"
-            elif not no_ignore and rules.ignored(rel):
-                reason = "ignored"
-            elif os.path.commonpath([base, real]) != base:
-                reason = "outside_root"
-            stem, dot, ext = e.name.rpartition(".")
-            out.append(
-                (
-                    (
-                        real, base, posixpath.join(root, rel), real, rel, "canonical", e.name, ext if stem and dot else None, where, depth + 1, info.st_size,
-                        datetime.fromtimestamp(info.st_mtime, timezone.utc), int(info.st_mtime_ns // 1_000_000), not info.st_mode & 0o222, _mode(info), "file", None, info.st_dev, info.st_ino,
-                    ),
-                    reason,
-                )
-            )
-    return out
-
-
-def read_small(path: str) -> tuple[bytes | None, str | None]:
-    """The content, or why it can't be read. What has grown beyond the limit since it was listed is read no further."""
-    try:
-        with open(path, "rb") as f:
-            return f.read(MAX_BYTES + 1), None
-    except OSError as e:
-        return None, e.strerror or type(e).__name__
-
-
-def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, max_depth: int = DEFAULT_DEPTH) -> Corpus:
-    """A directory that the driver lists and the executors can read; Spark's own listing leaves out names in _ and dots."""
-    found = list_directory(root, hidden, no_ignore, max_depth)
-    files = spark.createDataFrame([r for r, reason in found if reason is None], FILES)
-    listing = spark.createDataFrame([(r[4] if len(r) > 1 else r[0], reason) for r, reason in found], "path string, skip_reason string")
+def snapshot(info: os.stat_result) -> tuple:
+    return info.st_size, info.st_mtime_ns // 1_000_000, not info.st_mode & 0o222, stat.filemode(info.st_mode), info.st_dev, info.st_ino
 
-    def load(df: DataFrame) -> DataFrame:
-        import pyarrow as pa
 
-        def run(batches):
-            for b in batches:
-                paths, sizes = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("resolved_path", "size_bytes"))
-                read = [read_small(p) if n <= MAX_BYTES else (None, None) for p, n in zip(paths, sizes)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in read], pa.binary()), pa.array([e for _, e in read], pa.string())], names=[*b.schema.names, "content", "load_error"])
+SNAPSHOT = ("size", "time", "readonly", "mode", "device", "node")
 
-        return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("content", T.BinaryType()), T.StructField("load_error", T.StringType())]))
 
-    return Corpus(files, os.path.realpath(root), load, listing)
+def read_small(path: str, listed: tuple | None = None) -> tuple[bytes | None, str | None, str | None]:
+    """The content, or why it can't be read, and what is not as it was listed or changed meanwhile. What has grown beyond
+    the limit since it was listed is read no further."""
+    try:
+        with open(path, "rb") as f:
+            before = snapshot(os.fstat(f.fileno()))
+            content = f.read(MAX_BYTES + 1)
+            after = snapshot(os.fstat(f.fileno()))
+    except OSError as e:
+        return None, e.strerror or type(e).__name__, None
+    changed = [n for n, was, x, y in zip(SNAPSHOT, listed or before, before, after) if not was == x == y]
+    return content, None, ",".join(changed) or None
+
+
+def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, max_depth: int = DEFAULT_DEPTH, pinned: bool = True) -> Corpus:
+    """A directory that the driver and the executors can read; tasks list it (Spark's own listing leaves out names in _ and
+    dots). ``pinned``: it is listed once and kept for all searches. Otherwise every search lists it anew, but only what its
+    metadata predicates ask for."""
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"The root '{root}' does not exist or can't be read.")
+    spark.dataSource.register(Tree)
+    spark.conf.set(PUSHDOWN, "true")
+    options = {"root": os.path.realpath(root), "shown": root, "hidden": str(hidden), "no_ignore": str(no_ignore), "max_depth": str(max_depth), "global_rules": json.dumps(() if no_ignore else global_rules())}
+    # Spark keeps pushed filters with the relation that they were pushed to, so no two uses share one.
+    listing = lambda: spark.read.format(FORMAT).options(**options).load()
+    files = lambda: listing().where("skip_reason IS NULL")
+    if pinned:
+        files = files().persist(StorageLevel.DISK_ONLY)
+        files.count()
+    return Corpus(files, os.path.realpath(root), read_files, listing, TreePaths(), internal=("ext_low", "skip_reason", "skip_source", "skip_rule"))
+
+
+def read_files(df: DataFrame) -> DataFrame:
+    """Adds ``content`` and ``load_error``, and ``changed``: what differs from the listing. What has changed between the
+    first look at an open file and the last, or since it was listed, is told apart by size, time, node and mode."""
+    import pyarrow as pa
+
+    listed = ("size_bytes", "modified_unix_millis", "readonly", "permissions", "device_id", "inode")
+
+    def run(batches):
+        for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
+            read = [read_small(p, tuple(was)) if was[0] <= MAX_BYTES else (None, None, None) for p, was in zip(column("resolved_path"), zip(*map(column, listed)))]
+            made = [pa.array([x for x, _, _ in read], pa.binary()), *(pa.array([r[k] for r in read], pa.string()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "content", "load_error", "changed"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("content", T.BinaryType()), T.StructField("load_error", T.StringType()), T.StructField("changed", T.StringType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from dataclasses import dataclass
 from pathlib import Path
 
 #: Left out unless a root ignore file takes them back in.
@@ -41,60 +42,77 @@ def rule_regex(pattern: str) -> str:
     return ("" if anchored else "(?:.*/)?") + out
 
 
+@dataclass(frozen=True)
+class Rule:
+    source: str
+    text: str
+    regex: re.Pattern
+    negated: bool
+    only_dirs: bool
+
+
 class Rules:
-    """The last rule that matches a file, or a directory above it, decides."""
+    """The last rule that matches a file, or a directory above it, decides. Rules of the directories above the one that was
+    entered last are kept, no others."""
 
     def __init__(self, base: str, no_ignore: bool = False, extra: tuple[str, ...] = ()):
         self.base, self.no_ignore = base, no_ignore
-        self.rules: list[tuple[str, re.Pattern, bool, bool]] = []
+        self.own = [r for line in extra if (r := self._rule(line, "global"))]
+        self.rules: dict[str, list[Rule]] = {}
         self.back: list[re.Pattern] = []
-        self.defaults = [re.compile(rule_regex("/" + p if not p.startswith("**") else p)) for p in DEFAULT_IGNORES]
-        for line in extra:
-            self._add("", line)
+        self.defaults = [(p, re.compile(rule_regex("/" + p if not p.startswith("**") else p))) for p in DEFAULT_IGNORES]
 
     @staticmethod
-    def of(base: str, no_ignore: bool = False, global_file: str | None = None) -> Rules:
-        lines = Path(global_file).read_text(errors="replace").splitlines() if global_file and Path(global_file).is_file() else []
-        return Rules(base, no_ignore, tuple(lines))
-
-    def _add(self, where: str, line: str) -> None:
+    def _rule(line: str, source: str) -> Rule | None:
         line = line.strip()
         if not line or line.startswith("#"):
-            return
+            return None
         negated = line.startswith("!")
         body = line[negated:].strip()
         only_dirs, body = body.endswith("/"), body.rstrip("/")
-        if body:
-            self.rules.append((where, re.compile(rule_regex(body)), negated, only_dirs))
+        return Rule(source, line, re.compile(rule_regex(body)), negated, only_dirs) if body else None
 
     def enter(self, where: str) -> None:
         """Reads the ignore files of a directory, before its entries are looked at."""
         if self.no_ignore:
             return
+        self.rules = {w: r for w, r in self.rules.items() if not w or where == w or where.startswith(w + "/")}
+        found = []
         for name in IGNORE_FILES:
             file = Path(self.base, where, name)
             if file.is_file():
                 for line in file.read_text(errors="replace").splitlines():
-                    self._add(where, line)
+                    if rule := self._rule(line, posixpath.join(where, name)):
+                        found.append(rule)
                     if not where and name == OWN_FILE and line.strip().startswith("!"):
                         body = line.strip()[1:].strip()
                         self.back.append(re.compile(rule_regex("/" + body + "**" if body.endswith("/") else "/" + body)))
+        if found:
+            self.rules[where] = found
 
     def closed(self, rel: str) -> bool:
         """Whether nothing below a directory can be taken in, so that it need not be listed: a default rule has all of it,
         and no rule takes anything back."""
-        return not self.back and any(r.fullmatch(rel + "/x") for r in self.defaults) and rel.split("/")[-1] in CLOSED
+        return not self.back and any(r.fullmatch(rel + "/x") for _, r in self.defaults) and rel.split("/")[-1] in CLOSED
 
-    def ignored(self, rel: str) -> bool:
-        if any(r.fullmatch(rel) for r in self.defaults) and not any(r.fullmatch(rel) for r in self.back):
-            return True
-        verdict = False
-        for where, rule, negated, only_dirs in self.rules:
+    def ignoring(self, rel: str) -> tuple[str, str] | None:
+        """Where the rule stands that leaves a file out, and the rule; None if the file stays."""
+        default = next((p for p, r in self.defaults if r.fullmatch(rel)), None)
+        if default and not any(r.fullmatch(rel) for r in self.back):
+            return "default", default
+        last = None
+        for where, rules in (("", self.own), *sorted(self.rules.items())):
             if where and not rel.startswith(where + "/"):
                 continue
             below = posixpath.relpath(rel, where) if where else rel
             parts = below.split("/")
-            names = ["/".join(parts[:k]) for k in range(1, len(parts) + (not only_dirs))]
-            if any(rule.fullmatch(n) for n in names):
-                verdict = not negated
-        return verdict
+            names = ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
+            for rule in rules:
+                if any(rule.regex.fullmatch(n) for n in (names[:-1] if rule.only_dirs else names)):
+                    last = rule
+        return None if last is None or last.negated else (last.source, last.text)
+
+
+def global_rules(file: str = GLOBAL_IGNORE) -> tuple[str, ...]:
+    """The lines of a user's own rules."""
+    return tuple(Path(file).read_text(errors="replace").splitlines()) if Path(file).is_file() else ()
