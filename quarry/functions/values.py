@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from quarry.functions.patterns import bounded, java_members
+from quarry.functions.patterns import Table, bounded, java_members
 from quarry.plans.query import QueryError
 
 #: Units of sizes in bytes and of times in seconds.
@@ -90,11 +90,13 @@ def line_regex(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Regex:
-    """``java``: as Java takes it, without repetitions that take exponential time. ``literal``: a text that every matching
-    line holds, or empty."""
+    """``java``: as Java takes it, without repetitions that take exponential time; None: only the table decides. ``literal``:
+    a text that every matching line holds, or empty. ``table``: decides long lines, for a pattern that Java might run out
+    of stack over."""
 
-    java: str
+    java: str | None
     literal: str
+    table: Table | None = None
 
 
 def checked_regex(spark, pattern: str) -> Regex:
@@ -105,5 +107,7 @@ def checked_regex(spark, pattern: str) -> Regex:
         raise
     except Exception as e:
         raise QueryError(f"Invalid regular expression: '{pattern}'") from e
-    safe, literal = bounded(pattern, java_members(spark))
-    return Regex(line_regex(pattern) if safe == pattern else FLAGS + safe.replace("(?P<", "(?<"), literal)
+    safe, literal, table = bounded(pattern, java_members(spark))
+    if safe is None:
+        return Regex(None, literal, table)
+    return Regex(line_regex(pattern) if safe == pattern else FLAGS + safe.replace("(?P<", "(?<"), literal, table)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.capture.profiles import CONTAINS_KEYS
 from quarry.functions.globs import has_glob, name_regex, path_regex, plain_name
 from quarry.functions.lines import bound, line_range, no_hunks
+from quarry.functions.patterns import accepted
 from quarry.functions.values import Regex, checked_regex, size_value, time_value
 from quarry.plans.query import CONTENT_KEYS, KEYS, METADATA_KEYS, REACT_KEYS, SEMANTIC_KEYS, And, Node, Not, Or, Predicate, QueryError, flatten, predicates
 
@@ -109,12 +110,20 @@ def _compare(left: Column, operator: str, right: Column) -> Column:
 WITHIN_LINES = re.compile(r"(?:[A-Za-z0-9 _:;,<>=@#%&~\"'/!-]|\[[^\^\\\[\]\x00-\x1f][^\\\[\]\x00-\x1f]*\]|\\[dw]|[+*?|()]|\{[0-9,]+\})*")
 
 
+#: Characters of a line up to which Java's stack holds any loop.
+SHORT = 1000
+
+
 def line_test(p: Predicate, c: Context):
     if p.key == "contains":
         needle = p.value
         return lambda line: F.contains(F.lower(line), F.lower(F.lit(needle)))
     regex = _regex(p, c)
-    return lambda line: F.regexp_like(line, F.lit(regex.java))
+    if regex.table is None:
+        return lambda line: F.regexp_like(line, F.lit(regex.java))
+    if regex.java is None:
+        return lambda line: accepted(line, regex.table)
+    return lambda line: F.when(F.length(line) <= SHORT, F.regexp_like(line, F.lit(regex.java))).otherwise(accepted(line, regex.table))
 
 
 def _regex(p: Predicate, c: Context) -> Regex:
@@ -131,7 +140,7 @@ def required_text(p: Predicate, c: Context) -> Predicate | None:
 
 def text_bound(p: Predicate, c: Context) -> Column | None:
     """What the whole text satisfies if and only if one of its lines passes; None if nothing simple."""
-    if p.key == "matches" and WITHIN_LINES.fullmatch(p.value):
+    if p.key == "matches" and WITHIN_LINES.fullmatch(p.value) and _regex(p, c).table is None:
         return (F.col("text") != "") & line_test(p, c)(F.col("text"))
     if p.key == "contains" and p.value and "\n" not in p.value and "\r" not in p.value:
         return F.contains("low", F.lower(F.lit(p.value)))

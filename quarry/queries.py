@@ -117,8 +117,8 @@ add_hunks("matches_class", r"matches:^[A-Z][^,]*,\s[a-z]", "regexp_matches(line,
 # Patterns that a backtracking matcher needs exponential time for unless they are rewritten.
 add_hunks("matches_nested_repeat", "matches:'^([A-Za-z]+[ ,.]?)+$'", "regexp_matches(line, '^([A-Za-z]+[ ,.]?)+$')")
 add_hunks("matches_overlapping_choice", "matches:'^([a-z]|[a-z ]|[A-Z,.]+)*$'", "regexp_matches(line, '^([a-z]|[a-z ]|[A-Z,.]+)*$')")
-add_files("matches_counted_repeat", "matches:'([a-z]+,? ?){4}[0-9]'", "regexp_matches(t, '([a-z]+,? ?){4}[0-9]')")
-add_hunks("matches_with_literal", r"matches:^.*\blicen[cs]e\b[^,]*$ & !matches:copyright", r"regexp_matches(line, '^.*\blicen[cs]e\b[^,]*$')", "NOT contains(t, 'copyright')")
+add_files("matches_counted_repeat", "matches:'([a-z]+,? ?){12}[0-9]'", "regexp_matches(t, '([a-z]+,? ?){12}[0-9]')")
+add_hunks("matches_with_literal", r"matches:^.*\b[Ll]icen[cs]e\b[^,]*$ & !matches:copyright", r"regexp_matches(line, '^.*\b[Ll]icen[cs]e\b[^,]*$')", "NOT contains(t, 'copyright')")
 
 # --- the algebra of verdicts and ranges
 
