@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.lines import RANGE
+from quarry.sources.policy import LEFT
 
 from .profiles import extract, select, supported_keys
 
@@ -19,23 +21,41 @@ ARROW_RANGE = pa.struct([(n, pa.int64() if n.endswith("byte") else pa.int32()) f
 ARROW = pa.list_(pa.struct([("key", pa.string()), ("text", pa.string()), ("range", ARROW_RANGE)]))
 
 
-def with_captures(files: DataFrame, keys: tuple[str, ...], override: str | None = None, strict: bool = False) -> DataFrame:
-    """Adds ``profile``, ``supported`` (the keys that the file's language has) and ``captures``. ``strict``: a file
-    without a language ends the search."""
-    schema = T.StructType([*files.schema, *T.StructType.fromDDL(f"profile string, supported array<string>, captures {CAPTURES}")])
+class Clock:
+    """Says whether a file's seconds are used up, and keeps that it has said so."""
+
+    def __init__(self, budget: float | None):
+        self.end, self.over = None if budget is None else time.monotonic() + budget, False
+
+    def __call__(self) -> bool:
+        self.over = self.over or self.end is not None and time.monotonic() > self.end
+        return self.over
+
+
+def with_captures(files: DataFrame, keys: tuple[str, ...], override: str | None = None, strict: bool = False, budget: float | None = None, deadline: float | None = None) -> DataFrame:
+    """Adds ``profile``, ``supported`` (the keys that the file's language has), ``captures`` and ``exhausted``. ``strict``: a
+    file without a language ends the search. ``budget``: seconds for a file; what it has given until then counts, and it is
+    exhausted. ``deadline``, in seconds of the clock: files whose turn comes later are left."""
+    schema = T.StructType([*files.schema, *T.StructType.fromDDL(f"profile string, supported array<string>, captures {CAPTURES}, exhausted boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            profiles, supported, captures = [], [], []
-            for path, ext, text in zip(*(b.column(names.index(c)).to_pylist() for c in ("display_path", "ext", "text"))):
+            profiles, supported, captures, exhausted = [], [], [], []
+            states = b.column(names.index("content_state")).to_pylist()
+            for k, (path, ext, text) in enumerate(zip(*(b.column(names.index(c)).to_pylist() for c in ("display_path", "ext", "text")))):
+                if deadline and time.time() > deadline:
+                    states[k], text = LEFT, ""
+                clock = Clock(budget)
                 p = select(ext, text or "", override)
                 if strict and p is None:
                     raise ValueError(f"Unsupported language for semantic predicates: {path}")
                 profiles.append(p and p.id)
                 supported.append([k for k in keys if k in supported_keys(p)] if p else [])
-                captures.append([{"key": k, "text": t, "range": dict(zip(FIELDS, r))} for k, t, r in (extract(p, text or "", keys) if p else ())])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(profiles, pa.string()), pa.array(supported, pa.list_(pa.string())), pa.array(captures, ARROW)], names=[*names, "profile", "supported", "captures"])
+                captures.append([{"key": k, "text": t, "range": dict(zip(FIELDS, r))} for k, t, r in (extract(p, text or "", keys, None if budget is None else clock) if p else ())])
+                exhausted.append(clock.over)
+            columns = [pa.array(states, c.type) if n == "content_state" else c for n, c in zip(names, b.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(profiles, pa.string()), pa.array(supported, pa.list_(pa.string())), pa.array(captures, ARROW), pa.array(exhausted, pa.bool_())], names=[*names, "profile", "supported", "captures", "exhausted"])
 
     return files.mapInArrow(run, schema)
 

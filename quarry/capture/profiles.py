@@ -771,8 +771,9 @@ def supported_keys(profile: Profile) -> list[str]:
     return [k for k in profile.finders if k not in EMPTY.get(profile.id, ())]
 
 
-def extract(profile: Profile, text: str, keys: tuple[str, ...]) -> list[tuple]:
-    """(key, text, (start byte, end byte, start row, start column, end row, end column)) of all captures for the keys."""
+def extract(profile: Profile, text: str, keys: tuple[str, ...], over: Callable[[], bool] | None = None) -> list[tuple]:
+    """(key, text, (start byte, end byte, start row, start column, end row, end column)) of all captures for the keys; of
+    those found before ``over`` says that time is up."""
     own = [k for k in keys if k in supported_keys(profile)]
     if not own or not text:
         return []
@@ -784,6 +785,8 @@ def extract(profile: Profile, text: str, keys: tuple[str, ...]) -> list[tuple]:
     out = []
     for key in own:
         for a, z in profile.finders[key](source):
+            if over and over():
+                return out
             r, s = bisect_right(starts, a) - 1, bisect_right(starts, z) - 1
             out.append((key, text[a:z], (byte(a), byte(z), r, byte(a) - byte(starts[r]), s, byte(z) - byte(starts[s]))))
     return out

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.capture.extract import with_captures
-from quarry.functions.lines import line_starts, lines
+from quarry.execution import late
+from quarry.functions.lines import line_starts, lines, no_hunks
 from quarry.operators import lowering
 from quarry.operators.lowering import Context
 from quarry.plans import query as Q
 from quarry.plans.presets import Presets, effective_query
 from quarry.plans.rewrite import cost_sorted, metadata_part, unsound_metadata_part, weakened
 from quarry.sources.files import Corpus
-from quarry.sources.policy import gated
+from quarry.sources.policy import LEFT, gated
 
 
 class SearchError(RuntimeError):
@@ -40,6 +41,11 @@ class Options:
     #: "skip_errors": an unreadable file is a result without content; "fail_fast": it ends the search.
     error_mode: str = "skip_errors"
     max_semantic_matches: int | None = None
+    #: Seconds for the captures of one file; what was found until then counts.
+    semantic_budget: float | None = None
+    #: A time of the clock, in seconds, after which no further file is looked into: ``results`` then have those files, too,
+    #: with the state ``skipped:deadline``.
+    deadline: float | None = None
     known_presets: Presets = field(default_factory=Presets)
 
 
@@ -73,7 +79,12 @@ class Search:
         return self.corpus.narrowed(self._metadata(), self.context).where(self._prefilter()).drop(*self.corpus.internal)
 
     def _loaded(self, files: DataFrame) -> DataFrame:
-        return gated(self.corpus.with_content(files), self.options.error_mode == "fail_fast" or self.options.semantic_strict)
+        end = self.options.deadline
+        return gated(self.corpus.with_content(files, end), self.options.error_mode == "fail_fast" or self.options.semantic_strict, None if end is None else late(end))
+
+    def _or_left(self, condition):
+        """What holds a condition, and what the deadline left."""
+        return condition if self.options.deadline is None else condition | (F.col("content_state") == LEFT)
 
     def _read_bound(self, p: Q.Predicate):
         """What metadata and the whole text say about a predicate; True where they say nothing. A regular expression that
@@ -92,9 +103,9 @@ class Search:
         by_line = any(p.key == "matches" and lowering.text_bound(p, self.context) is None for p in Q.predicates(self.ast))
         if content and (self.keys or by_line) and not self.options.unsound_prefilter:
             part = weakened(self.ast, self._read_bound)
-            out = out.where(F.lit(part) if isinstance(part, bool) else lowering.condition(part, self.context))
+            out = out.where(self._or_left(F.lit(part) if isinstance(part, bool) else lowering.condition(part, self.context)))
         if self.keys:
-            out = with_captures(out.drop("low"), self.keys, override, self.options.semantic_strict if strict is None else strict)
+            out = with_captures(out.drop("low"), self.keys, override, self.options.semantic_strict if strict is None else strict, self.options.semantic_budget, self.options.deadline)
             if content:
                 out = out.withColumn("low", F.lower("text"))
         if content:
@@ -104,16 +115,27 @@ class Search:
     @property
     def matched(self) -> DataFrame:
         """Matching files with their metadata. Content is read only if a predicate asks for it."""
+        found = self.found
+        if self.reads and self.options.deadline is not None:
+            found = found.where(F.col("content_state") != LEFT)
+        return found.drop("content_state", "changed")
+
+    @property
+    def found(self) -> DataFrame:
+        """The same, with the state of their content if it was read, and what the deadline left."""
         files = self.prefiltered
         if self.reads:
-            files = self._evaluated(files).where(lowering.condition(self.ast, self.context))
-        return files.drop("text", "low", "content", "content_state", "lines", "captures", "supported", "profile")
+            files = self._evaluated(files).where(self._or_left(lowering.condition(self.ast, self.context)))
+        return files.drop("text", "low", "content", "lines", "captures", "supported", "profile", "exhausted")
 
     @property
     def results(self) -> DataFrame:
-        """Matching files with ``whole``, ``hunks``, ``text`` and ``content_state``."""
+        """Matching files with ``whole``, ``hunks``, ``text``, ``content_state``, and ``changed``: what differs from the
+        listing (null: nothing)."""
         files = self._evaluated(self.prefiltered) if self.reads else self._loaded(self.prefiltered)
-        files = files.where(lowering.condition(self.ast, self.context))
+        files = files.where(self._or_left(lowering.condition(self.ast, self.context)))
+        if "changed" not in files.columns:
+            files = files.withColumn("changed", F.lit(None).cast("string"))
         if "lines" in files.columns:
             files = files.withColumn("starts", line_starts(F.col("text"), self.options.drift))
         plan = lowering.Lowering(self.context)
@@ -122,11 +144,14 @@ class Search:
         for step in plan.steps:
             made = made.withColumns(step)
         hunks = r.hunks if self.options.max_semantic_matches is None else F.slice(r.hunks, 1, self.options.max_semantic_matches)
-        out = made.withColumn("whole", r.whole).withColumn("hunks", hunks).drop(*(name for step in plan.steps for name in step))
+        whole = r.whole
+        if self.options.deadline is not None:
+            whole, hunks = whole & (F.col("content_state") != LEFT), F.when(F.col("content_state") == LEFT, no_hunks()).otherwise(hunks)
+        out = made.withColumn("whole", whole).withColumn("hunks", hunks).drop(*(name for step in plan.steps for name in step))
         skips = F.when(F.col("content_state").startswith("skipped:"), F.array(F.lit("content_unavailable"))).otherwise(F.array())
         if self.keys:
-            skips = F.when(F.col("profile").isNull(), F.array_append(skips, "unsupported_language")).otherwise(skips)
-        return out.withColumn("skip_reasons", skips.cast("array<string>")).drop("low", "lines", "starts", "captures", "supported", "profile")
+            skips = F.when(F.col("profile").isNull(), F.array_append(skips, "unsupported_language")).when(F.col("exhausted"), F.array_append(skips, "budget_exhausted")).otherwise(skips)
+        return out.withColumn("skip_reasons", skips.cast("array<string>")).drop("low", "lines", "starts", "captures", "supported", "profile", "exhausted")
 
     @property
     def paths(self) -> DataFrame:

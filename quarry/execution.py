@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import queue
+import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows that a stream holds at most, and streams that run at once.
-CHANNEL_CAPACITY, CONCURRENT = 100, 4
+
+def setting(name: str, default: float) -> float:
+    """A number of the environment."""
+    try:
+        return float(os.environ.get(name, default))
+    except ValueError:
+        raise ValueError(f"{name} is no number: '{os.environ[name]}'") from None
+
+
+#: Rows that a stream holds at most, and streams that run at once.
+CHANNEL_CAPACITY, CONCURRENT = int(setting("QUARRY_CHANNEL", 100)), int(setting("QUARRY_STREAMS", 4))
 _slots = threading.BoundedSemaphore(CONCURRENT)
 Progress = Callable[[dict], None]
 
@@ -19,6 +31,31 @@ class Cancelled(RuntimeError):
     """The token was cancelled before the rows were all there."""
 
 
+_own: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quarry-"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def late(deadline: float) -> Column:
+    """Whether a deadline, in seconds of the clock, is over when a row's turn comes."""
+    now = F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long")
+    return now > F.lit(int(deadline * 1000))
+
+
 class Token:
     """Cancels the Spark jobs that run under it."""
 

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from quarry.functions.lines import bound, line_count, line_ending, normalised, truncated
 
+from .ranged import Ranged, after
+
 #: Default limits.
 MAX_RESULTS, MAX_TOTAL_BYTES, MATCHES_PER_FILE, MATCH_BYTES, SNIPPET_BYTES, CONTENT_BYTES, CONTEXT = 50, 200_000, 20, 200, 2000, 20_000, 2
 ORDER = ("display_path", "resolved_path")
@@ -106,8 +108,9 @@ def blocks(results: DataFrame, context: int = CONTEXT) -> DataFrame:
     return rows.select("file_id", "display_path", first.alias("first"), end.alias("end")).mapInArrow(run, wanted)
 
 
-def snippets(results: DataFrame, context: int = CONTEXT, max_bytes: int = SNIPPET_BYTES, per_file: int | None = MATCHES_PER_FILE, normalise: bool = False) -> DataFrame:
-    """A row for each match: the lines around it. Only they leave the file's row."""
+def snippets(results: DataFrame, context: int = CONTEXT, max_bytes: int = SNIPPET_BYTES, per_file: int | None = MATCHES_PER_FILE, normalise: bool = False, keep: tuple[str, ...] = ("file_id", "display_path"), held: Column | None = None) -> DataFrame:
+    """A row for each match: the lines around it. Only they, and the columns to keep, leave the file's row. ``held``: files
+    that have a row without lines, number -1, if they have no match."""
     some = F.slice("hunks", 1, per_file) if per_file is not None else F.col("hunks")
 
     def around(h: Column, all_lines: Column, n: Column) -> Column:
@@ -119,8 +122,9 @@ def snippets(results: DataFrame, context: int = CONTEXT, max_bytes: int = SNIPPE
         )
 
     made = bound(F.split("text", "\n", -1), lambda x: bound(line_count(F.col("text")), lambda n: F.transform(some, lambda h: around(h, x, n))))
-    out = each(results, ("file_id", "display_path"), made, "ord", "s").select("file_id", "display_path", "ord", "s.*")
-    return out.select("*", truncated(F.col("body"), max_bytes).alias("text"), (F.octet_length("body") > max_bytes).alias("text_truncated"), line_ending(F.col("body")).alias("line_ending")).drop("body")
+    made = made if held is None else F.when(held & (F.size("hunks") == 0), F.array(F.lit(None))).otherwise(made)
+    out = each(results, keep, made, "ord", "s").select(*keep, F.when(F.col("s").isNull(), -1).otherwise(F.col("ord")).alias("ord"), "s.*")
+    return out.select("*", F.when(F.col("body").isNotNull(), truncated(F.col("body"), max_bytes)).alias("text"), (F.octet_length("body") > max_bytes).alias("text_truncated"), line_ending(F.col("body")).alias("line_ending")).drop("body")
 
 
 def limited_matches(results: DataFrame, per_file: int = MATCHES_PER_FILE, max_bytes: int = MATCH_BYTES) -> DataFrame:
@@ -139,21 +143,26 @@ def item_bytes(items: DataFrame) -> Column:
     return F.octet_length(F.to_json(F.struct(*items.columns)))
 
 
-def page(items: DataFrame, max_results: int | None = MAX_RESULTS, offset: int = 0, max_total_bytes: int | None = MAX_TOTAL_BYTES, order: tuple[str, ...] = ORDER, size: Column | None = None) -> DataFrame:
+def page(items: DataFrame, max_results: int | None = MAX_RESULTS, offset: int = 0, max_total_bytes: int | None = MAX_TOTAL_BYTES, order: tuple[str, ...] = ORDER, size: Column | None = None, key: tuple | None = None) -> DataFrame:
     """The items of a page in order, with ``position`` from 0; the first is always there, whatever its size.
 
-    Only offset + max_results rows reach the window: they are taken by a top-k before.
+    ``key``: the page begins after the item with this key, at position ``offset``; else it begins with item ``offset``.
+    Only the page's rows, or those before them where no key is given, reach the window: they are taken by a top-k before.
+    Without ``max_results`` there may be any number: they are written in ranges, and each range is numbered for itself.
     """
-    top = items.orderBy(*order)
-    if max_results is not None:
-        top = top.limit(offset + max_results)
-    seen = Window.orderBy(*order)
-    numbered = top.withColumn("position", F.row_number().over(seen) - 1).where(F.col("position") >= offset)
-    if max_total_bytes is None:
-        return numbered
-    sized = numbered.withColumn("bytes_", item_bytes(items) if size is None else size)
-    total = F.sum("bytes_").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("total_", total).where((F.col("position") == offset) | (F.col("total_") <= max_total_bytes)).drop("bytes_", "total_")
+    weight = item_bytes(items) if size is None else size
+    rest = items if key is None else items.where(after(order, key))
+    skip = offset if key is None else 0
+    if max_results is None:
+        out = Ranged(rest, order, weight).numbered(skip, max_total_bytes)
+        return out if key is None else out.withColumn("position", F.col("position") + offset)
+    top = rest.orderBy(*order).limit(skip + max_results)
+    numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("position") >= skip)
+    if max_total_bytes is not None:
+        sized = numbered.withColumn("bytes_", weight)
+        total = F.sum("bytes_").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        numbered = sized.withColumn("total_", total).where((F.col("position") == skip) | (F.col("total_") <= max_total_bytes)).drop("bytes_", "total_")
+    return numbered if key is None else numbered.withColumn("position", F.col("position") + offset)
 
 
 def status(truncated_: Column, errors: Column, results: Column, suppressed: Column) -> Column:
@@ -166,6 +175,11 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.withColumn("fingerprint", F.coalesce("stable_token", parts))
 
 
+def content_fingerprint(text: Column) -> Column:
+    """A token of a content, whatever file it is in."""
+    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files whose snapshot differs between two listings: changed, gone or new."""
     snapshot = ["size_bytes", "modified_unix_millis", "readonly", "permissions", "stable_token", "device_id", "inode"]

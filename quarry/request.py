@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import time
 import zlib
 from collections import OrderedDict
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.capture.profiles import PROFILES, find_profile, supported_keys
 from quarry.engine import Engine, SearchError
-from quarry.execution import Cancelled, Token, within
+from quarry.execution import Cancelled, Token, setting, within
 from quarry.operators import results as R
 from quarry.operators import stats
+from quarry.operators.ranged import Ranged, after
 from quarry.plans.query import CONTENT_KEYS, KEYS, METADATA_KEYS, REACT_KEYS, QueryError
-from quarry.sources.policy import UNREADABLE
+from quarry.sources.policy import LEFT, UNREADABLE
 
 MODES = ("paths", "summary", "matches", "snippets", "full")
 
@@ -33,9 +37,20 @@ class Limits:
     max_errors: int = 10
 
 
-#: Execution profiles (fail fast, seconds in all, captures of a file). Captures have no budget of their own,
-#: as tokenizers are linear in the text.
-EXECUTION = {"interactive": (False, None, None), "batch": (True, 60.0, None), "agent": (False, 15.0, 25)}
+@dataclass(frozen=True)
+class Execution:
+    """How a request runs: whether an unreadable file ends it, seconds in all, seconds and number of captures of a file."""
+
+    fail_fast: bool = False
+    seconds: float | None = None
+    capture_seconds: float | None = None
+    captures: int | None = None
+
+
+#: Execution profiles.
+EXECUTION = {"interactive": Execution(), "batch": Execution(True, 60.0, 5.0), "agent": Execution(False, 15.0, 1.5, 25)}
+#: Seconds beyond its budget after which a request that hasn't ended by itself is cancelled.
+GRACE = 20.0
 
 
 @dataclass(frozen=True)
@@ -48,8 +63,10 @@ class Request:
     execution: str = "interactive"
     #: "skip_errors" or "fail_fast"; None: as the execution profile says.
     error_mode: str | None = None
-    #: Seconds for the whole request; None: as the execution profile says.
+    #: Seconds for the whole request; None: as the execution profile says. Files whose turn comes later are errors.
     budget: float | None = None
+    #: Seconds for the captures of a file; None: as the execution profile says.
+    capture_budget: float | None = None
     path_display: str = "relative"
     #: Truncated also when exactly max_results items exist, as engines say that don't look one item further.
     eager_truncation: bool = False
@@ -57,117 +74,229 @@ class Request:
     options: dict = field(default_factory=dict)
 
 
-def token_offset(token: str) -> int:
-    head, _, number = token.partition(":")
-    if head != "offset" or not number.isdigit():
-        raise QueryError(f"Invalid continuation token: '{token}'")
-    return int(number)
+@dataclass(frozen=True)
+class Place:
+    """Where a page begins: at an item's number, and if it is known after which key."""
+
+    offset: int = 0
+    key: tuple | None = None
+
+    @property
+    def token(self) -> str:
+        if self.key is None:
+            return f"offset:{self.offset}"
+        return "after:" + base64.urlsafe_b64encode(json.dumps([self.offset, *self.key]).encode()).decode()
+
 
+def place(token: str) -> Place:
+    """Of a continuation token: ``offset:<number>``, or ``after:`` and an item's number and key."""
+    head, _, rest = token.partition(":")
+    try:
+        if head == "offset" and rest.isdigit():
+            return Place(int(rest))
+        if head == "after":
+            offset, *key = json.loads(base64.urlsafe_b64decode(rest.encode()))
+            if isinstance(offset, int) and len(key) in (2, 3) and all(isinstance(k, str) for k in key[:2]) and all(isinstance(k, int) for k in key[2:]):
+                return Place(offset, tuple(key))
+    except ValueError:
+        pass
+    raise QueryError(f"Invalid continuation token: '{token}'")
 
-def items(search, request: Request):
-    """The items of the request's mode, and the names that they are ordered by."""
+
+def order_of(request: Request) -> tuple[str, ...]:
+    return (*R.ORDER, "ord") if request.mode == "snippets" else R.ORDER
+
+
+def items(search, request: Request) -> DataFrame:
+    """The items of the request's mode. Each has a path as the request shows it, and where content was read its state."""
     n = request.limits
     shown = R.shown_path(request.path_display).alias("path")
+    told = ("content_state", "changed")
     if request.mode == "paths":
-        return R.fingerprint(search.matched).select("file_id", shown, "display_path", "resolved_path", "fingerprint")
+        found = R.fingerprint(search.found)
+        return found.select("file_id", shown, "display_path", "resolved_path", "fingerprint", *(c for c in told if c in found.columns))
     r = search.results
+    base = ("file_id", shown, "display_path", "resolved_path", *told)
     if request.mode == "summary":
-        return r.select("file_id", shown, "display_path", "resolved_path", F.size("hunks").alias("match_count"), F.size(R.matched_lines(F.col("hunks"))).alias("total_lines_matched"), "whole", "content_state")
+        return r.select(*base, F.size("hunks").alias("match_count"), F.size(R.matched_lines(F.col("hunks"))).alias("total_lines_matched"), "whole")
     if request.mode == "full":
-        return r.select("file_id", shown, "display_path", "resolved_path", "content_state", R.truncated(F.col("text"), n.content_bytes).alias("content"))
+        content = R.truncated(F.col("text"), n.content_bytes)
+        return r.select(*base, content.alias("content"), R.content_fingerprint(F.col("text")).alias("fingerprint"), "whole", "skip_reasons")
     per_file = n.matches_per_file if n.matches_per_file is not None else 1 << 30
     if request.mode == "matches":
-        return R.limited_matches(r, per_file, n.match_bytes).select("file_id", shown, "display_path", "resolved_path", "content_state", "whole", "matches", "matches_truncated")
-    return R.snippets(r, request.context, n.snippet_bytes, n.matches_per_file).withColumn("resolved_path", F.col("display_path"))
+        return R.limited_matches(r, per_file, n.match_bytes).select(*base, "whole", "matches", "matches_truncated", "skip_reasons")
+    held = F.col("content_state").startswith("skipped")
+    return R.snippets(r.withColumn("path", shown), request.context, n.snippet_bytes, n.matches_per_file, keep=("file_id", "path", "display_path", "resolved_path", *told), held=held)
 
 
-def run(engine: Engine, request: Request, token: Token | None = None) -> dict:
-    """One page as a dict. One item more than the page holds is asked for, which tells whether there is a next page."""
+def prepared(engine: Engine, request: Request):
+    """The search of a request."""
     if request.mode not in MODES:
         raise QueryError(f"Unknown output mode: '{request.mode}'")
-    began = time.monotonic()
-    offset = token_offset(request.continuation) if request.continuation else request.offset
-    fail_fast, seconds, cap = EXECUTION[request.execution]
-    mode = request.error_mode or ("fail_fast" if fail_fast else "skip_errors")
+    e = EXECUTION[request.execution]
+    mode = request.error_mode or ("fail_fast" if e.fail_fast else "skip_errors")
     if mode not in ("skip_errors", "fail_fast"):
         raise QueryError(f"Unknown error mode: '{mode}'")
-    search = engine.search(request.query, **{"error_mode": mode, **({"max_semantic_matches": cap} if cap else {}), **request.options})
-    return within(engine.spark, seconds if request.budget is None else request.budget, lambda: _page(search, request, offset, began), token)
+    seconds = budget_of(request)
+    limits = {"max_semantic_matches": e.captures, "semantic_budget": e.capture_seconds if request.capture_budget is None else request.capture_budget, "deadline": None if seconds is None else time.time() + seconds}
+    return engine.search(request.query, **{"error_mode": mode, **{k: v for k, v in limits.items() if v is not None}, **request.options})
 
 
-def diagnostics(rows: list, most: int) -> tuple[list[dict], int]:
-    """What is to be said about a page's files: errors, then what was held back; at most so many errors, and how many more."""
-    errors, notes = [], []
+def budget_of(request: Request) -> float | None:
+    return EXECUTION[request.execution].seconds if request.budget is None else request.budget
+
+
+def run(engine: Engine, request: Request, token: Token | None = None) -> dict:
+    """One page as a dict. One item more than the page holds is asked for, which tells whether there is a next page.
+
+    With a budget the items are written first: those of the files that were looked into in time, and which files were not.
+    """
+    began = time.monotonic()
+    start = place(request.continuation) if request.continuation else Place(request.offset)
+    search, seconds = prepared(engine, request), budget_of(request)
+
+    def work() -> dict:
+        if seconds is None:
+            return _page(items(search, request), request, start, began)
+        stored = written(search, request)
+        try:
+            return _page(stored.rows.select(*stored.columns), request, start, began, left_of(stored))
+        finally:
+            stored.drop()
+
+    return within(engine.spark, None if seconds is None else seconds + GRACE, work, token)
+
+
+def written(search, request: Request) -> Ranged:
+    made = items(search, request)
+    return Ranged(made, order_of(request), R.item_bytes(made))
+
+
+def left_of(stored: Ranged) -> DataFrame | None:
+    """The files that a deadline left."""
+    return stored.rows.where(F.col("content_state") == LEFT) if "content_state" in stored.columns else None
+
+
+def diagnostics(rows: list, most: int, left: DataFrame | None = None) -> tuple[list[dict], int]:
+    """What is to be said about a page's files: errors, then what was held back; at most so many errors, and how many more.
+    ``left``: files that a deadline left, page or not."""
+    errors, notes, more, seen = [], [], 0, set()
     for r in rows:
         d = r.asDict()
+        if d["resolved_path"] in seen:
+            continue
+        seen.add(d["resolved_path"])
         state = d.get("content_state") or "loaded"
         if state == UNREADABLE:
             errors.append({"level": "error", "kind": "unreadable", "path": d["display_path"], "message": "The file could not be read."})
         elif state != "loaded":
             notes.append({"level": "warn", "kind": state.removeprefix("skipped:"), "path": d["display_path"], "message": f"Content is {state}."})
-    return errors[:most] + notes, max(0, len(errors) - most)
-
-
-def _page(search, request: Request, offset: int, began: float) -> dict:
-    n = request.limits
-    order = ("display_path", "ord") if request.mode == "snippets" else R.ORDER
-    rows = R.page(items(search, request), None if n.max_results is None else n.max_results + 1, offset, n.max_total_bytes, order).orderBy("position").collect()
-    by_count = n.max_results is not None and len(rows) >= n.max_results + (not request.eager_truncation)
-    rows = rows[: n.max_results] if n.max_results is not None else rows
-    by_bytes = False
-    if not by_count and n.max_total_bytes is not None:
-        by_bytes = bool(R.page(items(search, request), 1, offset + len(rows), None, order).head(1))
-    cut = "max_results" if by_count else "max_total_bytes" if by_bytes else None
+        if d.get("changed"):
+            notes.append({"level": "warn", "kind": "snapshot_drift", "path": d["display_path"], "message": f"The file is not as it was listed: {d['changed']}."})
+    if left is not None:
+        late = left.select("display_path").distinct()
+        some = [r[0] for r in late.orderBy("display_path").limit(most).collect()]
+        more = (late.count() if len(some) == most else len(some)) - len(some)
+        errors += [{"level": "error", "kind": "deadline", "path": p, "message": "The budget was used up before the file was looked into."} for p in some]
+    return errors[:most] + notes, max(0, len(errors) - most) + more
+
+
+def _page(made: DataFrame, request: Request, start: Place, began: float, left: DataFrame | None = None) -> dict:
+    n, order = request.limits, order_of(request)
+    if "content_state" in made.columns and budget_of(request) is not None:
+        made = made.where(F.col("content_state").isNull() | (F.col("content_state") != LEFT))
+    if n.max_results is None:
+        rows = R.page(made, None, start.offset, n.max_total_bytes, order, key=start.key).orderBy("position").collect()
+        last = tuple(rows[-1][c] for c in order) if rows else None
+        cut = "max_total_bytes" if rows and n.max_total_bytes is not None and made.where(after(order, last)).head(1) else None
+    else:
+        sized = made.withColumn("bytes_", R.item_bytes(made))
+        rows = R.page(sized, n.max_results + 1, start.offset, None, order, key=start.key).orderBy("position").collect()
+        cut = "max_results" if len(rows) >= n.max_results + (not request.eager_truncation) else None
+        rows, total = rows[: n.max_results], 0
+        for k, r in enumerate(rows):
+            total += r["bytes_"]
+            if n.max_total_bytes is not None and k and total > n.max_total_bytes:
+                rows, cut = rows[:k], "max_total_bytes"
+                break
     suppressed = sum(str(r.asDict().get("content_state", "")).startswith("skipped") for r in rows)
-    told, more_errors = diagnostics(rows, n.max_errors)
-    failed = any(x["level"] == "error" for x in told)
+    told, more_errors = diagnostics(rows, n.max_errors, left)
+    failed = more_errors or any(x["level"] == "error" for x in told)
     status = "truncated" if cut else "partial" if failed else "policy_suppressed" if rows and suppressed == len(rows) else "full"
-    following = offset + len(rows) if cut else None
+    following = Place(start.offset + len(rows), tuple(rows[-1][c] for c in order) if rows else start.key) if cut else None
     return {
-        "items": [r.asDict(recursive=True) for r in rows],
+        "items": [{k: v for k, v in r.asDict(recursive=True).items() if k != "bytes_"} for r in rows],
         "status": status,
         "diagnostics": told,
         "errors_left_out": more_errors,
         "truncated": cut is not None,
         "truncation_reason": cut,
-        "next_offset": following,
-        "continuation": None if following is None else f"offset:{following}",
+        "next_offset": following and following.offset,
+        "continuation": following and following.token,
         "elapsed_seconds": time.monotonic() - began,
     }
 
 
+@dataclass
+class _Open:
+    """A session: when it was used last, its items, and where its next page begins."""
+
+    used: float
+    request: Request
+    stored: Ranged
+    left: DataFrame | None
+    next: Place
+
+
 class Sessions:
-    """Pages of a request one after the other; tokens carry a check and must come in order."""
+    """Pages of a request one after the other; tokens carry a check and must come in order.
 
-    def __init__(self, engine: Engine, ttl: float = 900.0, most: int = 16, clock=time.monotonic):
-        self.engine, self.ttl, self.most, self.clock = engine, ttl, most, clock
-        self.open: OrderedDict[str, tuple[float, Request, int]] = OrderedDict()
+    The first page runs the search and writes its items in ranges of their order; all pages are read from those ranges.
+    """
+
+    def __init__(self, engine: Engine, ttl: float | None = None, most: int | None = None, clock=time.monotonic):
+        self.engine, self.clock = engine, clock
+        self.ttl, self.most = setting("QUARRY_SESSION_TTL", 900.0) if ttl is None else ttl, int(setting("QUARRY_SESSIONS", 16)) if most is None else most
+        self.open: OrderedDict[str, _Open] = OrderedDict()
         self.made = 0
 
     def _token(self, name: str, offset: int) -> str:
         body = f"{name}:{offset}"
         return f"{body}:{zlib.crc32(body.encode()):08x}"
 
-    def _page(self, name: str, request: Request) -> dict:
-        out = run(self.engine, request)
-        if out["next_offset"] is not None:
-            self.open[name] = (self.clock(), request, out["next_offset"])
-            out["continuation"] = self._token(name, out["next_offset"])
+    def _page(self, name: str, s: _Open) -> dict:
+        began = time.monotonic()
+        n = s.request.limits.max_results
+        rows = s.stored.rows.select(*s.stored.columns) if n is None else s.stored.page(n + 1, s.next.key)
+        if n is not None and s.left is not None:  # items of files that were left are no items, so more rows may be asked for
+            rows = s.stored.rows.select(*s.stored.columns)
+        out = _page(rows, s.request, s.next, began, s.left)
+        if out["continuation"] is None:
+            self._close(name)
         else:
-            self.open.pop(name, None)
+            s.used, s.next = self.clock(), place(out["continuation"])
+            out["continuation"] = self._token(name, s.next.offset)
         return out
 
+    def _close(self, name: str) -> None:
+        self.open.pop(name).stored.drop()
+
     def _expire(self) -> None:
         now = self.clock()
-        for name in [k for k, (at, _, _) in self.open.items() if now - at > self.ttl]:
-            del self.open[name]
+        for name in [k for k, s in self.open.items() if now - s.used > self.ttl]:
+            self._close(name)
 
     def start(self, request: Request) -> dict:
         self._expire()
         self.made += 1
         while len(self.open) >= self.most:
-            self.open.popitem(last=False)
-        return self._page(f"s{self.made}", request)
+            self._close(next(iter(self.open)))
+        search, seconds = prepared(self.engine, request), budget_of(request)
+        stored = within(self.engine.spark, None if seconds is None else seconds + GRACE, lambda: written(search, request))
+        begin = place(request.continuation) if request.continuation else Place(request.offset)
+        name = f"s{self.made}"
+        self.open[name] = _Open(self.clock(), request, stored, None if seconds is None else left_of(stored), begin)
+        return self._page(name, self.open[name])
 
     def next(self, token: str) -> dict:
         self._expire()
@@ -175,11 +304,10 @@ class Sessions:
         offset, _, check = rest.partition(":")
         if name not in self.open or not offset.isdigit() or self._token(name, int(offset)) != token:
             raise QueryError("Invalid or expired session token")
-        _, request, cursor = self.open[name]
-        if cursor != int(offset):
+        if self.open[name].next.offset != int(offset):
             raise QueryError("The session token does not fit the session's cursor")
         self.open.move_to_end(name)
-        return self._page(name, replace(request, offset=cursor, continuation=None))
+        return self._page(name, self.open[name])
 
 
 def classify_error(error: Exception) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import stat
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from quarry.plans.query import Node
 
 from .ignore import global_rules
 from .inversion import EPOCH, STEP, Layout, Paths, TreePaths, component, narrowed
-from .policy import MAX_BYTES
+from .policy import MAX_BYTES, TOO_LATE
 from .tree import FILES, FORMAT, PUSHDOWN, Tree
 
 DEFAULT_DEPTH = 100
@@ -30,7 +31,7 @@ class Corpus:
 
     made: DataFrame | Callable[[], DataFrame]
     root: str
-    load: Callable[[DataFrame], DataFrame] | None = None
+    load: Callable[[DataFrame, float | None], DataFrame] | None = None
     #: Of a real directory: every file found with the reason why it was left out, or null.
     found: Callable[[], DataFrame] | None = None
     #: What conditions on paths say about the columns of ``source``, and how files are made of it.
@@ -55,8 +56,8 @@ class Corpus:
             return self.files
         return self.build(self.source.where(condition)) if self.build else self.files.where(condition)
 
-    def with_content(self, files: DataFrame) -> DataFrame:
-        return self.load(files) if self.load else files
+    def with_content(self, files: DataFrame, deadline: float | None = None) -> DataFrame:
+        return self.load(files, deadline) if self.load else files
 
     @property
     def has_text(self) -> bool:
@@ -181,9 +182,10 @@ def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: b
     return Corpus(files, os.path.realpath(root), read_files, listing, TreePaths(), internal=("ext_low", "skip_reason", "skip_source", "skip_rule"))
 
 
-def read_files(df: DataFrame) -> DataFrame:
+def read_files(df: DataFrame, deadline: float | None = None) -> DataFrame:
     """Adds ``content`` and ``load_error``, and ``changed``: what differs from the listing. What has changed between the
-    first look at an open file and the last, or since it was listed, is told apart by size, time, node and mode."""
+    first look at an open file and the last, or since it was listed, is told apart by size, time, node and mode. Files whose
+    turn comes after the deadline, in seconds of the clock, stay unread."""
     import pyarrow as pa
 
     listed = ("size_bytes", "modified_unix_millis", "readonly", "permissions", "device_id", "inode")
@@ -191,7 +193,7 @@ def read_files(df: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
-            read = [read_small(p, tuple(was)) if was[0] <= MAX_BYTES else (None, None, None) for p, was in zip(column("resolved_path"), zip(*map(column, listed)))]
+            read = [(None, TOO_LATE, None) if deadline and time.time() > deadline else read_small(p, tuple(was)) if was[0] <= MAX_BYTES else (None, None, None) for p, was in zip(column("resolved_path"), zip(*map(column, listed)))]
             made = [pa.array([x for x, _, _ in read], pa.binary()), *(pa.array([r[k] for r in read], pa.string()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "content", "load_error", "changed"])
 

@@ -20,8 +20,10 @@ SECRET_MARKS = (
     "private_key",
 )
 LOADED, LOSSY, TOO_LARGE, BINARY, SECRET = "loaded", "loaded_lossy", "skipped:too_large", "skipped:binary", "skipped:secret_like"
-#: A file that could not be read when its turn came.
-UNREADABLE = "skipped:unreadable"
+#: A file that could not be read when its turn came; one whose turn came when the deadline was over.
+UNREADABLE, LEFT = "skipped:unreadable", "skipped:deadline"
+#: What the reader says of a file that it left for the deadline.
+TOO_LATE = "the deadline was over"
 
 
 def looks_secret(low: Column) -> Column:
@@ -37,25 +39,29 @@ def has_nul(content: Column) -> Column:
     return F.instr(head, "\x00") > 0
 
 
-def gated(files: DataFrame, fail_fast: bool = False) -> DataFrame:
+def gated(files: DataFrame, fail_fast: bool = False, late: Column | None = None) -> DataFrame:
     """Adds ``text``, which is empty where the content is held back, ``low``, the same lower-cased, and ``content_state``.
 
     Each is computed once: a value that a lambda takes is bound, and what is generated stays where it is, so that no
-    condition on it is pushed below and computed again. The size gate comes first.
+    condition on it is pushed below and computed again. The size gate comes first. ``late``: rows that are left as they
+    are, a condition that may differ from row to row.
     """
+    if late is not None:
+        files = files.withColumn("late_", late)
     textual = "text" in files.columns
     raw = F.coalesce(F.col("text"), F.lit("")) if textual else F.coalesce(F.col("content"), F.lit(b""))
     error = F.col("load_error") if "load_error" in files.columns else F.lit(None).cast("string")
+    left = F.coalesce(error == TOO_LATE, F.lit(False)) | (F.col("late_") if late is not None else F.lit(False))
     if fail_fast and "load_error" in files.columns:
-        error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("Unreadable file "), "display_path", F.lit(": "), error)).cast("string"))
-    held = F.when(F.col("size_bytes") <= MAX_BYTES, raw)
+        error = F.when(error.isNotNull() & (error != TOO_LATE), F.raise_error(F.concat(F.lit("Unreadable file "), "display_path", F.lit(": "), error)).cast("string"))
+    held = F.when((F.col("size_bytes") <= MAX_BYTES) & ~left, raw)
 
     def states(decoded: Column, valid: Column) -> Column:
         whole = F.when(valid, decoded).otherwise(F.make_valid_utf8(decoded))
         return bound(whole, lambda text: bound(F.lower(text), lambda low: state(text, low, valid)))
 
     def state(text: Column, low: Column, valid: Column) -> Column:
-        out = F.when(error.isNotNull(), UNREADABLE).when(text.isNull(), TOO_LARGE)
+        out = F.when(left, LEFT).when(error.isNotNull(), UNREADABLE).when(text.isNull(), TOO_LARGE)
         if not textual:
             out = out.when(has_nul(held), BINARY)
         else:
@@ -64,5 +70,5 @@ def gated(files: DataFrame, fail_fast: bool = False) -> DataFrame:
         return bound(out, lambda x: F.struct(F.when(x.startswith("loaded"), text).otherwise("").alias("text"), F.when(x.startswith("loaded"), low).otherwise("").alias("low"), x.alias("content_state")))
 
     made = bound(held.cast("string"), lambda decoded: bound(F.coalesce(F.is_valid_utf8(decoded), F.lit(True)), lambda valid: states(decoded, valid)))
-    rest = [c for c in files.columns if c not in ("text", "content", "load_error")]
+    rest = [c for c in files.columns if c not in ("text", "content", "load_error", "late_")]
     return files.select(*rest, F.inline(F.array(made)))

@@ -284,9 +284,10 @@ def test_formats(engine):
 def test_requests(engine):
     q = "!ext:zzz"
     first = run(engine, Request(q, "paths", limits=Limits(max_results=5)))
-    assert (len(first["items"]), first["status"], first["continuation"]) == (5, "truncated", "offset:5")
+    assert (len(first["items"]), first["status"], first["next_offset"]) == (5, "truncated", 5) and first["continuation"].startswith("after:")
+    by_number = run(engine, Request(q, "paths", continuation="offset:5", limits=Limits(max_results=50)))
     second = run(engine, Request(q, "paths", continuation=first["continuation"], limits=Limits(max_results=50)))
-    assert len(second["items"]) == len(FILES) - 5 and second["continuation"] is None and second["status"] == "full"
+    assert second["items"] == by_number["items"] and len(second["items"]) == len(FILES) - 5 and second["continuation"] is None and second["status"] == "full"
     exact = Request(q, "paths", limits=Limits(max_results=len(FILES)))
     assert not run(engine, exact)["truncated"] and run(engine, replace(exact, eager_truncation=True))["truncated"]
     small = run(engine, Request(q, "summary", limits=Limits(max_total_bytes=1)))
