@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
+from pathlib import Path
+from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.capture.extract import catalog
 from quarry.engine import Engine, Options, Search
+from quarry.execution import scratch_dir
 from quarry.functions.lines import line_ending, truncated
 from quarry.operators import results as R
 from quarry.operators import stats
@@ -61,6 +69,16 @@ def hunks(text: str, **options) -> Query:
     return run
 
 
+def varied_documents(spark: SparkSession, sf_dir: str) -> S.Corpus:
+    """Documents as files of several extensions, some right below the folder of their language."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ext = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".TXT", ""))), (F.pmod(F.col("doc_id"), F.lit(4)) + 1).cast("int"))
+    path = F.concat_ws("/", "lang", F.when(F.pmod(F.col("doc_id"), F.lit(5)) != 0, F.col("source")), F.concat(F.col("doc_id").cast("string"), ext))
+    return S.from_table(df, path, F.col("text"), S.synthetic_time(F.col("doc_id")), "/documents", F.col("doc_id"))
+
+
+VARIED_SQL = "v AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id, lang, lang || '/' || CASE WHEN doc_id % 5 <> 0 THEN source || '/' ELSE '' END || doc_id || ['.txt', '.md', '.TXT', ''][CAST(doc_id % 4 AS INTEGER) + 1] AS display_path FROM documents)"
+
 ALL: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -75,6 +93,10 @@ def add_files(name: str, text: str, condition: str) -> None:
     add(name, matching(text), sql_files(condition))
 
 
+def add_varied(name: str, text: str, condition: str) -> None:
+    add(name, lambda spark, d: search(spark, d, text, varied_documents).matched.select("file_id", "display_path"), f"WITH {VARIED_SQL} SELECT file_id, display_path FROM v WHERE {condition}")
+
+
 def add_hunks(name: str, text: str, condition: str, files: str = "TRUE") -> None:
     add(name, hunks(text), sql_hunks(condition, files))
 
@@ -82,7 +104,8 @@ def add_hunks(name: str, text: str, condition: str, files: str = "TRUE") -> None
 # --- metadata predicates
 
 add_files("ext_eq", "ext:txt", "TRUE")
-add_files("ext_case", "ext:TXT & !ext:md", "TRUE")
+add_varied("ext_case", "ext:TXT & !ext:md", "doc_id % 4 IN (0, 2)")
+add_varied("ext_other", "ext:md | !(ext:txt | ext:md)", "doc_id % 4 IN (1, 3)")
 add_files("name_glob", "name:1*.TXT", "name LIKE '1%.txt'")
 add_files("name_class_glob", "name:[1-3]?[!0-4].txt", "regexp_full_match(name, '[1-3].[^0-4][.]txt')")
 add_files("path_substring", "path:en/src1", "contains(p, 'en/src1')")
@@ -91,7 +114,7 @@ add_files("path_brace_glob", "path:{en,fr}/src[1-3]/**", "regexp_full_match(p, '
 add_files("path_absolute", "path:/documents/de/src", "lang = 'de' AND source LIKE 'src%'")
 add_files("path_exact", "path_exact:en/src1/1.txt | path_exact:/documents/en/src1/21.txt", "p IN ('en/src1/1.txt', 'en/src1/21.txt')")
 add_files("in_dir", "in:en/src1", "parent = 'en/src1'")
-add_files("in_dir_not_recursive", "in:en", "FALSE")
+add_varied("in_dir_not_recursive", "in:en", "lang = 'en' AND doc_id % 5 = 0")
 add_files("in_glob", "in:*/src1", "p LIKE '%/src1' OR parent LIKE '%/src1'")
 add_files("in_glob_recursive", "in:en/**", "p LIKE 'en/%' OR parent LIKE 'en/%'")
 add_files("size_gt", "size:>4kb", "size > 4096")
@@ -131,11 +154,11 @@ add_hunks("or_whole_wins", "contains:license | path:en/", LICENSE, "NOT contains
 add_files("or_files", "contains:license | path:en/", f"{IN_LICENSE} OR contains(p, 'en/')")
 add_files("not_content", "!contains:license & path:fr/", f"NOT {IN_LICENSE} AND contains(p, 'fr/')")
 add_files("not_group_sound", "!(contains:license | contains:'the ')", f"NOT ({IN_LICENSE} OR {IN_THE})")
-add("not_group_compat", matching("!(contains:license | contains:'the ')", unsound_prefilter=True), sql_files("FALSE"))
+add("not_group_compat", matching("!(contains:license | contains:'the ') | path:en/", unsound_prefilter=True), sql_files("contains(p, 'en/')"))
 add_files("not_mixed_group", "!(path:en/ & contains:license)", f"NOT (contains(p, 'en/') AND {IN_LICENSE})")
 add_files("nested_mixed", "(path:en/ | path:fr/) & (contains:license | (size:>8kb & !contains:'the '))", f"(contains(p, 'en/') OR contains(p, 'fr/')) AND ({IN_LICENSE} OR (size > 8192 AND NOT {IN_THE}))")
 add_files("double_negation", "!(!contains:license)", IN_LICENSE)
-add_hunks("double_negation_has_no_hunks", "!(!contains:license)", "FALSE")
+add_hunks("double_negation_has_no_hunks", "!(!contains:license) & contains:'the '", THE, IN_LICENSE)
 add_hunks("adjacent_dedup", "contains:license & matches:[Ll]icense & c:license", LICENSE, IN_LICENSE)
 
 
@@ -212,7 +235,6 @@ add("html_wildcard_mode", capture_texts("ext:html & def:h*", semantic_match="wil
 add("html_case_mode", capture_texts("ext:html & def:DIV", semantic_match="case_insensitive"), page_sql(TAGS, "text = 'div'"))
 add("html_comment", capture_texts("ext:html & comment:-"), page_sql(COMMENTS))
 add("html_unsupported_key", lambda spark, d: search(spark, d, "!func:x & path:pages/", S.pages).matched.select("file_id"), "SELECT CAST(page_id AS VARCHAR) AS file_id FROM pages")
-add("semantic_on_text_files", matching("func:. | !class:."), sql_files("TRUE"))
 
 
 def code_files(language: str) -> Callable[[SparkSession, str], S.Corpus]:
@@ -234,6 +256,19 @@ def code_files(language: str) -> Callable[[SparkSession, str], S.Corpus]:
     return corpus
 
 
+def half_code(spark: SparkSession, sf_dir: str) -> S.Corpus:
+    """Documents of even numbers as they are, of odd ones as Python files of their number."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = F.pmod(F.col("doc_id"), F.lit(2)) == 1
+    code = F.concat(F.lit("class K"), F.col("doc_id").cast("string"), F.lit(":\n    pass\n"))
+    path = F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.when(odd, ".py").otherwise(".txt"))
+    return S.from_table(df.withColumn("body", F.when(odd, code).otherwise(F.col("text"))), path, F.col("body"), root="/code", file_id=F.col("doc_id"))
+
+
+add("semantic_on_text_files", lambda s, d: search(s, d, "func:. | !class:.", half_code).matched.select("file_id", "display_path"), "SELECT CAST(doc_id AS VARCHAR) AS file_id, 'src/f' || doc_id || '.txt' AS display_path FROM documents WHERE doc_id % 2 = 0")
+add("semantic_skips", lambda s, d: search(s, d, "class:. | path:src/", half_code).results.select("file_id", F.array_join("skip_reasons", ",").alias("skips"), "whole"), "SELECT CAST(doc_id AS VARCHAR) AS file_id, CASE WHEN doc_id % 2 = 0 THEN 'unsupported_language' ELSE '' END AS skips, TRUE AS whole FROM documents")
+
+
 def code_captures(language: str, text: str) -> Query:
     return lambda spark, d: R.matches(search(spark, d, text, code_files(language)).results).select("file_id", "text")
 
@@ -254,7 +289,7 @@ for _lang, _def in (("py", ("'K' || doc_id", "'f' || doc_id")), ("rs", ("'K' ||
 #: A source file of each language: its text, and what keys capture in it; ``@`` is the document's number. Documents of odd
 #: numbers get the text; those of even numbers get it within a comment, where nothing but the comment may be found.
 SOURCES: dict[str, tuple[str, tuple[str, str], dict[str, tuple[str, ...]]]] = {
-    "rs": ("mod m@ { }\nenum E@ { A }\ntrait T@ { fn t@(&self); }\ntype Y@ = u8;\nimpl T@ for E@ { fn t@(&self) { g@!(1); } }\nmacro_rules! w@ { () => {}; }\nuse std::u@;\nconst S: &str = r#\"x@ \" y\"#;\n", ("/* ", " /* nested */ */"), {"module:.": ("m@",), "enum:.": ("E@",), "trait:.": ("T@",), "type:.": ("Y@",), "macro:.": ("w@",), "def:.": ("m@", "E@", "T@", "Y@"), "func:.": ("t@", "t@"), "call:g": ("g@",), "import:std": ("use std::u@;",), "str:x": ("r#\"x@ \" y\"#",)}),
+    "rs": ("mod m@ { }\nenum E@ { A }\ntrait T@ { fn t@(&self); }\ntype Y@ = u8;\nimpl T@ for E@ { fn t@(&self) { g@!(1); } }\nmacro_rules! w@ { () => {}; }\nuse std::u@;\nconst S: &str = r#\"x@ \" y\"#;\n", ("/* ", " /* nested */ */"), {"module:.": ("m@",), "enum:.": ("E@",), "trait:.": ("T@",), "type:.": ("Y@",), "macro:.": ("w@",), "impl:.": ("E@",), "def:.": ("m@", "E@", "T@", "Y@"), "func:.": ("t@", "t@"), "call:g": ("g@",), "import:std": ("use std::u@;",), "str:x": ("r#\"x@ \" y\"#",)}),
     "py": ("from a import b@\nclass K@(B):\n    \"\"\"doc@\n    def no(): ...\n    \"\"\"\n    async def f@(self):\n        return self.g@('it\\'s @')\n", ("'''", "'''"), {"class:.": ("K@",), "func:.": ("f@",), "import:from": ("from a import b@",), "call:g": ("g@",), "def:.": ("K@", "f@")}),
     "js": ("import x from 'm@';\nclass K@ { go@() { return useThing@(1); } }\nfunction useOwn@() { return `a ${f@(2)}`; }\n", ("/* ", " */"), {"class:.": ("K@",), "func:.": ("go@", "useOwn@"), "hook:.": ("useThing@",), "customhook:.": ("useOwn@",), "import:m": ("import x from 'm@';",)}),
     "ts": ("import { x } from \"m@\";\ninterface I@ { a: string }\ntype Y@ = number;\nenum E@ { A }\nclass K@ implements I@ { a = \"\"; }\nfunction f@(): void { g@(\"s@\"); }\n", ("/* ", " */"), {"interface:.": ("I@",), "type:.": ("Y@",), "enum:.": ("E@",), "class:.": ("K@",), "def:.": ("I@", "Y@", "E@", "K@"), "func:.": ("f@",), "call:g": ("g@",), "str:s": ("\"s@\"",)}),
@@ -263,7 +298,7 @@ SOURCES: dict[str, tuple[str, tuple[str, str], dict[str, tuple[str, ...]]]] = {
     "java": ("import a.B@;\ninterface I@ { }\nenum E@ { A }\nclass K@ { K@() { } int f@(int x) { return new G@(\"s@\").h@(); } }\n", ("/* ", " */"), {"interface:.": ("I@",), "enum:.": ("E@",), "class:.": ("K@",), "func:.": ("K@", "f@"), "import:a": ("import a.B@;",), "call:G": ("G@",), "call:h": ("h@",)}),
     "c": ("#include <x@.h>\n#define M@(a) ((a) + 1)\nstruct S@ { int a; };\nenum E@ { A };\ntypedef struct S@ T@;\nint f@(void) { return g@(\"s@\"); }\n", ("/* ", " */"), {"macro:.": ("M@",), "enum:.": ("E@",), "type:.": ("T@",), "func:.": ("f@",), "import:x": ("#include <x@.h>\n",), "call:g": ("g@",), "str:s": ("\"s@\"",)}),
     "cpp": ("#include \"x@.h\"\n#define M@ 1\nclass K@ { };\nstruct S@ { };\nenum E@ { A };\nint f@() { return n::g@(1); }\n", ("/* ", " */"), {"class:.": ("K@",), "struct:.": ("S@",), "enum:.": ("E@",), "macro:.": ("M@",), "func:.": ("f@",), "import:x": ("#include \"x@.h\"\n",)}),
-    "cs": ("using A.B@;\nnamespace N@ {\ninterface I@ { }\nstruct S@ { }\nenum E@ { A }\nclass K@ { int f@() { return g@(@\"s@\"); } }\n}\n".replace('(@\"s', '($\"s'), ("/* ", " */"), {"interface:.": ("I@",), "struct:.": ("S@",), "enum:.": ("E@",), "class:.": ("K@",), "type:.": ("N@",), "func:.": ("f@",), "import:A": ("using A.B@;",), "call:g": ("g@",)}),
+    "cs": ("using A.B@;\nnamespace N@ {\ninterface I@ { }\nstruct S@ { }\nenum E@ { A }\nclass K@ { int f@() { return g@($\"s@\"); } }\n}\n", ("/* ", " */"), {"interface:.": ("I@",), "struct:.": ("S@",), "enum:.": ("E@",), "class:.": ("K@",), "type:.": ("N@",), "func:.": ("f@",), "import:A": ("using A.B@;",), "call:g": ("g@",)}),
     "php": ("<?php\nuse A\\B@;\ninterface I@ { }\ntrait T@ { }\nclass K@ { public function m@() { } }\nfunction f@() { return $x->g@('s@'); }\n", ("<?php /* ", " */"), {"interface:.": ("I@",), "trait:.": ("T@",), "class:.": ("K@",), "func:.": ("f@",), "import:B": ("A\\B@",), "call:g": ("$x->g@('s@')",), "str:s": ("'s@'",)}),
     "rb": ("module M@\n  class K@\n    def f@(a)\n      g@('s@')\n    end\n  end\nend\n", ("=begin\n", "\n=end\n"), {"module:.": ("M@",), "type:.": ("M@",), "class:.": ("K@",), "func:.": ("f@",), "def:.": ("M@", "K@", "f@"), "call:g": ("g@",), "str:s": ("'s@'",)}),
     "sh": ("f@() { echo \"s@\"; }\n", ("# ", ""), {"func:.": ("f@",), "def:.": ("f@",), "call:echo": ("echo \"s@\"",), "str:s": ("\"s@\"",)}),
@@ -354,6 +389,23 @@ add("page_offset", paths_page(max_results=20, offset=35, max_total_bytes=None),
 add("page_bytes_budget", paths_page(max_results=50, max_total_bytes=20_000), f"{PAGE_SQL}, b AS (SELECT *, sum(size) OVER (ORDER BY position) AS total FROM o WHERE position < 50) SELECT position, display_path FROM b WHERE position = 0 OR total <= 20000")
 
 
+def keyed_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page after the thirtieth path, found by its key."""
+    items = search(spark, d, "path:en/").matched.select("display_path", "resolved_path")
+    key = tuple(R.page(items, 1, 29, None).select("display_path", "resolved_path").first())
+    return R.page(items, 20, 30, None, key=key).select(F.col("position").cast("long").alias("position"), "display_path")
+
+
+def ranged_page(spark: SparkSession, d: str) -> DataFrame:
+    """All results that fit a number of bytes, however many."""
+    items = search(spark, d, "path:en/").matched.select("display_path", "resolved_path", "size_bytes")
+    return R.page(items, None, 10, 200_000, size=F.col("size_bytes")).select(F.col("position").cast("long").alias("position"), "display_path")
+
+
+add("page_after_key", keyed_page, f"{PAGE_SQL} SELECT position, display_path FROM o WHERE position BETWEEN 30 AND 49")
+add("page_any_number", ranged_page, f"{PAGE_SQL}, b AS (SELECT *, sum(size) OVER (ORDER BY position) AS total FROM o WHERE position >= 10) SELECT position, display_path FROM b WHERE position = 10 OR total <= 200000")
+
+
 def truncation(spark: SparkSession, d: str) -> DataFrame:
     n = search(spark, d, "path:en/").matched.agg(F.count("*").alias("n"))
     return n.select((F.col("n") > 50).alias("truncated"), R.status(F.col("n") > 50, F.lit(0), F.least("n", F.lit(50)), F.lit(0)).alias("status"))
@@ -396,15 +448,103 @@ add("snapshot_drift", drifted, f"WITH {FILES_SQL} SELECT '/documents/' || p AS r
 # --- planner surfaces
 
 
-def rows_of(rows: list[tuple], schema: str) -> Query:
-    return lambda spark, d: spark.createDataFrame(rows, schema)
+def all_files(spark: SparkSession, d: str) -> DataFrame:
+    return S.pages(spark, d).files.unionByName(S.documents(spark, d).files)
+
+
+def key_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each predicate can say anything about: captures need a language that has them."""
+    known = spark.createDataFrame([(x["key"], x["class"]) for x in predicate_catalog()], "key string, class string")
+    by = stats.inventory(all_files(spark, d))
+    semantic = by.join(F.broadcast(catalog(spark)), F.col("semantic_profile") == F.col("profile")).groupBy("key").agg(F.sum("files").alias("n"))
+    plain = by.agg(F.sum("files").alias("everything"))
+    n = F.when(F.col("class").isin("metadata", "content"), F.col("everything")).otherwise(F.coalesce("n", F.lit(0)))
+    return F.broadcast(known).join(semantic, "key", "left").crossJoin(F.broadcast(plain)).select("key", "class", n.alias("files"))  # one row of totals
+
+
+PAGES_N, DOCUMENTS_N = "(SELECT count(*) FROM pages)", "(SELECT count(*) FROM documents)"
+HTML_KEYS = ("def", "import", "comment", "str")
+CLASSES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS key, '{c}' AS class, {f'{PAGES_N} + {DOCUMENTS_N}' if c in ('metadata', 'content') else PAGES_N if k in HTML_KEYS else 'CAST(0 AS BIGINT)'} AS files" for c, keys in (("metadata", Q.METADATA_KEYS), ("content", Q.CONTENT_KEYS), ("semantic", Q.SEMANTIC_KEYS), ("react", Q.REACT_KEYS)) for k in keys)
+add("predicate_catalog", key_coverage, CLASSES_SQL)
+
+
+def tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Files by how well their language is covered."""
+    of = catalog(spark).select("profile", "tier").distinct()
+    return stats.inventory(all_files(spark, d)).join(F.broadcast(of), F.col("semantic_profile") == F.col("profile"), "left").groupBy(F.coalesce("tier", F.lit("none")).alias("tier")).agg(F.sum("files").alias("files"))
+
+
+add("profile_matrix", tiers, f"SELECT 'partial' AS tier, {PAGES_N} AS files UNION ALL SELECT 'none', {DOCUMENTS_N}")
+#: A query, its form in order of cost, its simple form, and what it selects.
+EXAMPLES = (
+    ("contains:license & ext:txt & !path:en/", "ext:txt & !path:en/ & contains:license", "contains:license & ext:txt & !path:en/", f"{IN_LICENSE} AND NOT contains(p, 'en/')"),
+    ("path:de/ | size:>4kb & path:fr/", "path:de/ | size:>4kb & path:fr/", "path:de/ | size:>4kb & path:fr/", "contains(p, 'de/') OR size > 4096 AND contains(p, 'fr/')"),
+    ("!(!(path:en/))", "!(!path:en/)", "path:en/", "contains(p, 'en/')"),
+    ("ext:txt & ext:txt & (c:license | path:en/)", "ext:txt & ext:txt & (contains:license | path:en/)", "ext:txt & (contains:license | path:en/)", f"{IN_LICENSE} OR contains(p, 'en/')"),
+)
+
+
+def rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Each example as it is, sorted and simplified: the forms, and how many files each selects."""
+    out = []
+    for text, *_ in EXAMPLES:
+        forms = (text, Q.canonical(cost_sorted(Q.parse(text))), Q.canonical(simplified(Q.parse(text))))
+        out += [search(spark, d, form).matched.agg(F.count("*").alias("files")).select(F.lit(text).alias("query"), F.lit(kind).alias("kind"), F.lit(form).alias("form"), "files") for kind, form in zip(("as it is", "sorted", "simplified"), forms)]
+    return reduce(DataFrame.unionAll, out)
+
+
+def rewritten_sql() -> str:
+    rows = [(e[0], kind, form, e[3]) for e in EXAMPLES for kind, form in zip(("as it is", "sorted", "simplified"), (e[0], e[1], e[2]))]
+    return f"WITH {FILES_SQL} " + " UNION ALL ".join(f"SELECT '{q}' AS query, '{k}' AS kind, '{form}' AS form, (SELECT count(*) FROM f WHERE {c}) AS files" for q, k, form, c in rows)
+
+
+add("cost_sorted_ast", rewritten, rewritten_sql())
+
+# --- a real directory, which tasks write from the documents
+
+PLACES = "CASE doc_id % 10 WHEN 3 THEN 'node_modules/' WHEN 5 THEN '.cache/' WHEN 7 THEN 'logs/' ELSE '' END"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> S.Corpus:
+    """Documents as real files: some in folders that default rules, hidden names or an ignore file leave out."""
+    base = f"{scratch_dir(spark)}/quarry-tree-{uuid.uuid4().hex}"
+    if urlparse(base).scheme not in ("", "file"):
+        raise ValueError("real files need a shared folder that is mounted, as spark.checkpoint.dir")
+    root = urlparse(base).path
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rel = F.concat(F.expr(PLACES), F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+    def write(batches):
+        for b in batches:
+            for p, t in zip(*(c.to_pylist() for c in b.columns)):
+                file = Path(root, p)
+                file.parent.mkdir(parents=True, exist_ok=True)
+                file.write_text(t or "", newline="")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    Path(root).mkdir(parents=True, exist_ok=True)
+    atexit.register(shutil.rmtree, root, True)
+    df.select(rel.alias("p"), "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    Path(root, ".gitignore").write_text("logs/\n!logs/en/\n")
+    return S.directory(spark, root, pinned=False)
+
+
+def tree_search(text: str) -> Query:
+    return lambda s, d: Engine(s, tree(s, d), Options(now=NOW)).search(text).matched.select("root_relative_path", "size_bytes")
+
+
+TREE_SQL = f"t AS (SELECT *, {PLACES} || p AS path, CASE doc_id % 10 WHEN 3 THEN 'ignored' WHEN 5 THEN 'hidden' WHEN 7 THEN CASE WHEN lang <> 'en' THEN 'ignored' END END AS reason FROM f)"
+
+
+def tree_sql(condition: str) -> str:
+    return f"WITH {FILES_SQL}, {TREE_SQL} SELECT path AS root_relative_path, size AS size_bytes FROM t WHERE reason IS NULL AND ({condition})"
 
 
-CLASSES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS key, '{c}' AS class" for c, keys in (("metadata", Q.METADATA_KEYS), ("content", Q.CONTENT_KEYS), ("semantic", Q.SEMANTIC_KEYS), ("react", Q.REACT_KEYS)) for k in keys)
-add("predicate_catalog", lambda s, d: s.createDataFrame([(x["key"], x["class"]) for x in predicate_catalog()], "key string, class string"), CLASSES_SQL)
-add("profile_matrix", lambda s, d: catalog(s).groupBy("tier").agg(F.countDistinct("profile").alias("profiles")), "SELECT * FROM (VALUES ('stable', CAST(16 AS BIGINT)), ('experimental', 4), ('partial', 6)) v(tier, profiles)")
-EXAMPLES = ("func:x & contains:y & ext:rs & !name:z", "a:1 | b:2 & c:3", "!(!(ext:rs))", "ext:rs & ext:rs & (c:x | m:y)")
-add("cost_sorted_ast", lambda s, d: s.createDataFrame([(x, Q.canonical(cost_sorted(Q.parse(x))), Q.canonical(simplified(Q.parse(x)))) for x in EXAMPLES], "query string, sorted string, simplified string"), "SELECT * FROM (VALUES ('func:x & contains:y & ext:rs & !name:z', 'ext:rs & !name:z & contains:y & func:x', 'func:x & contains:y & ext:rs & !name:z'), ('a:1 | b:2 & c:3', 'a:1 | contains:3 & b:2', 'a:1 | b:2 & contains:3'), ('!(!(ext:rs))', '!(!ext:rs)', 'ext:rs'), ('ext:rs & ext:rs & (c:x | m:y)', 'ext:rs & ext:rs & (contains:x | matches:y)', 'ext:rs & (contains:x | matches:y)')) v(query, sorted, simplified)")
+add("dir_files", tree_search("ext:TXT"), tree_sql("TRUE"))
+add("dir_in_place", tree_search("in:en/src1 | path:fr/src2/*"), tree_sql("path LIKE 'en/src1/%' OR path LIKE 'fr/src2/%'"))
+add("dir_contains", tree_search("path:en/ & contains:license"), tree_sql(f"contains(path, 'en/') AND {IN_LICENSE}"))
+add("dir_skips", lambda s, d: stats.skip_counts(tree(s, d).listing), f"WITH {FILES_SQL}, {TREE_SQL} SELECT reason AS skip_reason, count(*) AS files FROM (SELECT reason FROM t UNION ALL SELECT 'hidden') WHERE reason IS NOT NULL GROUP BY 1")
+add("dir_exclusions", lambda s, d: stats.exclusions(tree(s, d).listing), f"WITH {FILES_SQL}, {TREE_SQL}, x AS (SELECT path, reason, CASE doc_id % 10 WHEN 3 THEN 'default' WHEN 5 THEN 'hidden' ELSE '.gitignore' END AS source, CASE doc_id % 10 WHEN 3 THEN 'node_modules/**' WHEN 5 THEN 'a part of the path begins with a dot' ELSE 'logs/' END AS rule FROM t WHERE reason IS NOT NULL UNION ALL SELECT '.gitignore', 'hidden', 'hidden', 'a part of the path begins with a dot') SELECT * FROM x ORDER BY path LIMIT 25")
 
 
 def queries() -> dict[str, Query]:
