@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.capture.extract import with_captures
 from quarry.execution import late
 from quarry.functions.lines import line_starts, lines, no_hunks
-from quarry.operators import lowering
+from quarry.operators import lowering, stats
 from quarry.operators.lowering import Context
 from quarry.plans import query as Q
 from quarry.plans.presets import Presets, effective_query
@@ -61,6 +61,16 @@ class Search:
         lowering.validate(self.ast, self.context)
         self.keys = lowering.needed_captures(self.ast)
         self.reads = lowering.needs_content(self.ast)
+        self.observation: Observation | None = None
+
+    def watched(self) -> Observation:
+        """Has what is made of the search from now on, by one action, take figures of the files that it looks into: no job of
+        their own. ``stats.told(observation.get)`` has them once the action is over."""
+        self.observation = Observation()
+        return self.observation
+
+    def _watched(self, files: DataFrame) -> DataFrame:
+        return files if self.observation is None else files.observe(self.observation, *stats.telemetry(files.columns))
 
     def _metadata(self) -> Q.Node | bool:
         return (unsound_metadata_part if self.options.unsound_prefilter else metadata_part)(self.ast)
@@ -108,6 +118,7 @@ class Search:
             out = with_captures(out.drop("low"), self.keys, override, self.options.semantic_strict if strict is None else strict, self.options.semantic_budget, self.options.deadline)
             if content:
                 out = out.withColumn("low", F.lower("text"))
+        out = self._watched(out)
         if content:
             out = out.withColumn("lines", lines(F.col("text")))
         return out
@@ -132,7 +143,7 @@ class Search:
     def results(self) -> DataFrame:
         """Matching files with ``whole``, ``hunks``, ``text``, ``content_state``, and ``changed``: what differs from the
         listing (null: nothing)."""
-        files = self._evaluated(self.prefiltered) if self.reads else self._loaded(self.prefiltered)
+        files = self._evaluated(self.prefiltered) if self.reads else self._watched(self._loaded(self.prefiltered))
         files = files.where(self._or_left(lowering.condition(self.ast, self.context)))
         if "changed" not in files.columns:
             files = files.withColumn("changed", F.lit(None).cast("string"))

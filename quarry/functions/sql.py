@@ -1,52 +1,27 @@
-"""Functions for Spark SQL: a query over one text, and its captures as a table."""
+"""For Spark SQL: a search as a view over a table, and the captures of a text as a table function."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.capture.profiles import extract, find_profile, select
-from quarry.plans.query import And, Node, Not, Or, Predicate, QueryError, parse
-
-
-def text_matches(node: Node, path: str, text: str) -> bool:
-    """For one text at a path, without a listing: extension, path, content and capture predicates."""
-    match node:
-        case Not(child):
-            return not text_matches(child, path, text)
-        case And(left, right):
-            return text_matches(left, path, text) and text_matches(right, path, text)
-        case Or(left, right):
-            return text_matches(left, path, text) or text_matches(right, path, text)
-        case Predicate("ext", value):
-            name = path.rsplit("/", 1)[-1]
-            return "." in name[1:] and name.rsplit(".", 1)[1].lower() == value.lower()
-        case Predicate("path", value):
-            return value in path
-        case Predicate("contains", value):
-            return value.lower() in text.lower() if value else bool(text)
-        case Predicate(("func" | "class" | "def" | "call" | "import" | "comment" | "str" | "struct" | "enum" | "type") as key, value):
-            name = path.rsplit("/", 1)[-1]
-            profile = select(name.rsplit(".", 1)[1] if "." in name[1:] else None, text)
-            found = [t for _, t, _ in extract(profile, text, (key,))] if profile else []
-            return any(value in t if key in ("call", "import", "comment", "str") else value in (".", t) for t in found)
-    raise QueryError(f"Not available for a single text: '{node.key}'")
+from quarry.capture.profiles import extract, find_profile
+from quarry.engine import Engine, Options
+from quarry.operators.results import public_matches
+from quarry.sources import files as S
 
 
-def register(spark: SparkSession) -> None:
-    """``query_match(path, text, query)`` and the table function ``query_captures(language, key, text)``."""
+def search_view(spark: SparkSession, view: str, table: str, path: str, text: str, query: str, keep: tuple[str, ...] = (), **options) -> None:
+    """A temporary view of a query over the rows of a table or view: its plan is the query's own, so conditions on the view and
+    the query's conditions reach the table's scan together. ``path`` and ``text``: SQL expressions over the table; ``keep``:
+    columns of the table that the view has, too."""
+    corpus = S.from_table(spark.table(table), F.expr(path), F.expr(text), root="/", keep=keep)
+    found = public_matches(Engine(spark, corpus, Options(**options)).search(query).results)
+    found.select("display_path", *keep, "whole", "content_state", "matches").createOrReplaceTempView(view)
 
-    @F.pandas_udf("boolean")
-    def query_match(path, text, query):
-        parsed: dict[str, Node] = {}
-        out = []
-        for p, t, q in zip(path, text, query):
-            if q not in parsed:
-                parsed[q] = parse(q)
-            out.append(text_matches(parsed[q], p or "", t or ""))
-        import pandas as pd
 
-        return pd.Series(out, dtype="bool")
+def register(spark: SparkSession) -> None:
+    """The table function ``query_captures(language, key, text)``."""
 
     @F.udtf(returnType="text string, start_byte bigint, end_byte bigint, start_row int")
     class QueryCaptures:
@@ -55,5 +30,4 @@ def register(spark: SparkSession) -> None:
             for _, t, (a, z, row, *_) in extract(profile, text or "", (key,)) if profile else ():
                 yield t, a, z, row
 
-    spark.udf.register("query_match", query_match)
     spark.udtf.register("query_captures", QueryCaptures)

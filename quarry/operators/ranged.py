@@ -3,6 +3,8 @@
 The rows are dealt out by ranges of their order and sorted within them; each range is a folder of its own, and a row for
 each range says how many rows and bytes it has and where it begins and ends. A page reads the ranges that it lies in.
 Numbers and sums over all rows are those within a range plus the totals of the ranges before it.
+
+The query itself runs once: ranges are found by reading rows twice, so the rows are written as they come before.
 """
 
 from __future__ import annotations
@@ -35,9 +37,14 @@ class Ranged:
     def __init__(self, items: DataFrame, order: tuple[str, ...], size: Column, ranges: int | None = None):
         self.spark, self.order, self.columns = items.sparkSession, order, items.columns
         self.path = f"{scratch_dir(self.spark)}/quarry-ranged-{uuid.uuid4().hex}"
-        dealt = items.withColumn(BYTES, size.cast("long")).repartitionByRange(*(() if ranges is None else (ranges,)), *order).withColumn(PART, F.spark_partition_id())
+        raw = f"{self.path}-raw"
+        sized = items.withColumn(BYTES, size.cast("long"))
+        sized.write.option("compression", "zstd").parquet(raw)
+        made = self.spark.read.schema(sized.schema).parquet(raw)
+        dealt = made.repartitionByRange(*(() if ranges is None else (ranges,)), *order).withColumn(PART, F.spark_partition_id())
         dealt.sortWithinPartitions(PART, *order).write.partitionBy(PART).option("compression", "zstd").parquet(self.path)
         self.rows = self.spark.read.schema(dealt.schema).option("basePath", self.path).parquet(self.path)
+        remove(self.spark, raw)
         atexit.register(self.drop)
         ends = F.struct(*order)
         totals = self.rows.groupBy(PART).agg(F.count("*").alias("n"), F.coalesce(F.sum(BYTES), F.lit(0)).alias("bytes"), F.min(ends).alias("first"), F.max(ends).alias("last"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.capture.profiles import BY_KEY
+from quarry.capture.profiles import BY_KEY, PROFILES
 from quarry.operators.results import matched_lines
+from quarry.sources.policy import BINARY, LEFT, LOSSY, SECRET, TOO_LARGE, UNREADABLE
 
 
 def counters(search) -> DataFrame:
@@ -51,6 +52,30 @@ def skip_counts(listing: DataFrame) -> DataFrame:
     return listing.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("files"))
 
 
+STATES = {"loaded_lossy": LOSSY, "too_large": TOO_LARGE, "binary": BINARY, "secret_like": SECRET, "unreadable": UNREADABLE, "deadline": LEFT}
+
+
+def telemetry(columns: list[str]) -> list[Column]:
+    """Figures of the files that a search looks into, taken while it does. With captures: of each language the files, the
+    captures and the files whose seconds were used up."""
+    out = [F.count("*").alias("evaluated_files"), *(F.count_if(F.col("content_state") == state).alias(f"{name}_files") for name, state in STATES.items())]
+    if "changed" in columns:
+        out.append(F.count_if(F.col("changed").isNotNull()).alias("changed_files"))
+    if "profile" in columns:
+        out.append(F.count_if(F.col("profile").isNull()).alias("files_without_language"))
+        for p in PROFILES:
+            mine = F.col("profile") == p.id
+            out += [F.count_if(mine).alias(f"files_{p.id}"), F.coalesce(F.sum(F.when(mine, F.size("captures"))), F.lit(0)).alias(f"captures_{p.id}"), F.count_if(mine & F.col("exhausted")).alias(f"exhausted_{p.id}")]
+    return out
+
+
+def told(figures: dict) -> dict:
+    """The same as a tree; languages without files are left out."""
+    out = {k: v for k, v in figures.items() if not k.startswith(("files_", "captures_", "exhausted_")) or k == "files_without_language"}
+    by = {p.id: {k: figures[f"{k}_{p.id}"] for k in ("files", "captures", "exhausted")} for p in PROFILES if figures.get(f"files_{p.id}")}
+    return out | ({"languages": by} if "files_without_language" in figures else {})
+
+
 #: Fixed value: exclusions that are told one by one.
 EXCLUSIONS = 25
 

@@ -68,6 +68,8 @@ class Request:
     #: Seconds for the captures of a file; None: as the execution profile says.
     capture_budget: float | None = None
     path_display: str = "relative"
+    #: Whether the response has figures of the files that were looked into, by state and language.
+    telemetry: bool = False
     #: Truncated also when exactly max_results items exist, as engines say that don't look one item further.
     eager_truncation: bool = False
     limits: Limits = field(default_factory=Limits)
@@ -154,15 +156,18 @@ def run(engine: Engine, request: Request, token: Token | None = None) -> dict:
     began = time.monotonic()
     start = place(request.continuation) if request.continuation else Place(request.offset)
     search, seconds = prepared(engine, request), budget_of(request)
+    # Figures are taken by the first action alone, and whole only if it reads everything: so the items are written first.
+    figures = search.watched() if request.telemetry and (search.reads or request.mode != "paths") else None
 
     def work() -> dict:
-        if seconds is None:
+        if seconds is None and figures is None:
             return _page(items(search, request), request, start, began)
         stored = written(search, request)
         try:
-            return _page(stored.rows.select(*stored.columns), request, start, began, left_of(stored))
+            out = _page(stored.rows.select(*stored.columns), request, start, began, None if seconds is None else left_of(stored))
         finally:
             stored.drop()
+        return out if figures is None else out | {"telemetry": stats.told(figures.get)}
 
     return within(engine.spark, None if seconds is None else seconds + GRACE, work, token)
 

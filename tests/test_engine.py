@@ -403,10 +403,16 @@ def test_command_line(spark, tmp_path):
 
 
 def test_sql_functions(spark):
-    from quarry.functions.sql import register
+    from quarry.functions.sql import register, search_view
 
     register(spark)
-    assert spark.sql("SELECT query_match('a/b.py', 'def f(): pass', 'ext:py & func:f') AS m").first()["m"]
+    rows = [(1, "a/b.py", "def f(): pass"), (2, "a/b.txt", "def f(): pass"), (3, "c.py", "x = f()"), (4, None, None)]
+    spark.createDataFrame(rows, "id long, p string, t string").createOrReplaceTempView("texts")
+    for query, want in {"ext:py & func:f": [1], "call:f | path:b.txt": [2, 3], "!contains:def": [3], "matches:'^x'": [3]}.items():
+        search_view(spark, "hits", "texts", "p", "t", query, ("id",))
+        assert [r["id"] for r in spark.sql("SELECT id FROM hits WHERE display_path IS NOT NULL ORDER BY id").collect()] == want, query
+    search_view(spark, "hits", "texts", "p", "t", "contains:'F('", ("id",))
+    assert spark.sql("SELECT id, m.start_line FROM hits LATERAL VIEW explode(matches) AS m WHERE id > 1 ORDER BY id").collect() == [(2, 1), (3, 1)]
     got = spark.sql("SELECT text, start_row FROM query_captures('py', 'func', 'x\ndef g(): pass')").collect()
     assert [tuple(r) for r in got] == [("g", 1)]
 
