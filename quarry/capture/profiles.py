@@ -160,15 +160,19 @@ def whole_calls(dots: tuple[str, ...], definitions: Finder | None = None) -> Fin
 
     def find(s: Source) -> Iterator[Span]:
         defined = set(definitions(s)) if definitions else set()
+        back, heads = {z: o for o, z in s.close.items()}, {}
         for k, t in enumerate(s.code):
             if t.kind not in ("ident", "name") or t.text in BRACE_KEYWORDS or span(t) in defined or not s.is_(k + 1, "(") or k + 1 not in s.close or s.is_(k - 1, "new", "def", "func", "function"):
                 continue
             a = k
             while s.is_(a - 1, *dots) and a >= 2:
                 a -= 2
-                back = {z: o for o, z in s.close.items()}
                 while a in back and a > 0:
                     a = back[a] - 1 if back[a] else 0
+                if a in heads:  # the chain up to here has been walked before
+                    a = heads[a]
+                    break
+            heads[k] = a
             yield s.code[a].start, s.code[s.close[k + 1]].end
 
     return find
@@ -269,7 +273,7 @@ def jsx(props: bool) -> Finder:
                 yield s.code[k + 1].start, s.code[z].end
                 continue
             n = z + 1
-            while n < len(s.code) and not s.is_(n, ">", "/"):
+            while n < len(s.code) and not s.is_(n, ">", "/") and (n == z + 1 or not s.is_(n, "<")):
                 if s.is_(n, "{") and n in s.close:
                     n = s.close[n] + 1
                 elif s.ident(n):
@@ -590,14 +594,14 @@ def sql_calls(s: Source) -> Iterator[Span]:
 
 # HTML and CSS have their own scans.
 
-TAG = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<![^>]*>|</([A-Za-z][\w:-]*)\s*>|<([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)(/?)>")
+TAG = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<![^>]*>|</([A-Za-z][\w:-]*)\s*>|<([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'/]|/(?!>))*+)(/?)>")
 
 
 def html_parts(text: str) -> Iterator[tuple[str, int, int]]:
     """(tag | selfclosing | comment | text, start, end); script and style contents are raw text, not parts."""
     at = 0
     for_text = lambda a, z: [("text", a + len(text[a:z]) - len(text[a:z].lstrip()), a + len(text[a:z].rstrip()))] if text[a:z].strip() else []
-    while m := TAG.search(text, at):
+    while (text.find(">", at) >= 0 or text.find("<!--", at) >= 0) and (m := TAG.search(text, at)):
         yield from for_text(at, m.start())
         at = m.end()
         if m[0].startswith("<!--"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from quarry.capture.profiles import PROFILES, extract, find_profile, select, sql_dialect, supported_keys
@@ -259,3 +261,37 @@ def test_every_profile_has_its_keys():
     assert len(PROFILES) == 26 and sum(len(p.extensions) for p in PROFILES) == 37
     assert "str" not in supported_keys(find_profile("scala")) and "call" not in supported_keys(find_profile("html"))
     assert "func" not in supported_keys(find_profile("tsx"))
+
+
+#: Texts of which more and more are put together, with a key that looks at all of them.
+GROWING = {
+    "tsx": ("prop", "<a \n"), "html": ("def", "<a "), "scala": ("call", "x.f(1).g(2)\n"), "swift": ("call", "x.f(1).g(2).h(3)\n"), "php": ("call", "$x->f(1)->g(2);\n"),
+    "js": ("call", ".f(1)"), "py": ("func", "def f(a): return g(a)\n"), "rs": ("impl", "impl T for E { fn f() { g(1) } }\n"), "css": ("def", ".a, #b { c: d }\n"),
+}
+
+
+@pytest.mark.parametrize("language", GROWING)
+def test_time_grows_with_the_text(language):
+    key, piece = GROWING[language]
+    p = find_profile(language)
+
+    def took(n: int) -> float:
+        text = ("<?php\n" if language == "php" else "x" if language == "js" else "") + piece * n
+        best = 9e9
+        for _ in range(2):
+            began = time.process_time()
+            extract(p, text, (key,))
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(4000) <= 8 * took(1000) + 0.2
+
+
+def test_chains_tags_and_attributes_as_before():
+    def found(language: str, key: str, text: str) -> list[str]:
+        return [t for _, t, _ in extract(find_profile(language), text, (key,))]
+
+    assert found("php", "call", "<?php $x->f(1)->g(2)->h($y->k(3));") == ["$x->f(1)", "$x->f(1)->g(2)", "$x->f(1)->g(2)->h($y->k(3))", "$y->k(3)"]
+    assert found("tsx", "prop", "const a = <Box<string> kind='k' on={b}><br wide /></Box>;") == ["string", "wide"]
+    assert found("html", "def", "<p title='a > b' x=\"<i>\">t</p><br/><a href=x/y>z</a><a <b>") == ["p", "a", "b"]
+    assert found("html", "comment", "<p><!-- open") == ["<!-- open"]
