@@ -52,6 +52,8 @@ def render(search, form: str = "hunks", max_results: int | None = R.MAX_RESULTS,
     return "\n".join([*_lines(search, form, max_results, offset, context, line_numbers, time_style), *(footer(search, max_results, offset) if form in FOOTED else [])])
 
 
+#: Bytes of text of a page that the driver takes.
+DRIVER_BYTES = 64 << 20
 #: Formats for people, which end with what the page leaves out.
 FOOTED = ("hunks", "summary", "matches", "snippets")
 
@@ -97,8 +99,13 @@ def _lines(search, form: str, max_results: int | None, offset: int, context: int
         more = max_results is not None and bool(R.page(search.matched, 1, offset + max_results, None).head(1))
         yield envelope([{k: v for k, v in r.asDict(recursive=True).items() if k != "position"} for r in rows], truncated=more, next_offset=offset + len(rows) if more else None)
     else:
-        for r in page.withColumn("lines_", lines(F.col("text"))).orderBy("position").collect():
+        # Whole texts come to the driver, so their bytes are bounded as well as their number; the first is always there.
+        page = R.page(search.results, max_results, offset, DRIVER_BYTES, size=F.octet_length("text"))
+        rows = page.select("position", "display_path", "resolved_path", "ext", "content_state", "hunks", lines(F.col("text")).alias("lines_")).orderBy("position").collect()
+        for r in rows:
             yield from _file(r, form, context, numbers)
+        if rows and (max_results is None or len(rows) < max_results) and R.page(search.matched, 1, offset + len(rows), None).head(1):
+            yield f"-- cut at {human_size(DRIVER_BYTES)} of text: --offset {offset + len(rows)}"
 
 
 def _file(r, form: str, context: int, numbers: bool) -> Iterator[str]:

@@ -211,3 +211,14 @@ def test_settings_of_the_environment(engine, monkeypatch):
     monkeypatch.setenv("QUARRY_STREAMS", "many")
     with pytest.raises(ValueError, match="QUARRY_STREAMS"):
         setting("QUARRY_STREAMS", 4)
+
+
+def test_texts_of_a_page_are_bounded(engine, monkeypatch):
+    from quarry.operators import formats
+
+    monkeypatch.setattr(formats, "DRIVER_BYTES", 100)
+    text = formats.render(engine.search("contains:alpha"), "cat", 1000)
+    names = sorted(p for p, t in MANY if t)
+    assert text.endswith("--offset 3") and [x for x in text.splitlines() if x.startswith("alpha")] == [x for p in names[:3] for x in dict(MANY)[p].splitlines() if x.startswith("alpha")]
+    whole = formats.render(engine.search("contains:alpha"), "cat", 2)
+    assert "--offset" not in whole
