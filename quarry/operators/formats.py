@@ -74,11 +74,11 @@ def _lines(search, form: str, max_results: int | None, offset: int, context: int
         return
     page = R.page(search.results, max_results, offset, None)
     if form == "summary":
-        for r in page.select("position", "display_path", F.size("hunks").alias("n"), "whole", "content_state").orderBy("position").collect():
-            yield "\t".join((r["display_path"], str(r["n"]), str(r["whole"]).lower(), r["content_state"]))
+        for r in page.select("position", "display_path", F.size("hunks").alias("n"), "whole", "content_state", "skip_reasons", "changed").orderBy("position").collect():
+            yield "\t".join((r["display_path"], str(r["n"]), str(r["whole"]).lower(), r["content_state"], ",".join(remarks(r)) or "-"))
     elif form == "diagnostics":
-        rows = page.select("position", "display_path", "content_state", "skip_reasons").orderBy("position").collect()
-        told = [(r["display_path"], x) for r in rows for x in [*([r["content_state"]] if r["content_state"] != "loaded" else []), *r["skip_reasons"]]]
+        rows = page.select("position", "display_path", "content_state", "skip_reasons", "changed").orderBy("position").collect()
+        told = [(r["display_path"], x) for r in rows for x in [*([r["content_state"]] if r["content_state"] != "loaded" else []), *remarks(r)]]
         yield f"files: {len(rows)}, diagnostics: {len(told)}"
         yield from (f"{p}: {x}" for p, x in told)
     elif form == "matches":
@@ -108,6 +108,11 @@ def _lines(search, form: str, max_results: int | None, offset: int, context: int
             yield f"-- cut at {human_size(DRIVER_BYTES)} of text: --offset {offset + len(rows)}"
 
 
+def remarks(r) -> list[str]:
+    """What is to be said about a file beside the state of its content."""
+    return [*r["skip_reasons"], *([f"changed:{r['changed']}"] if r["changed"] else [])]
+
+
 def _file(r, form: str, context: int, numbers: bool) -> Iterator[str]:
     shown = [f"{k + 1:>5} | {x}" if numbers else x for k, x in enumerate(r["lines_"])] if r["content_state"].startswith("loaded") else [notice(r["content_state"])]
     if form == "cat":

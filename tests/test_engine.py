@@ -270,7 +270,7 @@ def test_formats(engine):
     s = engine.search("contains:alpha & ext:rs")
     shown = {form: formats.render(s, form) for form in formats.FORMATS}
     assert shown["paths"] == "src/B.RS\nsrc/a.rs"
-    assert shown["summary"].splitlines()[1] == "src/a.rs\t2\tfalse\tloaded"
+    assert shown["summary"].splitlines()[1] == "src/a.rs\t2\tfalse\tloaded\t-"
     assert "  3:1-3:11 alpha beta" in shown["matches"] and "@@ 1-3 @@" in shown["snippets"]
     assert "```rs" in shown["markdown"] and "fn main" in shown["cat"] and "2024-01-01" in shown["find"]
     assert '"display_path":"src/a.rs"' in shown["json"] and "files: 2" in shown["diagnostics"]
