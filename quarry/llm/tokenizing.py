@@ -9,7 +9,8 @@ other, are those of the whole text:
 
 A word of Latin letters, with punctuation after them or none, is one token of the pre-tokenizers in ``KNOWN`` for the
 letters and one for the punctuation. Such a run of letters goes to the library's model itself, which spares the
-library's bookkeeping of offsets; every other word goes through the whole library.
+library's bookkeeping of offsets, and is kept without the punctuation; every other word goes through the whole library.
+Runs are kept in two generations: one that is asked for again moves to the younger, which becomes the older when full.
 """
 
 from __future__ import annotations
@@ -29,20 +30,21 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 ASCII_SPACE = "\t\x0b\x0c\r" + SEPARATORS
 OTHER_SPACE = "\x85\xa0                　"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Words that a worker keeps at most before it starts anew; longer words are not kept.
-CACHE = 800_000
+#: Runs of letters that a worker keeps, in each of two generations, and other words; longer ones are not kept.
+RUNS, ODD = 500_000, 200_000
 LONGEST = 64
 #: Whole texts that a worker keeps, for copies; longer texts are not kept.
 COPIES, LONGEST_COPY = 3000, 8192
 #: Latin letters that every version of Unicode calls so, that normalising leaves alone and that are one letter in lower case;
 #: ASCII punctuation but the apostrophe, which may begin a token with the letters after it.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
-MARKS = re.escape(r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""")
+PUNCTUATION = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+MARKS = re.escape(PUNCTUATION)
 SIMPLE = re.compile(f"([{LETTERS}]+)([{MARKS}]{{0,8}})")
 #: Ends of words that a worker keeps at most.
 ENDS = 10_000
 #: Texts, and about how many of their characters, whose words are looked up at once.
-GROUP, GROUP_CHARS = 1024, 1 << 22
+GROUP, GROUP_CHARS = 2048, 1 << 23
 #: (normalizer, pre-tokenizer) of which the above holds -> whether letters are put in lower case.
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
 _CLASSES = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -74,8 +76,8 @@ def plain(text: str) -> bool:
 class Encoder:
     """encode(texts) -> for each text its ids as bytes of little-endian unsigned 16-bit (or 32-bit) integers.
 
-    ``joined_space``: the pre-tokenizer keeps a space with the word after it; otherwise it drops white space. A key of
-    the cache is a word; one that begins with a line feed stands for the word after a line feed instead of a space.
+    ``joined_space``: the pre-tokenizer keeps a space with the word after it; otherwise it drops white space. A key is
+    a word; one that begins with a line feed stands for the word after a line feed instead of a space.
     """
 
     def __init__(self, file: str, joined_space: bool):
@@ -91,7 +93,9 @@ class Encoder:
         self.ends: dict[str, bytes] = {}
         self.simple, self.lower = self._shape(file)
         self.tokens = self.tokenizer.model.tokenize
-        self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.copies: dict[str, bytes] = {}
 
     def _shape(self, file: str) -> tuple[re.Pattern[str] | None, bool]:
@@ -137,12 +141,13 @@ class Encoder:
         data, size = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
         return {w: data[a * size : z * size] for w, a, z in zip(runs, [0, *ends], ends)}
 
-    def _words(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
-        """A run of letters and the marks after it are two tokens, so the run is encoded once for all marks."""
+    def _words(self, words: list[str], lead: str, runs: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Odd words, and those of letters and marks. The latter are two tokens, so a run is encoded once for all marks;
+        new runs are put into ``runs``."""
         simple = self.simple
         if simple is None:
-            return self._encoded(words, lead)
-        odd, need, runs, lower, ends = [], set(), [], self.lower, self.ends
+            return self._encoded(words, lead), {}
+        odd, need, parts, lower, ends = [], set(), [], self.lower, self.ends
         for w in words:
             m = simple.fullmatch(w)
             if m is None:
@@ -151,27 +156,36 @@ class Encoder:
             run, end = m.groups()
             if lower:
                 run = run.lower()
-            runs.append((w, run, end))
-            if run not in known:
+            parts.append((w, run, end))
+            if run not in runs:
                 need.add(run)
         if len(ends) > ENDS:
             ends.clear()
-        new = list({end for _, _, end in runs} - ends.keys())
+        new = list({end for _, _, end in parts} - ends.keys())
         ends.update(zip(new, self._library(new)))
-        out = self._encoded(odd, lead) | self._runs(list(need), lead)
-        for w, run, end in runs:
-            ids = out.get(run)
-            out[w] = (known[run] if ids is None else ids) + ends[end]
-        return out
+        made = self._runs(list(need), lead)
+        plain = {}
+        for w, run, end in parts:
+            ids = made.get(run)
+            plain[w] = (runs[run] if ids is None else ids) + ends[end]
+        runs.update(made if not need or max(map(len, need)) <= LONGEST else {r: ids for r, ids in made.items() if len(r) <= LONGEST})
+        return self._encoded(odd, lead), plain
 
     def _keys(self, keys: set[str]) -> dict[str, bytes]:
+        """The keys' ids; odd words and words after a line feed are kept as they are."""
         if not self.joined:
-            return self._words(list(keys), "", self.cache)
-        after_feed = [k[1:] for k in keys if k[:1] == "\n"]
-        out = self._words([k for k in keys if k[:1] != "\n"], " ", self.cache)
-        feed = self.feed
-        out |= {"\n" + w: feed + ids for w, ids in self._words(after_feed, "", {}).items()}
-        return out
+            odd, plain = self._words(list(keys), "", self.runs)
+        else:
+            odd, plain = self._words([k for k in keys if k[:1] != "\n"], " ", self.runs)
+            feed = self.feed
+            for made in self._words([k[1:] for k in keys if k[:1] == "\n"], "", {}):
+                odd |= {"\n" + w: feed + ids for w, ids in made.items()}
+        if len(self.odd) + len(odd) > ODD:
+            self.odd.clear()
+        self.odd.update((k, ids) for k, ids in odd.items() if len(k) <= LONGEST)
+        if len(self.runs) > RUNS:
+            self.older, self.runs = self.runs, {}
+        return odd | plain
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Without cyclic garbage collection meanwhile: there are no cycles, but very many strings to walk over."""
@@ -231,15 +245,31 @@ class Encoder:
             out[k] = data[a + skip : z]
         return out
 
+    def _known(self, key: str) -> bytes | None:
+        """What is kept of a key that is no run of the younger generation."""
+        run = key.rstrip(PUNCTUATION)
+        end = key[len(run) :]
+        if self.lower and (key.isascii() or self.simple.fullmatch(key)):
+            run = run.lower()
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self.older.get(run)
+            if ids is None:
+                return self.odd.get(key)
+            self.runs[run] = ids
+        if not end:
+            return ids
+        tail = self.ends.get(end)
+        return self.odd.get(key) if tail is None else ids + tail
+
     def _ids(self, keys: list[str]) -> pa.Array:
-        row: list[bytes | None] = list(map(self.cache.get, keys))
+        row: list[bytes | None] = list(map(self.runs.get, keys))
+        known = self._known
+        row = [known(k) if ids is None else ids for k, ids in zip(keys, row)]
         new = [k for k, ids in zip(keys, row) if ids is None]
         if new:
             made = self._keys(set(new))
             row = [made[k] if ids is None else ids for k, ids in zip(keys, row)]
-            if len(self.cache) + len(made) > CACHE:
-                self.cache.clear()
-            self.cache.update(made if max(map(len, made)) <= LONGEST else {k: ids for k, ids in made.items() if len(k) <= LONGEST})
         return pa.array(row, pa.large_binary())
 
 
