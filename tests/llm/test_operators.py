@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import statistics
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -409,8 +410,41 @@ def test_sharding(spark):
     sums = Counter()
     for r in got:
         sums[r["shard"]] += r["size"]
-    mean, most = sum(sums.values()) / 40, max(r["size"] for r in got)
-    assert len(sums) == 40 and max(abs(x - mean) for x in sums.values()) <= most
+    mean, median = sum(sums.values()) / 40, statistics.median(r["size"] for r in got)
+    assert len(sums) == 40 and max(abs(x - mean) for x in sums.values()) <= median
+
+
+def plain_tree(points: list[tuple], shards: int, first: int, out: dict) -> None:
+    """The k-d tree over points (doc_id, place on each axis, text's and id's hash) of one size, by sorting each node."""
+    if shards == 1:
+        out |= {p[0]: first for p in points}
+        return
+    axis = max(range(3), key=lambda d: (max(p[1][d][0] for p in points) - min(p[1][d][0] for p in points), max(p[1][d][1] for p in points) - min(p[1][d][1] for p in points), d))
+    points = sorted(points, key=lambda p: (p[1][axis][1], *p[2]))
+    n = len(points) * (shards // 2) // shards
+    plain_tree(points[:n], shards // 2, first, out)
+    plain_tree(points[n:], shards - shards // 2, first + shards // 2, out)
+
+
+def test_sharding_is_a_tree(spark):
+    """Of documents of one size whose number the shards divide, all sides come out even and nothing is exchanged."""
+    df = spark.createDataFrame([(i, f"text {i:06}", "en" if i % 3 else "de", "abcdefg"[i % 7]) for i in range(800)], "doc_id long, text string, lang string, source string")
+    rows = kdshard.narrow(df, "doc_id", "text", "lang", "source").orderBy("doc_id").collect()
+    rank: list[dict] = []
+    for d in kdshard.DIMENSIONS:
+        bins = Counter(r[d] >> 20 for r in rows)
+        below = itertools.accumulate([0, *(bins[k] for k in sorted(bins))])
+        rank.append({k: (b + bins[k] / 2) / len(rows) for k, b in zip(sorted(bins), below)})
+    want: dict[int, int] = {}
+    plain_tree([(r["doc_id"], [(rank[d][r[x] >> 20], r[x]) for d, x in enumerate(kdshard.DIMENSIONS)], (r["k1"], r["k2"])) for r in rows], 8, 0, want)
+    assert {r["doc_id"]: r["shard"] for r in kdshard.shard(df, 8).collect()} == want
+
+
+def test_sharding_exchanges_over_a_cut():
+    left = kdshard.divided([10, 10, 900, 10, 10, 10, 20], 50, 1)
+    assert sum(w for w, x in zip([10, 10, 900, 10, 10, 10, 20], left) if x) == 50
+    assert kdshard.divided([5, 5], 5, 0) == [True, False]
+    assert kdshard.divided([7], 2, 0) == [False] and kdshard.divided([7], 5, 0) == [True]
 
 
 def test_sharding_cuts_through_copies(spark):
