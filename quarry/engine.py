@@ -40,6 +40,8 @@ class Options:
     semantic_strict: bool = False
     #: "skip_errors": an unreadable file is a result without content; "fail_fast": it ends the search.
     error_mode: str = "skip_errors"
+    #: False: contents are read however large they are and whatever is in them, secrets and binary data included.
+    policy: bool = True
     max_semantic_matches: int | None = None
     #: Seconds for the captures of one file; what was found until then counts.
     semantic_budget: float | None = None
@@ -89,8 +91,9 @@ class Search:
         return self.corpus.narrowed(self._metadata(), self.context).where(self._prefilter()).drop(*self.corpus.internal)
 
     def _loaded(self, files: DataFrame) -> DataFrame:
-        end = self.options.deadline
-        return gated(self.corpus.with_content(files, end), self.options.error_mode == "fail_fast" or self.options.semantic_strict, None if end is None else late(end))
+        o, end = self.options, self.options.deadline
+        loaded = self.corpus.with_content(files, end) if o.policy else self.corpus.with_content(files, end, None)
+        return gated(loaded, o.error_mode == "fail_fast" or o.semantic_strict, None if end is None else late(end), o.policy)
 
     def _or_left(self, condition):
         """What holds a condition, and what the deadline left."""

@@ -31,7 +31,7 @@ class Corpus:
 
     made: DataFrame | Callable[[], DataFrame]
     root: str
-    load: Callable[[DataFrame, float | None], DataFrame] | None = None
+    load: Callable[[DataFrame, float | None, int | None], DataFrame] | None = None
     #: Of a real directory: every file found with the reason why it was left out, or null.
     found: Callable[[], DataFrame] | None = None
     #: What conditions on paths say about the columns of ``source``, and how files are made of it.
@@ -56,8 +56,8 @@ class Corpus:
             return self.files
         return self.build(self.source.where(condition)) if self.build else self.files.where(condition)
 
-    def with_content(self, files: DataFrame, deadline: float | None = None) -> DataFrame:
-        return self.load(files, deadline) if self.load else files
+    def with_content(self, files: DataFrame, deadline: float | None = None, limit: int | None = MAX_BYTES) -> DataFrame:
+        return self.load(files, deadline, limit) if self.load else files
 
     @property
     def has_text(self) -> bool:
@@ -150,13 +150,13 @@ def snapshot(info: os.stat_result) -> tuple:
 SNAPSHOT = ("size", "time", "readonly", "mode", "device", "node")
 
 
-def read_small(path: str, listed: tuple | None = None) -> tuple[bytes | None, str | None, str | None]:
+def read_small(path: str, listed: tuple | None = None, limit: int | None = MAX_BYTES) -> tuple[bytes | None, str | None, str | None]:
     """The content, or why it can't be read, and what is not as it was listed or changed meanwhile. What has grown beyond
-    the limit since it was listed is read no further."""
+    the limit since it was listed is read no further; None: there is no limit."""
     try:
         with open(path, "rb") as f:
             before = snapshot(os.fstat(f.fileno()))
-            content = f.read(MAX_BYTES + 1)
+            content = f.read(-1 if limit is None else limit + 1)
             after = snapshot(os.fstat(f.fileno()))
     except OSError as e:
         return None, e.strerror or type(e).__name__, None
@@ -182,7 +182,7 @@ def directory(spark: SparkSession, root: str, hidden: bool = False, no_ignore: b
     return Corpus(files, os.path.realpath(root), read_files, listing, TreePaths(), internal=("ext_low", "skip_reason", "skip_source", "skip_rule"))
 
 
-def read_files(df: DataFrame, deadline: float | None = None) -> DataFrame:
+def read_files(df: DataFrame, deadline: float | None = None, limit: int | None = MAX_BYTES) -> DataFrame:
     """Adds ``content`` and ``load_error``, and ``changed``: what differs from the listing. What has changed between the
     first look at an open file and the last, or since it was listed, is told apart by size, time, node and mode. Files whose
     turn comes after the deadline, in seconds of the clock, stay unread."""
@@ -193,7 +193,7 @@ def read_files(df: DataFrame, deadline: float | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
-            read = [(None, TOO_LATE, None) if deadline and time.time() > deadline else read_small(p, tuple(was)) if was[0] <= MAX_BYTES else (None, None, None) for p, was in zip(column("resolved_path"), zip(*map(column, listed)))]
+            read = [(None, TOO_LATE, None) if deadline and time.time() > deadline else read_small(p, tuple(was), limit) if limit is None or was[0] <= limit else (None, None, None) for p, was in zip(column("resolved_path"), zip(*map(column, listed)))]
             made = [pa.array([x for x, _, _ in read], pa.binary()), *(pa.array([r[k] for r in read], pa.string()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "content", "load_error", "changed"])
 

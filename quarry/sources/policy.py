@@ -39,12 +39,12 @@ def has_nul(content: Column) -> Column:
     return F.instr(head, "\x00") > 0
 
 
-def gated(files: DataFrame, fail_fast: bool = False, late: Column | None = None) -> DataFrame:
+def gated(files: DataFrame, fail_fast: bool = False, late: Column | None = None, policy: bool = True) -> DataFrame:
     """Adds ``text``, which is empty where the content is held back, ``low``, the same lower-cased, and ``content_state``.
 
     Each is computed once: a value that a lambda takes is bound, and what is generated stays where it is, so that no
     condition on it is pushed below and computed again. The size gate comes first. ``late``: rows that are left as they
-    are, a condition that may differ from row to row.
+    are, a condition that may differ from row to row. ``policy``: False leaves out the gates for size, binary data and secrets.
     """
     if late is not None:
         files = files.withColumn("late_", late)
@@ -54,7 +54,7 @@ def gated(files: DataFrame, fail_fast: bool = False, late: Column | None = None)
     left = F.coalesce(error == TOO_LATE, F.lit(False)) | (F.col("late_") if late is not None else F.lit(False))
     if fail_fast and "load_error" in files.columns:
         error = F.when(error.isNotNull() & (error != TOO_LATE), F.raise_error(F.concat(F.lit("Unreadable file "), "display_path", F.lit(": "), error)).cast("string"))
-    held = F.when((F.col("size_bytes") <= MAX_BYTES) & ~left, raw)
+    held = F.when((F.col("size_bytes") <= MAX_BYTES) & ~left if policy else ~left, raw)
 
     def states(decoded: Column, valid: Column) -> Column:
         whole = F.when(valid, decoded).otherwise(F.make_valid_utf8(decoded))
@@ -62,11 +62,11 @@ def gated(files: DataFrame, fail_fast: bool = False, late: Column | None = None)
 
     def state(text: Column, low: Column, valid: Column) -> Column:
         out = F.when(left, LEFT).when(error.isNotNull(), UNREADABLE).when(text.isNull(), TOO_LARGE)
-        if not textual:
+        if policy and not textual:
             out = out.when(has_nul(held), BINARY)
-        else:
+        elif policy:
             out = out.when(F.instr(F.substring(text, 1, PROBE_BYTES), "\x00") > 0, BINARY)
-        out = out.when(looks_secret(low), SECRET).when(~valid, LOSSY).otherwise(LOADED)
+        out = (out.when(looks_secret(low), SECRET) if policy else out).when(~valid, LOSSY).otherwise(LOADED)
         return bound(out, lambda x: F.struct(F.when(x.startswith("loaded"), text).otherwise("").alias("text"), F.when(x.startswith("loaded"), low).otherwise("").alias("low"), x.alias("content_state")))
 
     made = bound(held.cast("string"), lambda decoded: bound(F.coalesce(F.is_valid_utf8(decoded), F.lit(True)), lambda valid: states(decoded, valid)))
