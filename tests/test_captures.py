@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
+from quarry.capture.extract import with_captures
 from quarry.capture.profiles import PROFILES, extract, find_profile, select, sql_dialect, supported_keys
 
 
@@ -295,3 +299,33 @@ def test_chains_tags_and_attributes_as_before():
     assert found("tsx", "prop", "const a = <Box<string> kind='k' on={b}><br wide /></Box>;") == ["string", "wide"]
     assert found("html", "def", "<p title='a > b' x=\"<i>\">t</p><br/><a href=x/y>z</a><a <b>") == ["p", "a", "b"]
     assert found("html", "comment", "<p><!-- open") == ["<!-- open"]
+
+
+def test_memory_does_not_grow_with_a_batch(spark):
+    """A batch of Spark's is up to 10,000 files; what is held of their captures is that of a few."""
+
+    class Files:
+        schema = T.StructType.fromDDL("display_path string, ext string, text string, content_state string")
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    files = Files()
+    with_captures(files, ("def",))
+    texts = ["", None, *(f"<h1>é{k}</h1>\n" + "<p>text</p>" * 150 for k in range(700))]
+    made = [["a.html"] * len(texts), ["html"] * len(texts), texts, ["loaded"] * len(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in made], names=Files.schema.names)
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in files.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 40e6
+    out = pa.Table.from_batches(files.run(iter([batch.slice(1, 40), batch.slice(0, 0)])))
+    assert out.column_names == [*Files.schema.names, "profile", "supported", "captures", "exhausted"] and out["text"].to_pylist() == texts[1:41]
+    for text, found in zip(texts[1:41], out["captures"].to_pylist()):
+        assert [x["text"] for x in found] == (["h1", *["p"] * 150] if text else [])
+        if text:
+            line = len(text.partition("\n")[0].encode()) + 1
+            assert found[0] == {"key": "def", "text": "h1", "range": {"start_byte": 1, "end_byte": 3, "start_row": 0, "start_col": 1, "end_row": 0, "end_col": 3}}
+            assert found[1]["range"] == {"start_byte": line + 1, "end_byte": line + 2, "start_row": 1, "start_col": 1, "end_row": 1, "end_col": 2}
