@@ -7,7 +7,7 @@ than one block.
 
 Weights are exact fractions of their sum, so the schedule repeats after as many slots as their common denominator: a
 frame. When a source runs out, the others share its part in proportion, from the next slot on: a new phase. The driver
-schedules one frame, or what is left if that is less, for each phase, and every task computes its documents' slots from
+schedules one frame, or what is left if that is less, for each phase, and every row finds its slot in
 it. What the driver holds grows with sources times the frame, not with the documents. No document is dropped or
 repeated.
 
@@ -21,18 +21,18 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fresh, number_rows, small
+from .common import fresh, number_rows
 
 BLOCK_BYTES = 64 * 1024
+#: Bytes of texts of a partition of the mixed rows, and the fewest where that leaves cores without any.
+PART_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 #: Target weights where none are given: a source's bytes to this power, in whole parts of ``PARTS``, one at least. Small
 #: sources are then seen more often than in proportion to their size, and large ones less.
 POWER, PARTS = 0.5, 10_000
@@ -100,8 +100,22 @@ def target_weights(sizes: dict, given: dict | None) -> dict:
     return {s: max(1, round(PARTS * x / total)) for s, x in tempered.items()}
 
 
-def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, str, str]:
-    """The rows with ``columns`` and two more: their slot, and their place within the source; returned with the two names."""
+def frames_of(plan: list[dict]) -> pa.Table:
+    """A row for each source and phase in which it is served: its blocks there, and the slots of a frame."""
+    rows, last = [], {}
+    for p in reversed(plan):
+        for s, (first, slots) in p["sources"].items():
+            upto = last.get(s, np.iinfo(np.int64).max)
+            if first < upto and slots:
+                rows.append((s, first, upto, p["base"], p["frame"], slots))
+            last[s] = first
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)], names=["of", "first", "upto", "base", "width", "slots"])
+
+
+def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, str, str, int]:
+    """The rows with ``columns`` and two more: their slot, and their place within the source; returned with the two names
+    and the number of slots. Each row finds its slot by a broadcast join, so no text goes through Python for it."""
     columns = columns or docs.columns
     size, source = fresh("size", docs.columns), fresh("mix_source", docs.columns)
     keep = [*columns, size, source]
@@ -110,45 +124,26 @@ def mix(docs: DataFrame, columns: list[str] | None = None, weights: dict | None
     placed = number_rows(sized, source, size, keep, start, "mix")
     totals = {r[0]: r[1] for r in placed.groupBy(source).agg(F.max(start)).collect()}
     blocks = {s: last // block_bytes + 1 for s, last in totals.items()}
-    plan = phases(blocks, target_weights(totals, weights))
-    by: dict = {s: ([], []) for s in blocks}
-    for p in plan:
-        for s, (first, slots) in p["sources"].items():
-            by[s][0].append(first)
-            by[s][1].append((p["base"], p["frame"], np.array(slots, np.int64)))
-    shared = docs.sparkSession.sparkContext.broadcast({s: (np.array(f, np.int64), x) for s, (f, x) in by.items()})
-    schema = T.StructType([*(placed.schema[c] for c in columns), T.StructField(slot, T.LongType()), T.StructField(start, T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = shared.value
-        for b in small(batches):
-            names = b.schema.names
-            codes = b.column(names.index(source)).dictionary_encode()
-            values = [*codes.dictionary.to_pylist(), None]
-            idx = codes.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)
-            block = b.column(names.index(start)).to_numpy() // block_bytes
-            out = np.zeros(b.num_rows, np.int64)
-            for c in np.unique(idx):
-                firsts, each = plan[values[c]]
-                rows = np.flatnonzero(idx == c)
-                at = np.searchsorted(firsts, block[rows], "right") - 1
-                for p in np.unique(at):
-                    base, width, slots = each[p]
-                    r = rows[at == p]
-                    nth = block[r] - firsts[p]
-                    out[r] = base + nth // len(slots) * width + slots[nth % len(slots)]
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in columns), pa.array(out), b.column(names.index(start))], names=[*columns, slot, start])
-
-    return placed.mapInArrow(run, schema), slot, start
+    frames = F.broadcast(docs.sparkSession.createDataFrame(frames_of(phases(blocks, target_weights(totals, weights)))))
+    block = F.call_function("div", placed[start], F.lit(block_bytes).cast("long"))
+    joined = placed.join(frames, placed[source].eqNullSafe(frames["of"]) & (block >= frames["first"]) & (block < frames["upto"]), "left")
+    nth, served = block - frames["first"], F.size(frames["slots"]).cast("long")
+    at = frames["base"] + F.call_function("div", nth, served) * frames["width"] + F.get(frames["slots"], (nth % served).cast("int"))
+    return joined.select(*[placed[c] for c in columns], at.alias(slot), placed[start]), slot, start, sum(blocks.values())
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """All rows and columns, ranged over the partitions, and so over the files written, in the order of the mix."""
-    mixed, slot, start = mix(docs, **options)
-    return mixed.repartitionByRange(slot, start).sortWithinPartitions(slot, start).select(*docs.columns)
+    """All rows and columns, dealt to the partitions, and so to the files written, in the order of the mix.
+
+    Slots are filled evenly, so a partition is a range of slots; nothing has to be sampled for it."""
+    mixed, slot, start, slots = mix(docs, **options)
+    block = options.get("block_bytes", BLOCK_BYTES)
+    each = min(PART_BYTES // block, max(LEAST_BYTES // block, slots // docs.sparkSession.sparkContext.defaultParallelism)) or 1
+    part = F.call_function("div", F.col(slot), F.lit(each).cast("long")).cast("int")
+    return mixed.repartitionById(-(-slots // each) or 1, part).sortWithinPartitions(slot, start).select(*docs.columns)
 
 
 def positions(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, slot, place) for every row of documents."""
-    mixed, slot, start = mix(docs.select("doc_id", "source", "text"), columns=["doc_id", "source"], **options)
+    mixed, slot, start, _ = mix(docs.select("doc_id", "source", "text"), columns=["doc_id", "source"], **options)
     return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(slot).alias("slot"), F.col(start).alias("place"))

@@ -228,6 +228,26 @@ def test_mixing_shuffles_texts_once(spark):
     assert sum("Exchange" in x and "Broadcast" not in x for x in plan.splitlines()) == 1
 
 
+def test_mixed_rows_are_dealt_without_a_sample(spark, monkeypatch):
+    """No further pass over the texts looks for ranges, none takes them through Python; partitions are even ranges of slots."""
+    monkeypatch.setattr(mixing, "PART_BYTES", 20_000)
+    monkeypatch.setattr(mixing, "LEAST_BYTES", 1000)
+    rng = random.Random(9)
+    made = [(i, " ".join(words_of(rng, rng.randint(1, 100))), "abc"[rng.randrange(3)]) for i in range(600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    mixed = mixing.mixed_order(docs, block_bytes=1000)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "MapInArrow" not in plan
+    got = mixed.select("doc_id", F.octet_length("text").alias("n"), F.spark_partition_id().alias("part")).collect()
+    places = mixing.positions(docs, block_bytes=1000).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in sorted(places, key=lambda r: (r["slot"], r["place"]))]
+    assert [r["part"] for r in got] == sorted(r["part"] for r in got)
+    sizes = Counter()
+    for r in got:
+        sizes[r["part"]] += r["n"] + 1
+    assert len(sizes) == mixed.rdd.getNumPartitions() > 5 and max(sizes.values()) < 24_000
+
+
 def test_shingles_are_counted_over_all_sets(spark):
     sets = spark.createDataFrame([([1, 2, -5],), ([2, 3],), ([],), ([2],), (None,)], "shingles array<int>").repartition(3)
     counts = simhash.shingle_counts(sets)
